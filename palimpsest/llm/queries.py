@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import byte_bpe, token_counts
+from palimpsest.llm import byte_bpe, simhash, token_counts, token_files
 
-QUERIES = {f.__name__: f for f in (byte_bpe.op5_byte_bpe, token_counts.op9_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        byte_bpe.op5_byte_bpe,
+        token_files.op7_token_files,
+        token_counts.op9_token_counts,
+        simhash.op10_simhash,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
