@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import byte_bpe, simhash, token_counts, token_files
+from palimpsest.llm import byte_bpe, language_id, quality, simhash, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
+        quality.op4_quality,
         byte_bpe.op5_byte_bpe,
+        language_id.op6_language_id,
         token_files.op7_token_files,
         token_counts.op9_token_counts,
         simhash.op10_simhash,
