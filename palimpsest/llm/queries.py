@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import byte_bpe, language_id, quality, simhash, token_counts, token_files
+from palimpsest.llm import byte_bpe, language_id, quality, sharding, simhash, token_counts, token_files, url_filters
 
 QUERIES = {
     f.__name__: f
     for f in (
+        url_filters.op1_url_filters,
+        sharding.op2_sharding,
         quality.op4_quality,
         byte_bpe.op5_byte_bpe,
         language_id.op6_language_id,
@@ -16,4 +18,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.ORACLE_SQL}
