@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding (operator 5) on length-bucketed padded numpy matrices.
 
-Texts are split by the vocabulary's pattern; a task keeps a bounded dictionary from piece to its
+Texts are split by the vocabulary's pattern; a worker keeps a bounded dictionary from piece to its
 ids. New pieces of a chunk are encoded together: rows of similar byte length form one padded
 matrix, and in each round every row merges its leftmost pair of least rank. Pair ranks come from
 an open-addressing hash table; the merged column is compacted away, and finished rows leave.
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import map_texts, schema_of, table
-from palimpsest.llm.pretokens import Splitter
+from palimpsest.llm.pretokens import Recent, Splitter, kept
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the padded matrices; longer pieces are merged one at a time.
@@ -179,34 +179,22 @@ class ByteBpe:
         return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(total)], size
 
 
-class PieceIds(dict):
-    """Piece -> its ids as bytes; new pieces are encoded together; at most `most` are kept."""
-
-    def __init__(self, bpe: ByteBpe, most: int):
-        super().__init__()
-        self.bpe, self.most = bpe, most
-
-    def add(self, seen: set[str]) -> None:
-        new = [p for p in seen if p not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(seen)
-        self.update(zip(new, self.bpe.encode_pieces([p.encode() for p in new]), strict=True))
-
-
 def _encoder(vocabulary: str, pattern: str, memo_size: int):
-    bpe = ByteBpe(read_ranks(vocabulary))
-    split, memo = Splitter(pattern), PieceIds(bpe, memo_size)
+    bpe, split, memo = kept(("bpe", vocabulary, pattern, memo_size), lambda: _coder(vocabulary, pattern, memo_size))
 
     def encode(texts: list[str | None]) -> list[bytes]:
         found = [split(t) if t else [] for t in texts]
-        memo.add(set().union(*found))
-        get = memo.__getitem__
+        get = memo.hold(set().union(*found)).__getitem__
         return [b"".join(map(get, x)) for x in found]
 
     return bpe, encode
 
 
+def _coder(vocabulary: str, pattern: str, memo_size: int):
+    bpe = ByteBpe(read_ranks(vocabulary))
+    return bpe, Splitter(pattern), Recent(lambda new: bpe.encode_pieces([p.encode() for p in new]), memo_size)
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", memo_size: int = MEMO_SIZE) -> DataFrame:
     """(id, ids array<int>) of every whole text, without special tokens."""
 

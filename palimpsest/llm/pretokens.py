@@ -38,3 +38,65 @@ class Splitter:
 
     def __call__(self, text: str) -> list[str]:
         return (self._any if self._OTHER.search(text) else self._LATIN).findall(text)
+
+
+class Recent:
+    """A bounded dictionary that keeps what was used last, in two generations of `most` / 2 entries.
+
+    `make` computes the values of all missing keys of a chunk at once.
+    """
+
+    def __init__(self, make, most: int):
+        self.make, self.half, self.new, self.old = make, most // 2, {}, {}
+
+    def hold(self, keys) -> dict:
+        """A dictionary that has all of `keys`, until the next call."""
+        if len(self.new) > self.half:
+            self.new, self.old = {}, self.new
+        new, missing = self.new, []
+        for k in keys:
+            if k not in new:
+                if (found := self.old.get(k)) is None:
+                    missing.append(k)
+                else:
+                    new[k] = found
+        if missing:
+            new.update(zip(missing, self.make(missing), strict=True))
+        return new
+
+
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """One object a worker process, so that later tasks of the same worker find its dictionaries filled.
+
+    It only saves time: what it holds is a function of the key.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()  # of one operator at a time
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+class WordPieces:
+    """Values of white-space words under a tokenizers file that lower-cases and drops white space.
+
+    `value(pieces)` asks the library for a list of strings; `join` puts the values of a word's
+    pieces together. Plain Latin words are cut into the vocabulary's pre-tokens first, so that
+    the library meets each of these once; other words go to it whole.
+    """
+
+    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    _WHOLE = re.compile(Splitter._OTHER.pattern + "|\u0130|<[|]")
+
+    def __init__(self, value, join, most: int):
+        self.join = join
+        self.pieces = Recent(value, most)
+        self.words = Recent(self._values, most)
+
+    def _values(self, new: list[str]) -> list:
+        whole, cut = self._WHOLE.search, self._PIECES.findall
+        parts = [[w] if whole(w) else cut(w.lower()) for w in new]
+        get, join = self.pieces.hold(set().union(*parts)).__getitem__, self.join
+        return [get(p[0]) if len(p) == 1 else join(map(get, p)) for p in parts]

@@ -1,7 +1,7 @@
 """Token counts (operator 9): pieces are counted once per distinct pre-token.
 
-A task keeps a bounded dictionary from pre-token to its number of tokens. The pre-tokens of a
-document that are new to it go to the vocabulary's library in one batch; the document's
+A worker keeps a bounded dictionary from pre-token to its number of tokens. The pre-tokens of a
+chunk of documents that are new to it go to the vocabulary's library in one batch; the document's
 frequency table is then joined to the dictionary and summed. Ids are never kept, and neither
 texts nor frequencies are shuffled: one pass over the input, memory bounded by `memo_size`
 entries and one chunk of texts.
@@ -20,45 +20,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import map_texts, schema_of, table
-from palimpsest.llm.pretokens import words
+from palimpsest.llm.pretokens import Recent, WordPieces, kept, words
 
 MEMO_SIZE = 500_000
 
 
-def _json_pieces(path: str):
-    """(split, count) for a file of the tokenizers library whose normalizer drops white space."""
+def _json_counter(path: str, most: int):
+    """(split, dictionary) for a file of the tokenizers library whose normalizer drops white space."""
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tok = Tokenizer.from_file(path)
+    return words, WordPieces(lambda new: [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)], sum, most).words
 
-    def count(new: list[str]) -> list[int]:
-        return [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)]
 
-    return words, count
-
-
-def _model_pieces(path: str):
-    """(split, count) for a sentencepiece file: its pieces may cross spaces, so whole texts count."""
+def _model_counter(path: str, most: int):
+    """(split, dictionary) for a sentencepiece file: its pieces may cross spaces, so a pre-token is a whole text."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return (lambda text: [text]), lambda new: [len(x) for x in sp.encode(new, num_threads=1)]
-
-
-class _Counts(dict):
-    """Pre-token -> number of tokens, filled for all new pre-tokens of a chunk at once."""
-
-    def __init__(self, count, most: int):
-        super().__init__()
-        self.count, self.most = count, most
-
-    def add(self, seen) -> None:
-        new = [w for w in seen if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(seen)
-        self.update(zip(new, self.count(new), strict=True))
+    return (lambda text: [text]), Recent(lambda new: [len(x) for x in sp.encode(new, num_threads=1)], min(most, 64))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, memo_size: int = MEMO_SIZE) -> DataFrame:
@@ -67,16 +48,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     `vocabulary` is the path of a .json (tokenizers) or .model (sentencepiece) file that every
     executor can read. No special tokens are added; nothing is truncated.
     """
-    load = _model_pieces if vocabulary.endswith(".model") else _json_pieces
+    load = _model_counter if vocabulary.endswith(".model") else _json_counter
 
     def make():
-        split, count = load(vocabulary)
-        memo = _Counts(count, memo_size)
+        split, memo = kept(("counts", vocabulary, memo_size), lambda: load(vocabulary, memo_size))
 
         def work(texts):
             per_doc = [Counter(split(t)) if t else Counter() for t in texts]
-            memo.add(set().union(*per_doc))
-            get = memo.__getitem__
+            get = memo.hold(set().union(*per_doc)).__getitem__
             n = np.array([sum(map(mul, c.values(), map(get, c))) for c in per_doc], np.int64)
             size = np.array([len(t.encode()) if t else 0 for t in texts], np.int64)
             return [size, n, n > limit]

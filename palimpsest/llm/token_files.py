@@ -32,12 +32,12 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.common import fresh_path, map_texts, schema_of, table, written
 from palimpsest.llm.elias_fano import EliasFano
-from palimpsest.llm.pretokens import words
+from palimpsest.llm.pretokens import WordPieces, kept, words
 
 MAGIC = b"PTOK1\n"
 #: Ids in one file: it is closed after the document that reaches them.
 IDS_PER_FILE = 1 << 22
-MEMO_SIZE = 400_000
+MEMO_SIZE = 600_000
 _COUNT = struct.Struct("<I")
 
 
@@ -82,6 +82,24 @@ class TokenFile:
             yield doc_id, lo, self._ids[lo:hi]
 
 
+def _ids_of_words(vocabulary: str, end_id: int, memo_size: int):
+    """(number format, dictionary from a white-space word to its packed ids)."""
+    import array
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    tok = Tokenizer.from_file(vocabulary)
+    short = max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16
+    code = "H" if short else "I"
+
+    def value(new: list[str]) -> list[bytes]:
+        return [array.array(code, e.ids).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+
+    return "<u2" if short else "<u4", WordPieces(value, b"".join, memo_size).words
+
+
 def range_borders(docs: DataFrame, id_col: str, parts: int) -> list[int]:
     """Document ids that split the table into about equal ranges; reads the id column only."""
     if parts < 2:
@@ -102,25 +120,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, *, end_id: in
     borders = np.array(range_borders(docs, id_col, parts), np.int64)
 
     def make():
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tok = Tokenizer.from_file(vocabulary)
-        kind = "<u2" if max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
-        memo: dict[str, bytes] = {}
+        kind, memo = kept(("ids", vocabulary, end_id, memo_size), lambda: _ids_of_words(vocabulary, end_id, memo_size))
         end = np.array([end_id], kind).tobytes()
 
         def work(texts):
             found = [words(t) if t else [] for t in texts]
-            seen = set().union(*found)
-            new = [w for w in seen if w not in memo]
-            if len(memo) + len(new) > memo_size:
-                memo.clear()
-                new = list(seen)
-            memo.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True))
-            get = memo.__getitem__
+            get = memo.hold(set().union(*found)).__getitem__
             return [pa.array([b"".join(map(get, x)) + end for x in found], pa.binary()), np.full(len(texts), int(kind[-1]), np.int32)]
 
         return work
