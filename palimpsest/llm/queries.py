@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import byte_bpe, language_id, quality, sharding, simhash, token_counts, token_files, url_filters
+from palimpsest.llm import ann, byte_bpe, language_id, quality, sharding, simhash, token_counts, token_files, url_filters
 
 QUERIES = {
     f.__name__: f
     for f in (
         url_filters.op1_url_filters,
         sharding.op2_sharding,
+        ann.op3_ann,
         quality.op4_quality,
         byte_bpe.op5_byte_bpe,
         language_id.op6_language_id,
