@@ -72,7 +72,8 @@ def map_texts(
     `make()` runs once a task and returns a function from a list of texts to one array for each
     field of `extra`. `keep` names the columns that are carried along.
     """
-    cols = [*keep, text_col]
+    cols = keep if text_col in keep else [*keep, text_col]
+    at = cols.index(text_col)
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, *extra.fields])
     names, n_keep = schema.names, len(keep)
@@ -80,7 +81,7 @@ def map_texts(
     def run(batches):
         work = make()
         for batch in batches:
-            texts = batch.column(n_keep).to_pylist()
+            texts = batch.column(at).to_pylist()
             for lo, hi in pieces(texts):
                 made = work(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(

@@ -65,6 +65,23 @@ class Recent:
         return new
 
 
+class Each(dict):
+    """Key -> value of a cheap function; keeps what was used last, in two generations of `most` / 2 entries."""
+
+    def __init__(self, function, most: int):
+        super().__init__()
+        self.function, self.half, self.old = function, most // 2, {}
+
+    def __missing__(self, key):
+        if (value := self.old.get(key)) is None:
+            value = self.function(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 _KEPT: dict = {}
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_texts, schema_of, table
 from palimpsest.llm.language_id import held_out
+from palimpsest.llm.pretokens import Each
 
 TYPES, DIM, NONZERO, REACH = 1 << 14, 48, 6, 2
 REPEAT, PRIOR = 0, 8
@@ -48,12 +49,8 @@ def token_type(word: str) -> int:
     return zlib.crc32(f"{_RUNS.sub(r'\1', shape)[:8]}|{word[:3].lower()}".encode("utf-8", "replace")) % (TYPES - 1) + 1
 
 
-class _Types(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-        self[word] = n = token_type(word)
-        return n
+def types_memo() -> Each:
+    return Each(token_type, MEMO_SIZE)
 
 
 @functools.cache
@@ -167,7 +164,7 @@ class QualityModel:
         self.vectors, self.prior, self.network = vectors, prior, network
 
     def scorer(self):
-        memo = _Types()
+        memo = types_memo()
         return lambda texts: self.network(pool(texts, self.vectors, self.prior, memo))
 
 
@@ -186,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     try:
 
         def contexts(batches):
-            memo, out = _Types(), np.zeros((TYPES, DIM + 1))
+            memo, out = types_memo(), np.zeros((TYPES, DIM + 1))
             for batch in batches:
                 own = batch.column(0).to_pylist()
                 for lo in range(0, len(own), 200):
@@ -205,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
         shared = spark.sparkContext.broadcast(vectors)
 
         def pooled(batches):
-            memo = _Types()
+            memo = types_memo()
             for batch in batches:
                 x = pool(batch.column(0).to_pylist(), shared.value, prior, memo)
                 yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "aside"])

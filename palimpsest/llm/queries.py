@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import ann, byte_bpe, language_id, quality, sharding, simhash, token_counts, token_files, url_filters
+from palimpsest.llm import ann, byte_bpe, decontaminate, language_id, quality, sharding, simhash, token_counts, token_files, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         byte_bpe.op5_byte_bpe,
         language_id.op6_language_id,
         token_files.op7_token_files,
+        decontaminate.op8_decontamination,
         token_counts.op9_token_counts,
         simhash.op10_simhash,
     )

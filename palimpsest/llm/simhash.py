@@ -216,5 +216,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(classes, "fp", "left").select(id_col, text, "component_id")
 
 
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` with one document of each component: that of the least id.
+
+    Of repeated rows (same id and text) one stays. Rows without an id cannot be told apart by it
+    and stay.
+    """
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket), "near-duplicates")
+    own = F.col(id_col)
+    kept = docs.join(found.where(own != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti")
+    repeated = found.where(own.isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if not repeated.isEmpty():
+        once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(repeated, id_col, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
