@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_texts, schema_of, table
+from palimpsest.llm.common import map_texts, schema_of, table, written
 from palimpsest.llm.language_id import held_out
 from palimpsest.llm.pretokens import Each
 
 TYPES, DIM, NONZERO, REACH = 1 << 14, 48, 6, 2
 REPEAT, PRIOR = 0, 8
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS, TASKS = 12_000, 6
 MEMO_SIZE = 400_000
 HIDDEN, EPOCHS, SEED = 32, 40, 7
 _RUNS = re.compile(r"(.)\1+")
@@ -179,38 +179,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample is bounded by sample_rows: some 12 bytes a row.
     rows = texts.join(F.broadcast(chosen), "id").select("text", "y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).alias("aside"))
-    rows = rows.repartition(6, F.xxhash64("text")).persist()
-    try:
-
-        def contexts(batches):
-            memo, out = types_memo(), np.zeros((TYPES, DIM + 1))
-            for batch in batches:
-                own = batch.column(0).to_pylist()
-                for lo in range(0, len(own), 200):
-                    types, size = _flat(own[lo : lo + 200], memo)
-                    out[:, :DIM] += _context(types, size)
-                    out[:, DIM] += np.bincount(types, minlength=TYPES)
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f4").tobytes()])], names=["m"])
-
-        # One matrix of a fixed size for each of six partitions.
-        parts = rows.select("text").mapInArrow(contexts, "m binary").collect()
-        both = sum((np.frombuffer(r["m"], "<f4").reshape(TYPES, DIM + 1).astype(float) for r in parts), np.zeros((TYPES, DIM + 1)))
-        context, times = both[:, :DIM], both[:, DIM]
-        length = np.sqrt((context**2).sum(axis=1, keepdims=True))
-        vectors = np.hstack([context / np.maximum(length, 1e-9), index_vectors()]).astype(np.float32)
-        prior = (times @ vectors / max(1.0, times.sum())).astype(np.float32)
-        shared = spark.sparkContext.broadcast(vectors)
-
-        def pooled(batches):
-            memo = types_memo()
-            for batch in batches:
-                x = pool(batch.column(0).to_pylist(), shared.value, prior, memo)
-                yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "aside"])
-
-        found = rows.mapInArrow(pooled, "x binary, y int, aside boolean").collect()
-        shared.unpersist()
-    finally:
-        rows.unpersist()
+    # A written table of bounded size, read by a fixed number of tasks: each returns one matrix.
+    rows = written(rows, "quality-sample").coalesce(TASKS)
+
+    def contexts(batches):
+        memo, out = types_memo(), np.zeros((TYPES, DIM + 1))
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for lo in range(0, len(own), 200):
+                types, size = _flat(own[lo : lo + 200], memo)
+                out[:, :DIM] += _context(types, size)
+                out[:, DIM] += np.bincount(types, minlength=TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f4").tobytes()])], names=["m"])
+
+    parts = rows.select("text").mapInArrow(contexts, "m binary").collect()
+    both = sum((np.frombuffer(r["m"], "<f4").reshape(TYPES, DIM + 1).astype(float) for r in parts), np.zeros((TYPES, DIM + 1)))
+    context, times = both[:, :DIM], both[:, DIM]
+    length = np.sqrt((context**2).sum(axis=1, keepdims=True))
+    vectors = np.hstack([context / np.maximum(length, 1e-9), index_vectors()]).astype(np.float32)
+    prior = (times @ vectors / max(1.0, times.sum())).astype(np.float32)
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def pooled(batches):
+        memo = types_memo()
+        for batch in batches:
+            x = pool(batch.column(0).to_pylist(), shared.value, prior, memo)
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "aside"])
+
+    found = rows.mapInArrow(pooled, "x binary, y int, aside boolean").collect()
+    shared.unpersist()
     y = np.array([r["y"] for r in found], np.int64)
     if len(set(y.tolist())) < 2:
         return QualityModel(vectors, prior, Network.constant(2 * DIM, float(y.mean()) if len(y) else 0.5))
