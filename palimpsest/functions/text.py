@@ -44,6 +44,10 @@ def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(t.strip() for t in re.split(TOKEN_END, text.lower()) if t.strip()))
 
 
+def _equals(token: str):
+    return lambda x: x == token
+
+
 def sparse_score(c: Column, query: list[str], idf: dict[str, float]) -> Column:
     """Saturated term frequencies weighted by idf, averaged over the query's tokens, at most 1."""
     if not query:
@@ -52,7 +56,7 @@ def sparse_score(c: Column, query: list[str], idf: dict[str, float]) -> Column:
     size = F.size(own).cast("double")
     total = F.lit(0.0)
     for t in query:
-        tf = F.size(F.filter(own, lambda x, t=t: x == t)).cast("double")
+        tf = F.size(F.filter(own, _equals(t))).cast("double")
         total = total + F.when(tf > 0, F.lit(idf.get(t, 1.0)) * tf / (tf + 1.2 + size * 0.25)).otherwise(0.0)
     return F.least(F.lit(1.0), total / len(query))
 

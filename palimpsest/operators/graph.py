@@ -10,6 +10,7 @@ from palimpsest.memory import Memory
 from palimpsest.operators.scope import episodes_for, facts_for
 from palimpsest.operators.temporal import entity_versions, visible_sources
 from palimpsest.plans.requests import NeighborhoodRequest, Scope, Temporal, space_of
+from palimpsest.sources.shared import cut
 
 #: Hops that one request may ask for: each is a job of the driver's loop.
 MOST_HOPS = 16
@@ -57,28 +58,29 @@ def neighborhood(memory: Memory, request: NeighborhoodRequest) -> tuple[DataFram
     """(nodes, edges) within some hops of the anchors, by undirected breadth-first search.
 
     Edge types are filtered on the way, node types in the result; an edge stays if both ends do.
-    `max_nodes` keeps the first nodes by id, after the edges were chosen. Each hop joins only the
-    new frontier to the edges; the reached ids are checkpointed where the session has a folder for it.
+    `max_nodes` keeps the first nodes by id, after the edges were chosen. The edges are written
+    once; each hop joins only the new frontier to them, and its ids are checkpointed, so a hop
+    costs one scan of the edges and nothing of the hops before it.
     """
     if not request.anchor_ids:
         raise RecordError(INPUT_INVALID, "anchor_ids must not be empty")
     hops = min(max(1, request.max_hops), MOST_HOPS)
     nodes, edges = graph(memory, request.space_id, request.scope, request.temporal)
-    allowed = edges.where(F.col("type").isin(*request.edge_types)) if request.edge_types else edges
-    step = allowed.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).unionByName(allowed.select(F.col("to_id").alias("id"), F.col("from_id").alias("next")))
-    frontier = nodes.where(F.col("id").isin(*request.anchor_ids)).select("id")
-    reached = frontier.withColumn("hop", F.lit(0))
-    for hop in range(1, hops + 1):
-        around = step.join(frontier, "id", "left_semi").select(F.col("next").alias("id")).distinct()
-        frontier = around.join(reached.select("id"), "id", "left_anti")
-        if hop > 1:  # cut the plan where it starts to double
-            frontier = _cut(frontier)
-        reached = reached.unionByName(frontier.withColumn("hop", F.lit(hop)))
-    reached = _cut(reached)
-    inner = reached.where(F.col("hop") < hops).select("id")
-    touched = allowed.join(inner.withColumnRenamed("id", "from_id"), "from_id", "left_semi").unionByName(allowed.join(inner.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(allowed.columns)).distinct()
+    allowed = cut(edges.where(F.col("type").isin(*request.edge_types)) if request.edge_types else edges)
+    frontier = cut(nodes.where(F.col("id").isin(*request.anchor_ids)).select("id").distinct())
+    reached, inner = frontier, []
+    for _ in range(hops):
+        inner.append(frontier)
+        near = [allowed.join(frontier.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("from_id", "to_id"), ("to_id", "from_id"))]
+        frontier = cut(near[0].unionByName(near[1]).distinct().join(reached, "id", "left_anti"))
+        reached = reached.unionByName(frontier)
+    within = inner[0]
+    for more in inner[1:]:
+        within = within.unionByName(more)
+    touched = [allowed.join(within.withColumnRenamed("id", end), end, "left_semi").select(allowed.columns) for end in ("from_id", "to_id")]
+    touched = touched[0].unionByName(touched[1]).distinct()
     # Ids that are no node (an edge may name a record of another space) end here.
-    kept = nodes.join(reached.select("id"), "id", "left_semi")
+    kept = nodes.join(reached, "id", "left_semi")
     if request.node_types:
         kept = kept.where(F.col("type").isin(*request.node_types))
     for end in ("from_id", "to_id"):
@@ -86,7 +88,3 @@ def neighborhood(memory: Memory, request: NeighborhoodRequest) -> tuple[DataFram
     edges = touched.select("id", "type", "from_id", "to_id").orderBy("id")
     kept = kept.orderBy("id")
     return (kept.limit(request.max_nodes) if request.max_nodes > 0 else kept), edges
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
