@@ -14,6 +14,7 @@ from palimpsest.operators.paging import ordered_page
 from palimpsest.operators.scope import anchored, entities_for, episodes_for, fact_anchored, facts_for, scoped_episodes
 from palimpsest.operators.temporal import entity_versions, visible_episodes, visible_sources
 from palimpsest.plans.requests import SearchRequest, space_of
+from palimpsest.sources.shared import cut
 
 # Fixed values of the ranking: bonuses by kind and match, the decay of a hop, the least trigram cosine.
 BONUS = {"fact": 0.4, "episode": 0.2, "entity": 0.0}
@@ -145,8 +146,9 @@ def all_hits(memory: Memory, request: SearchRequest) -> DataFrame:
     hits = direct_hits(memory, request)
     if request.mode == "keyword" or "fact" not in request.kinds:
         return hits
+    hits = cut(hits)  # each hop needs them twice
     facts = expandable(memory, request)
-    first = _expanded(facts, hits, hits, "graph_expansion", request.min_score)
+    first = cut(_expanded(facts, hits, hits, "graph_expansion", request.min_score))
     second = _expanded(facts, hits.unionByName(first), first, "graph_expansion_bfs", request.min_score)
     return hits.unionByName(first).unionByName(second)
 
