@@ -404,3 +404,194 @@ def _(m):
     from palimpsest.operators.admin import unsupported_facts
 
     return unsupported_facts(m).select("id")
+
+
+# --- lifecycle, duplicates, projections and policies
+from palimpsest.operators import admin, index, lifecycle, policy  # noqa: E402
+from palimpsest.plans import schema  # noqa: E402
+from palimpsest.sources.documents import exported  # noqa: E402
+
+NOW = moment("2000-01-01")
+
+
+def _order_facts(m: Memory, cardinality: str = "one") -> DataFrame:
+    """Facts of the order chain as a batch in time order, as if none had been written yet."""
+    from pyspark.sql.window import Window
+
+    own = m.facts.where("predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id IN ('customer:1', 'customer:2', 'customer:4', 'customer:5', 'customer:7')")
+    number = F.split("id", ":")[2].cast("long")
+    pos = (F.row_number().over(Window.partitionBy("subject_id").orderBy("valid_from", number)) - 1).alias("pos")
+    return own.select("id", "space_id", "predicate", "subject_id", "value_text", "valid_from", F.col("supporting_episode_ids"), F.lit(cardinality).alias("cardinality"), pos)
+
+
+FIVE = "predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id IN ('customer:1', 'customer:2', 'customer:4', 'customer:5', 'customer:7')"
+
+
+@query("cardinality_one_replay", f"SELECT id, status, epoch_us(valid_to) AS valid_to_us, superseded_by, coalesce(supersedes, '') AS supersedes, supersede_reason FROM fact WHERE {FIVE}")
+def _(m):
+    bare = m.with_tables(facts=m.facts.limit(0), fact_revisions=m.fact_revisions.limit(0))
+    out = lifecycle.assert_facts(bare, _order_facts(m), NOW).facts
+    return out.select("id", "status", *us("valid_to"), "superseded_by", F.coalesce(F.array_join("supersedes", ","), F.lit("")).alias("supersedes"), "supersede_reason")
+
+
+@query("cardinality_one_replay_revisions", f"SELECT fact_id, revision_kind, count(*) AS n FROM (SELECT id AS fact_id, 'assert' AS revision_kind FROM fact WHERE {FIVE} UNION ALL SELECT id, 'auto_supersede' FROM fact WHERE {FIVE} AND status = 'superseded') GROUP BY ALL")
+def _(m):
+    bare = m.with_tables(facts=m.facts.limit(0), fact_revisions=m.fact_revisions.limit(0))
+    return lifecycle.assert_facts(bare, _order_facts(m), NOW).fact_revisions.groupBy("fact_id", "revision_kind").agg(F.count("*").alias("n"))
+
+
+@query("slot_overlap_candidates", "SELECT a.id AS old_id, b.id AS new_id FROM fact a JOIN fact b ON a.space_id = b.space_id AND a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id WHERE a.predicate = 'LATEST_ORDER_STATUS' AND NOT coalesce(a.valid_to <= b.valid_from, false) AND NOT coalesce(a.valid_from >= b.valid_to, false)")
+def _(m):
+    one = m.facts.where("predicate = 'LATEST_ORDER_STATUS'").select("id", "space_id", "subject_id", "predicate", "valid_from", "valid_to")
+    two = one.select("space_id", "subject_id", "predicate", *(F.col(c).alias(f"new_{c}") for c in ("id", "valid_from", "valid_to")))
+    met = one.join(two, ["space_id", "subject_id", "predicate"]).where("id < new_id").where(temporal.overlaps(F.col("valid_from"), F.col("valid_to"), F.col("new_valid_from"), F.col("new_valid_to")))
+    return met.select(F.col("id").alias("old_id"), "new_id")
+
+
+@query("supersede_replay", "SELECT id, status, superseded_by, epoch_us(valid_to) AS valid_to_us FROM (SELECT id, 'superseded' AS status, 'new:' || id AS superseded_by, CASE WHEN valid_from < TIMESTAMP '1999-01-01' THEN TIMESTAMP '1999-01-01' END AS valid_to FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default' UNION ALL SELECT 'new:' || id, 'active', NULL, NULL FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default')")
+def _(m):
+    old = m.facts.where("predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default'")
+    batch = old.select(F.concat(F.lit("new:"), "id").alias("id"), F.col("id").alias("old_id"), "space_id", "predicate", "subject_id", F.lit("X").alias("value_text"), F.lit(moment("1999-01-01")).cast("timestamp").alias("valid_from"), "supporting_episode_ids", F.lit(0).alias("pos"))
+    held = m.with_tables(facts=old, fact_revisions=m.fact_revisions.limit(0))
+    return lifecycle.supersede_facts(held, batch, "corrected", NOW).facts.select("id", "status", "superseded_by", *us("valid_to"))
+
+
+@query("retract_batch", "SELECT id, 'retracted' AS status, coalesce(retraction_reason, 'closed') AS retraction_reason, epoch_us(coalesce(retracted_at, TIMESTAMP '2000-01-01')) AS retracted_at_us FROM fact WHERE subject_id IN ('customer:1', 'customer:2')")
+def _(m):
+    own = m.facts.where("subject_id IN ('customer:1', 'customer:2')")
+    out = lifecycle.retract_facts(m.with_tables(facts=own), own.select("id", F.lit(0).alias("pos")), "closed", NOW)
+    return out.facts.select("id", "status", "retraction_reason", *us("retracted_at"))
+
+
+@query("upsert_entity_merge", "SELECT id, canonical_name || ' Inc' AS canonical_name, array_to_string(list_concat(aliases, ['known']), ',') AS aliases FROM ent WHERE type = 'Customer' AND space_id = 'default'")
+def _(m):
+    own = m.entities.where("type = 'Customer' AND space_id = 'default'")
+    batch = own.select("id", "space_id", "type", F.concat("canonical_name", F.lit(" Inc")).alias("canonical_name"), F.concat("aliases", F.array(F.lit(" known "), F.lit(""))).alias("aliases"), F.lit(0).alias("pos"))
+    out = lifecycle.upsert_entities(m.with_tables(entities=own), batch, NOW)
+    return out.entities.select("id", "canonical_name", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("episode_replay_conflicts", "SELECT id FROM ep WHERE kind = 'order' AND space_id = 'default' AND content LIKE '%1-URGENT%'")
+def _(m):
+    own = m.episodes.where("kind = 'order' AND space_id = 'default'")
+    replay = own.withColumn("content", F.regexp_replace("content", "1-URGENT", "urgent")).withColumn("pos", F.lit(0))
+    return lifecycle.replay_conflicts(m, replay).select("id")
+
+
+@query("observed_at_inference", """SELECT f.id, epoch_us(coalesce(f.observed_at, e.observed_at, TIMESTAMP '2000-01-01')) AS observed_at_us,
+    CASE WHEN f.observed_at IS NOT NULL THEN 'explicit' WHEN e.observed_at IS NOT NULL THEN 'supporting_episode' ELSE 'ingestion_time' END AS observed_at_basis
+    FROM fact f LEFT JOIN ep e ON e.id = f.eps[1] WHERE predicate IN ('LOCATED_IN', 'RETURNED')""")
+def _(m):
+    own = m.facts.where("predicate IN ('LOCATED_IN', 'RETURNED')").select("id", "observed_at", "supporting_episode_ids")
+    return lifecycle.inferred_observed_at(m, own, NOW).select("id", *us("observed_at"), "observed_at_basis")
+
+
+@query("seed_revisions", "SELECT 'seed:' || id || ':current' AS id, status, epoch_us(updated_at) AS tx_time_us FROM fact WHERE predicate <> 'SUPPLIES' UNION ALL SELECT 'seed:' || id || ':initial', 'active', epoch_us(created_at) FROM fact WHERE predicate <> 'SUPPLIES' AND status <> 'active' AND updated_at > created_at")
+def _(m):
+    own = m.with_tables(facts=m.facts.where("predicate <> 'SUPPLIES'"), fact_revisions=m.fact_revisions.limit(0))
+    return lifecycle.seed_revisions(own).fact_revisions.select("id", "status", *us("tx_time"))
+
+
+@query("entity_duplicates", "SELECT target_id, array_to_string(ids[2:], ',') AS source_ids, canonical_name FROM (SELECT min(id) AS target_id, list_sort(list(id)) AS ids, arg_min(canonical_name, id) AS canonical_name FROM ent GROUP BY lower(space_id), lower(type), lower(trim(canonical_name)) HAVING count(*) > 1)")
+def _(m):
+    return admin.entity_duplicates(m).select("target_id", F.array_join("source_ids", ",").alias("source_ids"), "canonical_name")
+
+
+@query("fact_duplicates", """SELECT target_id, array_to_string(ids[2:], ',') AS source_ids, predicate FROM (SELECT min(id) AS target_id, list_sort(list(id)) AS ids, arg_min(predicate, id) AS predicate
+    FROM (SELECT * REPLACE ('dup:' || id AS id) FROM fact WHERE predicate = 'LOCATED_IN' UNION ALL FROM fact WHERE predicate IN ('LOCATED_IN', 'LATEST_ORDER_STATUS')) WHERE status <> 'retracted'
+    GROUP BY space_id, predicate, subject_id, object_id, value_text, list_sort(eps), valid_from, valid_to HAVING count(*) > 1)""")
+def _(m):
+    own = m.facts.where("predicate IN ('LOCATED_IN', 'LATEST_ORDER_STATUS')")
+    twice = own.unionByName(own.where("predicate = 'LOCATED_IN'").withColumn("id", F.concat(F.lit("dup:"), "id")))
+    return admin.fact_duplicates(m.with_tables(facts=twice)).select("target_id", F.array_join("source_ids", ",").alias("source_ids"), "predicate")
+
+
+PROJ = """
+ftext AS (SELECT id, trim(concat_ws(' ', predicate, subject_id, object_id, value_text)) AS t, n FROM factrev),
+etext AS (SELECT id, trim(concat_ws(' ', canonical_name, nullif(array_to_string(aliases, ' '), ''))) AS t, n FROM entrev),
+proj AS (
+    SELECT 'episode:' || id AS projection_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS search_text, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_ms(observed_at), 0) END AS observed_at_ms FROM ep
+    UNION ALL SELECT 'entity:' || id, array_to_string(list_distinct(list_concat([max_by(t, n)], list(t ORDER BY n))), ' '), NULL FROM etext GROUP BY id
+    UNION ALL SELECT 'fact:' || f.id, x.t, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_ms(observed_at), 0) END FROM fact f JOIN (SELECT id, any_value(t) AS t FROM ftext GROUP BY id) x USING (id)
+)"""
+
+
+@query("projection_docs", "SELECT projection_id, md5(CASE WHEN starts_with(projection_id, 'entity:') THEN '' ELSE search_text END) AS text_md5, observed_at_ms FROM proj", PROJ)
+def _(m):
+    text = F.when(F.startswith("projection_id", F.lit("entity:")), F.lit("")).otherwise(F.col("search_text"))
+    return index.projections(m).select("projection_id", F.md5(text).alias("text_md5"), "observed_at_ms")
+
+
+@query("projection_entities", "SELECT 'entity:' || id AS projection_id, array_to_string(CASE WHEN min(t) = max(t) THEN [min(t)] ELSE [max_by(t, n), min_by(t, n)] END, ' ') AS search_text FROM etext GROUP BY id", PROJ)
+def _(m):
+    return index.projections(m).where("projection_id LIKE 'entity:%'").select("projection_id", "search_text")
+
+
+@query("projection_verify", "SELECT 'fact:' || id AS projection_id, CASE WHEN predicate = 'LOCATED_IN' THEN 'missing' ELSE 'changed' END AS state FROM fact WHERE predicate = 'LOCATED_IN' OR id = 'fact:order:7'")
+def _(m):
+    text = F.when(F.col("projection_id") == "fact:fact:order:7", F.lit("other")).otherwise(F.col("search_text"))
+    stored = index.projections(m).where("projection_id NOT LIKE 'fact:fact:located:%'").withColumn("search_text", text)
+    return index.projection_differences(stored, m)
+
+
+_PRIMARY = SearchRequest("customer:1", types=("fact",), predicates=STATUS, mode="keyword")
+_PRIMARY_CAND = FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS'"
+RANKED = "rk AS (SELECT 'fact:' || id AS p, row_number() OVER (ORDER BY id) AS rank FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id LIKE 'customer:1%')"
+
+
+def _ranked(m: Memory) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    own = m.facts.where("predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id LIKE 'customer:1%'")
+    return own.select(F.concat(F.lit("fact:"), "id", F.lit("#chunk:0")).alias("projection_id"), F.row_number().over(Window.orderBy("id")).alias("rank"))
+
+
+@query("index_primary_search", "SELECT c.record_id, round(CASE WHEN d.score IS NOT NULL THEN 1 + d.score + 1.0::DOUBLE / rank ELSE 0.1::DOUBLE / rank END, 6) AS score FROM rk JOIN cand c ON rk.p = 'fact:' || c.record_id LEFT JOIN direct d ON d.record_id = c.record_id WHERE d.score IS NOT NULL OR contains(lower(c.text), 'customer') OR contains(lower(c.text), '1')", search_ctes(_PRIMARY, _PRIMARY_CAND) + "," + RANKED)
+def _(m):
+    return index.index_primary_search(m, _PRIMARY, _ranked(m)).select("record_id", F.round("score", 6).alias("score"))
+
+
+@query("index_rerank", "SELECT record_id, row_number() OVER (ORDER BY coalesce(rank, 1e9), d.record_id) AS position FROM direct d LEFT JOIN rk ON rk.p = 'fact:' || d.record_id AND rank % 2 = 0", search_ctes(_PRIMARY, _PRIMARY_CAND) + "," + RANKED)
+def _(m):
+    from pyspark.sql.window import Window
+
+    hits = search.all_hits(m, _PRIMARY)
+    page = hits.withColumn("position", F.row_number().over(Window.orderBy(*search.hit_order())))
+    out = index.reranked(page, _ranked(m).where("rank % 2 = 0"))
+    return out.select("record_id", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "position")).cast("long").alias("position"))
+
+
+@query("index_candidates", "SELECT p AS projection_id, rank FROM (SELECT p, row_number() OVER (ORDER BY n DESC, p) AS rank FROM (SELECT p, count(DISTINCT t) AS n FROM (SELECT 'episode:' || id AS p, unnest(" + TOKENS_SQL.format(t="content") + ") AS t FROM ep WHERE kind = 'order') WHERE t IN ('status', 'urgent', '7') GROUP BY p)) WHERE rank <= 30")
+def _(m):
+    docs = m.episodes.where("kind = 'order'").select(F.concat(F.lit("episode:"), "id").alias("projection_id"), F.col("content").alias("search_text"))
+    return index.index_candidates(index.postings(docs), ["status", "urgent", "7"], 30).select("projection_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("policy_drop", "SELECT id FROM ep WHERE contains(lower(content), 'purchase') OR contains(lower(content), 'urgent')")
+def _(m):
+    pack = policy.Pack(episode_rules={"version": 1, "drop": [{"name": "noise", "when": {"contains_any": ["Purchase", " URGENT "]}}]})
+    return policy.dropped(m.episodes, policy.drop_tokens(pack)).select("id")
+
+
+_RECIPE = policy.apply_recipe(
+    policy.Pack(search_recipes={"version": 1, "recipes": {"recent_context": {"strategy": "hybrid", "filters": {"window_days": 1000, "fact_status": "active"}}}}),
+    "recent_context", SearchRequest("status", types=("fact",), predicates=STATUS, mode="keyword"), moment("1998-08-01"),
+)
+
+
+@query("recipe_recent_context", HITS_SQL.format("direct"), search_ctes(_RECIPE, FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS' AND coalesce(observed_at, created_at) >= TIMESTAMP '1998-08-01' - INTERVAL 1000 DAY"))
+def _(m):
+    return _hits(search.all_hits(m, _RECIPE))
+
+
+@query("export_active", "SELECT id, predicate, subject_id, object_id, value_text FROM fact WHERE status = 'active'")
+def _(m):
+    return exported(m, importable=True)["facts"].select("id", "predicate", "subject_id", "object_id", "value_text")
+
+
+@query("versions_changed", "SELECT id, 'updated' AS change FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND status = 'superseded' UNION ALL SELECT id, 'deleted' FROM fact WHERE predicate = 'RETURNED'")
+def _(m):
+    from palimpsest.sources.store import changes
+
+    after = m.facts.where("predicate <> 'RETURNED'").withColumn("status", F.lit(schema.ACTIVE))
+    return changes(m.facts, after)
