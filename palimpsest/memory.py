@@ -33,3 +33,9 @@ class Memory:
 
     def with_tables(self, **changed: DataFrame) -> Memory:
         return replace(self, **changed)
+
+    def settled(self) -> Memory:
+        """The same state with short plans: every table from a checkpoint, for a run of writes without a store."""
+        from palimpsest.sources.shared import cut
+
+        return Memory(**{name: cut(df) for name, df in self.tables().items()})

@@ -7,6 +7,7 @@ kept of a batch that fails. Row order within a batch is the column `pos`; row i
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from palimpsest.memory import Memory
 from palimpsest.operators.temporal import at, overlaps
 from palimpsest.plans import schema
 from palimpsest.plans.requests import space_of
+from palimpsest.sources.shared import cut
 
 SLOT_REASON = "cardinality_one_slot_replaced"
 # Metadata keys that only the lifecycle writes.
@@ -26,11 +28,15 @@ RESERVED_KEYS = ("superseded_by", "supersedes", "supersede_reason", "duplicate_o
 _SLOT = ["space_id", "subject_id", "predicate"]
 
 
-def _refuse(bad: DataFrame, code: str, message: str, *columns: str) -> None:
-    """Raise if there is any such row, naming the first."""
-    found = bad.orderBy("pos").select(*columns).head(1)
+def _refuse(*checks: tuple) -> None:
+    """Raise for the first row that fails any (rows, code, message, columns) check: one job for all of them."""
+    parts = [bad.select(F.lit(i).alias("i"), "pos", F.to_json(F.struct(*columns)).alias("d")) for i, (bad, _, _, *columns) in enumerate(checks)]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    found = union.orderBy("pos", "i").head(1)
     if found:
-        raise RecordError(code, message, **found[0].asDict())
+        raise RecordError(*checks[found[0]["i"]][1:3], **json.loads(found[0]["d"]))
 
 
 def _with(df: DataFrame, like, **more: str) -> DataFrame:
@@ -75,15 +81,17 @@ def revisions_of(records: DataFrame, key: str, kind: Column, like) -> DataFrame:
 def ingest_episodes(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     """Add episodes and the sources they name; what is there already, unchanged, is no error."""
     rows = _with(batch, schema.EPISODES, source_kind="string", source_uri="string", source_external_ref="string", source_space_id="string", source_metadata_json="string")
-    for column in ("kind", "content"):
-        _refuse(rows.where(strip(text_or_empty(column)) == ""), INPUT_INVALID, "episode kind and content are required", "id", "kind")
     foreign = blank_to_null(F.col("source_space_id"))
-    _refuse(rows.where(foreign.isNotNull() & (foreign != F.col("space_id"))), INPUT_INVALID, "source space must match episode space", "id", "space_id")
-    rows = numbered(rows, "ep", memory.episodes).withColumn("group_id", text_or_empty("group_id"))
-    rows = resolved_sources(memory, rows).withColumn("ingested_at", _now(now))
+    short = (strip(text_or_empty("kind")) == "") | (strip(text_or_empty("content")) == "")
+    rows = numbered(cut(rows), "ep", memory.episodes).withColumn("group_id", text_or_empty("group_id"))
+    rows = cut(resolved_sources(memory, rows).withColumn("ingested_at", _now(now)))
     sources = memory.sources.select(F.col("id").alias("source_id"), F.col("space_id").alias("_space"))
-    _refuse(rows.join(sources, "source_id").where("_space <> space_id"), LIFECYCLE_INVALID, "source id already exists in another space", "source_id", "space_id")
-    _refuse(replay_conflicts(memory, rows), LIFECYCLE_INVALID, "episode id already exists with different content", "id")
+    _refuse(
+        (rows.where(short), INPUT_INVALID, "episode kind and content are required", "id", "kind"),
+        (rows.where(foreign.isNotNull() & (foreign != F.col("space_id"))), INPUT_INVALID, "source space must match episode space", "id", "space_id"),
+        (rows.join(sources, "source_id").where("_space <> space_id"), LIFECYCLE_INVALID, "source id already exists in another space", "source_id", "space_id"),
+        (replay_conflicts(memory, rows), LIFECYCLE_INVALID, "episode id already exists with different content", "id"),
+    )
     first = Window.partitionBy("id").orderBy("pos")
     new = rows.join(memory.episodes.select("id"), "id", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     named = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))).where("_n = 1")
@@ -118,19 +126,18 @@ def replay_conflicts(memory: Memory, rows: DataFrame) -> DataFrame:
 def upsert_entities(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     """Add or change entities: the name is replaced, aliases and metadata are merged; space, namespace and type stay."""
     rows = _with(batch, schema.ENTITIES)
-    for column in ("type", "canonical_name"):
-        _refuse(rows.where(strip(text_or_empty(column)) == ""), INPUT_INVALID, "entity type and canonical_name are required", "id")
+    _refuse((rows.where((strip(text_or_empty("type")) == "") | (strip(text_or_empty("canonical_name")) == "")), INPUT_INVALID, "entity type and canonical_name are required", "id"))
     named = F.coalesce(blank_to_null(F.col("stable_key")), F.col("canonical_name"))
     rows = rows.withColumn("id", F.coalesce(blank_to_null(F.col("id")), entity_id(F.col("namespace"), F.col("type"), named)))
     held = memory.entities.select("id", *(F.col(c).alias(f"_{c}") for c in memory.entities.columns if c != "id"))
-    rows = rows.join(held, "id", "left").withColumn("updated_at", _now(now))
+    rows = cut(rows.join(held, "id", "left").withColumn("updated_at", _now(now)))
     upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = Window.partitionBy("id").orderBy("pos")
-    for column, message in (("space_id", "entity id already exists in another space"), ("namespace", "entity namespace is immutable"), ("type", "entity type is immutable")):
-        before = F.coalesce(blank_to_null(F.col(f"_{column}")), F.first(blank_to_null(F.col(column)), ignorenulls=True).over(upto))
-        checked = rows.withColumn("_before", before)
-        _refuse(checked.where((F.col("_before") != F.col(column)) & (text_or_empty(column) != "")), LIFECYCLE_INVALID, message, "id")
-        rows = checked.withColumn(column, F.coalesce("_before", column)).drop("_before")
+    fixed = {"space_id": "entity id already exists in another space", "namespace": "entity namespace is immutable", "type": "entity type is immutable"}
+    before = {c: F.coalesce(blank_to_null(F.col(f"_{c}")), F.first(blank_to_null(F.col(c)), ignorenulls=True).over(upto)) for c in fixed}
+    rows = rows.withColumns({f"_before_{c}": b for c, b in before.items()})
+    _refuse(*((rows.where((F.col(f"_before_{c}") != F.col(c)) & (text_or_empty(c) != "")), LIFECYCLE_INVALID, message, "id") for c, message in fixed.items()))
+    rows = rows.withColumns({c: F.coalesce(f"_before_{c}", c) for c in fixed})
     aliases = F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>"))).over(upto))
     rows = rows.withColumns(
         {
@@ -145,7 +152,7 @@ def upsert_entities(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     # Metadata of a run of changes to one entity is folded in order.
     each = F.collect_list(F.coalesce("metadata_json", F.lit(""))).over(upto)
     rows = rows.withColumn("metadata_json", F.aggregate(each, text_or_empty("_metadata_json"), merged_json))
-    changed = rows.select(*memory.entities.columns, "_new", "_last")
+    changed = cut(rows.select(*memory.entities.columns, "_new", "_last"))
     kept = memory.entities.join(changed.select("id").distinct(), "id", "left_anti").select(memory.entities.columns)
     more = revisions_of(changed, "entity_id", F.when(F.col("_new"), "assert").otherwise("update"), schema.ENTITY_REVISIONS)
     return memory.with_tables(entities=kept.unionByName(changed.where("_last").select(memory.entities.columns)), entity_revisions=memory.entity_revisions.unionByName(more))
@@ -154,25 +161,31 @@ def upsert_entities(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
 # --- facts
 def check_facts(memory: Memory, rows: DataFrame) -> None:
     """Everything that a fact refers to exists in its space, and nothing in it belongs to the lifecycle."""
-    short = strip(text_or_empty("predicate")) == ""
-    _refuse(rows.where(short | (strip(text_or_empty("subject_id")) == "")), INPUT_INVALID, "fact predicate and subject_id are required", "id")
-    _refuse(rows.where(F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) < 1), INPUT_INVALID, "supporting_episode_ids must contain at least one episode", "id")
+    short = (strip(text_or_empty("predicate")) == "") | (strip(text_or_empty("subject_id")) == "")
     entities = memory.entities.select("id", "space_id")
-    for column in ("subject_id", "object_id"):
-        named = rows.where(text_or_empty(column) != "")
-        _refuse(named.join(entities.withColumnRenamed("id", column), [column, "space_id"], "left_anti"), ENTITY_NOT_FOUND, f"{column[:-3]} entity not found in space", column, "space_id")
     support = rows.select("pos", "space_id", F.explode("supporting_episode_ids").alias("episode_id"))
     episodes = memory.episodes.select(F.col("id").alias("episode_id"), "space_id")
-    _refuse(support.join(episodes, ["episode_id", "space_id"], "left_anti"), INPUT_INVALID, "supporting episode not found in space", "episode_id", "space_id")
-    _refuse(rows.join(memory.facts.select("id"), "id", "left_semi"), LIFECYCLE_INVALID, "fact id already exists", "id")
     twice = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
-    _refuse(twice.where("_n > 1"), LIFECYCLE_INVALID, "fact id already exists", "id")
-    _refuse(rows.where(~F.coalesce(blank_to_null(F.col("status")), F.lit(schema.ACTIVE)).isin(*schema.STATUSES)), INPUT_INVALID, "invalid fact status", "id", "status")
-    _refuse(rows.where(F.coalesce(blank_to_null(F.col("status")), F.lit(schema.ACTIVE)) != schema.ACTIVE), LIFECYCLE_INVALID, "fact status is lifecycle-managed; use supersede or retract", "id", "status")
+    status = F.coalesce(blank_to_null(F.col("status")), F.lit(schema.ACTIVE))
     keys = F.map_keys(F.from_json("metadata_json", "map<string,string>"))
-    _refuse(rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED_KEYS)))), LIFECYCLE_INVALID, "fact metadata key is lifecycle-managed", "id")
-    _refuse(rows.where(~F.col("cardinality").isin("one", "many")), INPUT_INVALID, "invalid fact cardinality", "id", "cardinality")
-    _refuse(rows.where("valid_from >= valid_to"), INPUT_INVALID, "invalid fact validity interval", "id")
+
+    def unknown(column: str) -> DataFrame:
+        return rows.where(text_or_empty(column) != "").join(entities.withColumnRenamed("id", column), [column, "space_id"], "left_anti")
+
+    _refuse(
+        (rows.where(short), INPUT_INVALID, "fact predicate and subject_id are required", "id"),
+        (rows.where(F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) < 1), INPUT_INVALID, "supporting_episode_ids must contain at least one episode", "id"),
+        (unknown("subject_id"), ENTITY_NOT_FOUND, "subject entity not found in space", "subject_id", "space_id"),
+        (unknown("object_id"), ENTITY_NOT_FOUND, "object entity not found in space", "object_id", "space_id"),
+        (support.join(episodes, ["episode_id", "space_id"], "left_anti"), INPUT_INVALID, "supporting episode not found in space", "episode_id", "space_id"),
+        (rows.join(memory.facts.select("id"), "id", "left_semi"), LIFECYCLE_INVALID, "fact id already exists", "id"),
+        (twice.where("_n > 1"), LIFECYCLE_INVALID, "fact id already exists", "id"),
+        (rows.where(~status.isin(*schema.STATUSES)), INPUT_INVALID, "invalid fact status", "id", "status"),
+        (rows.where(status != schema.ACTIVE), LIFECYCLE_INVALID, "fact status is lifecycle-managed; use supersede or retract", "id", "status"),
+        (rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED_KEYS)))), LIFECYCLE_INVALID, "fact metadata key is lifecycle-managed", "id"),
+        (rows.where(~F.col("cardinality").isin("one", "many")), INPUT_INVALID, "invalid fact cardinality", "id", "cardinality"),
+        (rows.where("valid_from >= valid_to"), INPUT_INVALID, "invalid fact validity interval", "id"),
+    )
 
 
 def slot_replacements(current: DataFrame, new: DataFrame) -> DataFrame:
@@ -198,12 +211,12 @@ def clipped_to(new_from: Column) -> Column:
 
 def assert_facts(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     """Add facts; those of cardinality one supersede what is active in their slot and overlaps them."""
-    rows = numbered(_with(batch, schema.FACTS, cardinality="string"), "fact", memory.facts)
+    rows = cut(numbered(_with(batch, schema.FACTS, cardinality="string"), "fact", memory.facts))
     rows = rows.withColumn("cardinality", F.coalesce(blank_to_null(strip(F.col("cardinality"))), F.lit("many")))
     check_facts(memory, rows)
     rows = rows.withColumns({"created_at": _now(now), "updated_at": _now(now), "status": F.lit(schema.ACTIVE), "object_id": blank_to_null(F.col("object_id")), "supporting_episode_ids": distinct_texts(F.col("supporting_episode_ids"))})
     active = memory.facts.where(F.col("status") == schema.ACTIVE).withColumn("pos", F.lit(-1)).join(rows.select(_SLOT).distinct(), _SLOT, "left_semi")
-    taken = slot_replacements(active, rows)
+    taken = cut(slot_replacements(active, rows))
     columns = memory.facts.columns
     fresh = rows.join(taken.groupBy(F.col("new_id").alias("id")).agg(F.sort_array(F.collect_list("old_id")).alias("_old")), "id", "left")
     fresh = fresh.withColumns({"supersedes": F.col("_old"), "supersede_reason": F.when(F.col("_old").isNotNull(), SLOT_REASON)}).select(columns)
@@ -219,14 +232,16 @@ def assert_facts(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
 def supersede_facts(memory: Memory, batch: DataFrame, reason: str, now: datetime) -> Memory:
     """Replace facts by new ones of the same space, subject and predicate; `old_id` names the one replaced."""
     rows = _with(batch, schema.FACTS, old_id="string", cardinality="string")
-    rows = numbered(rows, "fact", memory.facts)
+    rows = cut(numbered(rows, "fact", memory.facts))
     old = memory.facts.select(F.col("id").alias("old_id"), F.col("status").alias("_status"), *(F.col(c).alias(f"_{c}") for c in _SLOT))
-    _refuse(rows.join(old, "old_id", "left_anti"), FACT_NOT_FOUND, "fact not found", "old_id")
-    met = rows.drop("_status").join(old, "old_id")
-    _refuse(met.where(F.col("_status") == schema.RETRACTED), LIFECYCLE_INVALID, "retracted fact cannot be superseded", "old_id")
-    _refuse(met.where(F.col("_status") == schema.SUPERSEDED), LIFECYCLE_INVALID, "superseded fact cannot be superseded again", "old_id")
-    _refuse(met.where("space_id <> _space_id"), LIFECYCLE_INVALID, "replacement fact must stay in the same space", "old_id")
-    _refuse(met.where("NOT (subject_id <=> _subject_id AND predicate <=> _predicate)"), LIFECYCLE_INVALID, "replacement fact must match subject and predicate", "old_id")
+    met = rows.join(old, "old_id")
+    _refuse(
+        (rows.join(old, "old_id", "left_anti"), FACT_NOT_FOUND, "fact not found", "old_id"),
+        (met.where(F.col("_status") == schema.RETRACTED), LIFECYCLE_INVALID, "retracted fact cannot be superseded", "old_id"),
+        (met.where(F.col("_status") == schema.SUPERSEDED), LIFECYCLE_INVALID, "superseded fact cannot be superseded again", "old_id"),
+        (met.where("space_id <> _space_id"), LIFECYCLE_INVALID, "replacement fact must stay in the same space", "old_id"),
+        (met.where("NOT (subject_id <=> _subject_id AND predicate <=> _predicate)"), LIFECYCLE_INVALID, "replacement fact must match subject and predicate", "old_id"),
+    )
     after = assert_facts(memory, rows.drop("old_id"), now)
     columns = after.facts.columns
     link = rows.select("old_id", F.col("id").alias("new_id"), F.col("valid_from").alias("new_from"), _now(now).alias("new_at"))
@@ -243,7 +258,7 @@ def supersede_facts(memory: Memory, batch: DataFrame, reason: str, now: datetime
 def retract_facts(memory: Memory, batch: DataFrame, reason: str | None, now: datetime) -> Memory:
     """Retract the facts of the column `id` (with `reason`, if the batch has that column); those retracted already stay as they are."""
     rows = batch if "reason" in batch.columns else batch.withColumn("reason", F.lit(reason))
-    _refuse(rows.join(memory.facts.select("id"), "id", "left_anti"), FACT_NOT_FOUND, "fact not found", "id")
+    _refuse((rows.join(memory.facts.select("id"), "id", "left_anti"), FACT_NOT_FOUND, "fact not found", "id"))
     once = rows.groupBy("id").agg(F.min("pos").alias("pos"), F.min_by("reason", "pos").alias("reason"))
     columns = memory.facts.columns
     gone = memory.facts.where(F.col("status") != schema.RETRACTED).join(once, "id")

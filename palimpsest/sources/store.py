@@ -46,7 +46,7 @@ class Store:
         name = self.version()
         if name is None:
             return Memory.empty(self.spark)
-        read = lambda table, s: self.spark.read.schema(s).parquet(f"{self.path}/{name}/{table}")
+        read = lambda table, s: self.spark.read.schema(s).parquet(f"{self.path}/{name}/{table}").select(s.names)
         return Memory(**{table: read(table, s) for table, s in schema.TABLES.items()})
 
     def save(self, memory: Memory) -> str:
@@ -89,7 +89,7 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, change) of the rows that differ: created, updated or deleted. Support lists compare as sets."""
 
     def row(df: DataFrame, name: str) -> DataFrame:
-        same = [F.array_sort(c).alias(c) if c == "supporting_episode_ids" else F.col(c) for c in df.columns if c != "id"]
+        same = [F.array_sort(c).alias(c) if c == "supporting_episode_ids" else F.col(c) for c in sorted(df.columns) if c != "id"]
         return df.select("id", F.struct(*same).alias(name))
 
     met = row(before, "a").join(row(after, "b"), "id", "full_outer").where("NOT (a <=> b)")

@@ -34,7 +34,7 @@ def base(spark):
     eps = spark.createDataFrame([("ep-1", "note", "first note about GraphAwareNeedle", "s1", T0, 0), ("ep-2", "note", "second", "s2", None, 1)], "id string, kind string, content string, source_id string, observed_at timestamp, pos int")
     m = lifecycle.ingest_episodes(Memory.empty(spark), eps.withColumn("source_kind", F.lit("chat")), T0)
     ents = spark.createDataFrame([("a", "Project", "GraphAwareNeedle", 0), ("b", "Team", "Team Blue", 1)], "id string, type string, canonical_name string, pos int")
-    return lifecycle.upsert_entities(m, ents, T0)
+    return lifecycle.upsert_entities(m.settled(), ents, T0).settled()
 
 
 def status(m):
@@ -43,7 +43,7 @@ def status(m):
 
 def test_cardinality_one_supersedes_what_overlaps(spark, base):
     one = lambda i, f, t=None: (i, "a", "OWNER", None, i, f, t, "one")
-    m = lifecycle.assert_facts(base, facts(spark, one("f1", day("2026-01-01")), one("f2", day("2026-02-01"))), T0)
+    m = lifecycle.assert_facts(base, facts(spark, one("f1", day("2026-01-01")), one("f2", day("2026-02-01"))), T0).settled()
     rows = {r["id"]: r for r in m.facts.collect()}
     assert rows["f1"]["status"] == "superseded" and rows["f1"]["superseded_by"] == "f2" and rows["f1"]["valid_to"] == datetime(2026, 2, 1)
     assert rows["f2"]["supersedes"] == ["f1"] and rows["f2"]["supersede_reason"] == lifecycle.SLOT_REASON
@@ -83,10 +83,10 @@ def test_writes_are_checked(spark, base):
 
 
 def test_supersede_retract_and_history(spark, base):
-    m = lifecycle.assert_facts(base, facts(spark, ("f1", "a", "P", None, "old", day("2026-01-01"), None, None)), day("2026-02-01"))
+    m = lifecycle.assert_facts(base, facts(spark, ("f1", "a", "P", None, "old", day("2026-01-01"), None, None)), day("2026-02-01")).settled()
     batch = facts(spark, ("f2", "a", "P", None, "new", day("2026-03-01"), None, None)).withColumn("old_id", F.lit("f1"))
-    m = lifecycle.supersede_facts(m, batch, "fixed", day("2026-03-01"))
-    m = lifecycle.retract_facts(m, spark.createDataFrame([("f2", 0)], "id string, pos int"), "wrong", day("2026-04-01"))
+    m = lifecycle.supersede_facts(m, batch, "fixed", day("2026-03-01")).settled()
+    m = lifecycle.retract_facts(m, spark.createDataFrame([("f2", 0)], "id string, pos int"), "wrong", day("2026-04-01")).settled()
     assert status(m) == {"f1": "superseded", "f2": "retracted"}
     seen = lambda at, **k: sorted(r["id"] for r in lookup.lookup_facts(m, LookupRequest(temporal=Temporal(as_of=day(at), **k))).collect())
     assert [seen(d) for d in ("2026-01-15", "2026-02-15", "2026-03-15", "2026-04-15")] == [[], ["f1"], ["f2"], []]
