@@ -32,7 +32,7 @@ def _with_history(records: DataFrame, history: DataFrame, text: Column) -> DataF
     return joined.withColumn("search_text", F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), " "))
 
 
-def _meta(kind: str, **columns: str) -> Column:
+def _meta(kind: str, /, **columns: str) -> Column:
     pairs = {"projection_type": F.lit(kind), "record_id": F.col("id"), **{k: F.col(v).cast("string") for k, v in columns.items()}}
     return F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
 

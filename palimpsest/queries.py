@@ -510,9 +510,9 @@ PROJ = """
 ftext AS (SELECT id, trim(concat_ws(' ', predicate, subject_id, object_id, value_text)) AS t, n FROM factrev),
 etext AS (SELECT id, trim(concat_ws(' ', canonical_name, nullif(array_to_string(aliases, ' '), ''))) AS t, n FROM entrev),
 proj AS (
-    SELECT 'episode:' || id AS projection_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS search_text, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_ms(observed_at), 0) END AS observed_at_ms FROM ep
+    SELECT 'episode:' || id AS projection_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS search_text, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_us(observed_at) // 1000, 0) END AS observed_at_ms FROM ep
     UNION ALL SELECT 'entity:' || id, array_to_string(list_distinct(list_concat([max_by(t, n)], list(t ORDER BY n))), ' '), NULL FROM etext GROUP BY id
-    UNION ALL SELECT 'fact:' || f.id, x.t, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_ms(observed_at), 0) END FROM fact f JOIN (SELECT id, any_value(t) AS t FROM ftext GROUP BY id) x USING (id)
+    UNION ALL SELECT 'fact:' || f.id, x.t, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_us(observed_at) // 1000, 0) END FROM fact f JOIN (SELECT id, any_value(t) AS t FROM ftext GROUP BY id) x USING (id)
 )"""
 
 
