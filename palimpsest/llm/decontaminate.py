@@ -2,11 +2,11 @@
 
 Passages are windows of `WINDOW` words, half overlapping, as TF-IDF vectors over the benchmark's
 words (no other word can add to a product with an item). Document frequencies come from all
-documents. A distributed randomised SVD of passages gives the latent space: tasks return their
-share of A'(A Omega), then of the small Gram matrix, and only those matrices of fixed size meet on
-the driver; it is fitted on the items and on the passages of about `sample_docs` documents chosen
-by a hash of the id. Then every passage of every document is projected and compared with the items
-by cosine. Candidates are checked against the words themselves: the longest common subsequence of
+documents. A distributed randomised SVD of the passages of all documents gives the latent space:
+each task counts the pairs of terms that its windows hold, and from them returns its share of
+A'(A Omega), then of the small Gram matrix; those matrices of fixed size are summed by executors and
+one of each meets the driver. Then every passage of every document is projected and compared with
+the items by cosine. Candidates are checked against the words themselves: the longest common subsequence of
 the item with the passage's surroundings, and the share of the item's answer words there, so that
 rewordings are found and chance meetings of common words are not.
 
@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,9 @@ from palimpsest.llm.common import table, written
 from palimpsest.llm.pretokens import Each
 
 WINDOW, RANK, EXTRA = 48, 160, 16
-SAMPLE_DOCS, BLOCK_ITEMS, MEMO_SIZE = 8_000, 20_000, 400_000
+BLOCK_ITEMS, MEMO_SIZE = 20_000, 400_000
+#: Documents whose shares of the matrices one task sums, and term rows of a matrix summed together.
+FIT_DOCS, FIT_ROWS = 10_000, 128
 #: Terms in more than this share of the documents weigh nothing.
 COMMON = 0.02
 #: Words handled at once.
@@ -153,18 +156,46 @@ class Passages:
         return out[:-1]
 
 
-def _blocks_added(p: Passages, terms: np.ndarray, z: np.ndarray, weight: np.ndarray, n_terms: int) -> np.ndarray:
-    """A' z: for each term the weighted sum of the rows of the windows that hold it."""
-    near = z.copy()
-    near[1:] += np.where(p.pair[:-1, None], z[:-1], 0)  # a block lies in its own window and in the one before
-    out = np.zeros((n_terms, z.shape[1]), np.float32)
-    used = np.nonzero((terms >= 0) & (weight[np.maximum(terms, 0)] > 0))[0]
-    used = used[np.argsort(terms[used], kind="stable")]
-    for lo in range(0, len(used), 50_000):
-        at = used[lo : lo + 50_000]
-        t = terms[at]
-        first = np.nonzero(np.r_[True, t[1:] != t[:-1]])[0]
-        out[t[first]] += np.add.reduceat(near[p.block[at]], first, axis=0) * weight[t[first], None]
+def _pairs(p: Passages, terms: np.ndarray, weight: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first * n_terms + second, number) of the pairs of weighted terms over all windows, first <= second."""
+    used = np.nonzero((terms >= 0) & (weight[np.maximum(terms, 0)] > 0))[0] if n_terms else np.empty(0, np.int64)
+    t, block = terms[used], p.block[used]
+    before = np.r_[False, p.pair[:-1]] if p.n_blocks else p.pair
+    code, times = [t * (n_terms + 1)], [1 + before[block]]  # a block lies in its own window and in the one before
+    k = 1
+    while k < len(t):
+        same = block[k:] == block[:-k]
+        next_to = (block[k:] == block[:-k] + 1) & p.pair[block[:-k]]
+        at = np.nonzero(same | next_to)[0]
+        if not len(at):
+            break
+        x, y = t[at], t[at + k]
+        n = np.where(same[at], 1 + before[block[at]], 1)
+        code.append(np.minimum(x, y) * n_terms + np.maximum(x, y))
+        times.append(np.where(x == y, 2 * n, n))  # both orders of two places of one term
+        k += 1
+    return _counted(code, times)
+
+
+def _counted(code: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(code), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate(times), minlength=len(found))
+
+
+def _applied(code: np.ndarray, times: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A'A rows, from the counted pairs."""
+    n_terms = len(weight)
+    x, y = code // n_terms, code % n_terms
+    value = (times * weight[x] * weight[y]).astype(np.float32)
+    out = np.zeros(rows.shape, np.float32)
+    other = np.nonzero(x != y)[0]
+    for a, b, v in ((x, y, value), (y[other], x[other], value[other])):
+        order = np.argsort(a, kind="stable")
+        for lo in range(0, len(order), 50_000):
+            at = order[lo : lo + 50_000]
+            own = a[at]
+            first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+            out[own[first]] += np.add.reduceat(rows[b[at]] * v[at, None], first, axis=0)
     return out
 
 
@@ -172,50 +203,70 @@ def _item_matrix(items: Items, rows: np.ndarray) -> np.ndarray:
     return np.stack([(rows[t] * items.idf[t, None]).sum(axis=0) for t in items.terms])
 
 
-def _summed(rows: DataFrame, code: str, share, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over the tasks of one matrix each."""
+def _summed(rows: DataFrame, code: str, n_terms: int, weight, share, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over the tasks of one matrix each, that `share` makes of a task's counted pairs."""
+    height = max(1, min(FIT_ROWS, shape[0]))
 
     def run(batches):
-        out = np.zeros(shape, np.float32)
+        codes, times, held = [np.empty(0, np.int64)], [np.empty(0)], 0
         for batch in batches:
             for _, terms, size in unpacked(batch.column(0).to_pylist(), code):
-                out += share(terms, size)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["m"])
-
-    return sum((np.frombuffer(r["m"], np.float32).reshape(shape).astype(float) for r in rows.mapInArrow(run, "m binary").collect()), np.zeros(shape))
+                own, n = _pairs(Passages(terms, size), terms, weight(), n_terms)
+                codes.append(own)
+                times.append(n)
+                held += len(own)
+                if held > 4_000_000:
+                    merged = _counted(codes, times)
+                    codes, times, held = [merged[0]], [merged[1]], 0
+        out = share(*_counted(codes, times))
+        cuts = range(0, shape[0], height)
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([lo // height for lo in cuts], pa.int64()), pa.array([task] * len(cuts), pa.int64()), pa.array([out[lo : lo + height].astype(np.float32).tobytes() for lo in cuts], pa.binary())], names=["part", "task", "m"])
+
+    def add(batches):
+        # In the order of tasks, whatever order the shares came in.
+        part, total = None, None
+        for batch in batches:
+            for k, m in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = np.frombuffer(m, np.float32).astype(float)
+                if k == part:
+                    total += own
+                else:
+                    if part is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "m"])
+                    part, total = k, own
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "m"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(run, "part long, task long, m binary").repartition(parts, "part").sortWithinPartitions("part", "task")
+    out = np.zeros(shape)
+    for r in dealt.mapInArrow(add, "part long, m binary").collect():
+        own = np.frombuffer(r["m"], float).reshape(-1, shape[1])
+        out[r["part"] * height : r["part"] * height + len(own)] = own
+    return out
 
 
-def fit_latent(items: Items, sample: DataFrame, rank: int = RANK) -> np.ndarray:
-    """An orthonormal basis (terms x rank) of the passages' latent space; `sample` holds packed terms."""
+def fit_latent(items: Items, rows: DataFrame, rank: int = RANK) -> np.ndarray:
+    """An orthonormal basis (terms x rank) of the passages' latent space; `rows` holds packed terms."""
     n_terms = len(items.number)
     width = min(n_terms, rank + EXTRA)
     omega = np.random.default_rng(7).normal(size=(n_terms, width)).astype(np.float32)
-    shared = sample.sparkSession.sparkContext.broadcast((items.idf, omega))
-
-    def ranged(terms, size):
-        idf, om = shared.value
-        p = Passages(terms, size)
-        return _blocks_added(p, terms, p.sums(terms, om, idf), idf, n_terms)
-
-    y = _summed(sample, items.code, ranged, (n_terms, width))
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast((items.idf, omega))
+    y = _summed(rows, items.code, n_terms, lambda: shared.value[0], lambda *pairs: _applied(*pairs, *shared.value), (n_terms, width))
     own = _item_matrix(items, omega)
     mine = np.zeros_like(y)
     for t, z in zip(items.terms, own, strict=True):
         np.add.at(mine, t, z[None, :] * items.idf[t, None])
-    # Items count as much as all sampled passages, so that the space holds them.
+    # Items count as much as all passages, so that the space holds them.
     lift = np.linalg.norm(y) / max(np.linalg.norm(mine), 1e-9) if y.any() else 1.0
     q = np.linalg.qr(y + lift * mine)[0].astype(np.float32)
-    shared_q = sample.sparkSession.sparkContext.broadcast((items.idf, q))
-
-    def gram(terms, size):
-        idf, basis = shared_q.value
-        b = Passages(terms, size).sums(terms, basis, idf)
-        return b.T @ b
-
-    g = _summed(sample, items.code, gram, (width, width))
+    shared_q = context.broadcast((items.idf, q))
+    g = _summed(rows, items.code, n_terms, lambda: shared_q.value[0], lambda *pairs: shared_q.value[1].T @ _applied(*pairs, *shared_q.value), (width, width))
     own = _item_matrix(items, q)
     g += lift * own.T @ own
-    values, vectors = np.linalg.eigh(g)
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
     return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
@@ -270,7 +321,7 @@ class Finder:
             found[doc, k] = max(found.get((doc, k), (0.0, 0.0, 0.0)), (cosine, lcs, share), key=lambda x: (x[1], x[2], x[0]))
 
 
-def _fit(rows: DataFrame, items: Items, sample_docs: int) -> Items:
+def _fit(rows: DataFrame, items: Items) -> Items:
     """Weights from all documents, and the latent space; `rows` from term_rows()."""
     n_terms, code = len(items.number), items.code
 
@@ -290,13 +341,11 @@ def _fit(rows: DataFrame, items: Items, sample_docs: int) -> Items:
     df = np.zeros(n_terms)
     df[list(counts)] = list(counts.values())
     items.idf = np.where(df > max(COMMON * n_docs, 5), 0, np.log((n_docs + 2) / (df + 1))).astype(np.float32)
-    rate = min(1.0, sample_docs / max(1, n_docs))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003 < rate).select("terms")
-    items.basis = fit_latent(items, written(sample, "passages").coalesce(6))
+    items.basis = fit_latent(items, rows.select("terms").coalesce(max(6, -(-n_docs // FIT_DOCS))))
     return items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", sample_docs: int = SAMPLE_DOCS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(id, item, cosine, lcs, answer): every document that holds an item or a rewording of it."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -313,7 +362,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         if not items.terms:
             continue
         terms = term_rows(rows, items)
-        shared = spark.sparkContext.broadcast(_fit(terms, items, sample_docs))
+        shared = spark.sparkContext.broadcast(_fit(terms, items))
 
         def find(batches, shared=shared):
             finder, own = Finder(shared.value), shared.value

@@ -311,6 +311,33 @@ def test_decontamination_finds_passages_and_rewordings(spark):
     assert decontaminate.contaminated(made.limit(0), bench).count() == 0 and decontaminate.contaminated(made, bench.limit(0)).count() == 0
 
 
+def test_decontamination_fits_on_the_passages_of_all_documents():
+    rng = np.random.default_rng(0)
+    size = np.array([100, 0, 1, 24, 25, 60, 48])
+    terms, weight = rng.integers(-1, 30, size.sum()), rng.random(30).astype(np.float32)
+    weight[:5] = 0
+    p = decontaminate.Passages(terms, size)
+    rows = rng.normal(size=(30, 7)).astype(np.float32)
+    a = p.sums(terms, np.eye(30, dtype=np.float32), weight)
+    got = decontaminate._applied(*decontaminate._pairs(p, terms, weight, 30), weight, rows)
+    assert np.allclose(a.T @ (a @ rows), got, atol=1e-3)
+
+
+def test_decontamination_space_sees_every_document(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    fit = decontaminate.fit_latent
+
+    def watched(items, rows, *more):
+        seen.add(rows.count())
+        return fit(items, rows, *more)
+
+    monkeypatch.setattr(decontaminate, "fit_latent", watched)
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text"))
+    bench = spark.createDataFrame([(1, "eight or more words of a text to find 17")], "item_id long, text string")
+    decontaminate.contaminated(docs, bench).collect()
+    assert seen.value == 9000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 5), min_size=1, max_size=20))
 def test_common_subsequence(a, b):
