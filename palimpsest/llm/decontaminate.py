@@ -280,8 +280,13 @@ class Finder:
         latent = _item_matrix(items, items.basis)
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.masks = items.masks()
-        # The vectors of items of common words alone are zero; their words are looked for one by one.
-        self.plain = np.nonzero(~latent.any(axis=1))[0].tolist()
+        # A rewording may keep the words without weight alone. Where these reach LCS, or the vector is
+        # zero, its product with the item says nothing; the item's words are looked for one by one.
+        blind = np.array([(items.idf[t] == 0).mean() >= LCS for t in items.terms])
+        self.plain = np.nonzero(blind | ~latent.any(axis=1))[0].tolist()
+        own = sorted({t for k in self.plain for t in items.terms[k]})
+        self.column = np.full(len(items.number), -1)
+        self.column[own] = np.arange(len(own))
 
     def __call__(self, terms: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(text number, item number, cosine, shares) of what is found, best passage of each pair."""
@@ -295,11 +300,38 @@ class Finder:
                 cosine = v[at] @ self.latent.T / length[at, None]
                 for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
                     self._check(found, terms, p, int(at[i]), int(k), float(cosine[i, k]))
-        for k in self.plain:
-            for b in range(p.n_blocks):
-                self._check(found, terms, p, b, k, 0.0)
+            for k, blocks in self._plain_blocks(terms, p):
+                for b in blocks.tolist():
+                    self._check(found, terms, p, b, k, 0.0)
         return [(d, k, *x) for (d, k), x in sorted(found.items())]
 
+    def _plain_blocks(self, terms: np.ndarray, p: Passages):
+        """(item, blocks) of the plain items: all blocks whose surroundings hold enough of the item's words, counted without their order."""
+        if not self.plain:
+            return
+        width, half = int(self.column.max()) + 1, WINDOW // 2
+        column = np.where(terms >= 0, self.column[np.maximum(terms, 0)], -1)
+        used = np.nonzero(column >= 0)[0]
+        counts = np.bincount(p.block[used] * width + column[used], minlength=p.n_blocks * width).reshape(p.n_blocks, width)
+        upto = np.zeros((p.n_blocks + 1, width), np.int32)
+        np.cumsum(counts, axis=0, out=upto[1:])
+        at, first, last = np.arange(p.n_blocks), p.first_block[p.doc], p.block_ends[p.doc]
+        by_reach: dict[int, list[int]] = {}
+        for k in self.plain:
+            by_reach.setdefault(-(-len(self.items.terms[k]) // half), []).append(k)
+        for reach, group in by_reach.items():
+            near = upto[np.minimum(at + 2 + reach, last)] - upto[np.maximum(at - reach, first)]
+            words = np.zeros((width, len(group)), np.float32)
+            for i, k in enumerate(group):
+                np.add.at(words[:, i], self.column[self.items.terms[k]], 1)
+            # First as if each word were there as often as the item has it, then as often as it is.
+            most = (near > 0).astype(np.float32) @ words
+            for i, k in enumerate(group):
+                n = len(self.items.terms[k])
+                least = n if n < SHORT else LCS * n - 1e-3
+                some, c = np.nonzero(most[:, i] >= least)[0], np.nonzero(words[:, i])[0]
+                yield k, some[np.minimum(near[some[:, None], c], words[c, i]).sum(axis=1) >= least]
+
     def _check(self, found, terms, p: Passages, block: int, k: int, cosine: float) -> None:
         own, n = self.items.terms[k], len(self.items.terms[k])
         doc = int(p.doc[block])

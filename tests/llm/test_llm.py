@@ -338,6 +338,17 @@ def test_decontamination_space_sees_every_document(spark, monkeypatch):
     assert seen.value == 9000
 
 
+def test_decontamination_finds_rewordings_that_keep_common_words_only(spark):
+    common = [f"common{i}" for i in range(20)]
+    item = [w if i not in (3, 9, 14) else f"rare{i}" for i, w in enumerate(common)]
+    reworded = [w if i not in (3, 9, 14) else f"other{i}" for i, w in enumerate(common)]
+    # The common words are in all documents, too far apart or in another order to hold the item.
+    rows = [(i, " ".join(reversed(common)) + f" filler{i}") for i in range(400)] + [(1000, " ".join(item)), (1001, "x " * 60 + " ".join(reworded) + " y" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()} == {1000, 1001}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 5), min_size=1, max_size=20))
 def test_common_subsequence(a, b):
