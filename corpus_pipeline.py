@@ -16,6 +16,8 @@ from palimpsest.llm.common import table, written
 
 #: A document goes when its quality is less likely than this: borderline documents stay.
 LEAST_QUALITY = 0.05
+#: Fingerprints of at most so many different bits are tested for similar shingles.
+WIDE_BITS = 11
 #: A document goes when no language's profile comes nearer than this, or it has no letter.
 LEAST_LANGUAGE = 0.2
 
@@ -36,8 +38,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component (operator 10)."""
-    return simhash.deduplicated(docs)
+    """Keep one document of each SimHash component (operator 10), with similar texts of wider distance linked too."""
+    return simhash.deduplicated(docs, wide=WIDE_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,13 @@ the map-side combine of the grouping). A bucket over `BUCKET` rows is dealt agai
 the same rule on the 32 bits that its key leaves free; such a second bucket has 48 equal bits and
 so at most 65,536 fingerprints.
 
+A wider budget (`wide` bits, at most 11) adds links that an exact test confirms: then some segment
+differs in at most 2 bits, so both fingerprints lie within one bit of a common value there, and each
+is dealt to the 17 values around its own in each segment. A first round tests a spanning forest of
+each bucket by the Jaccard similarity of whole sets of `SHINGLE`-word shingles; a second round lists
+and tests every pair that the first has left in different components, so no similar pair within
+`wide` bits is lost where a forest's own edge fails the test.
+
 Results for odd rows: a null or empty text, or one of white space, has fingerprint 0 and is
 linked like any other; documents without an id get a fingerprint and the component of those
 linked to them, or null; repeated rows stay repeated; an empty table gives an empty table; other
@@ -27,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm.common import map_texts, schema_of, table, written
 from palimpsest.llm.components import connected_components
@@ -34,6 +42,8 @@ from palimpsest.llm.components import connected_components
 SEED = 42
 BITS = 3
 BUCKET = 4096
+#: What the wide links must share: Jaccard similarity of sets of shingles of so many words.
+SHINGLE, JACCARD = 5, 0.8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -55,13 +65,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp long) for every row."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """(id, columns to keep, fp long) for every row."""
 
     def make():
         return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.int64)]
 
-    return map_texts(docs, make, schema_of("fp long"), [id_col], text_col)
+    return map_texts(docs, make, schema_of("fp long"), [id_col, *(keep or [])], text_col)
 
 
 def _ring_keys(value, bits: int, tag: int, col: bool):
@@ -205,24 +215,164 @@ def links(distinct: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     return first.where("key IS NULL").select("a", "b").unionByName(second.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(id, fingerprint, component_id): one row a document with the least document id that links reach."""
-    own = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The different shingles of a text, hashed and in order; a text of fewer words is one shingle."""
+    import xxhash
+
+    w = text.encode().lower().split() if text else []
+    if not w:
+        return np.empty(0, np.uint64)
+    grams = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [w]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _wide_keys(fp) -> list:
+    """For each of the four segments its value and those one bit away, numbered by segment."""
+    out = []
+    for i in range(4):
+        own = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        out += [own.bitwiseXOR(F.lit(x).cast("long")).bitwiseOR(F.lit(i << 16).cast("long")) for x in (0, *(1 << b for b in range(16)))]
+    return out
+
+
+def _wide_linker(bits: int, forest: bool):
+    """Over rows (key, fp, node, component) in key order: edges (a, b) within `bits`: a forest of each bucket, or all pairs of different components."""
+
+    def made(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    def spanned(fp, node):
+        a, b, rest = [], [], np.arange(len(fp))
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                at = queue.pop()
+                hit = np.bitwise_count(fp[rest] ^ fp[at]) <= bits
+                got, rest = rest[hit], rest[~hit]
+                queue.extend(got.tolist())
+                a.append(np.full(len(got), node[at]))
+                b.append(node[got])
+        return a, b
+
+    def crossed(fp, node, part):
+        a, b = [], []
+        for lo in range(0, len(fp), 256):
+            x = slice(lo, lo + 256)
+            i, j = np.nonzero((np.bitwise_count(fp[x, None] ^ fp[None, lo:]) <= bits) & (part[x, None] != part[None, lo:]))
+            if len(i):
+                a.append(node[lo + i])
+                b.append(node[lo + j])
+        return a, b
+
+    def buckets(key, fp, node, part):
+        starts = np.r_[0, np.nonzero(np.diff(key))[0] + 1] if len(key) else np.empty(0, np.int64)
+        a, b = [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
+            if hi - lo > 1:
+                x, y = spanned(fp[lo:hi], node[lo:hi]) if forest else crossed(fp[lo:hi], node[lo:hi], part[lo:hi])
+                a += x
+                b += y
+        if sum(map(len, a)):
+            yield made(a, b)
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            if len(rows[0]):
+                last = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # its bucket may go on
+                held = [r[last:].copy() for r in rows]
+                yield from buckets(*(r[:last] for r in rows))
+        yield from buckets(*held)
+
+    return run
+
+
+def _confirmed(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the edges whose sets of shingles are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    met = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, own: DataFrame, thin: DataFrame, wide: int, *, id_col: str, text_col: str, words: int = SHINGLE, least: float = JACCARD) -> DataFrame:
+    """Edges (a, b) that connect all different texts within `wide` bits whose sets of shingles are similar.
+
+    `own` has (id, fp, text hash) of every row, `thin` edges that hold anyway.
+    """
+    if not 0 <= wide < 12:
+        raise ValueError("wide links are dealt out for 0 to 11 bits")
+    fp_node = F.min("node").over(Window.partitionBy("fp"))
+    # A text's node is the least id that has it; it is linked to the node of its fingerprint.
+    texts = own.groupBy("fp", "hash").agg(F.min(F.col(id_col).cast("long")).alias("node")).where("node IS NOT NULL AND fp <> 0")
+    texts = written(texts.withColumn("fp_node", fp_node), "wide-texts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own_links = texts.where("node <> fp_node").select(F.col("node").alias("a"), F.col("fp_node").alias("b"))
+
+    def candidates(rows: DataFrame, forest: bool) -> DataFrame:
+        dealt = rows.select(F.explode(F.array(*_wide_keys(F.col("fp")))).alias("key"), "fp", "node", "component")
+        dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
+        found = dealt.mapInArrow(_wide_linker(wide, forest), "a long, b long")
+        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-candidates")
+
+    def sets_of(edges: DataFrame) -> DataFrame:
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        held = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+        def make():
+            return lambda found: [pa.array([shingle_set(t, words).tobytes() for t in found], pa.binary())]
+
+        return written(map_texts(held, make, schema_of("shingles binary"), ["node"], "text"), "wide-shingles")
+
+    first = candidates(texts.withColumn("component", F.lit(0).cast("long")), True)
+    held = written(_confirmed(first, sets_of(first), least).unionByName(own_links), "wide-links")
+    reached = connected_components(thin.unionByName(held))
+    placed = texts.join(reached, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
+    second = candidates(placed, False).join(first, ["a", "b"], "left_anti")
+    second = written(second, "wide-candidates")
+    return held.unionByName(_confirmed(second, sets_of(second), least))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET, wide: int = 0) -> DataFrame:
+    """(id, fingerprint, component_id): one row a document with the least document id that links reach.
+
+    With `wide` bits, texts of that distance whose shingles are similar are linked too.
+    """
+    if wide:
+        own = fingerprints(docs.withColumn("hash", F.xxhash64(text_col)), id_col=id_col, text_col=text_col, shingle=shingle, keep=["hash"])
+    else:
+        own = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    own = written(own, "fingerprints")
     # A fingerprint's node is the least id that has it; where none has an id, its documents stay alone.
     distinct = own.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("node")).where("node IS NOT NULL")
-    reached = connected_components(links(distinct, bucket=bucket))
+    edges = links(distinct, bucket=bucket)
+    if wide:
+        edges = written(edges, "thin-links")
+        edges = edges.unionByName(similar_links(docs, own, edges, wide, id_col=id_col, text_col=text_col))
+    reached = connected_components(edges)
     classes = distinct.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return own.join(classes, "fp", "left").select(id_col, text, "component_id")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET, wide: int = 0) -> DataFrame:
     """The rows of `docs` with one document of each component: that of the least id.
 
     Of repeated rows (same id and text) one stays. Rows without an id cannot be told apart by it
     and stay.
     """
-    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket), "near-duplicates")
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket, wide=wide), "near-duplicates")
     own = F.col(id_col)
     kept = docs.join(found.where(own != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti")
     repeated = found.where(own.isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)

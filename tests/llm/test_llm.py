@@ -412,6 +412,25 @@ def test_simhash_large_buckets(spark, bucket):
     assert [reached.get(i, i) for i in range(len(fps))] == components_by_force(fps)
 
 
+def test_simhash_wide_links_by_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = dict(sorted(texts_of(docs)))
+    ids = list(text)
+    fps = [fingerprint_by_force(text[d]) for d in ids]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for d in ids for w in [re.findall("[^\x20\x09-\x0d]+", (text[d] or "").lower())]]
+    at, more = components_by_force(fps), 0
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 11 and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = at[i], at[j]
+                if a != b:
+                    more += 1
+                    at = [min(a, b) if x == max(a, b) else x for x in at]
+    assert more >= 3
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, wide=11).collect()}
+    assert got == {d: ids[r] for d, r in zip(ids, at, strict=True)}
+
+
 def test_simhash_keeps_one(spark, odd_docs):
     rows = [(5, "a b c d"), (2, "A b  c d"), (9, "something else entirely here"), (9, "something else entirely here"), (None, "a b c d")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("kept"))

@@ -50,3 +50,12 @@ def test_stages_take_odd_rows(spark):
             out = stage(spark, given, SF)
             assert out.count() <= given.count(), name
     assert decontaminate.COSINE < 1
+
+
+def test_near_copies_of_wider_distance_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {k: frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for k, t in text.items() for w in [t.lower().split()]}
+    pair = next((a, b) for a in sets for b in sets if a < b and 0.8 <= len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) < 1)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs.where(F.col("doc_id").isin(*pair)), SF).collect()}
+    assert kept == {pair[0]}
