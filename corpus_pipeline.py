@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from palimpsest.llm import byte_bpe, decontaminate, language_id, quality, simhash
 from palimpsest.llm.common import table, written
 
-#: A document goes when its quality is less likely than this: borderline documents stay.
-LEAST_QUALITY = 0.05
 #: Fingerprints of at most so many different bits are tested for similar shingles.
 WIDE_BITS = 11
 #: A document goes when no language's profile comes nearer than this, or it has no letter.
@@ -26,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop documents that the classifier (operator 4) rejects."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~language_id.held_out("doc_id", 3, 1))
     scored = quality.score(docs, model, keep=docs.columns, prefix="__quality_")
-    return scored.where(F.col("__quality_score") >= LEAST_QUALITY).select(docs.columns)
+    return scored.where(F.col("__quality_predicted") == 1).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import byte_bpe, decontaminate, simhash
+from palimpsest.llm import byte_bpe, decontaminate, language_id, quality, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,6 +52,13 @@ def test_stages_take_odd_rows(spark):
     assert decontaminate.COSINE < 1
 
 
+def test_what_the_classifier_rejects_goes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), ~language_id.held_out("doc_id", 3, 1))
+    want = {r["doc_id"] for r in quality.score(docs, model, keep=["doc_id"]).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()} == want
+
+
 def test_near_copies_of_wider_distance_go(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
