@@ -12,8 +12,8 @@ in order; rules of the lowest class give the default verdict (they name no rule
 
 The rules are one literal table whose size is checked; a larger set than `max_broadcast` rules is
 joined by shuffling tokens instead. Tokens are exploded and reduced again in one task-local step
-before the only shuffle, which carries one narrow row a URL and task; equal rows meet there and
-are repeated again afterwards, so a URL that a third of all rows share costs one row a task.
+before the only shuffle, which carries one narrow row a URL and task; equal rows meet there, are
+counted by the empty token, which no rule can be filed under, and are repeated again afterwards, so a URL that a third of all rows share costs one row a task.
 
 Results for odd rows: a null URL or one without `://` has an empty host and path and is allowed
 by default; repeated rows stay repeated; an empty table gives an empty table; other columns are
@@ -126,11 +126,11 @@ def judge(pages: DataFrame, rules: list[Rule], default_rules: list[Rule], *, id_
     index = literal_rows(spark, ["token", "rank", "regex"], [(t, rank[i], regex) for t, i, regex in filed])
     meaning = literal_rows(spark, ["best", "rule", "verdict"], [(rank[i], both[i].name or "", both[i].verdict) for _, i, _ in filed])
     few = len(both) <= max_broadcast
-    # The empty token keeps URLs without tokens; position 0 marks one row of each input row.
-    held = urls.select("id", "url", "host", "path", F.posexplode(F.array_append("tokens", F.lit(""))).alias("at", "token"))
+    # The empty token keeps URLs without tokens; no rule lies under it, so it marks one row of each input row.
+    held = urls.select("id", "url", "host", "path", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
     met = held.join(F.broadcast(index) if few else index, "token", "left")
     fits = F.regexp(F.concat("host", "path"), F.col("regex"))
-    judged = met.groupBy("id", "url").agg(F.count_if(F.col("at") == 0).alias("copies"), F.min(F.when(fits, F.col("rank"))).alias("best"))
+    judged = met.groupBy("id", "url").agg(F.count_if(F.col("token") == "").alias("copies"), F.min(F.when(fits, F.col("rank"))).alias("best"))
     judged = judged.join(F.broadcast(meaning) if few else meaning, "best", "left")
     return judged.select(
         F.col("id").alias(id_col),

@@ -80,6 +80,23 @@ def test_url_filters_by_sql(spark):
     assert got == set(c.execute(url_filters.ORACLE_SQL).fetchall())
 
 
+def test_url_filters_count_rows_of_hosts_that_begin_with_a_rule_token(spark):
+    urls = ["https://de.wikipedia.org/x", "https://com/en/", "https://com/en/", "https://org.example/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (50_000, 0):
+        got = sorted(tuple(r) for r in url_filters.judge(pages, url_filters.RULES, url_filters.DEFAULT_RULES, max_broadcast=most).collect())
+        assert got == [(i, *judged(u)) for i, u in enumerate(urls)]
+
+
+def test_url_filters_by_sql_row_by_row(spark, tmp_path):
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame([(i, u) for i, u in enumerate(["https://de.wikipedia.org/x", "https://com/en/", "https://y/"])] + [(1, "https://com/en/")], "page_id long, url string").write.parquet(path)
+    got = sorted(map(str, (tuple(r) for r in queries.QUERIES["op1_url_filters"](spark, str(tmp_path)).collect())))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS FROM '{path}/*.parquet'")
+    assert got == sorted(map(str, c.execute(url_filters.ORACLE_SQL).fetchall()))
+
+
 def test_rules_are_filed_under_whole_tokens():
     assert url_filters.prefix_rule("example.com", "/en/7", "allow").tokens == ["example", "com", "en"]
     assert url_filters.Rule("^a*b^c", "block").tokens == []
