@@ -261,12 +261,14 @@ def _wide_linker(bits: int, forest: bool):
 
     def crossed(fp, node, part):
         a, b = [], []
-        for lo in range(0, len(fp), 256):
-            x = slice(lo, lo + 256)
-            i, j = np.nonzero((np.bitwise_count(fp[x, None] ^ fp[None, lo:]) <= bits) & (part[x, None] != part[None, lo:]))
-            if len(i):
-                a.append(node[lo + i])
-                b.append(node[lo + j])
+        _, of, size = np.unique(part, return_inverse=True, return_counts=True)
+        # One of a pair of different components lies outside the bucket's largest.
+        outside = np.nonzero(of != size.argmax())[0]
+        for lo in range(0, len(outside), 256):
+            x = outside[lo : lo + 256]
+            i, j = np.nonzero((np.bitwise_count(fp[x, None] ^ fp[None, :]) <= bits) & (part[x, None] != part[None, :]))
+            a.append(node[x[i]])
+            b.append(node[j])
         return a, b
 
     def buckets(key, fp, node, part):
