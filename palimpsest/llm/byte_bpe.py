@@ -4,6 +4,8 @@ Texts are split by the vocabulary's pattern; a worker keeps a bounded dictionary
 ids. New pieces of a chunk are encoded together: rows of similar byte length form one padded
 matrix, and in each round every row merges its leftmost pair of least rank. Pair ranks come from
 an open-addressing hash table; the merged column is compacted away, and finished rows leave.
+A piece over 256 bytes is a matrix of one row and merges all occurrences of its least pair at once where
+that gives the same ids (else the leftmost one), as one merge a round would take too many rounds.
 
 Results for odd rows: a null or empty text has no ids and decodes to nothing; repeated rows stay
 repeated; an empty table gives an empty table; other columns are ignored.
@@ -23,7 +25,8 @@ from palimpsest.llm.pretokens import Recent, Splitter, kept
 NONE = np.int32(2**31 - 1)
 #: Widths of the padded matrices; longer pieces are merged one at a time.
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
-MEMO_SIZE = 500_000
+#: Bytes of a worker's dictionary of pieces.
+MEMO_BYTES = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -179,8 +182,8 @@ class ByteBpe:
         return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(total)], size
 
 
-def _encoder(vocabulary: str, pattern: str, memo_size: int):
-    bpe, split, memo = kept(("bpe", vocabulary, pattern, memo_size), lambda: _coder(vocabulary, pattern, memo_size))
+def _encoder(vocabulary: str, pattern: str, memo_bytes: int):
+    bpe, split, memo = kept(("bpe", vocabulary, pattern, memo_bytes), lambda: _coder(vocabulary, pattern, memo_bytes))
 
     def encode(texts: list[str | None]) -> list[bytes]:
         found = [split(t) if t else [] for t in texts]
@@ -190,16 +193,16 @@ def _encoder(vocabulary: str, pattern: str, memo_size: int):
     return bpe, encode
 
 
-def _coder(vocabulary: str, pattern: str, memo_size: int):
+def _coder(vocabulary: str, pattern: str, memo_bytes: int):
     bpe = ByteBpe(read_ranks(vocabulary))
-    return bpe, Splitter(pattern), Recent(lambda new: bpe.encode_pieces([p.encode() for p in new]), memo_size)
+    return bpe, Splitter(pattern), Recent(lambda new: bpe.encode_pieces([p.encode() for p in new]), memo_bytes)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", memo_size: int = MEMO_SIZE) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """(id, ids array<int>) of every whole text, without special tokens."""
 
     def make():
-        _, run = _encoder(vocabulary, pattern, memo_size)
+        _, run = _encoder(vocabulary, pattern, memo_bytes)
 
         def work(texts):
             import pyarrow as pa
@@ -232,11 +235,11 @@ def decode(encoded: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_c
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", memo_size: int = MEMO_SIZE) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests of both: n_tokens, ids_sha256, decoded_sha256."""
 
     def make():
-        bpe, run = _encoder(vocabulary, pattern, memo_size)
+        bpe, run = _encoder(vocabulary, pattern, memo_bytes)
 
         def work(texts):
             packed = run(texts)

@@ -41,27 +41,32 @@ class Splitter:
 
 
 class Recent:
-    """A bounded dictionary that keeps what was used last, in two generations of `most` / 2 entries.
+    """A bounded dictionary that keeps what was used last, in two generations of `most` / 2 bytes, about.
 
     `make` computes the values of all missing keys of a chunk at once.
     """
 
+    #: Bytes of an entry besides the characters of its key: two objects, their slots and a short value.
+    ENTRY = 200
+
     def __init__(self, make, most: int):
-        self.make, self.half, self.new, self.old = make, most // 2, {}, {}
+        self.make, self.half, self.size, self.new, self.old = make, most // 2, 0, {}, {}
 
     def hold(self, keys) -> dict:
         """A dictionary that has all of `keys`, until the next call."""
-        if len(self.new) > self.half:
-            self.new, self.old = {}, self.new
-        new, missing = self.new, []
+        if self.size > self.half:
+            self.size, self.new, self.old = 0, {}, self.new
+        new, missing, moved = self.new, [], 0
         for k in keys:
             if k not in new:
                 if (found := self.old.get(k)) is None:
                     missing.append(k)
                 else:
                     new[k] = found
+                    moved += self.ENTRY + len(k)
         if missing:
             new.update(zip(missing, self.make(missing), strict=True))
+        self.size += moved + self.ENTRY * len(missing) + sum(map(len, missing))
         return new
 
 
@@ -96,6 +101,11 @@ def kept(key, build):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what kept() holds, before a stage that needs the memory and not the dictionaries."""
+    _KEPT.clear()
+
+
 class WordPieces:
     """Values of white-space words under a tokenizers file that lower-cases and drops white space.
 
