@@ -20,10 +20,15 @@ each bucket by the Jaccard similarity of whole sets of `SHINGLE`-word shingles;
 and tests every pair that the first has left in different components, so no similar pair within
 `wide` bits is lost where a forest's own edge fails the test.
 
+Nodes are fingerprints (with wide links: texts), not ids: an id that comes with several texts links
+none of them, and the least id of a component is looked up at the end.
+
 Results for odd rows: a null or empty text, or one of white space, has fingerprint 0 and is
-linked like any other; documents without an id get a fingerprint and the component of those
-linked to them, or null; repeated rows stay repeated; an empty table gives an empty table; other
-columns are ignored.
+linked like any other; documents without an id get a fingerprint and the least id of those
+linked to them, or null; an id that repeats with other texts gets a row for each, with its own
+component; repeated rows stay repeated (ties have equal results); a text of many megabytes or a
+single word is fingerprinted whole; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -308,19 +313,15 @@ def _confirmed(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(docs: DataFrame, own: DataFrame, thin: DataFrame, wide: int, *, id_col: str, text_col: str, words: int = SHINGLE, least: float = JACCARD) -> DataFrame:
+def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int, *, id_col: str, text_col: str, words: int = SHINGLE, least: float = JACCARD) -> DataFrame:
     """Edges (a, b) that connect all different texts within `wide` bits whose sets of shingles are similar.
 
-    `own` has (id, fp, text hash) of every row, `thin` edges that hold anyway.
+    `texts` has (fp, hash, best, node) of every different text, `thin` edges that hold anyway.
     """
     if not 0 <= wide < 12:
         raise ValueError("wide links are dealt out for 0 to 11 bits")
-    fp_node = F.min("node").over(Window.partitionBy("fp"))
-    # A text's node is the least id that has it; it is linked to the node of its fingerprint.
-    texts = own.groupBy("fp", "hash").agg(F.min(F.col(id_col).cast("long")).alias("node")).where("node IS NOT NULL AND fp <> 0")
-    texts = written(texts.withColumn("fp_node", fp_node), "wide-texts")
+    texts = texts.where("fp <> 0")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own_links = texts.where("node <> fp_node").select(F.col("node").alias("a"), F.col("fp_node").alias("b"))
 
     def candidates(rows: DataFrame, forest: bool) -> DataFrame:
         dealt = rows.select(F.explode(F.array(*_wide_keys(F.col("fp")))).alias("key"), "fp", "node", "component")
@@ -330,15 +331,19 @@ def similar_links(docs: DataFrame, own: DataFrame, thin: DataFrame, wide: int, *
 
     def sets_of(edges: DataFrame) -> DataFrame:
         nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        held = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        wanted = texts.join(nodes, "node", "left_semi").select("node", "hash", F.col("best.id").alias("first"))
+        # One row of each text is read: that of its least id.
+        held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
+        held = held.join(wanted, (F.col("own") == F.col("hash")) & F.col("id").eqNullSafe(F.col("first"))).select("node", "text")
 
         def make():
             return lambda found: [pa.array([shingle_set(t, words).tobytes() for t in found], pa.binary())]
 
-        return written(map_texts(held, make, schema_of("shingles binary"), ["node"], "text"), "wide-shingles")
+        # Repeated rows give one set.
+        return written(map_texts(held, make, schema_of("shingles binary"), ["node"], "text").dropDuplicates(["node"]), "wide-shingles")
 
     first = candidates(texts.withColumn("component", F.lit(0).cast("long")), True)
-    held = written(_confirmed(first, sets_of(first), least).unionByName(own_links), "wide-links")
+    held = written(_confirmed(first, sets_of(first), least), "wide-links")
     reached = connected_components(thin.unionByName(held))
     placed = texts.join(reached, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
     second = candidates(placed, False).join(first, ["a", "b"], "left_anti")
@@ -346,42 +351,62 @@ def similar_links(docs: DataFrame, own: DataFrame, thin: DataFrame, wide: int, *
     return held.unionByName(_confirmed(second, sets_of(second), least))
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bucket: int, wide: int, hashed: bool) -> DataFrame:
+    """(id, fp, hash, best) of every row: the least id of its component, or with hashes the least (no id, id, hash)."""
+    own = docs.select(id_col, text_col, F.xxhash64(text_col).alias("hash")) if hashed else docs.select(id_col, text_col)
+    own = written(fingerprints(own, id_col=id_col, text_col=text_col, shingle=shingle, keep=["hash"] if hashed else []), "fingerprints")
+    doc_id = F.col(id_col).cast("long")
+    key = ["fp", "hash"] if wide else ["fp"]
+    best = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("hash").alias("text")) if hashed else doc_id
+    texts = own.groupBy(*key).agg(F.min(best).alias("best"))
+    if wide:
+        texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+        of_fp = texts.groupBy("fp").agg(F.min("node").alias("node"))
+        thin = links(of_fp, bucket=bucket)
+        same = texts.join(of_fp.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+        thin = written(thin.unionByName(same), "thin-links")
+        edges = thin.unionByName(similar_links(docs, texts, thin, wide, id_col=id_col, text_col=text_col))
+    else:
+        texts = texts.withColumn("node", F.col("fp"))
+        edges = links(texts.select("fp", "node"), bucket=bucket)
+    reached = connected_components(edges).join(texts.select("node", "best"), "node")
+    least = reached.groupBy("component").agg(F.min("best").alias("linked"))
+    classes = texts.join(reached.join(least, "component").select("node", "linked"), "node", "left")
+    return own.join(classes.select(*key, F.coalesce("linked", "best").alias("best")), key, "left")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET, wide: int = 0) -> DataFrame:
     """(id, fingerprint, component_id): one row a document with the least document id that links reach.
 
     With `wide` bits, texts of that distance whose shingles are similar are linked too.
     """
-    if wide:
-        own = fingerprints(docs.withColumn("hash", F.xxhash64(text_col)), id_col=id_col, text_col=text_col, shingle=shingle, keep=["hash"])
-    else:
-        own = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    own = written(own, "fingerprints")
-    # A fingerprint's node is the least id that has it; where none has an id, its documents stay alone.
-    distinct = own.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("node")).where("node IS NOT NULL")
-    edges = links(distinct, bucket=bucket)
-    if wide:
-        edges = written(edges, "thin-links")
-        edges = edges.unionByName(similar_links(docs, own, edges, wide, id_col=id_col, text_col=text_col))
-    reached = connected_components(edges)
-    classes = distinct.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return own.join(classes, "fp", "left").select(id_col, text, "component_id")
+    found = _classed(docs, id_col, text_col, shingle, bucket, wide, bool(wide))
+    return found.select(id_col, text, F.col("best.id" if wide else "best").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = BUCKET, wide: int = 0) -> DataFrame:
-    """The rows of `docs` with one document of each component: that of the least id.
+    """The rows of `docs` with one document of each component.
 
-    Of repeated rows (same id and text) one stays. Rows without an id cannot be told apart by it
-    and stay.
+    It is the one of the least id. Of several texts with that id in a component the one of least
+    hash stays, and of its repeated rows the one whose columns have the least hash. Rows without an
+    id cannot be told apart by it and stay.
     """
-    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bucket=bucket, wide=wide), "near-duplicates")
-    own = F.col(id_col)
-    kept = docs.join(found.where(own != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti")
-    repeated = found.where(own.isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if not repeated.isEmpty():
-        once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+    own, text = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    found = written(_classed(docs, id_col, text_col, shingle, bucket, wide, True), "near-duplicates")
+    stays = (own == F.col("best.id")) & (F.col("hash") == F.col("best.text"))
+    match = (own == F.col("__id")) & (text == F.col("__hash"))
+    gone = found.where(~stays).select(own.alias("__id"), F.col("hash").alias("__hash")).distinct()
+    kept = docs.join(gone, match, "left_anti")
+    again = found.where(stays).groupBy(own.alias("__id"), F.col("hash").alias("__hash")).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return kept
+    # Rows of one document differ in other columns only; a hash of all of them picks one.
+    whole = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    once = kept.join(again, match, "left_semi").withColumn("__row", whole).withColumn("__text", text)
+    least = F.row_number().over(Window.partitionBy(own, "__text").orderBy("__row"))
+    once = once.withColumn("__place", least).where("__place = 1").select(docs.columns)
+    return kept.join(again, match, "left_anti").unionByName(once)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

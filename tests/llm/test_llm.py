@@ -268,7 +268,7 @@ def test_token_files_round_trip(spark, docs, odd_docs):
     for df, size in ((docs, 5000), (odd_docs, 3)):
         path = fresh_path(spark, "files")
         manifest = token_files.write_token_files(df, VOCABULARY, path, end_id=1, ids_per_file=size)
-        got = [tuple(r) for r in token_files.read_token_files(manifest, path).orderBy("start").collect()]
+        got = [tuple(r) for r in token_files.read_token_files(spark, path).orderBy("start").collect()]
         start, want = 0, []
         for d, t in sorted(texts_of(df), key=lambda x: (x[0] is not None, x[0] or 0)):
             ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -280,7 +280,7 @@ def test_token_files_round_trip(spark, docs, odd_docs):
 
 def test_token_file_access():
     packed = [np.arange(n, dtype="<u2").tobytes() for n in (3, 1, 0, 5)]
-    f = token_files.TokenFile(token_files.pack_file(packed, [None, -5, 7, 7], 2))
+    f = token_files.TokenFile(b"".join(token_files.pack_file(packed, [None, -5, 7, 7], 2)))
     assert len(f) == 4 and f.doc_ids() == [None, -5, 7, 7] and [f.ids(i).tolist() for i in range(4)] == [[0, 1, 2], [0], [], [0, 1, 2, 3, 4]]
 
 
@@ -304,7 +304,7 @@ def test_token_counts_as_the_libraries(spark, docs, odd_docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     for path, count in ((VOCABULARY, lambda t: len(tok.encode(t, add_special_tokens=False))), (P.path("piece_bpe_32k.model"), lambda t: len(sp.encode(t)))):
         for df in (docs.limit(40), odd_docs):
-            got = sorted((str(r[0]), *r[1:]) for r in token_counts.count_tokens(df, path, limit=100, memo_size=50).collect())
+            got = sorted((str(r[0]), *r[1:]) for r in token_counts.count_tokens(df, path, limit=100, head=50, held=30).collect())
             assert got == sorted((str(d), len((t or "").encode()), n, n > 100) for d, t in texts_of(df) for n in [count(t or "")])
     assert token_counts.count_tokens(odd_docs.limit(0), VOCABULARY).count() == 0
 
@@ -454,3 +454,61 @@ def test_simhash_keeps_one(spark, odd_docs):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("kept"))
     got = simhash.deduplicated(df)
     assert got.columns == df.columns and sorted(str(r["doc_id"]) for r in got.collect()) == ["2", "9", "None"]
+
+
+def test_simhash_with_an_id_on_two_texts(spark):
+    one, other = "a text that three rows share word by word", "quite another text that only one row of all has"
+    df = spark.createDataFrame([(2, one), (9, one), (9, other), (9, one)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicated(df).collect())) == [(2, one), (9, other)]
+    for wide in (0, 11):
+        got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, wide=wide).collect())
+        assert got == [(2, 2), (9, 2), (9, 2), (9, 9)]
+    assert sorted(map(tuple, simhash.deduplicated(df, wide=11).collect())) == [(2, one), (9, other)]
+
+
+def test_token_ranges_of_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(0)
+    ids = [None] * 300 + [7] * 300 + list(range(100, 400))
+    rows = [(i, " ".join(f"word{x}" for x in rng.integers(0, 50, 6))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    borders, blank = token_files.range_borders(df, "doc_id", 12)
+    assert borders == sorted(borders) and borders.count(7) >= 4 and blank == 4
+    digest = np.sort(rng.integers(-(2**63), 2**63 - 1, 300))
+    for given in ([None] * 300, [7] * 300):
+        found = token_files.ranges(token_files.pa.array(given, token_files.pa.int64()), digest, np.array(borders), blank)
+        assert (np.diff(found) >= 0).all() and np.bincount(found).max() < 130
+    path = fresh_path(spark, "files")
+    token_files.write_token_files(df, VOCABULARY, path, end_id=1, ids_per_file=500)
+    got = [tuple(r) for r in token_files.read_token_files(spark, path).orderBy("start").collect()]
+    assert [r[0] for r in got] == sorted(ids, key=lambda x: (x is not None, x or 0))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    tok = Tokenizer.from_file(VOCABULARY)
+    want = [zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows]
+    assert sorted(r[3] for r in got) == sorted(want)
+
+
+def test_very_long_texts(spark, tik):
+    """Some megabytes in many words, and in a single one, beside a short text."""
+    many = "the quick brown fox jumps over a lazy dog. " * 50_000
+    single = "ab" * 1_000_000
+    rows = [(1, many, "en", "s"), (2, single, "en", "s"), (3, "short", "en", "s"), (20, many, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tok = Tokenizer.from_file(VOCABULARY)
+    count = {d: len(tok.encode(t, add_special_tokens=False)) for d, t, *_ in rows[:3]}
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, VOCABULARY).collect()}
+    assert counted == {**count, 20: count[1]}
+    path = fresh_path(spark, "files")
+    token_files.write_token_files(df, VOCABULARY, path, end_id=1)
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.read_token_files(spark, path).collect()} == counted
+    assert {r["doc_id"]: r["n_tokens"] for r in byte_bpe.round_trip(df, RANKS, P.PATTERN).collect()}[1] == len(tik.encode_ordinary(many))
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert near == {1: 1, 2: 2, 3: 3, 20: 1}
+    assert sorted(r["size"] for r in sharding.shard(df, 2).collect()) == [6, 2_000_001, len(many) + 1, len(many) + 1]
+    profiles = language_id.fit_profiles(df, F.lit(True))
+    assert {r["lang_pred"] for r in language_id.identify(df, profiles, keep=["doc_id"]).collect()} == {"en"}
+    model = quality.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.lit(True))
+    assert all(0 <= r["score"] <= 1 for r in quality.score(df, model, keep=["doc_id"]).collect())
+    bench = spark.createDataFrame([(1, "a lazy dog. the quick brown fox jumps over a lazy")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(df, bench).collect()} == {1, 20}
+    pages = df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://x.com/en/"), "text").alias("url"))
+    assert {r["rule"] for r in url_filters.judge(pages, url_filters.RULES, url_filters.DEFAULT_RULES).collect()} == {"com/en/"}
