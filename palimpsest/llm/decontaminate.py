@@ -17,13 +17,16 @@ off in blocks, each with its own table.
 
 Results for odd rows: null or empty texts hold nothing; items without a word are not searched for;
 items under `SHORT` words must occur word for word; rows without an id are searched and give rows
-without an id; repeated rows and items each give their rows; empty tables give no rows; other
-columns are ignored.
+without an id; repeated rows and items each give their rows; of a document's passages that hold one
+item the best counts (ties by answer, then cosine), so there is one row a document and item; a text
+of many megabytes is searched whole, and a single long word is one word; empty tables give no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import table, written
-from palimpsest.llm.pretokens import Each
 
 WINDOW, RANK, EXTRA = 48, 160, 16
-BLOCK_ITEMS, MEMO_SIZE = 20_000, 400_000
+BLOCK_ITEMS = 20_000
 #: Documents whose shares of the matrices one task sums, and term rows of a matrix summed together.
 FIT_DOCS, FIT_ROWS = 10_000, 128
 #: Terms in more than this share of the documents weigh nothing.
@@ -46,11 +48,21 @@ STEP = 200_000
 #: Least cosine of a candidate; least shares of the item in the common subsequence and of its answer words.
 COSINE, LCS, ANSWER = 0.35, 0.7, 0.6
 SHORT = 8
-_NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD = re.compile(r"(?:[^\w\s]|_)+")
 
 
-def normal(word: str) -> str:
-    return word.lower() if word.isalnum() else _NOT_WORD.sub("", word.lower())
+#: Bytes of plain texts: A-Z in lower case; without what is no letter, digit or space.
+_PLAIN = bytes(range(65)) + b"abcdefghijklmnopqrstuvwxyz" + bytes(range(91, 256))
+_DROPPED = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
+
+
+def normal_words(text: str | None) -> list[str]:
+    """The words of a text in lower case, without characters that are no letters or digits; words of such characters alone are left out."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(_PLAIN, _DROPPED).decode().split()
+    return _NOT_WORD.sub("", text.lower()).split()
 
 
 class Items:
@@ -60,7 +72,7 @@ class Items:
         self.number: dict[str, int] = {}
         self.ids, self.terms, self.answers = [], [], []
         for item, text in rows:
-            found = [w for w in map(normal, (text or "").split()) if w]
+            found = normal_words(text)
             if found:
                 self.ids.append(item)
                 self.terms.append([self.number.setdefault(w, len(self.number)) for w in found])
@@ -69,18 +81,15 @@ class Items:
         self.idf = np.zeros(len(self.number), np.float32)
         self.basis = np.zeros((len(self.number), 1), np.float32)
 
-    def masks(self) -> list[dict[int, int]]:
-        """For each item its terms' places as bits."""
-        out = []
-        for terms in self.terms:
-            own: dict[int, int] = {}
-            for i, t in enumerate(terms):
-                own[t] = own.get(t, 0) | 1 << i
-            out.append(own)
-        return out
-
-    def memo(self, most: int = MEMO_SIZE) -> Each:
-        return Each(lambda w: self.number.get(normal(w), -1), most)
+    def masks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of each item's terms as bits: (item * number of terms + term, in order; 64 bits), for items of up to 64 words."""
+        own: dict[int, int] = {}
+        for k, terms in enumerate(self.terms):
+            for i, t in enumerate(terms if len(terms) <= 64 else ()):
+                at = k * len(self.number) + t
+                own[at] = own.get(at, 0) | 1 << i
+        keys = np.array(sorted(own), np.int64)
+        return keys, np.array([own[x] for x in keys.tolist()], np.uint64)
 
     @property
     def code(self) -> str:
@@ -98,16 +107,26 @@ def common_subsequence(terms: list[int], mask: dict[int, int], size: int) -> int
     return size - v.bit_count()
 
 
+def common_subsequences(places: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The same for many at once: each row has the bits of its words' places in its item of up to 64 words."""
+    full = np.uint64(2**64 - 1) >> (64 - size).astype(np.uint64)
+    v = full.copy()
+    for k in range(places.shape[1]):
+        u = v & places[:, k]
+        v = ((v + u) | (v - u)) & full
+    return size - np.bitwise_count(v)
+
+
 def term_rows(rows: DataFrame, items: Items) -> DataFrame:
     """(id, terms binary): the term numbers of all words of a text, -1 where a word is none of the items'."""
     schema = T.StructType([rows.schema["id"], T.StructField("terms", T.BinaryType())])
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        memo, code = shared.value.memo(), shared.value.code
+        get, code = shared.value.number.get, shared.value.code
         for batch in batches:
-            found = (t.split() if t else [] for t in batch.column(1).to_pylist())
-            packed = [np.fromiter(map(memo.__getitem__, w), code, len(w)).tobytes() for w in found]
+            found = map(normal_words, batch.column(1).to_pylist())
+            packed = [np.fromiter(map(get, w, repeat(-1)), code, len(w)).tobytes() for w in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "terms"])
 
     return written(rows.select("id", "text").mapInArrow(run, schema), "terms")
@@ -273,84 +292,124 @@ def fit_latent(items: Items, rows: DataFrame, rank: int = RANK) -> np.ndarray:
 class Finder:
     """Looks for the items in the term numbers of whole texts."""
 
+    #: Candidates checked at once.
+    CHUNK = 4096
+
     def __init__(self, items: Items):
         self.items = items
         self.projected = items.basis * items.idf[:, None]
         self.ones = (items.idf > 0).astype(np.float32)
         latent = _item_matrix(items, items.basis)
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.masks = items.masks()
+        self.keys, self.places = items.masks()
+        self.size = np.array([len(t) for t in items.terms])
+        # What the common subsequence must reach; items under SHORT must occur word for word.
+        self.least = np.where(self.size < SHORT, self.size, np.ceil(LCS * self.size - 1e-9).astype(np.int64))
         # A rewording may keep the words without weight alone. Where these reach LCS, or the vector is
         # zero, its product with the item says nothing; the item's words are looked for one by one.
         blind = np.array([(items.idf[t] == 0).mean() >= LCS for t in items.terms])
-        self.plain = np.nonzero(blind | ~latent.any(axis=1))[0].tolist()
-        own = sorted({t for k in self.plain for t in items.terms[k]})
+        self.plain = np.nonzero(blind | ~latent.any(axis=1))[0]
+        own = sorted({t for k in self.plain.tolist() for t in items.terms[k]})
         self.column = np.full(len(items.number), -1)
         self.column[own] = np.arange(len(own))
+        self.words = np.zeros((len(own), len(self.plain)), np.float32)
+        for i, k in enumerate(self.plain.tolist()):
+            np.add.at(self.words[:, i], self.column[items.terms[k]], 1)
 
     def __call__(self, terms: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(text number, item number, cosine, shares) of what is found, best passage of each pair."""
         p = Passages(terms, size)
         found: dict[tuple[int, int], tuple] = {}
-        if p.n_blocks:
-            v = p.sums(terms, self.projected, self.ones)
-            length = np.linalg.norm(v, axis=1)
-            live = np.nonzero(length > 1e-6)[0]
-            for at in np.array_split(live, -(-len(live) * len(self.latent) // 4_000_000) or 1):
-                cosine = v[at] @ self.latent.T / length[at, None]
-                for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    self._check(found, terms, p, int(at[i]), int(k), float(cosine[i, k]))
-            for k, blocks in self._plain_blocks(terms, p):
-                for b in blocks.tolist():
-                    self._check(found, terms, p, b, k, 0.0)
+        for block, item, cosine in self._candidates(terms, p):
+            for lo in range(0, len(block), self.CHUNK):
+                part = slice(lo, lo + self.CHUNK)
+                self._check(found, terms, p, block[part], item[part], cosine[part])
         return [(d, k, *x) for (d, k), x in sorted(found.items())]
 
-    def _plain_blocks(self, terms: np.ndarray, p: Passages):
-        """(item, blocks) of the plain items: all blocks whose surroundings hold enough of the item's words, counted without their order."""
-        if not self.plain:
+    def _candidates(self, terms: np.ndarray, p: Passages):
+        """(blocks, items, cosines): windows near an item in the latent space, and windows with enough words of a plain item."""
+        if not p.n_blocks:
             return
-        width, half = int(self.column.max()) + 1, WINDOW // 2
+        v = p.sums(terms, self.projected, self.ones)
+        length = np.linalg.norm(v, axis=1)
+        live = np.nonzero(length > 1e-6)[0]
+        for at in np.array_split(live, -(-len(live) * len(self.latent) // 4_000_000) or 1):
+            cosine = v[at] @ self.latent.T / length[at, None]
+            i, k = np.nonzero(cosine >= COSINE)
+            yield at[i], k, cosine[i, k]
+        if len(self.plain):
+            yield from self._plain_candidates(terms, p)
+
+    def _plain_candidates(self, terms: np.ndarray, p: Passages):
+        """Counts an item's places whose word lies in a window's surroundings, whatever their order, as if each word were there often enough."""
+        width, half = len(self.words), WINDOW // 2
         column = np.where(terms >= 0, self.column[np.maximum(terms, 0)], -1)
         used = np.nonzero(column >= 0)[0]
-        counts = np.bincount(p.block[used] * width + column[used], minlength=p.n_blocks * width).reshape(p.n_blocks, width)
-        upto = np.zeros((p.n_blocks + 1, width), np.int32)
-        np.cumsum(counts, axis=0, out=upto[1:])
-        at, first, last = np.arange(p.n_blocks), p.first_block[p.doc], p.block_ends[p.doc]
-        by_reach: dict[int, list[int]] = {}
-        for k in self.plain:
-            by_reach.setdefault(-(-len(self.items.terms[k]) // half), []).append(k)
-        for reach, group in by_reach.items():
-            near = upto[np.minimum(at + 2 + reach, last)] - upto[np.maximum(at - reach, first)]
-            words = np.zeros((width, len(group)), np.float32)
-            for i, k in enumerate(group):
-                np.add.at(words[:, i], self.column[self.items.terms[k]], 1)
-            # First as if each word were there as often as the item has it, then as often as it is.
-            most = (near > 0).astype(np.float32) @ words
-            for i, k in enumerate(group):
-                n = len(self.items.terms[k])
-                least = n if n < SHORT else LCS * n - 1e-3
-                some, c = np.nonzero(most[:, i] >= least)[0], np.nonzero(words[:, i])[0]
-                yield k, some[np.minimum(near[some[:, None], c], words[c, i]).sum(axis=1) >= least]
-
-    def _check(self, found, terms, p: Passages, block: int, k: int, cosine: float) -> None:
-        own, n = self.items.terms[k], len(self.items.terms[k])
-        doc = int(p.doc[block])
-        if (best := found.get((doc, k))) and best[1] == 1.0:
+        step = max(1, 8_000_000 // max(1, width))
+        reach = -(-self.size[self.plain] // half)
+        for lo in range(0, p.n_blocks, step):
+            # A step's blocks, with as many beside them as any item reaches.
+            first, last = max(0, lo - int(reach.max())), min(p.n_blocks, lo + step + 2 + int(reach.max()))
+            own = used[(p.block[used] >= first) & (p.block[used] < last)]
+            held = np.zeros((last - first, width), bool)
+            held[p.block[own] - first, column[own]] = True
+            held = np.packbits(held, axis=1)
+            at = np.arange(lo, min(lo + step, p.n_blocks))
+            for r in np.unique(reach).tolist():
+                near = held[at - first].copy()
+                for shift in (x for x in range(-r, r + 2) if x):
+                    to = np.nonzero((at + shift >= p.first_block[p.doc[at]]) & (at + shift < p.block_ends[p.doc[at]]))[0]
+                    near[to] |= held[at[to] + shift - first]
+                group = np.nonzero(reach == r)[0]
+                n = np.unpackbits(near, axis=1, count=width).astype(np.float32) @ self.words[:, group]
+                i, k = np.nonzero(n >= self.least[self.plain[group]] - 0.5)
+                yield at[i], self.plain[group[k]], np.zeros(len(i))
+
+    def _check(self, found, terms, p: Passages, block: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> None:
+        """Keep what holds the item: first its words, whatever their order, then the common subsequence, then the answer."""
+        n = self.size[item]
+        doc = p.doc[block]
+        lo = np.maximum(p.starts[doc], p.begin[block] - n)
+        hi = np.minimum(p.ends[doc], p.begin[block] + WINDOW + n)
+        for i in np.nonzero(n > 64)[0].tolist():
+            self._keep(found, terms[lo[i] : hi[i]].tolist(), int(doc[i]), int(item[i]), float(cosine[i]), None)
+        some = np.nonzero(n <= 64)[0]
+        if not len(some) or not len(self.keys):
             return
-        lo = max(int(p.starts[doc]), int(p.begin[block]) - n)
-        part = terms[lo : min(int(p.ends[doc]), int(p.begin[block]) + WINDOW + n)].tolist()
+        at = lo[some, None] + np.arange(int((hi - lo)[some].max()))
+        row, col = np.nonzero(at < hi[some, None])
+        term = terms[at[row, col]]
+        row, col, term = (x[term >= 0] for x in (row, col, term))
+        key = item[some[row]] * len(self.items.number) + term
+        where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.nonzero(self.keys[where] == key)[0]
+        places = np.zeros(at.shape, np.uint64)
+        places[row[hit], col[hit]] = self.places[where[hit]]
+        enough = np.nonzero(np.bitwise_count(np.bitwise_or.reduce(places, axis=1)) >= self.least[item[some]])[0]
+        lcs = common_subsequences(places[enough], n[some[enough]])
+        for i, x in zip(some[enough].tolist(), lcs.tolist(), strict=True):
+            if x >= self.least[item[i]]:
+                self._keep(found, terms[lo[i] : hi[i]].tolist(), int(doc[i]), int(item[i]), float(cosine[i]), x)
+
+    def _keep(self, found, part: list[int], doc: int, k: int, cosine: float, length: int | None) -> None:
+        own, n = self.items.terms[k], len(self.items.terms[k])
+        if length is None:
+            mask: dict[int, int] = {}
+            for i, t in enumerate(own):
+                mask[t] = mask.get(t, 0) | 1 << i
+            length = common_subsequence(part, mask, n)
+            if length < self.least[k]:
+                return
         if n < SHORT:
             if not any(part[i : i + n] == own for i in range(len(part) - n + 1)):
                 return
-            found[doc, k] = max(found.get((doc, k), (0.0, 0.0, 0.0)), (cosine, 1.0, 1.0), key=lambda x: x[1:])
-            return
-        lcs = common_subsequence(part, self.masks[k], n) / n
-        if lcs < LCS:
-            return
-        answer = self.items.answers[k]
-        share = len(answer.intersection(part)) / len(answer)
-        if share >= ANSWER:
-            found[doc, k] = max(found.get((doc, k), (0.0, 0.0, 0.0)), (cosine, lcs, share), key=lambda x: (x[1], x[2], x[0]))
+            got = (cosine, 1.0, 1.0)
+        else:
+            answer = self.items.answers[k]
+            got = (cosine, length / n, len(answer.intersection(part)) / len(answer))
+            if got[2] < ANSWER:
+                return
+        found[doc, k] = max(found.get((doc, k), (0.0, 0.0, 0.0)), got, key=lambda x: (x[1], x[2], x[0]))
 
 
 def _fit(rows: DataFrame, items: Items) -> Items:
