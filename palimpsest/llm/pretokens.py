@@ -56,19 +56,20 @@ class Recent:
         """A dictionary that has all of `keys`, until the next call."""
         if self.size > self.half:
             self.size, self.new, self.old = 0, {}, self.new
-        new, missing, moved = self.new, [], 0
-        for k in keys:
-            if k not in new:
-                if (found := self.old.get(k)) is None:
-                    missing.append(k)
-                else:
-                    new[k] = found
-                    moved += self.ENTRY + len(k)
+        new, old = self.new, self.old
+        missing = [k for k in keys if k not in new]
+        if old:
+            again = [k for k in missing if k in old]
+            self.add(again, [old[k] for k in again])
+            missing = [k for k in missing if k not in old]
         if missing:
-            new.update(zip(missing, self.make(missing), strict=True))
-        self.size += moved + self.ENTRY * len(missing) + sum(map(len, missing))
+            self.add(missing, self.make(missing))
         return new
 
+    def add(self, keys: list, values: list) -> None:
+        self.new.update(zip(keys, values, strict=True))
+        self.size += self.ENTRY * len(keys) + sum(map(len, keys))
+
 
 class Each(dict):
     """Key -> value of a cheap function; keeps what was used last, in two generations of `most` / 2 entries."""
@@ -106,24 +107,66 @@ def forget() -> None:
     _KEPT.clear()
 
 
+# Byte-level vocabularies show a byte as its own character where that is printable, the others in order from U+0100.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
 class WordPieces:
-    """Values of white-space words under a tokenizers file that lower-cases and drops white space.
+    """Values of white-space words under a byte-level tokenizers file that lower-cases and drops white space.
 
-    `value(pieces)` asks the library for a list of strings; `join` puts the values of a word's
-    pieces together. Plain Latin words are cut into the vocabulary's pre-tokens first, so that
-    the library meets each of these once; other words go to it whole.
+    Plain Latin words are cut into the vocabulary's pre-tokens, in lower case, and each of these goes
+    to the vocabulary's merges alone, `plain(piece)`: its normalizer and splitter do not change them.
+    Words of other characters go to the library whole and together, `value(words)`. `join` puts
+    the values of a word's pieces together. Words and pieces share one dictionary of `most` bytes.
     """
 
     _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     _WHOLE = re.compile(Splitter._OTHER.pattern + "|\u0130|<[|]")
+    _MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
-    def __init__(self, value, join, most: int):
-        self.join = join
-        self.pieces = Recent(value, most)
+    def __init__(self, plain, value, join, most: int):
+        self.plain, self.value, self.join = plain, value, join
         self.words = Recent(self._values, most)
 
     def _values(self, new: list[str]) -> list:
-        whole, cut = self._WHOLE.search, self._PIECES.findall
-        parts = [[w] if whole(w) else cut(w.lower()) for w in new]
-        get, join = self.pieces.hold(set().union(*parts)).__getitem__, self.join
-        return [get(p[0]) if len(p) == 1 else join(map(get, p)) for p in parts]
+        whole, cut, marks, join, plain = self._WHOLE.search, self._PIECES.findall, self._MARKS, self.join, self.plain
+        made: dict = {}
+        held, old = self.words.new.get, self.words.old.get
+
+        def piece(p):
+            if (v := made.get(p)) is None and (v := held(p)) is None:
+                made[p] = v = old(p) or plain(p)
+            return v
+
+        out, late = [], []
+        for w in new:
+            core = w.rstrip(marks)
+            if core.isalpha() and (core.isascii() or not whole(core)):
+                v = piece(core.lower())
+                out.append(v if len(core) == len(w) else join((v, piece(w[len(core) :]))))
+            elif whole(w):
+                late.append(len(out))
+                out.append(None)
+            else:
+                out.append(join(map(piece, cut(w.lower()))))
+        for at, v in zip(late, self.value([new[i] for i in late]) if late else (), strict=True):
+            out[at] = v
+        self.words.add(list(made), list(made.values()))
+        return out
+
+
+def word_pieces(vocabulary: str, kind, join, most: int) -> WordPieces:
+    """The dictionary for a tokenizers file; `kind` makes a value of a list of ids."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    tok = Tokenizer.from_file(vocabulary)
+    merges = tok.model.tokenize
+
+    def plain(p: str):
+        return kind([t.id for t in merges(p if p.isascii() else p.encode().decode("latin-1").translate(SHOWN))])
+
+    return WordPieces(plain, lambda new: [kind(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)], join, most)

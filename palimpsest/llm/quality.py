@@ -1,11 +1,11 @@
 """Quality classifier (operator 4): random-indexing word vectors, pooled, and a two-layer network.
 
-A token's type is its shape (runs of upper, lower, digit; other characters as they are) with its
-first letters, hashed to one of `TYPES` rows. Each type has a fixed sparse ternary index vector;
-its word vector is the sum of the index vectors of the tokens beside it, over the sample, scaled
-to length one. A document is the mean of its tokens' word and index vectors, over its whole text
-and `PRIOR` tokens of the average kind, which steady short texts. A token of its predecessor's
-type has a type of its own, REPEAT.
+A word in lower case hashes to one of `WORDS` rows, its shape (runs of upper, lower, digit; other
+characters as they are) to one of `SHAPES`. Each row has a fixed sparse ternary index vector. The
+vector of a word is the sum of the index vectors of the words beside it, over the sample, scaled
+to length one (zero for a word that the sample lacks). A document is the mean of its words' vectors
+and of its shapes' index vectors, over its whole text and `PRIOR` tokens of the average kind, which
+steady short texts. A token equal to the one before has a shape of its own, REPEAT.
 A network of one hidden layer and a logistic output is trained in numpy; its logits are divided by
 a temperature that is fitted on rows set aside from the training rows.
 
@@ -13,10 +13,11 @@ The classifier is fitted on a bounded sample: about `sample_rows` labelled docum
 hash of the id. Scoring covers all rows in one pass without a shuffle.
 
 Results for odd rows: null and empty texts have the average vector and get its score; a document with
-several labels counts as 1 if any of them is 1; null labels are left out; rows without an id are
-scored, not held out and not learned from; repeated rows stay repeated; with no label, or labels
-of one class only, the score is that class's share (0.5 with none); an empty table gives an empty
-table; other columns are ignored.
+several labels (ties) counts as 1 if any of them is 1; null labels are left out; rows without an id
+are scored, not held out and not learned from; repeated rows stay repeated, and each text of an id
+that repeats is learned from; a text of many megabytes is pooled whole, and a single long word is one
+word; with no label, or labels of one class only, the score is that class's share (0.5 with none); an
+empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,18 +36,22 @@ from palimpsest.llm.common import map_texts, schema_of, table, written
 from palimpsest.llm.language_id import held_out
 from palimpsest.llm.pretokens import Each
 
-TYPES, DIM, NONZERO, REACH = 1 << 14, 48, 6, 2
+WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 15, 1 << 12, 48, 6, 2
 REPEAT, PRIOR = 0, 8
 SAMPLE_ROWS, TASKS = 12_000, 6
 MEMO_SIZE = 400_000
+#: Tokens handled at once.
+STEP = 50_000
 HIDDEN, EPOCHS, SEED = 32, 40, 7
 _RUNS = re.compile(r"(.)\1+")
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_X]+"), re.compile(r"\d+")
 
 
 def token_type(word: str) -> int:
-    shape = _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))
-    return zlib.crc32(f"{_RUNS.sub(r'\1', shape)[:8]}|{word[:3].lower()}".encode("utf-8", "replace")) % (TYPES - 1) + 1
+    """The rows of a token's word and of its shape, as one number: word * SHAPES + shape."""
+    low = word.lower().encode("utf-8", "replace")
+    shape = _RUNS.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word))))[:8]
+    return zlib.crc32(low) % WORDS * SHAPES + zlib.crc32(shape.encode("utf-8", "replace")) % (SHAPES - 1) + 1
 
 
 def types_memo() -> Each:
@@ -54,64 +59,58 @@ def types_memo() -> Each:
 
 
 @functools.cache
-def index_vectors() -> np.ndarray:
-    """Sparse ternary vectors of the types, from a fixed seed."""
+def index_vectors(rows: int) -> np.ndarray:
+    """Sparse ternary vectors, from a fixed seed."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((TYPES, DIM), np.float32)
-    at = rng.random((TYPES, DIM)).argsort(axis=1)[:, :NONZERO]
-    out[np.arange(TYPES)[:, None], at] = np.where(rng.random((TYPES, NONZERO)) < 0.5, -1, 1)
+    out = np.zeros((rows, DIM), np.float32)
+    at = rng.random((rows, DIM)).argsort(axis=1)[:, :NONZERO]
+    out[np.arange(rows)[:, None], at] = np.where(rng.random((rows, NONZERO)) < 0.5, -1, 1)
     return out
 
 
-def _flat(texts, memo) -> tuple[np.ndarray, np.ndarray]:
-    """Types of all tokens, and the number of tokens of each text."""
+def _flat(texts, memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and shapes of all tokens, and the number of tokens of each text."""
     found = [t.split() if t else [] for t in texts]
     size = np.array([len(x) for x in found], np.int64)
-    types = np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
-    again = np.r_[False, types[1:] == types[:-1]] if len(types) else np.empty(0, bool)
+    both = np.fromiter(map(memo.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
+    word, shape = both // SHAPES, both % SHAPES
+    again = np.r_[False, both[1:] == both[:-1]] if len(both) else np.empty(0, bool)
     ends = np.cumsum(size)
     again[(ends - size)[size > 0]] = False
-    return np.where(again, REPEAT, types), size
+    return word, np.where(again, REPEAT, shape), size
 
 
-def _context(types: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sum over the tokens' neighbours of their index vectors, by the token's type."""
-    index, out = index_vectors(), np.zeros((TYPES, DIM), np.float64)
+def _context(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum over the tokens' neighbours of their index vectors, by the token's word."""
+    index, out = index_vectors(WORDS), np.zeros((WORDS, DIM), np.float64)
     doc = np.repeat(np.arange(len(size)), size)
     for k in range(1, REACH + 1):
         same = np.nonzero(doc[:-k] == doc[k:])[0] if len(doc) > k else np.empty(0, np.int64)
         # Pairs are counted first, so that each distinct pair adds its vectors once.
-        pair, n = np.unique(types[same] * TYPES + types[same + k], return_counts=True)
-        for a, b in ((pair // TYPES, pair % TYPES), (pair % TYPES, pair // TYPES)):
+        pair, n = np.unique(words[same] * WORDS + words[same + k], return_counts=True)
+        for a, b in ((pair // WORDS, pair % WORDS), (pair % WORDS, pair // WORDS)):
             order = np.argsort(a, kind="stable")
-            a, add = a[order], index[b[order]] * n[order, None]
-            starts = np.nonzero(np.r_[True, a[1:] != a[:-1]])[0] if len(a) else np.empty(0, np.int64)
-            if len(starts):
-                out[a[starts]] += np.add.reduceat(add, starts, axis=0)
+            a, b, times = a[order], b[order], n[order, None]
+            for lo in range(0, len(a), STEP):  # a word at a border is added in two parts
+                own = a[lo : lo + STEP]
+                starts = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+                out[own[starts]] += np.add.reduceat(index[b[lo : lo + STEP]] * times[lo : lo + STEP], starts, axis=0)
     return out
 
 
 def pool(texts: list[str | None], vectors: np.ndarray, prior: np.ndarray, memo) -> np.ndarray:
-    """Mean vector of each whole text's tokens, and of PRIOR average ones."""
-    out = np.tile(prior, (len(texts), 1))
-    types, size = _flat(texts, memo)
-    ends = np.cumsum(size)
-    has = np.nonzero(size)[0]
-    # In steps of whole texts, so that the gathered rows stay small; a long text is summed in parts.
-    lo = 0
-    while lo < len(has):
-        first = ends[has[lo]] - size[has[lo]]
-        hi = max(lo + 1, int(np.searchsorted(ends[has], first + 100_000, "right")))
-        part = has[lo:hi]
-        if len(part) == 1:
-            own = types[first : ends[part[0]]]
-            total = sum(vectors[own[k : k + 100_000]].sum(axis=0, dtype=np.float64) for k in range(0, len(own), 100_000))
-            out[part[0]] = (total + PRIOR * prior) / (size[part[0]] + PRIOR)
-        else:
-            own = vectors[types[first : ends[part[-1]]]]
-            out[part] = (np.add.reduceat(own, ends[part] - size[part] - first, axis=0) + PRIOR * prior) / (size[part, None] + PRIOR)
-        lo = hi
-    return out
+    """Mean vectors of each whole text's words and shapes, and of PRIOR average ones."""
+    words, shapes, size = _flat(texts, memo)
+    total = np.zeros((len(texts), 2 * DIM))
+    doc = np.repeat(np.arange(len(size)), size)
+    index = index_vectors(SHAPES)
+    # In steps, so that the gathered rows stay small; a long text is summed in parts.
+    for lo in range(0, len(doc), STEP):
+        own = doc[lo : lo + STEP]
+        starts = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+        total[own[starts], :DIM] += np.add.reduceat(vectors[words[lo : lo + STEP]], starts, axis=0)
+        total[own[starts], DIM:] += np.add.reduceat(index[shapes[lo : lo + STEP]], starts, axis=0)
+    return ((total + PRIOR * prior) / (size[:, None] + PRIOR)).astype(np.float32)
 
 
 class Network:
@@ -183,21 +182,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     rows = written(rows, "quality-sample").coalesce(TASKS)
 
     def contexts(batches):
-        memo, out = types_memo(), np.zeros((TYPES, DIM + 1))
+        memo, out, shaped = types_memo(), np.zeros((WORDS, DIM + 1)), np.zeros(SHAPES)
         for batch in batches:
             own = batch.column(0).to_pylist()
             for lo in range(0, len(own), 200):
-                types, size = _flat(own[lo : lo + 200], memo)
-                out[:, :DIM] += _context(types, size)
-                out[:, DIM] += np.bincount(types, minlength=TYPES)
-        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f4").tobytes()])], names=["m"])
-
-    parts = rows.select("text").mapInArrow(contexts, "m binary").collect()
-    both = sum((np.frombuffer(r["m"], "<f4").reshape(TYPES, DIM + 1).astype(float) for r in parts), np.zeros((TYPES, DIM + 1)))
-    context, times = both[:, :DIM], both[:, DIM]
+                words, shapes, size = _flat(own[lo : lo + 200], memo)
+                out[:, :DIM] += _context(words, size)
+                out[:, DIM] += np.bincount(words, minlength=WORDS)
+                shaped += np.bincount(shapes, minlength=SHAPES)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<f4").tobytes()]), pa.array([shaped.tobytes()])], names=["m", "shapes"])
+
+    context, shaped = np.zeros((WORDS, DIM + 1)), np.zeros(SHAPES)
+    for r in rows.select("text").mapInArrow(contexts, "m binary, shapes binary").toLocalIterator():
+        context += np.frombuffer(r["m"], "<f4").reshape(WORDS, DIM + 1)
+        shaped += np.frombuffer(r["shapes"])
+    context, times = context[:, :DIM], context[:, DIM]
     length = np.sqrt((context**2).sum(axis=1, keepdims=True))
-    vectors = np.hstack([context / np.maximum(length, 1e-9), index_vectors()]).astype(np.float32)
-    prior = (times @ vectors / max(1.0, times.sum())).astype(np.float32)
+    vectors = (context / np.maximum(length, 1e-9)).astype(np.float32)
+    prior = (np.r_[times @ vectors, shaped @ index_vectors(SHAPES)] / max(1.0, times.sum())).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)
 
     def pooled(batches):
@@ -222,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
 
 def score(docs: DataFrame, model: QualityModel, *, keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
     """The kept columns with `score` and `predicted` (names get the prefix)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TYPES vectors and the network
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # WORDS vectors and the network
 
     def make():
         run = shared.value.scorer()

@@ -23,7 +23,6 @@ whatever their names.
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from operator import mul
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import map_texts, pieces, schema_of, table, written
-from palimpsest.llm.pretokens import WordPieces, words
+from palimpsest.llm.pretokens import word_pieces, words
 
 #: Bytes of a task's dictionary of pieces, and pre-tokens that a task counts before it hands them on.
 MEMO_BYTES, HELD = 32 << 20, 200_000
@@ -42,15 +41,6 @@ MEMO_BYTES, HELD = 32 << 20, 200_000
 HEAD, HEAD_CHARS = 200_000, 40
 
 
-def _piece_counter(path: str, most: int):
-    """Dictionary from white-space word to number of tokens, for a file of the tokenizers library whose normalizer drops white space."""
-    from tokenizers import Tokenizer
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tok = Tokenizer.from_file(path)
-    return WordPieces(lambda new: [len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False)], sum, most).words
-
-
 def frequencies(texts: DataFrame, held: int = HELD) -> DataFrame:
     """(token, n): occurrences of each distinct pre-token of a column of texts."""
 
@@ -77,7 +67,7 @@ def dictionary(texts: DataFrame, vocabulary: str, *, held: int = HELD, memo_byte
     """(token, n, pieces): every distinct pre-token, its occurrences and its number of tokens, in a table of its own."""
 
     def run(batches):
-        memo = _piece_counter(vocabulary, memo_bytes)
+        memo = word_pieces(vocabulary, len, sum, memo_bytes).words
         for batch in batches:
             for lo in range(0, batch.num_rows, 10_000):
                 part = batch.slice(lo, 10_000)

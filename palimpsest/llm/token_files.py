@@ -16,7 +16,7 @@ of them. A writer task holds one file's ids; files are written under a temporary
 and a task that runs twice leaves the same file. Reading goes through Spark's binaryFile source;
 the start of a file comes from the headers of the files before it, summed by range first.
 
-A worker's dictionaries are bounded in bytes and dropped before the writing stage.
+A worker's dictionary is bounded in bytes and dropped before the writing stage.
 
 Results for odd rows: a null or empty text is a document of the end id alone; null document ids
 come first; documents with equal ids (ties) follow each other by a hash of the text, then by their
@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -40,13 +41,13 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.common import fresh_path, pieces, table, written
 from palimpsest.llm.elias_fano import EliasFano
-from palimpsest.llm.pretokens import WordPieces, forget, kept, words
+from palimpsest.llm.pretokens import forget, kept, word_pieces, words
 
 MAGIC = b"PTOK2\n"
 #: Ids in one file: it is closed after the document that reaches them.
 IDS_PER_FILE = 1 << 22
-#: Bytes of each of a worker's two dictionaries, of words and of pieces.
-MEMO_BYTES = 32 << 20
+#: Bytes of a worker's dictionary of words and pieces.
+MEMO_BYTES = 160 << 20
 #: Documents handed on at once by the reader.
 ROWS = 1 << 14
 _COUNT = struct.Struct("<I")
@@ -107,20 +108,11 @@ def read_header(stream) -> dict:
 
 def _ids_of_words(vocabulary: str, end_id: int, memo_bytes: int):
     """(number format, dictionary from a white-space word to its packed ids)."""
-    import array
-    import os
-
     from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tok = Tokenizer.from_file(vocabulary)
-    short = max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16
+    short = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16
     code = "H" if short else "I"
-
-    def value(new: list[str]) -> list[bytes]:
-        return [array.array(code, e.ids).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-
-    return "<u2" if short else "<u4", WordPieces(value, b"".join, memo_bytes).words
+    return "<u2" if short else "<u4", word_pieces(vocabulary, lambda ids: array(code, ids).tobytes(), b"".join, memo_bytes).words
 
 
 def range_borders(docs: DataFrame, id_col: str, parts: int) -> tuple[list[int], int]:
