@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,10 +18,10 @@ from pyspark.sql.window import Window
 from palimpsest.errors import ENTITY_NOT_FOUND, FACT_NOT_FOUND, INPUT_INVALID, LIFECYCLE_INVALID, RecordError
 from palimpsest.functions.text import blank_to_null, distinct_texts, entity_id, source_id, strip, text_or_empty
 from palimpsest.memory import Memory
-from palimpsest.operators.temporal import at, overlaps
+from palimpsest.operators.temporal import at
 from palimpsest.plans import schema
 from palimpsest.plans.requests import space_of
-from palimpsest.sources.shared import cut
+from palimpsest.sources.shared import cut, with_numbers
 
 SLOT_REASON = "cardinality_one_slot_replaced"
 # Metadata keys that only the lifecycle writes.
@@ -53,14 +54,13 @@ def _now(now: datetime) -> Column:
 
 
 def numbered(df: DataFrame, prefix: str, existing: DataFrame) -> DataFrame:
-    """Ids `prefix_000001` and so on for rows without one, after the greatest number that exists."""
+    """Ids `prefix_000001` and so on for rows without one, in the order of `pos`, after the greatest number that exists."""
     last = existing.agg(F.max(F.try_to_number(F.regexp_extract("id", f"^{prefix}_([0-9]+)$", 1), F.lit("999999999999999999")).cast("long"))).first()[0] or 0
     blank = F.col("id").isNull() | (F.col("id") == "")
     if df.where(blank).isEmpty():
         return df
-    order = F.row_number().over(Window.partitionBy("_blank").orderBy("pos"))
-    named = df.withColumn("_blank", blank).withColumn("_n", order + F.lit(last))
-    return named.withColumn("id", F.when(F.col("_blank"), F.format_string(f"{prefix}_%06d", "_n")).otherwise(F.col("id"))).drop("_blank", "_n")
+    named = with_numbers(df.where(blank), ["pos"], "_n")
+    return df.where(~blank).unionByName(named.withColumn("id", F.format_string(f"{prefix}_%06d", F.col("_n") + F.lit(last + 1))).drop("_n"))
 
 
 def merged_json(a: Column, b: Column) -> Column:
@@ -87,10 +87,10 @@ def ingest_episodes(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     rows = cut(resolved_sources(memory, rows).withColumn("ingested_at", _now(now)))
     sources = memory.sources.select(F.col("id").alias("source_id"), F.col("space_id").alias("_space"))
     _refuse(
-        (rows.where(short), INPUT_INVALID, "episode kind and content are required", "id", "kind"),
-        (rows.where(foreign.isNotNull() & (foreign != F.col("space_id"))), INPUT_INVALID, "source space must match episode space", "id", "space_id"),
-        (rows.join(sources, "source_id").where("_space <> space_id"), LIFECYCLE_INVALID, "source id already exists in another space", "source_id", "space_id"),
-        (replay_conflicts(memory, rows), LIFECYCLE_INVALID, "episode id already exists with different content", "id"),
+        (rows.where(short), INPUT_INVALID, "kind and content of an episode are required", "id", "kind"),
+        (rows.where(foreign.isNotNull() & (foreign != F.col("space_id"))), INPUT_INVALID, "the episode's source lies in a different space", "id", "space_id"),
+        (rows.join(sources, "source_id").where("_space <> space_id"), LIFECYCLE_INVALID, "this source id is taken in another space", "source_id", "space_id"),
+        (replay_conflicts(memory, rows), LIFECYCLE_INVALID, "this episode id is taken by different content", "id"),
     )
     first = Window.partitionBy("id").orderBy("pos")
     new = rows.join(memory.episodes.select("id"), "id", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1")
@@ -126,14 +126,14 @@ def replay_conflicts(memory: Memory, rows: DataFrame) -> DataFrame:
 def upsert_entities(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     """Add or change entities: the name is replaced, aliases and metadata are merged; space, namespace and type stay."""
     rows = _with(batch, schema.ENTITIES)
-    _refuse((rows.where((strip(text_or_empty("type")) == "") | (strip(text_or_empty("canonical_name")) == "")), INPUT_INVALID, "entity type and canonical_name are required", "id"))
+    _refuse((rows.where((strip(text_or_empty("type")) == "") | (strip(text_or_empty("canonical_name")) == "")), INPUT_INVALID, "type and canonical_name of an entity are required", "id"))
     named = F.coalesce(blank_to_null(F.col("stable_key")), F.col("canonical_name"))
     rows = rows.withColumn("id", F.coalesce(blank_to_null(F.col("id")), entity_id(F.col("namespace"), F.col("type"), named)))
     held = memory.entities.select("id", *(F.col(c).alias(f"_{c}") for c in memory.entities.columns if c != "id"))
     rows = cut(rows.join(held, "id", "left").withColumn("updated_at", _now(now)))
     upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = Window.partitionBy("id").orderBy("pos")
-    fixed = {"space_id": "entity id already exists in another space", "namespace": "entity namespace is immutable", "type": "entity type is immutable"}
+    fixed = {"space_id": "this entity id is taken in another space", "namespace": "an entity keeps its namespace", "type": "an entity keeps its type"}
     before = {c: F.coalesce(blank_to_null(F.col(f"_{c}")), F.first(blank_to_null(F.col(c)), ignorenulls=True).over(upto)) for c in fixed}
     rows = rows.withColumns({f"_before_{c}": b for c, b in before.items()})
     _refuse(*((rows.where((F.col(f"_before_{c}") != F.col(c)) & (text_or_empty(c) != "")), LIFECYCLE_INVALID, message, "id") for c, message in fixed.items()))
@@ -173,18 +173,18 @@ def check_facts(memory: Memory, rows: DataFrame) -> None:
         return rows.where(text_or_empty(column) != "").join(entities.withColumnRenamed("id", column), [column, "space_id"], "left_anti")
 
     _refuse(
-        (rows.where(short), INPUT_INVALID, "fact predicate and subject_id are required", "id"),
-        (rows.where(F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) < 1), INPUT_INVALID, "supporting_episode_ids must contain at least one episode", "id"),
-        (unknown("subject_id"), ENTITY_NOT_FOUND, "subject entity not found in space", "subject_id", "space_id"),
-        (unknown("object_id"), ENTITY_NOT_FOUND, "object entity not found in space", "object_id", "space_id"),
-        (support.join(episodes, ["episode_id", "space_id"], "left_anti"), INPUT_INVALID, "supporting episode not found in space", "episode_id", "space_id"),
-        (rows.join(memory.facts.select("id"), "id", "left_semi"), LIFECYCLE_INVALID, "fact id already exists", "id"),
-        (twice.where("_n > 1"), LIFECYCLE_INVALID, "fact id already exists", "id"),
-        (rows.where(~status.isin(*schema.STATUSES)), INPUT_INVALID, "invalid fact status", "id", "status"),
-        (rows.where(status != schema.ACTIVE), LIFECYCLE_INVALID, "fact status is lifecycle-managed; use supersede or retract", "id", "status"),
-        (rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED_KEYS)))), LIFECYCLE_INVALID, "fact metadata key is lifecycle-managed", "id"),
-        (rows.where(~F.col("cardinality").isin("one", "many")), INPUT_INVALID, "invalid fact cardinality", "id", "cardinality"),
-        (rows.where("valid_from >= valid_to"), INPUT_INVALID, "invalid fact validity interval", "id"),
+        (rows.where(short), INPUT_INVALID, "predicate and subject_id of a fact are required", "id"),
+        (rows.where(F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) < 1), INPUT_INVALID, "a fact needs a supporting episode", "id"),
+        (unknown("subject_id"), ENTITY_NOT_FOUND, "entity not found in the fact's space (subject)", "subject_id", "space_id"),
+        (unknown("object_id"), ENTITY_NOT_FOUND, "entity not found in the fact's space (object)", "object_id", "space_id"),
+        (support.join(episodes, ["episode_id", "space_id"], "left_anti"), INPUT_INVALID, "no such supporting episode in the fact's space", "episode_id", "space_id"),
+        (rows.join(memory.facts.select("id"), "id", "left_semi"), LIFECYCLE_INVALID, "this fact id already exists", "id"),
+        (twice.where("_n > 1"), LIFECYCLE_INVALID, "this fact id already exists", "id"),
+        (rows.where(~status.isin(*schema.STATUSES)), INPUT_INVALID, "not a status of facts", "id", "status"),
+        (rows.where(status != schema.ACTIVE), LIFECYCLE_INVALID, "status is lifecycle-managed: supersede or retract the fact", "id", "status"),
+        (rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED_KEYS)))), LIFECYCLE_INVALID, "the metadata has a lifecycle-managed key", "id"),
+        (rows.where(~F.col("cardinality").isin("one", "many")), INPUT_INVALID, "cardinality is neither one nor many", "id", "cardinality"),
+        (rows.where("valid_from >= valid_to"), INPUT_INVALID, "the validity interval is empty", "id"),
     )
 
 
@@ -192,15 +192,44 @@ def slot_replacements(current: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id, new_from, new_at): for each fact the first later fact of cardinality one that takes its slot.
 
     A validity changes only when its fact is superseded, so the first later fact of the slot that
-    overlaps it is the one: no fold over the slot is needed. `current` holds active facts (pos -1);
-    both have the columns of the slot, validity, id and pos.
+    overlaps it is the one. The facts of a slot are swept in the order of `pos`: those not yet taken
+    are held, and a fact of cardinality one takes those it overlaps, so no pairs are listed and a
+    slot of any length streams through. `current` holds active facts (pos -1); both have the
+    columns of the slot, validity, id and pos.
     """
-    narrow = ["id", "pos", *_SLOT, "valid_from", "valid_to"]
-    old = current.select(narrow).unionByName(new.select(narrow))
-    one = new.where("cardinality = 'one'").select(*_SLOT, F.col("id").alias("new_id"), F.col("pos").alias("new_pos"), F.col("valid_from").alias("new_from"), F.col("valid_to").alias("new_to"), F.col("created_at").alias("new_at"))
-    met = old.join(one, _SLOT).where((F.col("new_pos") > F.col("pos")) & overlaps(F.col("valid_from"), F.col("valid_to"), F.col("new_from"), F.col("new_to")))
-    best = met.groupBy(F.col("id").alias("old_id")).agg(F.min_by(F.struct("new_id", "new_from", "new_at"), "new_pos").alias("b"))
-    return best.select("old_id", "b.*")
+    narrow = ["id", *_SLOT, "valid_from", "valid_to"]
+    never = F.lit(None).cast("timestamp")
+    old = current.select(*narrow, F.lit(-1).cast("long").alias("pos"), F.lit(False).alias("one"), never.alias("created_at"))
+    made = new.select(*narrow, F.col("pos").cast("long"), (F.col("cardinality") == "one").alias("one"), "created_at")
+    taking = new.where("cardinality = 'one'").select(_SLOT).distinct()
+    rows = old.unionByName(made).join(taking, _SLOT, "left_semi")
+    micros = [F.unix_micros(c).alias(c) for c in ("valid_from", "valid_to", "created_at")]
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = rows.select(*_SLOT, "pos", "id", "one", *micros).repartition(parts, *_SLOT).sortWithinPartitions(*_SLOT, "pos", "id")
+    found = swept.mapInArrow(_sweep, "old_id string, new_id string, new_from long, new_at long")
+    return found.select("old_id", "new_id", F.timestamp_micros("new_from").alias("new_from"), F.timestamp_micros("new_at").alias("new_at"))
+
+
+def _sweep(batches):
+    """Over rows (slot, pos, id, one, from, to, made) in slot and pos order: (old_id, new_id, from, made) of each fact taken."""
+    slot, held = None, []
+    for batch in batches:
+        taken: list[tuple] = []
+        for *own, _, fact, one, start, end, made in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != slot:
+                slot, held = own, []
+            if one:
+                rest = []
+                for x in held:
+                    apart = (x[2] is not None and start is not None and x[2] <= start) or (x[1] is not None and end is not None and x[1] >= end)
+                    if apart:
+                        rest.append(x)
+                    else:
+                        taken.append((x[0], fact, start, made))
+                held = rest
+            held.append((fact, start, end))
+        if taken:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*taken, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["old_id", "new_id", "new_from", "new_at"])
 
 
 def clipped_to(new_from: Column) -> Column:
@@ -230,17 +259,21 @@ def assert_facts(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
 
 
 def supersede_facts(memory: Memory, batch: DataFrame, reason: str, now: datetime) -> Memory:
-    """Replace facts by new ones of the same space, subject and predicate; `old_id` names the one replaced."""
+    """Replace facts by new ones of the same space, subject and predicate; `old_id` names the one replaced.
+
+    A fact is replaced once: a batch that names it twice is refused, and so is one that replaces a fact it brings.
+    """
     rows = _with(batch, schema.FACTS, old_id="string", cardinality="string")
     rows = cut(numbered(rows, "fact", memory.facts))
     old = memory.facts.select(F.col("id").alias("old_id"), F.col("status").alias("_status"), *(F.col(c).alias(f"_{c}") for c in _SLOT))
     met = rows.join(old, "old_id")
     _refuse(
         (rows.join(old, "old_id", "left_anti"), FACT_NOT_FOUND, "fact not found", "old_id"),
-        (met.where(F.col("_status") == schema.RETRACTED), LIFECYCLE_INVALID, "retracted fact cannot be superseded", "old_id"),
-        (met.where(F.col("_status") == schema.SUPERSEDED), LIFECYCLE_INVALID, "superseded fact cannot be superseded again", "old_id"),
-        (met.where("space_id <> _space_id"), LIFECYCLE_INVALID, "replacement fact must stay in the same space", "old_id"),
-        (met.where("NOT (subject_id <=> _subject_id AND predicate <=> _predicate)"), LIFECYCLE_INVALID, "replacement fact must match subject and predicate", "old_id"),
+        (rows.withColumn("_n", F.row_number().over(Window.partitionBy("old_id").orderBy("pos"))).where("_n > 1"), LIFECYCLE_INVALID, "the batch names this superseded fact already", "old_id"),
+        (met.where(F.col("_status") == schema.RETRACTED), LIFECYCLE_INVALID, "the fact was retracted", "old_id"),
+        (met.where(F.col("_status") == schema.SUPERSEDED), LIFECYCLE_INVALID, "the fact was superseded before", "old_id"),
+        (met.where("space_id <> _space_id"), LIFECYCLE_INVALID, "the replacement lies in another space", "old_id"),
+        (met.where("NOT (subject_id <=> _subject_id AND predicate <=> _predicate)"), LIFECYCLE_INVALID, "subject and predicate of the replacement differ", "old_id"),
     )
     after = assert_facts(memory, rows.drop("old_id"), now)
     columns = after.facts.columns

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,3 +23,22 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="palimpsest-")
         context.setCheckpointDir(named)
     return df.checkpoint()
+
+
+def with_numbers(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with their number from 0 in the order of `by`, in a column of that name.
+
+    Rows are dealt in ranges of the order and checkpointed; a range's first number comes from the
+    counts of the ranges before it, one row a partition. No task sees more than its range.
+    """
+    ranged = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).cast("int")
+    counts = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for k in sorted(counts):
+        starts += [F.lit(k), F.lit(total).cast("long")]
+        total += counts[k]
+    if not starts:
+        return ranged.withColumn(name, F.col("_place")).drop("_place")
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return ranged.withColumn(name, F.create_map(*starts)[part] + within).drop("_place")

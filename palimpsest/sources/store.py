@@ -1,23 +1,37 @@
-"""A durable memory: one folder a version, and a pointer to the current one.
+"""A durable memory: tables by space, and a log that says which folder of each space is current.
 
-A version is written whole before the pointer moves, by one rename; a write that fails leaves the
-version before it. Facts and episodes are partitioned by space, so that a space's reads prune the
-others. Folders and the pointer go through Hadoop's file systems, local or not.
+    {table}/space_id={space}/version={folder}/...   rows, written once and never changed
+    _log/{n}.json                              for each table: space -> folder
+
+A commit writes the rows of the spaces that it changed, and only then its log entry, by a rename
+that does not overwrite: of two writers that began at one version the second is refused, and a
+write that fails leaves the version before it. The log entry is the filter of a read, over
+partition columns, so other versions and spaces are not opened. Folders and the log go through
+Hadoop's file systems, local or not. One row a space meets the driver.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.errors import CONFIG_INVALID, NOT_SUPPORTED, QUERY_FAILED, RecordError
+from palimpsest.errors import CONFIG_INVALID, LIFECYCLE_INVALID, NOT_SUPPORTED, RecordError
 from palimpsest.memory import Memory
 from palimpsest.operators.lifecycle import seed_revisions
 from palimpsest.plans import schema
 
-_POINTER = "CURRENT"
+_LOG = "_log"
+
+
+def digests(df: DataFrame) -> dict[str, tuple]:
+    """For each space the number of rows and a sum of their hashes: one pass, combined where rows are read."""
+    # Hashes of maps are refused, so tables hold none.
+    own = F.xxhash64(*df.columns).cast("decimal(20,0)")
+    return {r["space_id"]: (r["n"], str(r["h"])) for r in df.groupBy("space_id").agg(F.count("*").alias("n"), F.sum(own).alias("h")).collect()}
 
 
 class Store:
@@ -36,54 +50,88 @@ class Store:
     def version(self) -> str | None:
         """Name of the current version, or nothing in a new folder."""
         hadoop, fs = self._fs()
-        if not fs.exists(hadoop.Path(f"{self.path}/{_POINTER}")):
-            return None
-        return self.spark.read.text(f"{self.path}/{_POINTER}").first()[0]
+        log = hadoop.Path(f"{self.path}/{_LOG}")
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        return max((n.removesuffix(".json") for n in names if n.endswith(".json") and not n.startswith(".")), default=None)
 
-    def load(self) -> Memory:
-        if self._memory is not None:
-            return self._memory
-        name = self.version()
+    def log(self, version: str | None = None) -> dict[str, dict[str, dict]]:
+        """table -> space -> {version, rows, digest} of a version, the current one by default."""
+        name = version or self.version()
         if name is None:
-            return Memory.empty(self.spark)
-        read = lambda table, s: self.spark.read.schema(s).parquet(f"{self.path}/{name}/{table}").select(s.names)
-        return Memory(**{table: read(table, s) for table, s in schema.TABLES.items()})
+            return {table: {} for table in schema.TABLES}
+        return json.loads(self.spark.read.text(f"{self.path}/{_LOG}/{name}.json", wholetext=True).first()[0])
 
-    def save(self, memory: Memory) -> str:
-        """Write a version and make it current. Returns its name."""
+    def load(self, version: str | None = None) -> Memory:
+        """The state of a version, the current one by default."""
+        if self._memory is not None:
+            return self._memory
+        log = self.log(version)
+        return Memory(**{table: self._read(table, s, log[table]) for table, s in schema.TABLES.items()})
+
+    def _read(self, table: str, columns: T.StructType, spaces: dict[str, dict]) -> DataFrame:
+        if not spaces:
+            return self.spark.createDataFrame([], columns)
+        whole = T.StructType([*columns.fields, T.StructField("version", T.StringType())])
+        current = F.create_map(*(F.lit(x) for space, at in spaces.items() for x in (space, at["version"])))
+        return self.spark.read.schema(whole).parquet(f"{self.path}/{table}").where(F.col("version") == current[F.col("space_id")]).select(columns.names)
+
+    def save(self, memory: Memory, *, base: str | None = None, whole: bool = False) -> str:
+        """Write the spaces that differ from the current version (or all) and make that the next one. Returns its name.
+
+        `base` is the version that the memory was made from, the current one by default; if another
+        one is current when the log is written, nothing changes and the write is refused.
+        """
         if self.read_only:
             raise RecordError(NOT_SUPPORTED, "the store is open for reading only")
         if self._memory is not None:
             self._memory = memory
             return "memory"
         hadoop, fs = self._fs()
-        before = self.version() or "v000000"
-        name = f"v{int(before[1:7]) + 1:06d}-{uuid.uuid4().hex[:8]}"
-        for table, df in memory.tables().items():
-            out = df.select([f.name for f in schema.TABLES[table].fields]).write
-            (out.partitionBy("space_id") if table in ("facts", "episodes") else out).parquet(f"{self.path}/{name}/{table}")
-        staged, pointer = hadoop.Path(f"{self.path}/.{_POINTER}-{name}"), hadoop.Path(f"{self.path}/{_POINTER}")
+        held = base or self.version()
+        before = self.log(held)
+        name = f"v{int((held or 'v00000000')[1:]) + 1:08d}"
+        folder, log = f"{name}-{uuid.uuid4().hex[:8]}", {}
+        for table, columns in schema.TABLES.items():
+            df = getattr(memory, table).select(columns.names)
+            own = digests(df)
+            log[table] = {space: before[table][space] for space, (n, h) in own.items() if not whole and space in before[table] and [n, h] == [before[table][space]["rows"], before[table][space]["digest"]]}
+            changed = [space for space in own if space not in log[table]]
+            if changed:
+                df.where(F.col("space_id").isin(*changed)).withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
+                log[table] |= {space: {"version": folder, "rows": own[space][0], "digest": own[space][1]} for space in changed}
+        staged, entry = hadoop.Path(f"{self.path}/{_LOG}/.{folder}"), hadoop.Path(f"{self.path}/{_LOG}/{name}.json")
         stream = fs.create(staged, True)
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(json.dumps(log).encode()))
         stream.close()
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri() if staged.toUri().getScheme() else fs.getUri())
-        renames = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        renames[0] = option
-        context.rename(staged, pointer, renames)
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri())
+        option = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        option[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(fs.makeQualified(staged), fs.makeQualified(entry), option)
+        except Exception as e:
+            fs.delete(staged, False)
+            if not fs.exists(entry):
+                raise
+            raise RecordError(LIFECYCLE_INVALID, "another write was committed first", version=name) from e
         return name
 
     def commit(self, write, *args, **kwargs) -> Memory:
         """Apply a write of operators.lifecycle to the current state and save the result once, or nothing."""
         if self.read_only:
             raise RecordError(NOT_SUPPORTED, "the store is open for reading only")
-        self.save(write(self.load(), *args, **kwargs))
+        base = None if self._memory is not None else self.version()
+        self.save(write(self.load(base), *args, **kwargs), base=base)
         return self.load()
 
     def migrate(self) -> Memory:
         """Seed revisions for records without any; a second call changes nothing."""
         return self.commit(seed_revisions)
 
+    def checkpoint(self) -> str:
+        """Every space's rows in one new folder each, without the small files of many commits."""
+        base = None if self._memory is not None else self.version()
+        return self.save(self.load(base), base=base, whole=True)
+
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, change) of the rows that differ: created, updated or deleted. Support lists compare as sets."""
@@ -94,8 +142,3 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
     met = row(before, "a").join(row(after, "b"), "id", "full_outer").where("NOT (a <=> b)")
     return met.select("id", F.when(F.col("a").isNull(), "created").when(F.col("b").isNull(), "deleted").otherwise("updated").alias("change"))
-
-
-def require(df: DataFrame, message: str) -> None:
-    if df.isEmpty():
-        raise RecordError(QUERY_FAILED, message)

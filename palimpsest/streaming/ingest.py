@@ -6,10 +6,9 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palimpsest.operators.lifecycle import ingest_episodes
+from palimpsest.sources.shared import with_numbers
 from palimpsest.sources.store import Store
 
 
@@ -22,7 +21,6 @@ def stream_episodes(episodes: DataFrame, store: Store, checkpoint: str, *, clock
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            rows = batch.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
-            store.commit(ingest_episodes, rows, clock())
+            store.commit(ingest_episodes, with_numbers(batch, ["id"], "pos"), clock())
 
     return episodes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

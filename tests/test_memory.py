@@ -240,3 +240,68 @@ def test_policy_packs(tmp_path):
     made = policy.apply_recipe(pack, "r", SearchRequest("q"), T0)
     assert made.temporal.observed_from == T0 - timedelta(days=3) and made.scope.entity_types == ("Team",) and made.include.provenance
     assert len(policy.validate(policy.Pack())[0]) == 4
+
+
+def test_supersede_refuses_a_fact_named_twice(spark, base):
+    m = lifecycle.assert_facts(base, facts(spark, ("f1", "a", "P", None, "old", None, None, None)), T0).settled()
+    twice = facts(spark, ("n1", "a", "P", None, "x", None, None, None), ("n2", "a", "P", None, "y", None, None, None)).withColumn("old_id", F.lit("f1"))
+    with pytest.raises(RecordError, match="names this superseded fact already"):
+        lifecycle.supersede_facts(m, twice, "r", T0)
+    chain = facts(spark, ("n1", "a", "P", None, "x", None, None, None), ("n2", "a", "P", None, "y", None, None, None)).withColumn("old_id", F.when(F.col("id") == "n1", "f1").otherwise("n1"))
+    with pytest.raises(RecordError, match="fact not found"):
+        lifecycle.supersede_facts(m, chain, "r", T0)
+
+
+def test_slots_by_force(spark, base):
+    import random
+
+    random.seed(5)
+    rows = []
+    for i in range(120):
+        start = random.choice([None, day("2026-01-01") + timedelta(days=random.randrange(60))])
+        end = None if random.random() < 0.4 else (start or day("2026-01-01")) + timedelta(days=1 + random.randrange(30))
+        rows.append((f"f{i:03d}", random.choice("ab"), "OWNER", None, str(i), start, end, random.choice(["one", "many"])))
+    got = {r["old_id"]: r["new_id"] for r in lifecycle.slot_replacements(base.facts, facts(spark, *rows).withColumns({"space_id": F.lit("default"), "created_at": F.lit(T0)})).collect()}
+    apart = lambda x, y: (x[6] is not None and y[5] is not None and x[6] <= y[5]) or (x[5] is not None and y[6] is not None and x[5] >= y[6])
+    want = {}
+    for n, x in enumerate(rows):
+        later = next((y for y in rows[n + 1 :] if y[1] == x[1] and y[7] == "one" and not apart(x, y)), None)
+        if later:
+            want[x[0]] = later[0]
+    assert len(want) > 50 and got == want
+
+
+def test_store_commits_by_space_and_refuses_lost_updates(spark, base, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.save(base)
+    first, began = store.log(), store.version()
+    other = spark.createDataFrame([("z", "Team", "Z", "elsewhere", 0)], "id string, type string, canonical_name string, space_id string, pos int")
+    store.commit(lifecycle.upsert_entities, other, T0)
+    after = store.log()
+    assert after["episodes"] == first["episodes"] and after["entities"]["default"] == first["entities"]["default"] and "elsewhere" in after["entities"]
+    assert store.load(began).entities.count() == 2 and store.load().entities.count() == 3
+    with pytest.raises(RecordError, match="committed first"):
+        store.save(base, base=began)
+    assert store.load().entities.count() == 3
+    store.checkpoint()
+    assert store.load().entities.count() == 3 and store.log()["episodes"]["default"]["version"] != first["episodes"]["default"]["version"]
+    assert not [f for f in (tmp_path / "db" / "_log").iterdir() if f.name.startswith(".v") and f.name.endswith(".json")]
+
+
+def test_store_in_memory(spark, base):
+    store = Store(spark, in_memory=True)
+    store.save(base)
+    assert store.commit(lifecycle.assert_facts, facts(spark, ("f1", "a", "P", None, "x", None, None, None)), T0).facts.count() == 1
+    with pytest.raises(RecordError):
+        Store(spark)
+    with pytest.raises(RecordError):
+        Store(spark, "x", in_memory=True)
+
+
+def test_numbers_follow_the_order(spark):
+    from palimpsest.sources.shared import with_numbers
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
+    rows = with_numbers(df, ["k"], "n").collect()
+    assert all(r["k"] == r["n"] for r in rows) and len(rows) == 1000
+    assert with_numbers(df.limit(0), ["k"], "n").count() == 0
