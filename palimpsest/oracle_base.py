@@ -8,7 +8,7 @@ ord AS (
     UNION ALL
     SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate, 'other', 'o:' FROM orders WHERE o_orderkey % 50 = 0
 ),
-ep AS (
+ep AS MATERIALIZED (
     SELECT concat(pre, 'ep:order:', k) AS id, sp AS space_id, 'order' AS kind, concat('order ', k, ' status ', st, ' priority ', pr) AS content,
            concat(pre, 'src:orders:', pr) AS source_id, concat('segment:', c_mktsegment) AS group_id, d AS observed_at, d + INTERVAL 1 DAY AS ingested_at
     FROM ord JOIN customer ON c = c_custkey
@@ -23,13 +23,13 @@ ep AS (
     SELECT concat('ep:event:', event_id), 'default', event_type, concat('user ', user_id, ' ', event_type), 'src:events', 'events', ts, ts + INTERVAL 5 MINUTE
     FROM events
 ),
-src AS (
+src AS MATERIALIZED (
     SELECT source_id AS id, space_id,
            CASE WHEN source_id LIKE '%src:orders:%' THEN 'orders' WHEN source_id LIKE 'src:documents:%' THEN 'documents' WHEN source_id LIKE 'src:conv:%' THEN 'chat' ELSE 'events' END AS kind,
            min(ingested_at) AS created_at
     FROM ep GROUP BY 1, 2
 ),
-ent AS (
+ent AS MATERIALIZED (
     SELECT concat('customer:', c_custkey) AS id, 'default' AS space_id, 'Customer' AS type, CASE WHEN c_custkey % 10 = 0 THEN c_name || ' Ltd' ELSE c_name END AS canonical_name,
            [c_mktsegment] AS aliases, TIMESTAMP '1995-01-01' AS created_at, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '1995-01-01' END AS updated_at
     FROM customer
@@ -42,7 +42,7 @@ ent AS (
     UNION ALL SELECT concat('region:', r_regionkey), 'default', 'Region', r_name, [], TIMESTAMP '1995-01-01', TIMESTAMP '1995-01-01' FROM region
     UNION ALL SELECT concat('part:', p_partkey), 'default', 'Part', p_name, [], TIMESTAMP '1995-01-01', TIMESTAMP '1995-01-01' FROM part
 ),
-entrev AS (
+entrev AS MATERIALIZED (
     SELECT id, space_id, type, CASE WHEN updated_at > created_at THEN left(canonical_name, length(canonical_name) - 4) ELSE canonical_name END AS canonical_name, aliases,
            created_at, created_at AS tx_time, 1 AS n FROM ent
     UNION ALL
@@ -55,7 +55,7 @@ ret AS (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) AS n
     FROM lineitem WHERE l_returnflag = 'R'
 ),
-fact AS (
+fact AS MATERIALIZED (
     SELECT concat('fact:located:customer:', c_custkey) AS id, 'default' AS space_id, 'LOCATED_IN' AS predicate, concat('customer:', c_custkey) AS subject_id, concat('nation:', c_nationkey) AS object_id,
            NULL::VARCHAR AS value_text, 'active' AS status, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to, NULL::TIMESTAMP AS observed_at, TIMESTAMP '1995-01-02' AS created_at,
            TIMESTAMP '1995-01-02' AS updated_at, NULL::TIMESTAMP AS retracted_at, NULL::VARCHAR AS retraction_reason, [concat('ep:order:', k)] AS eps, NULL::VARCHAR AS superseded_by, NULL::VARCHAR AS supersedes, NULL::VARCHAR AS supersede_reason
@@ -78,7 +78,7 @@ fact AS (
            l_shipdate + INTERVAL 1 DAY, l_shipdate + INTERVAL 30 DAY, l_shipdate + INTERVAL 30 DAY, 'returned', [concat('ep:order:', l_orderkey)], NULL, NULL, NULL
     FROM ret JOIN ord ON k = l_orderkey AND sp = 'default'
 ),
-factrev AS (
+factrev AS MATERIALIZED (
     SELECT * REPLACE ('active' AS status, NULL::TIMESTAMP AS valid_to, created_at AS updated_at, NULL::TIMESTAMP AS retracted_at, NULL::VARCHAR AS retraction_reason, NULL::VARCHAR AS superseded_by,
                       CASE WHEN supersedes IS NOT NULL THEN supersede_reason END AS supersede_reason), created_at AS tx_time, 1 AS n FROM fact
     UNION ALL

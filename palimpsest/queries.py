@@ -13,7 +13,7 @@ from palimpsest.memory import Memory
 from palimpsest.operators import context, graph, lookup, provenance, scope, search, temporal, timeline
 from palimpsest.oracle_base import BASE
 from palimpsest.plans.requests import LookupRequest, NeighborhoodRequest, Page, ProvenanceRequest, Scope, SearchRequest, Temporal, TimelineRequest
-from palimpsest.sources.derive import derived_memory
+from palimpsest.sources.derive import stored_memory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(name: str, sql: str, ctes: str = ""):
     """Register a function of a memory under a name, with its SQL over the base expressions."""
 
     def add(f: Callable[[Memory], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(derived_memory(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(stored_memory(spark, sf_dir))
         ORACLE_SQL[name] = f"WITH RECURSIVE {BASE}{',' + ctes if ctes else ''} {sql}"
         return f
 
@@ -82,9 +82,9 @@ def _(m):
     return _facts(lookup.record(m, "fact", "fact:order:7"))
 
 
-@query("get_record_fact_as_of", f"SELECT {FACT_SQL} FROM lastrev WHERE id = 'fact:order:7' AND created_at <= TIMESTAMP '{AS_OF}'", LAST)
+@query("get_record_fact_as_of", f"SELECT {FACT_SQL} FROM lastrev WHERE id = 'fact:order:1' AND created_at <= TIMESTAMP '{AS_OF}'", LAST)
 def _(m):
-    return _facts(lookup.record(m, "fact", "fact:order:7", temporal=Temporal(as_of=moment(AS_OF), include_inactive=True)))
+    return _facts(lookup.record(m, "fact", "fact:order:1", temporal=Temporal(as_of=moment(AS_OF), include_inactive=True)))
 
 
 @query("entity_as_of", f"SELECT id, canonical_name FROM lastent WHERE type = 'Customer' AND space_id = 'default' AND created_at <= TIMESTAMP '{AS_OF}'", LAST)
@@ -157,9 +157,6 @@ _timeline("timeline_as_of", TimelineRequest(anchor_ids=("customer:1", "customer:
 
 
 # --- provenance
-META = """to_json(json_object())"""
-
-
 def _nodes(df: DataFrame) -> DataFrame:
     return df.select("id", "type", "label", F.coalesce(F.get_json_object("meta", "$.status"), F.lit("")).alias("meta_status"))
 
@@ -320,9 +317,9 @@ def _search(name: str, request: SearchRequest, cand: str, ctes: str = ""):
 CONV_SCOPE = Scope(source_kinds=("chat", "events"))
 CONV_CAND = EP_CAND + " AND source_id IN (SELECT id FROM src WHERE kind IN ('chat', 'events'))"
 for _mode in ("keyword", "hybrid", "semantic"):
-    _search(f"search_{_mode}_fact", SearchRequest("customer 7 status", types=("fact",), predicates=STATUS, mode=_mode), FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS'")
+    _search(f"search_{_mode}_fact", SearchRequest("latest_order_status customer:7" if _mode == "keyword" else "customer 7 status", types=("fact",), predicates=STATUS, mode=_mode), FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS'")
     _search(f"search_{_mode}_episode", SearchRequest("user 17 purchase", types=("episode",), mode=_mode, scope=CONV_SCOPE), CONV_CAND)
-    _search(f"search_{_mode}_entity", SearchRequest("almond antiqe", types=("entity",), mode=_mode), ENT_CAND)
+    _search(f"search_{_mode}_entity", SearchRequest("small widget" if _mode == "keyword" else "smal widgt", types=("entity",), mode=_mode), ENT_CAND)
 _search("search_as_of", SearchRequest("customer 10", types=("fact",), predicates=STATUS, temporal=T_AS_OF), FACT_CAND.format(t="lastrev") + " AND predicate = 'LATEST_ORDER_STATUS'", LAST)
 _ANCHORED = SearchRequest("latest order status", types=("fact",), anchor_ids=("customer:1", "customer:2"), predicates=STATUS, min_score=0.5)
 _search("search_anchor_predicate_minscore", _ANCHORED, FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS' AND list_has_any(list_filter(list_concat([id, subject_id, object_id], eps), lambda x: x IS NOT NULL), ['customer:1', 'customer:2'])")
@@ -356,8 +353,6 @@ def _(m):
     return _hits(search.search(m, replace(_EXPAND, page=Page(20, "offset:10"))))
 
 
-_INC = SearchRequest("latest order status customer:1", types=("fact",), anchor_ids=("customer:1",), predicates=STATUS, mode="keyword")
-_INC_CAND = FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS' AND subject_id = 'customer:1'"
 _INC2 = SearchRequest("customer:1", types=("fact",), anchor_ids=("customer:1",), mode="keyword")
 _INC2_CAND = FACT_CAND.format(t="fact") + " AND (subject_id = 'customer:1' OR object_id = 'customer:1')"
 INC = "fh AS (SELECT fact.* FROM fact JOIN direct ON id = record_id)"
@@ -385,9 +380,9 @@ def _(m):
     return context.search_context(m, _INC2, max_blocks=6, max_text=40)
 
 
-@query("corpus_df", f"SELECT t AS token, count(*) AS df FROM (SELECT id, unnest(list_distinct({TOKENS_SQL.format(t='content')})) AS t FROM ep WHERE kind = 'order' AND space_id = 'default') GROUP BY t")
+@query("corpus_df", f"SELECT t AS token, count(*) AS df FROM (SELECT id, unnest(list_distinct({TOKENS_SQL.format(t='content')})) AS t FROM ep WHERE space_id = 'default') GROUP BY t")
 def _(m):
-    own = m.episodes.where("kind = 'order' AND space_id = 'default'").select(F.explode(tokens(F.col("content"))).alias("token"))
+    own = m.episodes.where("space_id = 'default'").select(F.explode(tokens(F.col("content"))).alias("token"))
     return own.groupBy("token").agg(F.count("*").alias("df"))
 
 
@@ -406,6 +401,13 @@ def _(m):
     return unsupported_facts(m).select("id")
 
 
+@query("invariant_lost_support", "SELECT id FROM fact WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM ep WHERE kind <> 'document' AND list_contains(fact.eps, ep.id))")
+def _(m):
+    from palimpsest.operators.admin import unsupported_facts
+
+    return unsupported_facts(m.with_tables(episodes=m.episodes.where("kind <> 'document'"))).select("id")
+
+
 # --- lifecycle, duplicates, projections and policies
 from palimpsest.operators import admin, index, lifecycle, policy  # noqa: E402
 from palimpsest.plans import schema  # noqa: E402
@@ -418,78 +420,86 @@ def _order_facts(m: Memory, cardinality: str = "one") -> DataFrame:
     """Facts of the order chain as a batch in time order, as if none had been written yet."""
     from pyspark.sql.window import Window
 
-    own = m.facts.where("predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id IN ('customer:1', 'customer:2', 'customer:4', 'customer:5', 'customer:7')")
-    number = F.split("id", ":")[2].cast("long")
+    own = m.facts.where("predicate = 'LATEST_ORDER_STATUS'")
+    number = F.substring_index("id", ":", -1).cast("long")
     pos = (F.row_number().over(Window.partitionBy("subject_id").orderBy("valid_from", number)) - 1).alias("pos")
     return own.select("id", "space_id", "predicate", "subject_id", "value_text", "valid_from", F.col("supporting_episode_ids"), F.lit(cardinality).alias("cardinality"), pos)
 
 
-FIVE = "predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id IN ('customer:1', 'customer:2', 'customer:4', 'customer:5', 'customer:7')"
+CHAIN = "predicate = 'LATEST_ORDER_STATUS'"
 
 
-@query("cardinality_one_replay", f"SELECT id, status, epoch_us(valid_to) AS valid_to_us, superseded_by, coalesce(supersedes, '') AS supersedes, supersede_reason FROM fact WHERE {FIVE}")
+@query("cardinality_one_replay", f"SELECT id, status, epoch_us(valid_to) AS valid_to_us, superseded_by, coalesce(supersedes, '') AS supersedes, supersede_reason FROM fact WHERE {CHAIN}")
 def _(m):
     bare = m.with_tables(facts=m.facts.limit(0), fact_revisions=m.fact_revisions.limit(0))
     out = lifecycle.assert_facts(bare, _order_facts(m), NOW).facts
     return out.select("id", "status", *us("valid_to"), "superseded_by", F.coalesce(F.array_join("supersedes", ","), F.lit("")).alias("supersedes"), "supersede_reason")
 
 
-@query("cardinality_one_replay_revisions", f"SELECT fact_id, revision_kind, count(*) AS n FROM (SELECT id AS fact_id, 'assert' AS revision_kind FROM fact WHERE {FIVE} UNION ALL SELECT id, 'auto_supersede' FROM fact WHERE {FIVE} AND status = 'superseded') GROUP BY ALL")
+@query("cardinality_one_replay_revisions", f"SELECT fact_id, revision_kind, count(*) AS n FROM (SELECT id AS fact_id, 'assert' AS revision_kind FROM fact WHERE {CHAIN} UNION ALL SELECT id, 'auto_supersede' FROM fact WHERE {CHAIN} AND status = 'superseded') GROUP BY ALL")
 def _(m):
     bare = m.with_tables(facts=m.facts.limit(0), fact_revisions=m.fact_revisions.limit(0))
     return lifecycle.assert_facts(bare, _order_facts(m), NOW).fact_revisions.groupBy("fact_id", "revision_kind").agg(F.count("*").alias("n"))
 
 
-@query("slot_overlap_candidates", "SELECT a.id AS old_id, b.id AS new_id FROM fact a JOIN fact b ON a.space_id = b.space_id AND a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id WHERE a.predicate = 'LATEST_ORDER_STATUS' AND NOT coalesce(a.valid_to <= b.valid_from, false) AND NOT coalesce(a.valid_from >= b.valid_to, false)")
+@query("slot_overlap_candidates", """SELECT a.id AS old_id, arg_min(b.id, (b.created_at, b.id)) AS new_id FROM fact a JOIN fact b ON a.space_id = b.space_id AND a.subject_id = b.subject_id AND a.predicate = b.predicate
+    AND (a.created_at, a.id) < (b.created_at, b.id) WHERE NOT coalesce(a.valid_to <= b.valid_from, false) AND NOT coalesce(a.valid_from >= b.valid_to, false) GROUP BY a.id""")
 def _(m):
-    one = m.facts.where("predicate = 'LATEST_ORDER_STATUS'").select("id", "space_id", "subject_id", "predicate", "valid_from", "valid_to")
-    two = one.select("space_id", "subject_id", "predicate", *(F.col(c).alias(f"new_{c}") for c in ("id", "valid_from", "valid_to")))
-    met = one.join(two, ["space_id", "subject_id", "predicate"]).where("id < new_id").where(temporal.overlaps(F.col("valid_from"), F.col("valid_to"), F.col("new_valid_from"), F.col("new_valid_to")))
-    return met.select(F.col("id").alias("old_id"), "new_id")
+    from palimpsest.sources.shared import with_numbers
+
+    own = with_numbers(m.facts.select("id", "space_id", "subject_id", "predicate", "valid_from", "valid_to", "created_at"), ["created_at", "id"], "pos")
+    return lifecycle.slot_replacements(m.facts.limit(0), own.withColumn("cardinality", F.lit("one"))).select("old_id", "new_id")
 
 
-@query("supersede_replay", "SELECT id, status, superseded_by, epoch_us(valid_to) AS valid_to_us FROM (SELECT id, 'superseded' AS status, 'new:' || id AS superseded_by, CASE WHEN valid_from < TIMESTAMP '1999-01-01' THEN TIMESTAMP '1999-01-01' END AS valid_to FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default' UNION ALL SELECT 'new:' || id, 'active', NULL, NULL FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default')")
+_OLD = "predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default'"
+
+
+@query("supersede_replay", f"""SELECT id, CASE WHEN {_OLD} THEN 'superseded' ELSE status END AS status, CASE WHEN {_OLD} THEN 'new:' || id ELSE superseded_by END AS superseded_by,
+    epoch_us(CASE WHEN {_OLD} AND valid_from < TIMESTAMP '1999-01-01' THEN TIMESTAMP '1999-01-01' ELSE valid_to END) AS valid_to_us FROM fact
+    UNION ALL SELECT 'new:' || id, 'active', NULL, NULL FROM fact WHERE {_OLD}""")
 def _(m):
-    old = m.facts.where("predicate = 'LATEST_ORDER_STATUS' AND status = 'active' AND space_id = 'default'")
+    old = m.facts.where(_OLD)
     batch = old.select(F.concat(F.lit("new:"), "id").alias("id"), F.col("id").alias("old_id"), "space_id", "predicate", "subject_id", F.lit("X").alias("value_text"), F.lit(moment("1999-01-01")).cast("timestamp").alias("valid_from"), "supporting_episode_ids", F.lit(0).alias("pos"))
-    held = m.with_tables(facts=old, fact_revisions=m.fact_revisions.limit(0))
-    return lifecycle.supersede_facts(held, batch, "corrected", NOW).facts.select("id", "status", "superseded_by", *us("valid_to"))
+    return lifecycle.supersede_facts(m, batch, "corrected", NOW).facts.select("id", "status", "superseded_by", *us("valid_to"))
+
+
+_GONE = "predicate IN ('LATEST_ORDER_STATUS', 'RETURNED') AND space_id = 'default'"
 
 
-@query("retract_batch", "SELECT id, 'retracted' AS status, coalesce(retraction_reason, 'closed') AS retraction_reason, epoch_us(coalesce(retracted_at, TIMESTAMP '2000-01-01')) AS retracted_at_us FROM fact WHERE subject_id IN ('customer:1', 'customer:2')")
+@query("retract_batch", f"""SELECT id, CASE WHEN {_GONE} THEN 'retracted' ELSE status END AS status, CASE WHEN {_GONE} THEN coalesce(retraction_reason, 'closed') END AS retraction_reason,
+    epoch_us(CASE WHEN {_GONE} THEN coalesce(retracted_at, TIMESTAMP '2000-01-01') END) AS retracted_at_us FROM fact""")
 def _(m):
-    own = m.facts.where("subject_id IN ('customer:1', 'customer:2')")
-    out = lifecycle.retract_facts(m.with_tables(facts=own), own.select("id", F.lit(0).alias("pos")), "closed", NOW)
+    out = lifecycle.retract_facts(m, m.facts.where(_GONE).select("id", F.lit(0).alias("pos")), "closed", NOW)
     return out.facts.select("id", "status", "retraction_reason", *us("retracted_at"))
 
 
-@query("upsert_entity_merge", "SELECT id, canonical_name || ' Inc' AS canonical_name, array_to_string(list_concat(aliases, ['known']), ',') AS aliases FROM ent WHERE type = 'Customer' AND space_id = 'default'")
+_NAMED = "type = 'Customer' AND space_id = 'default'"
+
+
+@query("upsert_entity_merge", f"SELECT id, CASE WHEN {_NAMED} THEN canonical_name || ' Inc' ELSE canonical_name END AS canonical_name, array_to_string(CASE WHEN {_NAMED} THEN list_concat(aliases, ['known']) ELSE aliases END, ',') AS aliases FROM ent")
 def _(m):
-    own = m.entities.where("type = 'Customer' AND space_id = 'default'")
+    own = m.entities.where(_NAMED)
     batch = own.select("id", "space_id", "type", F.concat("canonical_name", F.lit(" Inc")).alias("canonical_name"), F.concat("aliases", F.array(F.lit(" known "), F.lit(""))).alias("aliases"), F.lit(0).alias("pos"))
-    out = lifecycle.upsert_entities(m.with_tables(entities=own), batch, NOW)
-    return out.entities.select("id", "canonical_name", F.array_join("aliases", ",").alias("aliases"))
+    return lifecycle.upsert_entities(m, batch, NOW).entities.select("id", "canonical_name", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("episode_replay_conflicts", "SELECT id FROM ep WHERE kind = 'order' AND space_id = 'default' AND content LIKE '%1-URGENT%'")
+@query("episode_replay_conflicts", "SELECT id FROM ep WHERE content LIKE '%1-URGENT%'")
 def _(m):
-    own = m.episodes.where("kind = 'order' AND space_id = 'default'")
-    replay = own.withColumn("content", F.regexp_replace("content", "1-URGENT", "urgent")).withColumn("pos", F.lit(0))
+    replay = m.episodes.withColumn("content", F.regexp_replace("content", "1-URGENT", "urgent")).withColumn("pos", F.lit(0))
     return lifecycle.replay_conflicts(m, replay).select("id")
 
 
 @query("observed_at_inference", """SELECT f.id, epoch_us(coalesce(f.observed_at, e.observed_at, TIMESTAMP '2000-01-01')) AS observed_at_us,
     CASE WHEN f.observed_at IS NOT NULL THEN 'explicit' WHEN e.observed_at IS NOT NULL THEN 'supporting_episode' ELSE 'ingestion_time' END AS observed_at_basis
-    FROM fact f LEFT JOIN ep e ON e.id = f.eps[1] WHERE predicate IN ('LOCATED_IN', 'RETURNED')""")
+    FROM fact f LEFT JOIN ep e ON e.id = f.eps[1]""")
 def _(m):
-    own = m.facts.where("predicate IN ('LOCATED_IN', 'RETURNED')").select("id", "observed_at", "supporting_episode_ids")
+    own = m.facts.select("id", "observed_at", "supporting_episode_ids")
     return lifecycle.inferred_observed_at(m, own, NOW).select("id", *us("observed_at"), "observed_at_basis")
 
 
-@query("seed_revisions", "SELECT 'seed:' || id || ':current' AS id, status, epoch_us(updated_at) AS tx_time_us FROM fact WHERE predicate <> 'SUPPLIES' UNION ALL SELECT 'seed:' || id || ':initial', 'active', epoch_us(created_at) FROM fact WHERE predicate <> 'SUPPLIES' AND status <> 'active' AND updated_at > created_at")
+@query("seed_revisions", "SELECT 'seed:' || id || ':current' AS id, status, epoch_us(updated_at) AS tx_time_us FROM fact UNION ALL SELECT 'seed:' || id || ':initial', 'active', epoch_us(created_at) FROM fact WHERE status <> 'active' AND updated_at > created_at")
 def _(m):
-    own = m.with_tables(facts=m.facts.where("predicate <> 'SUPPLIES'"), fact_revisions=m.fact_revisions.limit(0))
-    return lifecycle.seed_revisions(own).fact_revisions.select("id", "status", *us("tx_time"))
+    return lifecycle.seed_revisions(m.with_tables(fact_revisions=m.fact_revisions.limit(0))).fact_revisions.select("id", "status", *us("tx_time"))
 
 
 @query("entity_duplicates", "SELECT target_id, array_to_string(ids[2:], ',') AS source_ids, canonical_name FROM (SELECT min(id) AS target_id, list_sort(list(id)) AS ids, arg_min(canonical_name, id) AS canonical_name FROM ent GROUP BY lower(space_id), lower(type), lower(trim(canonical_name)) HAVING count(*) > 1)")
@@ -498,11 +508,10 @@ def _(m):
 
 
 @query("fact_duplicates", """SELECT target_id, array_to_string(ids[2:], ',') AS source_ids, predicate FROM (SELECT min(id) AS target_id, list_sort(list(id)) AS ids, arg_min(predicate, id) AS predicate
-    FROM (SELECT * REPLACE ('dup:' || id AS id) FROM fact WHERE predicate = 'LOCATED_IN' UNION ALL FROM fact WHERE predicate IN ('LOCATED_IN', 'LATEST_ORDER_STATUS')) WHERE status <> 'retracted'
+    FROM (SELECT * REPLACE ('dup:' || id AS id) FROM fact WHERE predicate <> 'SUPPLIES' UNION ALL FROM fact) WHERE status <> 'retracted'
     GROUP BY space_id, predicate, subject_id, object_id, value_text, list_sort(eps), valid_from, valid_to HAVING count(*) > 1)""")
 def _(m):
-    own = m.facts.where("predicate IN ('LOCATED_IN', 'LATEST_ORDER_STATUS')")
-    twice = own.unionByName(own.where("predicate = 'LOCATED_IN'").withColumn("id", F.concat(F.lit("dup:"), "id")))
+    twice = m.facts.unionByName(m.facts.where("predicate <> 'SUPPLIES'").withColumn("id", F.concat(F.lit("dup:"), "id")))
     return admin.fact_duplicates(m.with_tables(facts=twice)).select("target_id", F.array_join("source_ids", ",").alias("source_ids"), "predicate")
 
 
@@ -511,15 +520,14 @@ ftext AS (SELECT id, trim(concat_ws(' ', predicate, subject_id, object_id, value
 etext AS (SELECT id, trim(concat_ws(' ', canonical_name, nullif(array_to_string(aliases, ' '), ''))) AS t, n FROM entrev),
 proj AS (
     SELECT 'episode:' || id AS projection_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS search_text, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_us(observed_at) // 1000, 0) END AS observed_at_ms FROM ep
-    UNION ALL SELECT 'entity:' || id, array_to_string(list_distinct(list_concat([max_by(t, n)], list(t ORDER BY n))), ' '), NULL FROM etext GROUP BY id
+    UNION ALL SELECT 'entity:' || id, array_to_string(CASE WHEN min(t) = max(t) THEN [min(t)] ELSE [max_by(t, n), min_by(t, n)] END, ' '), NULL FROM etext GROUP BY id
     UNION ALL SELECT 'fact:' || f.id, x.t, CASE WHEN observed_at IS NOT NULL THEN greatest(epoch_us(observed_at) // 1000, 0) END FROM fact f JOIN (SELECT id, any_value(t) AS t FROM ftext GROUP BY id) x USING (id)
 )"""
 
 
-@query("projection_docs", "SELECT projection_id, md5(CASE WHEN starts_with(projection_id, 'entity:') THEN '' ELSE search_text END) AS text_md5, observed_at_ms FROM proj", PROJ)
+@query("projection_docs", "SELECT projection_id, md5(search_text) AS text_md5, observed_at_ms FROM proj", PROJ)
 def _(m):
-    text = F.when(F.startswith("projection_id", F.lit("entity:")), F.lit("")).otherwise(F.col("search_text"))
-    return index.projections(m).select("projection_id", F.md5(text).alias("text_md5"), "observed_at_ms")
+    return index.projections(m).select("projection_id", F.md5("search_text").alias("text_md5"), "observed_at_ms")
 
 
 @query("projection_entities", "SELECT 'entity:' || id AS projection_id, array_to_string(CASE WHEN min(t) = max(t) THEN [min(t)] ELSE [max_by(t, n), min_by(t, n)] END, ' ') AS search_text FROM etext GROUP BY id", PROJ)
@@ -536,14 +544,15 @@ def _(m):
 
 _PRIMARY = SearchRequest("customer:1", types=("fact",), predicates=STATUS, mode="keyword")
 _PRIMARY_CAND = FACT_CAND.format(t="fact") + " AND predicate = 'LATEST_ORDER_STATUS'"
-RANKED = "rk AS (SELECT 'fact:' || id AS p, row_number() OVER (ORDER BY id) AS rank FROM fact WHERE predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id LIKE 'customer:1%')"
+_WANTED = ["customer", "latest", "1"]
+RANKED = PROJ + f""", rk AS MATERIALIZED (SELECT p, rank FROM (SELECT p, row_number() OVER (ORDER BY n DESC, p) AS rank FROM (
+    SELECT p, count(DISTINCT t) AS n FROM (SELECT projection_id AS p, unnest({TOKENS_SQL.format(t='search_text')}) AS t FROM proj) WHERE t IN ('customer', 'latest', '1') GROUP BY p)) WHERE rank <= 500)"""
 
 
 def _ranked(m: Memory) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    own = m.facts.where("predicate = 'LATEST_ORDER_STATUS' AND space_id = 'default' AND subject_id LIKE 'customer:1%'")
-    return own.select(F.concat(F.lit("fact:"), "id", F.lit("#chunk:0")).alias("projection_id"), F.row_number().over(Window.orderBy("id")).alias("rank"))
+    """The best 500 of all projections."""
+    found = index.index_candidates(index.postings(index.projections(m)), _WANTED, 500)
+    return found.select(F.concat("projection_id", F.lit("#chunk:0")).alias("projection_id"), "rank")
 
 
 @query("index_primary_search", "SELECT c.record_id, round(CASE WHEN d.score IS NOT NULL THEN 1 + d.score + 1.0::DOUBLE / rank ELSE 0.1::DOUBLE / rank END, 6) AS score FROM rk JOIN cand c ON rk.p = 'fact:' || c.record_id LEFT JOIN direct d ON d.record_id = c.record_id WHERE d.score IS NOT NULL OR contains(lower(c.text), 'customer') OR contains(lower(c.text), '1')", search_ctes(_PRIMARY, _PRIMARY_CAND) + "," + RANKED)
@@ -561,9 +570,9 @@ def _(m):
     return out.select("record_id", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "position")).cast("long").alias("position"))
 
 
-@query("index_candidates", "SELECT p AS projection_id, rank FROM (SELECT p, row_number() OVER (ORDER BY n DESC, p) AS rank FROM (SELECT p, count(DISTINCT t) AS n FROM (SELECT 'episode:' || id AS p, unnest(" + TOKENS_SQL.format(t="content") + ") AS t FROM ep WHERE kind = 'order') WHERE t IN ('status', 'urgent', '7') GROUP BY p)) WHERE rank <= 30")
+@query("index_candidates", "SELECT p AS projection_id, rank FROM (SELECT p, row_number() OVER (ORDER BY n DESC, p) AS rank FROM (SELECT p, count(DISTINCT t) AS n FROM (SELECT 'episode:' || id AS p, unnest(" + TOKENS_SQL.format(t="content") + ") AS t FROM ep) WHERE t IN ('status', 'urgent', '7') GROUP BY p)) WHERE rank <= 30")
 def _(m):
-    docs = m.episodes.where("kind = 'order'").select(F.concat(F.lit("episode:"), "id").alias("projection_id"), F.col("content").alias("search_text"))
+    docs = m.episodes.select(F.concat(F.lit("episode:"), "id").alias("projection_id"), F.col("content").alias("search_text"))
     return index.index_candidates(index.postings(docs), ["status", "urgent", "7"], 30).select("projection_id", F.col("rank").cast("long").alias("rank"))
 
 

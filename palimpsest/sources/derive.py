@@ -1,16 +1,20 @@
 """A memory derived from the star-schema tables of a folder: customers, orders, lines, texts, events.
 
-Deterministic, so that every read has a counterpart in SQL over the same tables (see oracle.py).
+Deterministic, so that every read has a counterpart in SQL over the same tables (see oracle_base.py).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.memory import Memory
 from palimpsest.plans import schema
+from palimpsest.sources.shared import shared_dir
+from palimpsest.sources.store import Store
 
 CREATED = "timestamp'1995-01-01 00:00:00'"
 RENAMED = "timestamp'1998-01-01 00:00:00'"
@@ -99,3 +103,19 @@ def derived_memory(spark: SparkSession, sf_dir: str) -> Memory:
         _as(facts.where("status <> 'active'"), schema.FACT_REVISIONS, **whole | {"id": "concat('factrev_', id, CASE status WHEN 'superseded' THEN ':2' ELSE ':3' END)", "fact_id": "id", "revision_kind": "CASE status WHEN 'superseded' THEN 'auto_supersede' ELSE 'retract' END", "tx_time": "updated_at"})
     )
     return Memory(sources, episodes, entities, facts, fact_revisions, entity_revisions)
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def stored_memory(spark: SparkSession, sf_dir: str) -> Memory:
+    """The derived memory from a store in the shared folder, built once a session for the files as they are now."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    files = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed)))
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}"
+        Store(spark, path).save(derived_memory(spark, sf_dir))
+        _BUILT[key] = path
+    return Store(spark, _BUILT[key], read_only=True).load()

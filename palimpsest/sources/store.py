@@ -75,6 +75,13 @@ class Store:
         current = F.create_map(*(F.lit(x) for space, at in spaces.items() for x in (space, at["version"])))
         return self.spark.read.schema(whole).parquet(f"{self.path}/{table}").where(F.col("version") == current[F.col("space_id")]).select(columns.names)
 
+    def _written(self, table: str, columns: T.StructType, folder: str) -> dict[str, tuple]:
+        hadoop, fs = self._fs()
+        if not fs.exists(hadoop.Path(f"{self.path}/{table}")):
+            return {}
+        whole = T.StructType([*columns.fields, T.StructField("version", T.StringType())])
+        return digests(self.spark.read.schema(whole).parquet(f"{self.path}/{table}").where(F.col("version") == folder).select(columns.names))
+
     def save(self, memory: Memory, *, base: str | None = None, whole: bool = False) -> str:
         """Write the spaces that differ from the current version (or all) and make that the next one. Returns its name.
 
@@ -93,8 +100,13 @@ class Store:
         folder, log = f"{name}-{uuid.uuid4().hex[:8]}", {}
         for table, columns in schema.TABLES.items():
             df = getattr(memory, table).select(columns.names)
-            own = digests(df)
-            log[table] = {space: before[table][space] for space, (n, h) in own.items() if not whole and space in before[table] and [n, h] == [before[table][space]["rows"], before[table][space]["digest"]]}
+            if before[table] and not whole:
+                own = digests(df)
+            else:  # nothing to compare with: written first, counted where it lies
+                df.withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
+                log[table] = {space: {"version": folder, "rows": n, "digest": h} for space, (n, h) in self._written(table, columns, folder).items()}
+                continue
+            log[table] = {space: before[table][space] for space, (n, h) in own.items() if space in before[table] and [n, h] == [before[table][space]["rows"], before[table][space]["digest"]]}
             changed = [space for space in own if space not in log[table]]
             if changed:
                 df.where(F.col("space_id").isin(*changed)).withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
