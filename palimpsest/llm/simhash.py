@@ -15,10 +15,14 @@ so at most 65,536 fingerprints.
 
 A wider budget (`wide` bits, at most 11) adds links that an exact test confirms: then some segment
 differs in at most 2 bits, so both fingerprints lie within one bit of a common value there, and each
-is dealt to the 17 values around its own in each segment. A first round tests a spanning forest of
-each bucket by the Jaccard similarity of whole sets of `SHINGLE`-word shingles; a second round lists
-and tests every pair that the first has left in different components, so no similar pair within
-`wide` bits is lost where a forest's own edge fails the test.
+is dealt to the 17 values around its own in each segment. With it goes a sketch of the text's set of
+`SHINGLE`-word shingles, the parities of 256 hash classes: where two sketches differ in more bits
+than a Jaccard similarity of `JACCARD` allows sets of their sizes to differ, the pair is refused
+without a look at the texts. A first round tests a spanning forest of each bucket by the similarity
+of the whole sets; a second round tests every pair that the first has left in different components,
+each in one bucket only, so no similar pair within `wide` bits is lost where a forest's own edge
+fails the test. What the second round emits are pairs that both filters let through and no link
+connects: near misses, not the pairs of a group.
 
 Nodes are fingerprints (with wide links: texts), not ids: an id that comes with several texts links
 none of them, and the least id of a component is looked up at the end.
@@ -49,6 +53,7 @@ BITS = 3
 BUCKET = 4096
 #: What the wide links must share: Jaccard similarity of sets of shingles of so many words.
 SHINGLE, JACCARD = 5, 0.8
+_SKETCH = ["n", "s0", "s1", "s2", "s3"]
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -245,57 +250,97 @@ def _wide_keys(fp) -> list:
     return out
 
 
-def _wide_linker(bits: int, forest: bool):
-    """Over rows (key, fp, node, component) in key order: edges (a, b) within `bits`: a forest of each bucket, or all pairs of different components."""
+def ones(x: np.ndarray) -> np.ndarray:
+    """One-bits of signed integers; of those below zero too, whose absolute value is what bitwise_count looks at."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of 256 classes of a set's hashes, as four integers. Those of two sets differ in no more bits than the sets in elements."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketched(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, hash, fp, n, s0 to s3): fingerprint, and size and sketch of the set of shingles, of every row."""
+
+    def make():
+        def work(texts):
+            sets = [shingle_set(t) for t in texts]
+            marks = np.array([sketch(x) for x in sets]).reshape(-1, 4)
+            return [np.array([fingerprint(t, shingle) for t in texts], np.int64), np.array([len(x) for x in sets], np.int64), *(np.ascontiguousarray(marks[:, k]) for k in range(4))]
+
+        return work
+
+    return map_texts(docs, make, schema_of("fp long, n long, s0 long, s1 long, s2 long, s3 long"), [id_col, "hash"], text_col)
+
+
+def _wide_linker(bits: int, least: float, forest: bool):
+    """Over rows (key, fp, node, component, n, sketch) in key order: edges (a, b) that both filters let through: a forest of each bucket, or all pairs of different components."""
 
     def made(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def spanned(fp, node):
-        a, b, rest = [], [], np.arange(len(fp))
+    def alike(x, i, j):
+        """Of index arrays of two sides, whether sizes and sketches allow the similarity."""
+        apart = sum(ones(x[k][i] ^ x[k][j]).astype(np.int64) for k in range(5, 9))
+        return apart * (1 + least) <= (x[4][i] + x[4][j]) * (1 - least) + 1e-9
+
+    def spanned(x):
+        fp, node, rest = x[1], x[2], np.arange(len(x[0]))
         while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest, a, b = [rest[0]], rest[1:], [], []
             while queue and len(rest):
                 at = queue.pop()
-                hit = np.bitwise_count(fp[rest] ^ fp[at]) <= bits
+                hit = ones(fp[rest] ^ fp[at]) <= bits
+                hit[hit] = alike(x, rest[hit], at)
                 got, rest = rest[hit], rest[~hit]
                 queue.extend(got.tolist())
                 a.append(np.full(len(got), node[at]))
                 b.append(node[got])
-        return a, b
+            if sum(map(len, a)):
+                yield made(np.concatenate(a), np.concatenate(b))
 
-    def crossed(fp, node, part):
-        a, b = [], []
+    def crossed(x):
+        key, fp, node, part = x[0][0], x[1], x[2], x[3]
+        own = fp >> np.int64(16 * (int(key) >> 16)) & np.int64(0xFFFF)
+        value = key & np.int64(0xFFFF)
         _, of, size = np.unique(part, return_inverse=True, return_counts=True)
         # One of a pair of different components lies outside the bucket's largest.
         outside = np.nonzero(of != size.argmax())[0]
-        for lo in range(0, len(outside), 256):
-            x = outside[lo : lo + 256]
-            i, j = np.nonzero((np.bitwise_count(fp[x, None] ^ fp[None, :]) <= bits) & (part[x, None] != part[None, :]))
-            a.append(node[x[i]])
-            b.append(node[j])
-        return a, b
-
-    def buckets(key, fp, node, part):
+        step = max(1, 2_000_000 // len(fp))
+        for lo in range(0, len(outside), step):
+            some = outside[lo : lo + step]
+            i, j = np.nonzero((ones(fp[some, None] ^ fp[None, :]) <= bits) & (part[some, None] != part[None, :]))
+            i = some[i]
+            # A pair may meet in several buckets: it counts in that of the least common value.
+            differ = own[i] ^ own[j]
+            low = differ & -differ
+            first = np.where(differ == low, np.minimum(own[i], own[j]), np.minimum(own[i] ^ low, own[i] ^ differ ^ low))
+            keep = np.nonzero(first == value)[0]
+            keep = keep[alike(x, i[keep], j[keep])]
+            if len(keep):
+                yield made(node[i[keep]], node[j[keep]])
+
+    def buckets(rows):
+        key = rows[0]
         starts = np.r_[0, np.nonzero(np.diff(key))[0] + 1] if len(key) else np.empty(0, np.int64)
-        a, b = [], []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
             if hi - lo > 1:
-                x, y = spanned(fp[lo:hi], node[lo:hi]) if forest else crossed(fp[lo:hi], node[lo:hi], part[lo:hi])
-                a += x
-                b += y
-        if sum(map(len, a)):
-            yield made(a, b)
+                yield from (spanned if forest else crossed)([r[lo:hi] for r in rows])
 
     def run(batches):
-        held = [np.empty(0, np.int64)] * 4
+        held = None
         for batch in batches:
-            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            rows = [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if len(rows[0]):
                 last = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # its bucket may go on
                 held = [r[last:].copy() for r in rows]
-                yield from buckets(*(r[:last] for r in rows))
-        yield from buckets(*held)
+                yield from buckets([r[:last] for r in rows])
+        if held is not None:
+            yield from buckets(held)
 
     return run
 
@@ -313,10 +358,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int, *, id_col: str, text_col: str, words: int = SHINGLE, least: float = JACCARD) -> DataFrame:
+def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int, *, id_col: str, text_col: str, least: float = JACCARD) -> DataFrame:
     """Edges (a, b) that connect all different texts within `wide` bits whose sets of shingles are similar.
 
-    `texts` has (fp, hash, best, node) of every different text, `thin` edges that hold anyway.
+    `texts` has (fp, hash, best, node, sketch) of every different text, `thin` edges that hold anyway.
     """
     if not 0 <= wide < 12:
         raise ValueError("wide links are dealt out for 0 to 11 bits")
@@ -324,9 +369,9 @@ def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(rows: DataFrame, forest: bool) -> DataFrame:
-        dealt = rows.select(F.explode(F.array(*_wide_keys(F.col("fp")))).alias("key"), "fp", "node", "component")
+        dealt = rows.select(F.explode(F.array(*_wide_keys(F.col("fp")))).alias("key"), "fp", "node", "component", *_SKETCH)
         dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
-        found = dealt.mapInArrow(_wide_linker(wide, forest), "a long, b long")
+        found = dealt.mapInArrow(_wide_linker(wide, least, forest), "a long, b long")
         return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-candidates")
 
     def sets_of(edges: DataFrame) -> DataFrame:
@@ -337,7 +382,7 @@ def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int,
         held = held.join(wanted, (F.col("own") == F.col("hash")) & F.col("id").eqNullSafe(F.col("first"))).select("node", "text")
 
         def make():
-            return lambda found: [pa.array([shingle_set(t, words).tobytes() for t in found], pa.binary())]
+            return lambda found: [pa.array([shingle_set(t).tobytes() for t in found], pa.binary())]
 
         # Repeated rows give one set.
         return written(map_texts(held, make, schema_of("shingles binary"), ["node"], "text").dropDuplicates(["node"]), "wide-shingles")
@@ -345,7 +390,7 @@ def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int,
     first = candidates(texts.withColumn("component", F.lit(0).cast("long")), True)
     held = written(_confirmed(first, sets_of(first), least), "wide-links")
     reached = connected_components(thin.unionByName(held))
-    placed = texts.join(reached, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
+    placed = texts.join(reached, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"), *_SKETCH)
     second = candidates(placed, False).join(first, ["a", "b"], "left_anti")
     second = written(second, "wide-candidates")
     return held.unionByName(_confirmed(second, sets_of(second), least))
@@ -354,11 +399,15 @@ def similar_links(docs: DataFrame, texts: DataFrame, thin: DataFrame, wide: int,
 def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bucket: int, wide: int, hashed: bool) -> DataFrame:
     """(id, fp, hash, best) of every row: the least id of its component, or with hashes the least (no id, id, hash)."""
     own = docs.select(id_col, text_col, F.xxhash64(text_col).alias("hash")) if hashed else docs.select(id_col, text_col)
-    own = written(fingerprints(own, id_col=id_col, text_col=text_col, shingle=shingle, keep=["hash"] if hashed else []), "fingerprints")
+    if wide:
+        own = sketched(own, id_col=id_col, text_col=text_col, shingle=shingle)
+    else:
+        own = fingerprints(own, id_col=id_col, text_col=text_col, shingle=shingle, keep=["hash"] if hashed else [])
+    own = written(own, "fingerprints")
     doc_id = F.col(id_col).cast("long")
     key = ["fp", "hash"] if wide else ["fp"]
     best = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("hash").alias("text")) if hashed else doc_id
-    texts = own.groupBy(*key).agg(F.min(best).alias("best"))
+    texts = own.groupBy(*key).agg(F.min(best).alias("best"), *(F.first(c).alias(c) for c in _SKETCH if wide))
     if wide:
         texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
         of_fp = texts.groupBy("fp").agg(F.min("node").alias("node"))
@@ -372,6 +421,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bucket:
     reached = connected_components(edges).join(texts.select("node", "best"), "node")
     least = reached.groupBy("component").agg(F.min("best").alias("linked"))
     classes = texts.join(reached.join(least, "component").select("node", "linked"), "node", "left")
+    own = own.drop(*_SKETCH)
     return own.join(classes.select(*key, F.coalesce("linked", "best").alias("best")), key, "left")
 
 
