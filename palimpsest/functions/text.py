@@ -30,14 +30,18 @@ def blank_to_null(c: Column) -> Column:
     return F.when(strip(c) == "", None).otherwise(c)
 
 
+#: The same with the white space (any Unicode one) that a token would be stripped of.
+_GAP = r"(?U)\s*[ \t\n\-_:,.]+[\s\-_:,.]*"
+
+
 def terms(c: Column) -> Column:
-    """Lower-cased tokens in order, repeats included."""
-    return F.filter(F.split(F.lower(c), TOKEN_END), lambda t: strip(t) != "")
+    """Lower-cased and stripped tokens in order, repeats included: one split, no work a token."""
+    return F.filter(F.split(folded(c), _GAP), lambda t: t != "")
 
 
 def tokens(c: Column) -> Column:
     """Each token once, in order of first occurrence."""
-    return F.array_distinct(F.transform(terms(c), strip))
+    return F.array_distinct(terms(c))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -48,16 +52,15 @@ def _equals(token: str):
     return lambda x: x == token
 
 
-def sparse_score(c: Column, query: list[str], idf: dict[str, float]) -> Column:
-    """Saturated term frequencies weighted by idf, averaged over the query's tokens, at most 1."""
+def sparse_score(own: Column, query: list[str], idf: dict[str, float]) -> Column:
+    """Saturated frequencies of a text's terms weighted by idf, averaged over the query's tokens, at most 1."""
     if not query:
         return F.lit(0.0)
-    own = F.transform(terms(c), strip)
     size = F.size(own).cast("double")
     total = F.lit(0.0)
     for t in query:
         tf = F.size(F.filter(own, _equals(t))).cast("double")
-        total = total + F.when(tf > 0, F.lit(idf.get(t, 1.0)) * tf / (tf + 1.2 + size * 0.25)).otherwise(0.0)
+        total = total + F.when(F.array_contains(own, t), F.lit(idf.get(t, 1.0)) * tf / (tf + 1.2 + size * 0.25)).otherwise(0.0)
     return F.least(F.lit(1.0), total / len(query))
 
 
@@ -84,6 +87,28 @@ def query_trigrams(text: str) -> dict[str, int]:
     return out
 
 
+def trigram_product(c: Column, grams: dict[str, int]) -> Column:
+    """Product of a collapsed text's trigram counts with a query's: one look at each place for each weight."""
+    by_weight: dict[int, list[str]] = {}
+    for g, n in grams.items():
+        by_weight.setdefault(n, []).append(re.sub(r"([^\w\s])", r"\\\1", g))
+    out = F.lit(0)
+    for n, own in by_weight.items():
+        out = out + F.lit(n) * F.regexp_count(c, F.lit(f"(?s)(?=(?:{'|'.join(own)}))"))
+    return out
+
+
+def trigram_square(c: Column) -> Column:
+    """Sum of the squares of a collapsed text's trigram counts, in one pass over the sorted trigrams."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(a: Column, g: Column) -> Column:
+        run = F.when(a["last"] == g, a["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(g.alias("last"), (run + 1).alias("run"), (a["sum"] + 2 * run + 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(trigrams(c)), start, step, lambda a: a["sum"])
+
+
 def summary(c: Column) -> Column:
     """At most 80 characters: longer texts keep 77 and three dots."""
     c = strip(c)
@@ -105,7 +130,7 @@ def id_part(c: Column) -> Column:
 
 
 def entity_id(namespace: Column, kind: Column, name: Column) -> Column:
-    return F.expr("NULL") if namespace is None else F.regexp_replace(F.concat(id_part(namespace), F.lit(":"), id_part(kind), F.lit(":"), id_part(name)), "^:+|:+$", "")
+    return F.regexp_replace(F.concat(id_part(namespace), F.lit(":"), id_part(kind), F.lit(":"), id_part(name)), "^:+|:+$", "")
 
 
 def source_id(space: Column, kind: Column, ref: Column) -> Column:

@@ -18,15 +18,16 @@ _MISSING = {"entity": ENTITY_NOT_FOUND, "fact": FACT_NOT_FOUND, "source": SOURCE
 def record(memory: Memory, kind: str, record_id: str, space_id: str = "", temporal: Temporal | None = None) -> DataFrame:
     """At most one row: the record's version at the time asked for. A fact without any temporal filter has any status."""
     t = temporal or Temporal()
+    own = F.col("space_id") == space_of(space_id)
     readers = {
         "episode": lambda: visible_episodes(memory, t),
         "source": lambda: visible_sources(memory, t),
-        "entity": lambda: entity_versions(memory, t),
-        "fact": lambda: fact_versions(memory, t) if t.is_set else memory.facts,
+        "entity": lambda: entity_versions(memory, t, own),
+        "fact": lambda: fact_versions(memory, t, own) if t.is_set else memory.facts,
     }
     if kind not in readers:
         raise RecordError(QUERY_FAILED, "unsupported record kind", kind=kind)
-    return readers[kind]().where((F.col("id") == record_id) & (F.col("space_id") == space_of(space_id)))
+    return readers[kind]().where((F.col("id") == record_id) & own)
 
 
 def get_record(memory: Memory, kind: str, record_id: str, space_id: str = "", temporal: Temporal | None = None):
@@ -43,17 +44,13 @@ def get_record(memory: Memory, kind: str, record_id: str, space_id: str = "", te
     raise RecordError(QUERY_FAILED, "record not visible at requested time", id=record_id)
 
 
-def by_id(table: DataFrame, record_id: str) -> DataFrame:
-    """Whatever has the id, in any space and at any time."""
-    return table.where(F.col("id") == record_id)
-
-
 def matching_facts(memory: Memory, request: LookupRequest) -> DataFrame:
     """All facts that fit, unordered."""
-    facts = facts_for(memory, request.space_id, request.scope, request.temporal)
+    only = F.lit(True)
     for column, wanted in (("subject_id", request.subject_ids), ("predicate", request.predicates), ("object_id", request.object_ids)):
         if wanted:
-            facts = facts.where(F.col(column).isin(*wanted))
+            only = only & F.col(column).isin(*wanted)
+    facts = facts_for(memory, request.space_id, request.scope, request.temporal, only)
     if request.object_text:
         facts = facts.where(F.contains(F.lower("value_text"), F.lit(request.object_text.lower())))
     return facts

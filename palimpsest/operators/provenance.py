@@ -9,6 +9,7 @@ from palimpsest.errors import QUERY_FAILED, RecordError
 from palimpsest.memory import Memory
 from palimpsest.operators.temporal import entity_versions, fact_versions, visible_episodes, visible_sources
 from palimpsest.plans.requests import ProvenanceRequest, space_of
+from palimpsest.sources.shared import cut, light
 
 NODE = ["id", "type", "label", "meta"]
 EDGE = ["id", "type", "from_id", "to_id"]
@@ -45,58 +46,64 @@ def provenance(memory: Memory, request: ProvenanceRequest) -> tuple[DataFrame, D
     """(nodes, edges) around a fact, an entity or an episode; empty where it is not visible in the space."""
     depth = request.max_depth if request.max_depth > 0 else 8
     t, space = request.temporal, F.col("space_id") == space_of(request.space_id)
-    facts = fact_versions(memory, t).where(space)
+    facts = fact_versions(memory, t, space)
     episodes = visible_episodes(memory, t)
     if request.kind == "fact":
         return _of_fact(memory, request, facts, episodes, visible_sources(memory, t).where(space), depth)
     if request.kind == "entity":
-        return _of_entity(request, facts, episodes, entity_versions(memory, t).where(space), depth)
+        return _of_entity(request, facts, episodes, entity_versions(memory, t, space), depth)
     if request.kind == "episode":
         return _of_episode(memory, request, facts, episodes.where(space), depth)
     raise RecordError(QUERY_FAILED, "unsupported provenance kind", kind=request.kind)
 
 
+def _met(few: DataFrame, records: DataFrame) -> DataFrame:
+    """Records by the column `id` of a few rows."""
+    return records.join(light(few), "id")
+
+
 def _of_fact(memory, request, facts, episodes, sources, depth):
-    root = facts.where(F.col("id") == request.id)
-    fact_id = root.select(F.col("id").alias("fact_id"))
-    support = root.select(F.col("id").alias("fact_id"), F.explode(F.array_distinct("supporting_episode_ids")).alias("id")).join(episodes, "id")
+    root = cut(facts.where(F.col("id") == request.id))
+    fact_id = F.col("id").alias("fact_id")
+    support = cut(_met(root.select(fact_id, F.explode(F.array_distinct("supporting_episode_ids")).alias("id")), episodes))
     nodes = [_nodes(root, "Fact", "predicate", fact_meta()), _nodes(support, "Episode", "kind")]
     edges = [_edges(support, "ASSERTS", "id", "fact_id", "id", "fact_id")]
     if depth >= 2:
-        own = support.select(F.col("id").alias("episode_id"), F.col("source_id").alias("id")).join(sources, "id")
+        own = _met(support.select(F.col("id").alias("episode_id"), F.col("source_id").alias("id")), sources)
         nodes.append(_nodes(own, "Source", "kind"))
         edges.append(_edges(own, "FROM_SOURCE", "episode_id", "id", "id", "episode_id"))
-    after = root.select(F.col("id").alias("fact_id"), F.col("superseded_by").alias("id")).join(facts, "id")
-    # What this fact superseded, by its own list and by what other facts say now.
-    listed = root.select(F.explode("supersedes").alias("id"))
-    named = memory.facts.where(F.col("superseded_by") == request.id).select("id")
-    before = listed.unionByName(named).distinct().join(facts, "id").withColumn("fact_id", F.lit(request.id))
-    before = before.join(fact_id, "fact_id", "left_semi")
-    nodes += [_nodes(after, "Fact", "predicate", fact_meta()), _nodes(before, "Fact", "predicate", fact_meta())]
-    edges += [_edges(after, "SUPERSEDES", "id", "fact_id", "id", "fact_id", end="supersedes"), _edges(before, "SUPERSEDES", "fact_id", "id", "fact_id", "id", end="supersedes")]
+    if not root.isEmpty():
+        # What replaced this fact; what it superseded, by its own list and by what other facts say now.
+        listed = root.select(F.explode("supersedes").alias("id"))
+        named = memory.facts.where(F.col("superseded_by") == request.id).select("id")
+        after = cut(_met(root.select(fact_id, F.col("superseded_by").alias("id")), facts))
+        before = cut(_met(cut(listed.unionByName(named).distinct()), facts).withColumn("fact_id", F.lit(request.id)))
+        nodes += [_nodes(after, "Fact", "predicate", fact_meta()), _nodes(before, "Fact", "predicate", fact_meta())]
+        edges += [_edges(after, "SUPERSEDES", "id", "fact_id", "id", "fact_id", end="supersedes"), _edges(before, "SUPERSEDES", "fact_id", "id", "fact_id", "id", end="supersedes")]
     return _distinct_nodes(nodes).orderBy("id"), _union(edges).distinct().orderBy("id")
 
 
 def _of_entity(request, facts, episodes, entities, depth):
-    root = entities.where(F.col("id") == request.id)
-    own = facts.where((F.col("subject_id") == request.id) | (F.col("object_id") == request.id))
-    own = own.withColumn("entity_id", F.lit(request.id)).join(root.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    root = cut(entities.where(F.col("id") == request.id))
+    own = facts.where((F.col("subject_id") == request.id) | (F.col("object_id") == request.id)).withColumn("entity_id", F.lit(request.id))
+    own = cut(own.limit(0) if root.isEmpty() else own)
     nodes = [_nodes(root, "Entity", "canonical_name"), _nodes(own, "Fact", "predicate")]
     role = F.when(F.col("object_id") == request.id, "OBJECT").otherwise("SUBJECT")
     edges = [_edges(own, role, "id", "entity_id", "id", "entity_id")]
     if depth >= 2:
-        support = own.select(F.col("id").alias("fact_id"), F.explode(F.array_distinct("supporting_episode_ids")).alias("id")).join(episodes, "id")
-        after = own.select(F.col("id").alias("fact_id"), F.col("superseded_by").alias("id")).join(facts, "id")
+        fact_id = F.col("id").alias("fact_id")
+        support = cut(_met(own.select(fact_id, F.explode(F.array_distinct("supporting_episode_ids")).alias("id")), episodes).select("fact_id", "id", "kind"))
+        after = cut(_met(own.select(fact_id, F.col("superseded_by").alias("id")), facts))
         nodes += [_nodes(support, "Episode", "kind"), _nodes(after, "Fact", "predicate", fact_meta())]
         edges += [_edges(support, "ASSERTS", "id", "fact_id", "id", "fact_id"), _edges(after, "SUPERSEDES", "id", "fact_id", "id", "fact_id", end="supersedes")]
     return _distinct_nodes(nodes).orderBy("id"), _union(edges).distinct().orderBy("id")
 
 
 def _of_episode(memory, request, facts, episodes, depth):
-    root = episodes.where(F.col("id") == request.id)
-    own = root.select(F.col("id").alias("episode_id"), F.col("source_id").alias("id")).join(memory.sources, "id")
+    root = cut(episodes.where(F.col("id") == request.id))
+    own = cut(_met(root.select(F.col("id").alias("episode_id"), F.col("source_id").alias("id")), memory.sources))
     held = facts.where(F.array_contains("supporting_episode_ids", request.id)).withColumn("episode_id", F.lit(request.id))
-    held = held.join(root.select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
+    held = cut(held.limit(0) if root.isEmpty() else held)
     nodes = [_nodes(root, "Episode", "kind"), _nodes(own, "Source", "kind"), _nodes(held, "Fact", "predicate")]
     edges = [_edges(own, "FROM_SOURCE", "episode_id", "id", "episode_id", "id"), _edges(held, "ASSERTS", "episode_id", "id", "episode_id", "id")]
     return _distinct_nodes(nodes).orderBy("id"), _union(edges).distinct().orderBy("id")

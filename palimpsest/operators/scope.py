@@ -43,7 +43,7 @@ def scoped_facts(memory: Memory, facts: DataFrame, scope: Scope, t: Temporal) ->
         facts = facts.where(F.col("status").isin(*scope.fact_status))
     columns = facts.columns
     if scope.entity_types:
-        typed = entity_versions(memory, t).where(F.col("type").isin(*scope.entity_types)).select("id")
+        typed = entity_versions(memory, t, F.col("type").isin(*scope.entity_types)).select("id")
         for side in ("subject", "object"):
             facts = facts.join(typed.select(F.col("id").alias(f"{side}_id"), F.lit(True).alias(f"_{side}")), f"{side}_id", "left")
         facts = facts.where(F.coalesce("_subject", "_object", F.lit(False))).select(columns)
@@ -54,10 +54,10 @@ def scoped_facts(memory: Memory, facts: DataFrame, scope: Scope, t: Temporal) ->
     return facts
 
 
-def facts_for(memory: Memory, space_id: str, scope: Scope, t: Temporal) -> DataFrame:
-    """The facts of a space that a request may see."""
-    facts = fact_versions(memory, t).where(F.col("space_id") == space_of(space_id))
-    return scoped_facts(memory, facts, scope, t)
+def facts_for(memory: Memory, space_id: str, scope: Scope, t: Temporal, only: Column | None = None) -> DataFrame:
+    """The facts of a space that a request may see, of those for which `only` holds (see fact_versions)."""
+    own = F.col("space_id") == space_of(space_id)
+    return scoped_facts(memory, fact_versions(memory, t, own if only is None else own & only), scope, t)
 
 
 def episodes_for(memory: Memory, space_id: str, scope: Scope, t: Temporal) -> DataFrame:
@@ -65,5 +65,5 @@ def episodes_for(memory: Memory, space_id: str, scope: Scope, t: Temporal) -> Da
 
 
 def entities_for(memory: Memory, space_id: str, scope: Scope, t: Temporal) -> DataFrame:
-    out = entity_versions(memory, t).where(F.col("space_id") == space_of(space_id))
-    return out.where(F.col("type").isin(*scope.entity_types)) if scope.entity_types else out
+    only = F.col("space_id") == space_of(space_id)
+    return entity_versions(memory, t, only & F.col("type").isin(*scope.entity_types) if scope.entity_types else only)

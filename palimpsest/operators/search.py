@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.errors import INPUT_INVALID, RecordError
-from palimpsest.functions.text import idf, query_tokens, query_trigrams, sparse_score, strip, text_or_empty, tokens, trigrams, collapsed
+from palimpsest.functions.text import collapsed, idf, query_tokens, query_trigrams, sparse_score, strip, terms, text_or_empty, trigram_product, trigram_square
 from palimpsest.memory import Memory
 from palimpsest.operators.paging import ordered_page
 from palimpsest.operators.scope import anchored, entities_for, episodes_for, fact_anchored, facts_for, scoped_episodes
@@ -64,48 +64,53 @@ def candidates(memory: Memory, request: SearchRequest) -> DataFrame:
 
 def expandable(memory: Memory, request: SearchRequest) -> DataFrame:
     """Facts that expansion may reach: as direct hits, but whatever the anchors."""
-    facts = facts_for(memory, request.space_id, request.scope, request.temporal)
-    return facts.where(F.col("predicate").isin(*request.predicates)) if request.predicates else facts
+    only = F.col("predicate").isin(*request.predicates) if request.predicates else F.lit(True)
+    return facts_for(memory, request.space_id, request.scope, request.temporal, only)
 
 
 def corpus_stats(found: DataFrame, query: list[str]) -> tuple[int, dict[str, int]]:
     """Documents with a token at all, and those with each of the query's: one row, whatever the corpus."""
-    own = tokens(F.col("text"))
-    row = found.agg(F.count_if(F.size(own) > 0), *(F.count_if(F.array_contains(own, t)) for t in query)).first()
+    own = found.select(terms(F.col("text")).alias("own"))
+    row = own.agg(F.count_if(F.size("own") > 0), *(F.count_if(F.array_contains("own", t)) for t in query)).first()
     return row[0], dict(zip(query, row[1:], strict=True))
 
 
 def scored(found: DataFrame, query: str, mode: str) -> DataFrame:
-    """`base` and `reason` of the candidates that match; columns as given."""
-    text = strip(F.lower("text"))
+    """`base` and `reason` of the candidates that match; columns as given. One pass, nothing is shuffled.
+
+    A text is tested for the substring, then for tokens, then for trigrams. A cosine of LEAST_COSINE
+    needs a product of at least that times the lengths, and a text's length is at least the root of
+    its number of trigrams, so most texts are refused before their own trigrams are counted.
+    """
     (hit, hit_reason), by_tokens, by_grams = LADDER.get(mode, LADDER["hybrid"])
-    inside = F.contains(text, F.lit(query))
-    direct = found.where(text != "")
+    inside = F.contains("_low", F.lit(query))
+    direct = _bound(found, "_low", strip(F.lower("text"))).where("_low <> ''")
     if by_tokens is None:
-        return direct.where(inside).select("*", F.lit(hit).alias("base"), F.lit(hit_reason).alias("reason"))
-    wanted = query_tokens(query)
+        return direct.where(inside).select(*found.columns, F.lit(hit).alias("base"), F.lit(hit_reason).alias("reason"))
+    wanted, grams = query_tokens(query), query_trigrams(query)
     n, df = corpus_stats(found, wanted)
     weights = {t: idf(n, df[t]) for t in wanted} if n else {}
-    score = direct.withColumn("_inside", inside).withColumn("_sparse", F.when(F.col("_inside"), 0.0).otherwise(sparse_score(text, wanted, weights)))
-    plain = score.where(F.col("_inside") | (F.col("_sparse") > 0)).select(
-        "*",
-        F.when(F.col("_inside"), hit).otherwise(F.col("_sparse") * by_tokens[1] + by_tokens[0]).alias("base"),
-        F.when(F.col("_inside"), hit_reason).otherwise(by_tokens[2]).alias("reason"),
-    )
-    grams = query_trigrams(query)
-    if not grams:
-        return plain.drop("_inside", "_sparse")
-    # Only texts without any other match are cut into trigrams, and only those that share one are counted.
-    rest = score.where(~F.col("_inside") & (F.col("_sparse") <= 0)).withColumn("_grams", trigrams(collapsed(text)))
-    rest = rest.where(F.arrays_overlap("_grams", F.array(*map(F.lit, grams))))
-    counts = rest.select("hit_type", "record_id", F.explode("_grams").alias("g")).groupBy("hit_type", "record_id", "g").count()
-    of_query = F.create_map(*(F.lit(x) for g in grams.items() for x in g))
-    norm = sum(c * c for c in grams.values()) ** 0.5
-    sums = counts.groupBy("hit_type", "record_id").agg(F.sum(F.col("count") * F.col("count")).alias("_n"), F.sum(F.col("count") * F.coalesce(of_query[F.col("g")], F.lit(0))).alias("_dot"))
-    cosine = F.col("_dot") / (F.lit(norm) * F.sqrt("_n"))
-    near = rest.drop("_grams").join(sums, ["hit_type", "record_id"]).withColumn("_c", cosine).where(F.col("_c") >= LEAST_COSINE)
-    near = near.select("*", (F.col("_c") * by_grams[1] + by_grams[0]).alias("base"), F.lit(by_grams[2]).alias("reason"))
-    return plain.unionByName(near.drop("_n", "_dot", "_c")).drop("_inside", "_sparse")
+    own = _bound(direct, "_terms", F.when(~inside, terms(F.col("_low"))))
+    own = _bound(own, "_sparse", F.when(inside, 0.0).otherwise(sparse_score(F.col("_terms"), wanted, weights))).drop("_terms")
+    rest = ~inside & (F.col("_sparse") <= 0)
+    if grams:
+        norm = sum(c * c for c in grams.values()) ** 0.5
+        own = _bound(own, "_flat", F.when(rest, collapsed(F.col("_low"))))
+        own = _bound(own, "_dot", F.when(rest, trigram_product(F.col("_flat"), grams)))
+        likely = (F.col("_dot") > 0) & (F.col("_dot") >= F.lit(LEAST_COSINE * norm * (1 - 1e-9)) * F.sqrt(F.greatest(F.length("_flat") - 2, F.lit(0))))
+        own = _bound(own.where(~rest | likely), "_cosine", F.when(rest, F.col("_dot") / (F.lit(norm) * F.sqrt(trigram_square(F.col("_flat")).cast("double")))))
+        own = own.where(~rest | (F.col("_cosine") >= LEAST_COSINE))
+    else:
+        own = own.where(~rest).withColumn("_cosine", F.lit(0.0))
+    sparse = F.col("_sparse") > 0
+    base = F.when(inside, hit).when(sparse, F.col("_sparse") * by_tokens[1] + by_tokens[0]).otherwise(F.col("_cosine") * by_grams[1] + by_grams[0])
+    reason = F.when(inside, hit_reason).when(sparse, by_tokens[2]).otherwise(by_grams[2])
+    return own.select(*found.columns, base.alias("base"), reason.alias("reason"))
+
+
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column computed once a row: as a generator's output, conditions on it do not repeat its expression further down."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def direct_hits(memory: Memory, request: SearchRequest) -> DataFrame:

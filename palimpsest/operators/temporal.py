@@ -68,24 +68,31 @@ def _versions(current: DataFrame, revised: DataFrame, moment: datetime, fallback
     return out if fallback is None else out.unionByName(fallback)
 
 
-def fact_versions(memory: Memory, t: Temporal) -> DataFrame:
-    """Facts as of a time, visible under the other temporal filters."""
+def fact_versions(memory: Memory, t: Temporal, only: Column | None = None) -> DataFrame:
+    """Facts as of a time, visible under the other temporal filters.
+
+    `only` may name columns that no write changes (space, predicate, subject, object); it is applied
+    to the revisions before they are aggregated, so that it reaches the scan.
+    """
+    only = F.lit(True) if only is None else only
+    facts = memory.facts.where(only)
     if not t.as_of:
-        return memory.facts.where(fact_visible(t))
-    revised = latest_revisions(memory.fact_revisions, "fact_id", t.as_of)
-    return _versions(memory.facts, revised, t.as_of).where(fact_visible(t))
+        return facts.where(fact_visible(t))
+    revised = latest_revisions(memory.fact_revisions.where(only), "fact_id", t.as_of)
+    return _versions(facts, revised, t.as_of).where(fact_visible(t))
 
 
 _HISTORY = "array<struct<changed_at:timestamp,space_id:string,namespace:string,type:string,canonical_name:string,aliases:array<string>>>"
 
 
-def entity_versions(memory: Memory, t: Temporal) -> DataFrame:
-    """Entities as of a time. Without a revision, a changed entity falls back on the earliest snapshot in its metadata that a later change replaced."""
+def entity_versions(memory: Memory, t: Temporal, only: Column | None = None) -> DataFrame:
+    """Entities as of a time, of those for which `only` holds (over space, namespace or type, which no write changes). Without a revision, a changed entity falls back on the earliest snapshot in its metadata that a later change replaced."""
+    entities = memory.entities if only is None else memory.entities.where(only)
     if not t.as_of:
-        return memory.entities
+        return entities
     moment = at(t.as_of)
-    revised = latest_revisions(memory.entity_revisions, "entity_id", t.as_of)
-    current = memory.entities.where(F.col("created_at") <= moment)
+    revised = latest_revisions(memory.entity_revisions if only is None else memory.entity_revisions.where(only), "entity_id", t.as_of)
+    current = entities.where(F.col("created_at") <= moment)
     changed = current.join(revised.select("id"), "id", "left_anti").where(F.col("updated_at") > moment)
     kept = F.from_json(F.get_json_object("metadata_json", "$._history"), _HISTORY)
     later = F.array_sort(F.filter(kept, lambda s: s["changed_at"] > moment), lambda a, b: F.when(a["changed_at"] < b["changed_at"], -1).when(a["changed_at"] > b["changed_at"], 1).otherwise(0))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +37,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default.unionByName(own.where("k % 50 = 0").selectExpr("*", "'other' AS sp", "'o:' AS pre"))
 
 
-def derived_memory(spark: SparkSession, sf_dir: str) -> Memory:
+def derived_memory(spark: SparkSession, sf_dir: str, settle=lambda df: df) -> Memory:
+    """The six tables; `settle` is applied to those that others are made from."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     read = lambda name: _table(spark, sf_dir, name)
     orders = _orders(spark, sf_dir)
@@ -53,6 +55,7 @@ def derived_memory(spark: SparkSession, sf_dir: str) -> Memory:
         .unionByName(_as(read("events"), ep, id="concat('ep:event:', event_id)", space_id="'default'", kind="event_type", content="concat('user ', user_id, ' ', event_type)", source_id="'src:events'", group_id="'events'",
             observed_at="CAST(ts AS timestamp)", ingested_at="CAST(ts AS timestamp) + INTERVAL 5 MINUTES"))
     )
+    episodes = settle(episodes)
     kind = "CASE WHEN source_id LIKE '%src:orders:%' THEN 'orders' WHEN source_id LIKE 'src:documents:%' THEN 'documents' WHEN source_id LIKE 'src:conv:%' THEN 'chat' ELSE 'events' END"
     sources = _as(episodes.groupBy("source_id", "space_id").agg(F.min("ingested_at").alias("at")), schema.SOURCES, id="source_id", space_id="space_id", kind=kind, created_at="at")
 
@@ -69,6 +72,7 @@ def derived_memory(spark: SparkSession, sf_dir: str) -> Memory:
         .unionByName(_as(read("region"), en, **named, id="concat('region:', r_regionkey)", type="'Region'", canonical_name="r_name", aliases="array()"))
         .unionByName(_as(read("part"), en, **named, id="concat('part:', p_partkey)", type="'Part'", canonical_name="p_name", aliases="array()"))
     )
+    entities = settle(entities)
     first = {"entity_id": "id", "revision_kind": "'assert'", "tx_time": "created_at", "updated_at": "created_at", "id": "concat('entityrev_', id, ':1')"}
     same = {f.name: f.name for f in en.fields if f.name not in ("id", "updated_at")}
     entity_revisions = _as(entities, schema.ENTITY_REVISIONS, **same | first | {"canonical_name": "CASE WHEN updated_at > created_at THEN left(canonical_name, length(canonical_name) - 4) ELSE canonical_name END"}).unionByName(
@@ -97,6 +101,7 @@ def derived_memory(spark: SparkSession, sf_dir: str) -> Memory:
         .unionByName(_as(returned, fa, id="concat('fact:returned:', l_orderkey, ':', n)", space_id="'default'", predicate="'RETURNED'", subject_id="concat('customer:', c)", object_id="concat('part:', l_partkey)", confidence="1.0",
             status="'retracted'", observed_at="d", created_at="d + INTERVAL 1 DAY", updated_at="d + INTERVAL 30 DAYS", retracted_at="d + INTERVAL 30 DAYS", retraction_reason="'returned'", supporting_episode_ids="array(concat('ep:order:', l_orderkey))"))
     )
+    facts = settle(facts)
     whole = {f.name: f.name for f in fa.fields if f.name != "id"}
     fresh = {"status": "'active'", "valid_to": "NULL", "updated_at": "created_at", "retracted_at": "NULL", "retraction_reason": "NULL", "superseded_by": "NULL", "supersede_reason": "CASE WHEN supersedes IS NOT NULL THEN supersede_reason END"}
     fact_revisions = _as(facts, schema.FACT_REVISIONS, **whole | fresh | {"id": "concat('factrev_', id, ':1')", "fact_id": "id", "revision_kind": "'assert'", "tx_time": "created_at"}).unionByName(
@@ -116,6 +121,14 @@ def stored_memory(spark: SparkSession, sf_dir: str) -> Memory:
     key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed)))
     if key not in _BUILT:
         path = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}"
-        Store(spark, path).save(derived_memory(spark, sf_dir))
+        held: list[DataFrame] = []
+
+        def settle(df: DataFrame) -> DataFrame:
+            held.append(df.persist(StorageLevel.DISK_ONLY))
+            return held[-1]
+
+        Store(spark, path).save(derived_memory(spark, sf_dir, settle))
+        for df in held:
+            df.unpersist()
         _BUILT[key] = path
     return Store(spark, _BUILT[key], read_only=True).load()

@@ -44,3 +44,13 @@ def with_numbers(df: DataFrame, by: list[str], name: str) -> DataFrame:
         return ranged.withColumn(name, F.col("_place")).drop("_place")
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
     return ranged.withColumn(name, F.create_map(*starts)[part] + within).drop("_place")
+
+
+#: Rows that a join sends to all tasks at most.
+LIGHT = 100_000
+
+
+def light(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of a checkpoint, marked for broadcast if they are few enough: `most` of them, where that is known, else counted first."""
+    few = df.limit(LIGHT + 1).count() if most is None else most
+    return F.broadcast(df) if few <= LIGHT else df

@@ -137,7 +137,7 @@ def test_batches_are_all_or_nothing(spark, base):
 def test_search_scores(spark, base):
     rows = [("needle",), ("observability signal",), ("alpha alpha",), ("x",)]
     df = spark.createDataFrame(rows, "text string")
-    values = [round(r[0], 6) for r in df.select(text.sparse_score(F.col("text"), ["alpha"], {})).collect()]
+    values = [round(r[0], 6) for r in df.select(text.sparse_score(text.terms(F.col("text")), ["alpha"], {})).collect()]
     assert values == [0, 0, 0.540541, 0]
     assert round(text.idf(10, 1), 4) == round(0.813237 * 2.45, 4)
     found = spark.createDataFrame([("episode", "e", "observability signal", "", [])], "hit_type string, record_id string, text string, matched_text string, keys array<string>")
