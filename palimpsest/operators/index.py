@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.errors import QUERY_FAILED, RecordError
+from palimpsest.errors import INPUT_INVALID, QUERY_FAILED, RecordError
 from palimpsest.functions.text import strip, text_or_empty, tokens
 from palimpsest.memory import Memory
-from palimpsest.operators.paging import after_key
-from palimpsest.operators.search import all_hits, candidates
-from palimpsest.plans.requests import Page, SearchRequest, with_inactive
+from palimpsest.operators.paging import after_key, key_cursor
+from palimpsest.operators.search import all_hits, candidates, direct_hits, included, named_hits
+from palimpsest.plans.requests import SEARCH_LIMIT, Page, Scope, SearchRequest
+from palimpsest.sources.shared import cut, get_text, light, put_text
 
 
 def _joined(*parts: Column) -> Column:
@@ -51,23 +56,87 @@ def projections(memory: Memory) -> DataFrame:
     return episodes.unionByName(entities).unionByName(facts)
 
 
-def write_projections(memory: Memory, path: str) -> dict:
-    """JSON lines and a manifest of counts, for freshness checks."""
-    docs = projections(memory)
-    docs.write.mode("overwrite").json(f"{path}/projection")
-    counts = {name: df.count() for name, df in memory.tables().items() if name != "sources"}
-    return {"version": 4, "projection_count": sum(counts[k] for k in ("episodes", "entities", "facts")), "counts": counts}
+MANIFEST, MANIFEST_VERSION = "index.json", 4
+
+
+def projection_hash(docs: DataFrame) -> DataFrame:
+    """(projection_hash): a SHA-256 over sums of the documents' own SHA-256, so that their order plays no part and tasks combine."""
+    null = F.lit("")
+    own = F.sha2(F.concat_ws("\0", F.col("projection_id"), F.coalesce("search_text", null), F.coalesce(F.col("observed_at_ms").cast("string"), null)), 256)
+    part = lambda k: F.sum(F.conv(F.substring(own, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
+    sums = docs.agg(*(F.coalesce(part(k), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k in range(4)))
+    return sums.select(F.sha2(F.concat_ws(",", "s0", "s1", "s2", "s3"), 256).alias("projection_hash"))
+
+
+def write_projections(memory: Memory, path: str, *, store_version: str | None = None) -> dict:
+    """Documents as JSON lines in a new folder, then the manifest that names it, by one rename. Returns the manifest."""
+    from palimpsest.plans.schema import PROJECTION
+
+    name = f"projection-{uuid.uuid4().hex[:12]}"
+    projections(memory).write.json(f"{path}/{name}")
+    docs = memory.spark.read.schema(PROJECTION).json(f"{path}/{name}")
+    counts = {table: df.count() for table, df in memory.tables().items() if table != "sources"}
+    manifest = {
+        "version": MANIFEST_VERSION,
+        "store_version": store_version,
+        "projection_file": name,
+        "projection_count": docs.count(),
+        "projection_hash": projection_hash(docs).first()[0],
+        "counts": counts,
+        "built_at": datetime.now(timezone.utc).isoformat(),
+    }
+    put_text(memory.spark, f"{path}/{MANIFEST}", json.dumps(manifest, indent=1))
+    return manifest
+
+
+def read_manifest(spark, path: str) -> dict:
+    """The manifest; its folder must be a plain name beside it."""
+    text = get_text(spark, f"{path}/{MANIFEST}")
+    if text is None:
+        raise RecordError(QUERY_FAILED, "there is no index", path=path)
+    manifest = json.loads(text)
+    name = str(manifest.get("projection_file") or "")
+    if name in ("", ".", "..") or name != name.strip() or any(c in name for c in "/\\"):
+        raise RecordError(QUERY_FAILED, "the manifest names no plain folder", projection_file=name)
+    return manifest
 
 
 def read_projections(spark, path: str) -> DataFrame:
     from palimpsest.plans.schema import PROJECTION
 
-    docs = spark.read.schema(PROJECTION).json(f"{path}/projection")
+    docs = spark.read.schema(PROJECTION).json(f"{path}/{read_manifest(spark, path)['projection_file']}")
     if not docs.where(strip(text_or_empty("projection_id")) == "").isEmpty():
         raise RecordError(QUERY_FAILED, "projection_id is blank", path=path)
     return docs
 
 
+def index_status(spark, path: str) -> dict:
+    """What the manifest says, without a look at the documents or the memory."""
+    manifest = read_manifest(spark, path)
+    return {k: manifest.get(k) for k in ("projection_count", "projection_hash", "counts", "built_at", "store_version")}
+
+
+def index_fresh(spark, path: str, store_version: str | None) -> bool:
+    """Whether the index was built from this version of a store: no record is read for that."""
+    if get_text(spark, f"{path}/{MANIFEST}") is None:
+        return False
+    manifest = read_manifest(spark, path)
+    return manifest.get("version") == MANIFEST_VERSION and store_version is not None and manifest.get("store_version") == store_version
+
+
+def verify_index(memory: Memory, path: str) -> dict:
+    """The status, if documents, counts and memory agree; else an error that says what does not."""
+    status, docs = index_status(memory.spark, path), read_projections(memory.spark, path)
+    if (n := docs.count()) != status["projection_count"]:
+        raise RecordError(QUERY_FAILED, "the number of documents is not the manifest's", documents=n, manifest=status["projection_count"])
+    counts = {table: df.count() for table, df in memory.tables().items() if table != "sources"}
+    if counts != status["counts"]:
+        raise RecordError(QUERY_FAILED, "the memory's counts are not the manifest's", memory=counts, manifest=status["counts"])
+    if wrong := projection_differences(docs, memory).head(1):
+        raise RecordError(QUERY_FAILED, "a document is not what the memory says", projection_id=wrong[0]["projection_id"], state=wrong[0]["state"])
+    return {**status, "valid": True}
+
+
 def projection_differences(stored: DataFrame, memory: Memory) -> DataFrame:
     """(projection_id, state) of documents that are missing, left over or not what the memory says."""
     text = lambda df, name: df.select("projection_id", F.struct("search_text", "observed_at_ms", F.array_sort(F.map_entries("metadata"))).alias(name))
@@ -102,9 +171,13 @@ def index_primary_search(memory: Memory, request: SearchRequest, ranked: DataFra
     """
     from dataclasses import replace
 
-    own = candidates(memory, request).drop("keys")
+    ranked = cut(ranked_records(ranked))
+    few = light(ranked.select("hit_type", "record_id"))
+    own = candidates(memory, request).drop("keys").join(few, ["hit_type", "record_id"], "left_semi")
     plain = replace(request, min_score=None, page=Page())
-    core = all_hits(memory, plain).select("hit_type", "record_id", F.col("score").alias("core"))
+    # A keyword search scores each record by itself; the other modes weigh all records and walk from all hits.
+    found = direct_hits(memory, plain, few) if request.mode == "keyword" else all_hits(memory, plain)
+    core = found.join(few, ["hit_type", "record_id"], "left_semi").select("hit_type", "record_id", F.col("score").alias("core"))
     query = request.query_text.strip().lower()
     low = F.lower("text")
     holds = F.contains(low, F.lit(query))
@@ -112,7 +185,7 @@ def index_primary_search(memory: Memory, request: SearchRequest, ranked: DataFra
 
     for token in dict.fromkeys(re.findall("[a-z0-9]+", query)):
         holds = holds | F.contains(low, F.lit(token))
-    met = ranked_records(ranked).join(own, ["hit_type", "record_id"]).join(core, ["hit_type", "record_id"], "left").where(F.col("core").isNotNull() | holds)
+    met = ranked.join(own, ["hit_type", "record_id"]).join(core, ["hit_type", "record_id"], "left").where(F.col("core").isNotNull() | holds)
     score = F.when(F.col("core").isNotNull(), F.lit(1.0) + F.col("core") + F.lit(1.0) / F.col("rank")).otherwise(F.lit(0.1) / F.col("rank"))
     why = F.array(F.concat(F.lit("index_candidate_rank:"), F.col("rank").cast("string")), F.when(F.col("core").isNotNull(), F.format_string("core_rerank_score:%.6f", "core")).otherwise("current_text_match"))
     out = met.select("hit_type", "record_id", score.alias("score"), "matched_text", why.alias("reasons"))
@@ -124,7 +197,61 @@ def index_primary_search(memory: Memory, request: SearchRequest, ranked: DataFra
 def index_page(hits: DataFrame, page: Page) -> DataFrame:
     """The page after a key cursor: by score, then type and id."""
     out = after_key(hits, page.cursor).orderBy(F.desc("score"), "hit_type", "record_id")
-    return out.limit(page.limit if page.limit > 0 else 10)
+    return out.limit(page.limit if page.limit > 0 else SEARCH_LIMIT)
+
+
+def parse_candidates(output: str) -> list[str]:
+    """Document ids of an index's answer, in order and once each: a JSON list of ids, or of objects with `doc_id`."""
+    try:
+        found = json.loads(output)
+    except ValueError as e:
+        raise RecordError(QUERY_FAILED, "the index's answer is no JSON") from e
+    if not isinstance(found, list) or not all(isinstance(x, (str, dict)) for x in found):
+        raise RecordError(QUERY_FAILED, "the index's answer is no list of documents")
+    ids = (str((x.get("doc_id") or "") if isinstance(x, dict) else x).strip() for x in found)
+    return list(dict.fromkeys(x for x in ids if x))
+
+
+def candidate_rows(spark, ids: list[str]) -> DataFrame:
+    """(projection_id, rank) of ids in their order."""
+    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "projection_id string, rank long")
+
+
+def post_filtered(request: SearchRequest) -> bool:
+    """Whether filters may take candidates away that the index did not know of."""
+    return bool(request.anchor_ids or request.predicates or request.types or request.min_score is not None or request.scope != Scope() or request.temporal.is_set)
+
+
+def fetch_bound(limit: int) -> int:
+    """How many candidates an index is asked for, for a page of so many hits (a fixed value)."""
+    return limit + 1000
+
+
+def index_response(memory: Memory, request: SearchRequest, fetch) -> Response:
+    """A page of hits among an index's candidates: `fetch(n)` gives the best n as (projection_id, rank).
+
+    If a filter may have taken hits away and the index had more than it was asked for, the search
+    runs over all records instead; a key cursor cannot go on there and is refused, an offset cursor
+    of such a search stays with it.
+    """
+    from palimpsest.operators.responses import Response, search_response
+
+    limit = request.page.limit if request.page.limit > 0 else SEARCH_LIMIT
+    if post_filtered(request) and request.page.cursor.startswith("offset:"):
+        return search_response(memory, request)
+    bound = fetch_bound(limit)
+    ranked = cut(fetch(bound))
+    if post_filtered(request) and ranked.count() >= bound:
+        if request.page.cursor:
+            raise RecordError(INPUT_INVALID, "cursor_invalid: start this search again", cursor=request.page.cursor)
+        return search_response(memory, request)
+    hits = cut(index_primary_search(memory, request, ranked))
+    page = cut(index_page(hits, request.page))
+    rows = page.select("score", "hit_type", "record_id").collect()  # one page
+    last = max(rows, key=lambda r: (-r["score"], r["hit_type"], r["record_id"]), default=None)
+    cursor = key_cursor(last["score"], last["hit_type"], last["record_id"]) if last else ""
+    more = cursor and not after_key(hits, cursor).isEmpty()
+    return Response(named_hits(page), cursor if more else "", included(memory, request, page) if request.include.for_search else None)
 
 
 def reranked(hits: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -132,9 +259,3 @@ def reranked(hits: DataFrame, ranked: DataFrame) -> DataFrame:
     met = hits.join(ranked_records(ranked), ["hit_type", "record_id"], "left")
     reasons = F.when(F.col("rank").isNotNull(), F.concat("reasons", F.array(F.concat(F.lit("index_rerank_rank:"), F.col("rank").cast("string"))))).otherwise(F.col("reasons"))
     return met.withColumn("reasons", reasons).orderBy(F.col("rank").asc_nulls_last(), "position")
-
-
-def include_history(request: SearchRequest) -> SearchRequest:
-    from dataclasses import replace
-
-    return replace(request, temporal=with_inactive(request.temporal))

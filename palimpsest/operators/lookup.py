@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.errors import ENTITY_NOT_FOUND, FACT_NOT_FOUND, QUERY_FAILED, SOURCE_NOT_FOUND, RecordError
@@ -56,6 +56,10 @@ def matching_facts(memory: Memory, request: LookupRequest) -> DataFrame:
     return facts
 
 
+def fact_order() -> list[Column]:
+    return [F.col("observed_at").desc_nulls_last(), F.col("id").asc()]
+
+
 def lookup_facts(memory: Memory, request: LookupRequest) -> DataFrame:
     """One page of facts: last observed first, then by id."""
-    return ordered_page(matching_facts(memory, request), [F.col("observed_at").desc_nulls_last(), F.col("id").asc()], request.page)
+    return ordered_page(matching_facts(memory, request), fact_order(), request.page)

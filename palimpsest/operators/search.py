@@ -26,7 +26,7 @@ LADDER = {
     "semantic": ((0.9, "semantic_fallback"), (0.5, 0.5, "semantic_token_overlap"), (0.35, 0.4, "semantic_vector_similarity")),
 }
 TYPE_RANK = {"fact": 0, "episode": 1, "entity": 2}
-_HIT = ["hit_type", "record_id", "score", "matched_text", "reasons"]
+HIT = ["hit_type", "record_id", "score", "matched_text", "reasons"]
 
 
 def fact_text() -> Column:
@@ -113,12 +113,15 @@ def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def direct_hits(memory: Memory, request: SearchRequest) -> DataFrame:
-    """Hits of the text itself, with their keys."""
+def direct_hits(memory: Memory, request: SearchRequest, within: DataFrame | None = None) -> DataFrame:
+    """Hits of the text itself, with their keys; of the records of `within` (hit_type, record_id) only, where it is given."""
     query = request.query_text.strip().lower()
     if not query:
         raise RecordError(INPUT_INVALID, "query_text is required", field="query_text")
-    found = scored(candidates(memory, request), query, request.mode)
+    found = candidates(memory, request)
+    if within is not None:
+        found = found.join(within, ["hit_type", "record_id"], "left_semi")
+    found = scored(found, query, request.mode)
     fact, score = F.col("hit_type") == "fact", F.col("base")
     bonus = F.when(fact, BONUS["fact"]).when(F.col("hit_type") == "episode", BONUS["episode"]).otherwise(BONUS["entity"])
     score, reasons = score + bonus, [F.col("reason")]
@@ -165,7 +168,11 @@ def hit_order() -> list[Column]:
 
 def search(memory: Memory, request: SearchRequest) -> DataFrame:
     """One page of hits: by score, then record id."""
-    return ordered_page(all_hits(memory, request), hit_order(), request.page).select(F.concat(F.lit("hit_"), "record_id").alias("hit_id"), *_HIT)
+    return named_hits(ordered_page(all_hits(memory, request), hit_order(), request.page))
+
+
+def named_hits(page: DataFrame) -> DataFrame:
+    return page.select(F.concat(F.lit("hit_"), "record_id").alias("hit_id"), *HIT)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import summary, text_or_empty
@@ -52,7 +52,11 @@ def events(memory: Memory, request: TimelineRequest) -> DataFrame:
     return out.where(F.col("timestamp") <= at(t.as_of)) if t.as_of else out
 
 
+def time_order(request: TimelineRequest) -> list[Column]:
+    time = F.col("timestamp")
+    return [time.desc() if request.descending else time.asc(), F.col("event_id").asc()]
+
+
 def timeline(memory: Memory, request: TimelineRequest) -> DataFrame:
     """One page of events in time order (or its reverse); equal times by event id."""
-    time = F.col("timestamp")
-    return ordered_page(events(memory, request), [time.desc() if request.descending else time.asc(), F.col("event_id").asc()], request.page)
+    return ordered_page(events(memory, request), time_order(request), request.page)

@@ -9,6 +9,10 @@ from palimpsest.errors import INPUT_INVALID, RecordError
 from palimpsest.plans.schema import DEFAULT_SPACE
 
 
+# What a command takes where its request names no bound.
+SEARCH_LIMIT, LOOKUP_LIMIT, TIMELINE_LIMIT, NEIGHBORHOOD_NODES, CONTEXT_BLOCKS, CONTEXT_TEXT = 10, 25, 25, 50, 16, 512
+
+
 def space_of(space_id: str | None) -> str:
     return (space_id or "").strip() or DEFAULT_SPACE
 
@@ -89,6 +93,14 @@ class Include:
     supporting_facts: bool = False
     snippets: bool = False
 
+    @property
+    def for_search(self) -> bool:
+        return self.provenance or self.supporting_episodes or self.related_entities or self.snippets
+
+    @property
+    def for_lookup(self) -> bool:
+        return self.provenance or self.supporting_episodes or self.related_entities
+
 
 @dataclass(frozen=True)
 class SearchRequest:

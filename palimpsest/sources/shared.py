@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,31 @@ def light(df: DataFrame, most: int | None = None) -> DataFrame:
     """Rows of a checkpoint, marked for broadcast if they are few enough: `most` of them, where that is known, else counted first."""
     few = df.limit(LIGHT + 1).count() if most is None else most
     return F.broadcast(df) if few <= LIGHT else df
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return hadoop, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file under its name at once: written beside it, then renamed over it."""
+    hadoop, at, fs = _fs(spark, path)
+    staged = hadoop.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex[:8]}")
+    stream = fs.create(staged, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    option = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    option[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(staged), fs.makeQualified(at), option)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    _, at, fs = _fs(spark, path)
+    return fs.exists(at)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or nothing where there is none."""
+    return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else None

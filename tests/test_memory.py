@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from palimpsest.errors import RecordError
 from palimpsest.functions import text
 from palimpsest.memory import Memory
-from palimpsest.operators import admin, context, graph, index, lifecycle, lookup, paging, policy, provenance, search, timeline
-from palimpsest.plans.requests import LookupRequest, NeighborhoodRequest, Page, ProvenanceRequest, Scope, SearchRequest, Temporal, TimelineRequest
+from palimpsest.functions.stats import percentile_of, percentiles
+from palimpsest.operators import admin, context, graph, index, lifecycle, lookup, paging, policy, provenance, responses, search, timeline
+from palimpsest.plans.requests import Include, LookupRequest, NeighborhoodRequest, Page, ProvenanceRequest, Scope, SearchRequest, Temporal, TimelineRequest
 from palimpsest.sources import documents
 from palimpsest.sources.store import Store, changes
 
@@ -305,3 +306,93 @@ def test_numbers_follow_the_order(spark):
     rows = with_numbers(df, ["k"], "n").collect()
     assert all(r["k"] == r["n"] for r in rows) and len(rows) == 1000
     assert with_numbers(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_export_is_imported_again(spark, base, tmp_path):
+    m = lifecycle.assert_facts(base, facts(spark, ("f1", "a", "P", None, "x", day("2026-01-01"), None, None), ("f2", "b", "P", "a", None, None, None, None)), T0)
+    m = lifecycle.retract_facts(m.settled(), spark.createDataFrame([("f2", 0)], "id string, pos int"), "gone", T0)
+    documents.write_export(m, str(tmp_path / "out"), importable=True)
+    back = documents.ingest_json(Memory.empty(spark), str(tmp_path / "out"), T0)
+    row = back.facts.collect()
+    assert [(r["id"], r["value_text"], r["valid_from"], r["supporting_episode_ids"]) for r in row] == [("f1", "x", datetime(2026, 1, 1), ["ep-1"])]
+    assert {(r["id"], r["kind"]) for r in back.sources.collect()} == {(r["id"], r["kind"]) for r in base.sources.collect()}
+    assert {(r["id"], r["content"], r["observed_at"]) for r in back.episodes.collect()} == {(r["id"], r["content"], r["observed_at"]) for r in base.episodes.collect()}
+    documents.write_export(m, str(tmp_path / "all"))
+    with pytest.raises(RecordError, match="revisions"):
+        documents.ingest_json(Memory.empty(spark), str(tmp_path / "all"), T0)
+
+
+def test_json_lines_and_text_files(spark, tmp_path):
+    lines = [{"episodes": [{"id": f"e{i}", "kind": "note", "content": f"text {i}"}]} for i in range(5)]
+    (tmp_path / "many.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    m = documents.ingest_json(Memory.empty(spark), str(tmp_path / "many.jsonl"), T0)
+    assert sorted(r["id"] for r in m.episodes.collect()) == [f"e{i}" for i in range(5)]
+    (tmp_path / "texts").mkdir()
+    for name in "ab":
+        (tmp_path / "texts" / name).write_text(f"content {name}")
+    m = lifecycle.ingest_episodes(Memory.empty(spark), documents.text_episodes(spark, str(tmp_path / "texts"), kind="file"), T0)
+    assert [(r["id"], r["content"]) for r in m.episodes.orderBy("id").collect()] == [("ep_000001", "content a"), ("ep_000002", "content b")]
+
+
+def test_index_manifest_status_and_freshness(spark, base, tmp_path):
+    store, root = Store(spark, str(tmp_path / "db")), str(tmp_path / "index")
+    store.save(base)
+    assert not index.index_fresh(spark, root, store.version())
+    made = index.write_projections(store.load(), root, store_version=store.version())
+    assert index.index_status(spark, root)["projection_count"] == 4 == made["projection_count"] and index.verify_index(store.load(), root)["valid"]
+    assert index.index_fresh(spark, root, store.version()) and made["counts"] == {"episodes": 2, "entities": 2, "facts": 0, "fact_revisions": 0, "entity_revisions": 2}
+    again = index.projection_hash(index.projections(store.load()).repartition(3)).first()[0]
+    assert again == made["projection_hash"] and len(again) == 64
+    after = store.commit(lifecycle.assert_facts, facts(spark, ("f1", "a", "P", None, "x", None, None, None)), T0)
+    assert not index.index_fresh(spark, root, store.version())
+    with pytest.raises(RecordError, match="counts"):
+        index.verify_index(after, root)
+    for name in ("../x", "", ".."):
+        (tmp_path / "index" / ".index.json.crc").unlink(missing_ok=True)
+        (tmp_path / "index" / "index.json").write_text(json.dumps({**made, "projection_file": name}))
+        with pytest.raises(RecordError, match="plain folder"):
+            index.read_projections(spark, root)
+
+
+def test_index_answers(spark, base):
+    assert index.parse_candidates('[{"doc_id": " fact:a "}, {"doc_id": ""}, {"doc_id": "fact:a"}, {"doc_id": "episode:b"}]') == ["fact:a", "episode:b"]
+    assert index.parse_candidates('["x", "x", " y"]') == ["x", "y"]
+    for bad in ("{}", "no", "[1]"):
+        with pytest.raises(RecordError):
+            index.parse_candidates(bad)
+    rows = [(f"f{i:02d}", "a", "P", None, "needle", None, None, None) for i in range(12)]
+    m = lifecycle.assert_facts(base, facts(spark, *rows), T0).settled()
+    ids = [f"fact:f{i:02d}" for i in range(12)]
+    fetch = lambda n: index.candidate_rows(spark, ids[:n])
+    seen, page = [], Page(limit=5)
+    while True:
+        got = index.index_response(m, SearchRequest("needle", mode="keyword", page=page, include=Include(snippets=True)), fetch)
+        seen += [r["record_id"] for r in got.rows.collect()]
+        assert {r["id"] for r in got.included.facts.collect()} <= set(seen)
+        if not got.next_cursor:
+            break
+        page = Page(5, got.next_cursor)
+    assert seen == [f"f{i:02d}" for i in range(12)]
+    filtered = SearchRequest("needle", mode="keyword", types=("fact",), page=Page(limit=5))
+    many = lambda n: index.candidate_rows(spark, [f"fact:none{i}" for i in range(n)])
+    assert index.index_response(m, filtered, many).rows.count() == 5  # all records instead
+    with pytest.raises(RecordError, match="cursor_invalid"):
+        index.index_response(m, SearchRequest("needle", mode="keyword", types=("fact",), page=Page(5, "key:1:fact:f00")), many)
+
+
+def test_responses_include_what_is_asked_for(spark, base):
+    m = lifecycle.assert_facts(base, facts(spark, *((f"f{i}", "a", "P", "b", "needle", None, None, None) for i in range(3))), T0).settled()
+    plain = responses.search_response(m, SearchRequest("needle", types=("fact",), mode="keyword", page=Page(limit=2)))
+    assert plain.included is None and plain.next_cursor == "offset:2" and plain.rows.count() == 2
+    more = responses.search_response(m, SearchRequest("needle", types=("fact",), mode="keyword", page=Page(2, "offset:2"), include=Include(related_entities=True)))
+    assert more.next_cursor == "" and {r["id"] for r in more.included.entities.collect()} == {"a", "b"} and more.included.facts.count() == 3
+    found = responses.lookup_response(m, LookupRequest(page=Page(limit=1), include=Include(supporting_episodes=True)))
+    assert found.next_cursor == "offset:1" and {r["id"] for r in found.included.episodes.collect()} == {"ep-1"} and {r["id"] for r in found.included.sources.collect()} == {"s1"}
+    assert responses.lookup_response(m, LookupRequest(include=Include(snippets=True))).included is None
+    assert responses.timeline_response(m, TimelineRequest(page=Page(limit=2))).next_cursor == "offset:2"
+
+
+def test_percentiles(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(100)] + [(None,)], "x double")
+    assert [tuple(r) for r in percentiles(df, "x").orderBy("percentile").collect()] == [(0.5, 49.0), (0.95, 94.0), (0.99, 98.0)]
+    assert percentiles(df.limit(0), "x").count() == 0 and percentile_of([3.0, 1.0, 2.0], 0.5) == 2.0 and percentile_of([], 0.5) == 0.0
