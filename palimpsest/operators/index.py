@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.errors import INPUT_INVALID, QUERY_FAILED, RecordError
-from palimpsest.functions.text import strip, text_or_empty, tokens
+from palimpsest.functions.text import query_tokens, strip, text_or_empty, tokens
 from palimpsest.memory import Memory
 from palimpsest.operators.paging import after_key, key_cursor
 from palimpsest.operators.search import all_hits, candidates, direct_hits, included, named_hits
