@@ -604,3 +604,64 @@ def _(m):
 
     after = m.facts.where("predicate <> 'RETURNED'").withColumn("status", F.lit(schema.ACTIVE))
     return changes(m.facts, after)
+
+
+# --- pages after a key, included records of lookups, marks, hashes, percentiles
+@query("index_page_after_key", """SELECT record_id, round(score, 6) AS score FROM (SELECT c.record_id, CASE WHEN d.score IS NOT NULL THEN 1 + d.score + 1.0::DOUBLE / rank ELSE 0.1::DOUBLE / rank END AS score
+    FROM rk JOIN cand c ON rk.p = 'fact:' || c.record_id LEFT JOIN direct d ON d.record_id = c.record_id WHERE d.score IS NOT NULL OR contains(lower(c.text), 'customer') OR contains(lower(c.text), '1')) ORDER BY score DESC, record_id LIMIT 7 OFFSET 5""",
+       search_ctes(_PRIMARY, _PRIMARY_CAND) + "," + RANKED)
+def _(m):
+    from palimpsest.operators.paging import key_cursor
+    from palimpsest.sources.shared import cut
+
+    hits = cut(index.index_primary_search(m, _PRIMARY, _ranked(m)))
+    last = index.index_page(hits, Page(5)).collect()[-1]
+    return index.index_page(hits, Page(7, key_cursor(last["score"], last["hit_type"], last["record_id"]))).select("record_id", F.round("score", 6).alias("score"))
+
+
+_LOCATED = LookupRequest(predicates=("LOCATED_IN",))
+
+
+def _lookup_included(part: str, sql: str, columns: list[str]):
+    @query(f"lookup_included_{part}", sql)
+    def _(m):
+        return getattr(search.lookup_included(m, _LOCATED, lookup.matching_facts(m, _LOCATED)), part).select(*columns)
+
+
+_OWN = "fact WHERE predicate = 'LOCATED_IN' AND space_id = 'default'"
+_lookup_included("entities", f"SELECT id, canonical_name FROM ent WHERE id IN (SELECT subject_id FROM {_OWN} UNION SELECT object_id FROM {_OWN})", ["id", "canonical_name"])
+_lookup_included("episodes", f"SELECT id, kind FROM ep WHERE space_id = 'default' AND id IN (SELECT unnest(eps) FROM {_OWN})", ["id", "kind"])
+_lookup_included("sources", f"SELECT DISTINCT src.id, src.kind FROM src JOIN ep ON ep.source_id = src.id AND ep.space_id = src.space_id WHERE ep.id IN (SELECT unnest(eps) FROM {_OWN})", ["id", "kind"])
+
+_MARKED = SearchRequest("supplier#00", types=("entity",), mode="keyword")
+
+
+@query("search_leaves_out_marked_duplicates", HITS_SQL.format("direct"), search_ctes(_MARKED, ENT_CAND + " AND NOT (type = 'Supplier' AND id LIKE '%7')"))
+def _(m):
+    marked = F.when(F.expr("type = 'Supplier' AND id LIKE '%7'"), F.lit("supplier:1")).otherwise(F.col("duplicate_of"))
+    return _hits(search.direct_hits(m.with_tables(entities=m.entities.withColumn("duplicate_of", marked)), _MARKED))
+
+
+@query("neighborhood_of_missing_entities", "SELECT id, type, label FROM kept WHERE id NOT LIKE 'part:%'", GRAPH.format(anchors="'supplier:3'", hops=2, types="", edgetypes="", nodetypes=""))
+def _(m):
+    # Edges that name an entity which does not exist lead nowhere.
+    return graph.neighborhood(m.with_tables(entities=m.entities.where("type <> 'Part'")), NeighborhoodRequest(("supplier:3",), max_hops=2))[0]
+
+
+@query("projection_hash", """SELECT sha256(concat_ws(',', sum(('0x' || substr(h, 1, 15))::HUGEINT), sum(('0x' || substr(h, 16, 15))::HUGEINT), sum(('0x' || substr(h, 31, 15))::HUGEINT), sum(('0x' || substr(h, 46, 15))::HUGEINT))) AS projection_hash
+    FROM (SELECT sha256(concat_ws(chr(0), projection_id, coalesce(search_text, ''), coalesce(observed_at_ms::VARCHAR, ''))) AS h FROM proj)""", PROJ)
+def _(m):
+    return index.projection_hash(index.projections(m))
+
+
+@query("percentiles_of_length", "SELECT p AS percentile, v[1 + floor(p * (len(v) - 1))::INT] AS value FROM (SELECT list_sort(list(length(content)::BIGINT)) AS v FROM ep), (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(p)")
+def _(m):
+    from palimpsest.functions.stats import percentiles
+
+    return percentiles(m.episodes.select(F.length("content").cast("long").alias("n")), "n")
+
+
+@query("candidates_of_an_answer", "SELECT * FROM (VALUES ('fact', 'a:1', 2), ('episode', 'b', 1)) t(hit_type, record_id, rank)")
+def _(m):
+    ids = index.parse_candidates('[{"doc_id": "episode:b#chunk:3"}, {"doc_id": " fact:a:1 "}, {"doc_id": "fact:a:1"}, {"doc_id": "other:x"}, {"doc_id": ""}]')
+    return index.ranked_records(index.candidate_rows(m.spark, ids))
