@@ -7,22 +7,25 @@ or digit) or either end; everything else is literal. Without `||` a pattern fits
 Every rule is filed under its rarest literal token: of the runs of ASCII letters and digits that
 the pattern bounds on both sides, the one that the fewest URLs of the table hold. A URL's tokens
 fetch candidate rules by a join on the token, and only those candidates run their regular
-expression. Of the fitting rules the highest class wins, then the longest pattern, then the first
-in order; rules of the lowest class give the default verdict (they name no rule in the result).
+expression. Rules without such a token cannot be filed; they run against every URL.
+Of the fitting rules the lowest class wins, then the longest pattern, then the least number. A class
+that gives the default verdict names no rule in the result.
 
-The rules are one literal table whose size is checked; a larger set than `max_broadcast` rules is
-joined by shuffling tokens instead. Tokens are exploded and reduced again in one task-local step
-before the only shuffle, which carries one narrow row a URL and task; equal rows meet there, are
-counted by the empty token, which no rule can be filed under, and are repeated again afterwards, so a URL that a third of all rows share costs one row a task.
+Rules are a DataFrame (number, class, pattern, verdict, name), so a list of any length works:
+up to `max_broadcast` rules, counted first, the index goes to all tasks; beyond, tokens and index
+meet by a shuffle on the token. Either join keeps candidates only, so what goes on are the fits,
+one narrow row a URL and fitting rule; the best of each different URL is joined back to the rows.
+A URL that a third of all rows share is one key of that last join whose other side has one row, so
+adaptive execution splits it. Tokens that many URLs hold are no rule's rarest one, unless all of its are.
 
 Results for odd rows: a null URL or one without `://` has an empty host and path and is allowed
-by default; repeated rows stay repeated; an empty table gives an empty table; other columns are
-ignored.
+by default; repeated rows and ids stay repeated (ties give equal verdicts); a URL of many megabytes is
+matched whole; rules that repeat count once; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +36,11 @@ from palimpsest.llm.common import table
 MAX_BROADCAST = 50_000
 
 
+#: A token that the pattern bounds on both sides; what stands for `^`.
+_TOKEN = r"(?<=[^A-Za-z0-9*])([A-Za-z0-9]+)(?=[^A-Za-z0-9*])"
+_BORDER = "(?:[^A-Za-z0-9]|^|$)"
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pattern, its verdict, and the name to report (none for a rule of the default verdict)."""
@@ -41,24 +49,18 @@ class Rule:
     verdict: str
     name: str | None = None
 
-    @property
-    def regex(self) -> str:
-        body = self.pattern.removeprefix("||")
-        parts = {"*": ".*", "^": "(?:[^A-Za-z0-9]|^|$)"}
-        out = "".join(parts.get(c) or (re.escape(c) if c.isascii() else c) for c in body)
-        return ("(?s)^(?:[^/]*\\.)?" if body != self.pattern else "(?s)") + out
-
-    @property
-    def tokens(self) -> list[str]:
-        """Literal tokens that every fitting URL holds as a whole token."""
-        body, anchored = self.pattern.removeprefix("||"), self.pattern.startswith("||")
-        out = []
-        for m in re.finditer(r"[A-Za-z0-9]+", body):
-            left = body[m.start() - 1] != "*" if m.start() else anchored
-            right = m.end() < len(body) and body[m.end()] != "*"
-            if left and right:
-                out.append(m[0])
-        return list(dict.fromkeys(out))
+
+def rule_tokens(pattern: Column) -> Column:
+    """Literal tokens that every fitting URL holds as a whole token; at the start, only `||` bounds one."""
+    return F.array_distinct(F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(1)))
+
+
+def rule_regex(pattern: Column) -> Column:
+    """The pattern as a regular expression over host and path."""
+    body = F.regexp_replace(pattern, r"^\|\|", "")
+    body = F.regexp_replace(body, r"([\p{ASCII}&&[^A-Za-z0-9*^]])", r"\\$1")
+    body = F.replace(F.replace(body, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(_BORDER))
+    return F.concat(F.when(F.startswith(pattern, F.lit("||")), r"(?s)^(?:[^/]*\.)?").otherwise("(?s)"), body)
 
 
 def prefix_rule(host: str, path: str, verdict: str) -> Rule:
@@ -98,48 +100,53 @@ def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Da
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows))))
 
 
-def index_rules(rules: list[Rule], urls: DataFrame) -> list[tuple]:
-    """(token, number, regex) of each rule, under the token that the fewest of `urls` (column tokens) hold."""
-    known = sorted({t for r in rules for t in r.tokens})
-    if missing := [r.pattern for r in rules if not r.tokens]:
-        raise ValueError(f"no literal token bounded on both sides in {missing}")
-    # Only tokens of rules are counted, at most one row each after the map side.
-    counts = {}
-    if known:
-        wanted = literal_rows(urls.sparkSession, ["token"], [(t,) for t in known])
-        held = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted) if len(known) <= MAX_BROADCAST else wanted, "token", "left_semi")
-        counts = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
-    rarest = [min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules]
-    return [(t, i, r.regex) for i, (t, r) in enumerate(zip(rarest, rules, strict=True))]
-
-
-def judge(pages: DataFrame, rules: list[Rule], default_rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(id, host, path, rule, verdict) of every row."""
-    spark = pages.sparkSession
+def rule_table(spark: SparkSession, *classes: list[Rule]) -> DataFrame:
+    """Lists of rules, the preferred class first, as the table that judge_by() takes. For a few rules: they are literals."""
+    rows = [(k, r.pattern, r.verdict, r.name or "") for k, rules in enumerate(classes) for r in rules]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    names = ["number", "class", "pattern", "verdict", "name"]
+    return literal_rows(spark, names, rows) if rows else literal_rows(spark, names, [(0, 0, "", "", "")]).limit(0)
+
+
+def index_rules(rules: DataFrame, urls: DataFrame, few: bool) -> DataFrame:
+    """(token, rule columns) of each rule, under the token that the fewest of `urls` (column tokens) hold; null for rules without one."""
+    each = rules.select("number", F.explode("tokens").alias("token"))
+    known = each.select("token").distinct()
+    # Only tokens of rules are counted, at most one row each and task after the map side.
+    held = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(known) if few else known, "token", "left_semi").groupBy("token").count()
+    weighed = each.join(held, "token", "left").select("number", "token", F.coalesce("count", F.lit(0)).alias("n"))
+    rarest = weighed.groupBy("number").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return rules.drop("tokens").join(rarest, "number", "left")
+
+
+def judge_by(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", max_broadcast: int = MAX_BROADCAST, default: str = "allow") -> DataFrame:
+    """(id, host, path, rule, verdict) of every row, by a table of rules (number, class, pattern, verdict, name)."""
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     urls = urls.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("tokens", tokens_of(F.concat("host", "path")))
-    both = [*rules, *default_rules]
-    filed = index_rules(both, urls.select("tokens"))
-    # Preference: named rules before default ones, longer patterns first, then earlier ones.
-    rank = {i: p for p, i in enumerate(sorted(range(len(both)), key=lambda i: (i >= len(rules), -len(both[i].pattern), i)))}
-    index = literal_rows(spark, ["token", "rank", "regex"], [(t, rank[i], regex) for t, i, regex in filed])
-    meaning = literal_rows(spark, ["best", "rule", "verdict"], [(rank[i], both[i].name or "", both[i].verdict) for _, i, _ in filed])
-    few = len(both) <= max_broadcast
-    # The empty token keeps URLs without tokens; no rule lies under it, so it marks one row of each input row.
-    held = urls.select("id", "url", "host", "path", F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
-    met = held.join(F.broadcast(index) if few else index, "token", "left")
-    fits = F.regexp(F.concat("host", "path"), F.col("regex"))
-    judged = met.groupBy("id", "url").agg(F.count_if(F.col("token") == "").alias("copies"), F.min(F.when(fits, F.col("rank"))).alias("best"))
-    judged = judged.join(F.broadcast(meaning) if few else meaning, "best", "left")
-    return judged.select(
-        F.col("id").alias(id_col),
-        host_of(F.col("url")).alias("host"),
-        path_of(F.col("url")).alias("path"),
-        F.nullif("rule", F.lit("")).alias("rule"),
-        F.coalesce("verdict", F.lit("allow")).alias("verdict"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    held = urls.withColumn("tokens", tokens_of(F.concat("host", "path"))).where(F.size("tokens") > 0)
+    # The place in the order of preference, as one number; equal patterns of a class differ in theirs.
+    length = F.least(F.char_length("pattern"), F.lit(65_535))
+    place = F.shiftleft(F.col("class").cast("long"), 56) + F.shiftleft((65_535 - length).cast("long"), 40) + F.col("number").cast("long")
+    rules = rules.select("number", rule_tokens(F.col("pattern")).alias("tokens"), rule_regex(F.col("pattern")).alias("regex"), F.struct(place.alias("place"), "name", "verdict").alias("rule"))
+    few = rules.limit(max_broadcast + 1).count() <= max_broadcast
+    filed = index_rules(rules, held.select("tokens"), few)
+    index = filed.where("token IS NOT NULL").select("token", "regex", "rule")
+    met = held.select("url", "host", "path", F.explode("tokens").alias("token")).join(F.broadcast(index) if few else index, "token")
+    loose = filed.where("token IS NULL").select("regex", "rule")
+    if not loose.isEmpty():
+        # Every URL meets these rules in one of several copies of them, by a hash of the URL.
+        copies = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = loose.select("regex", "rule", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+        whole = urls.where("host <> '' OR path <> ''").select("url", "host", "path", F.pmod(F.xxhash64("url"), F.lit(copies)).cast("int").alias("copy"))
+        met = met.drop("token").unionByName(whole.join(F.broadcast(spread) if few else spread, "copy").drop("copy"))
+    best = met.where(F.regexp(F.concat("host", "path"), F.col("regex"))).groupBy("url").agg(F.min("rule").alias("best"))
+    judged = urls.join(best, "url", "left")
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.nullif("best.name", F.lit("")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge(pages: DataFrame, rules: list[Rule], default_rules: list[Rule], **options) -> DataFrame:
+    """The same by two lists: named rules, and those of the default verdict."""
+    return judge_by(pages, rule_table(pages.sparkSession, rules, default_rules), **options)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,9 +98,52 @@ def test_url_filters_by_sql_row_by_row(spark, tmp_path):
     assert got == sorted(map(str, c.execute(url_filters.ORACLE_SQL).fetchall()))
 
 
-def test_rules_are_filed_under_whole_tokens():
-    assert url_filters.prefix_rule("example.com", "/en/7", "allow").tokens == ["example", "com", "en"]
-    assert url_filters.Rule("^a*b^c", "block").tokens == []
+def test_rules_are_filed_under_whole_tokens(spark):
+    rules = [url_filters.prefix_rule("example.com", "/en/7", "allow"), url_filters.Rule("^a*b^c", "block")]
+    got = url_filters.rule_table(spark, rules).orderBy("number").select(url_filters.rule_tokens(F.col("pattern"))).collect()
+    assert [r[0] for r in got] == [["example", "com", "en"], []]
+
+
+def fits(pattern, text):
+    """Plain matching: anchors, separators and wild cards by recursion."""
+    body = pattern.removeprefix("||")
+
+    def at(i, k):
+        if k == len(body):
+            return True
+        if body[k] == "*":
+            return any(at(j, k + 1) for j in range(i, len(text) + 1))
+        if body[k] == "^":
+            here = i < len(text) and not (text[i].isascii() and text[i].isalnum())
+            return here and at(i + 1, k + 1) or i in (0, len(text)) and at(i, k + 1)
+        return i < len(text) and text[i] == body[k] and at(i + 1, k + 1)
+
+    if body == pattern:
+        return any(at(i, 0) for i in range(len(text) + 1))
+    host = text.partition("/")[0]
+    return any(at(i, 0) for i in range(len(host) + 1) if i == 0 or text[i - 1] == ".")
+
+
+def test_many_rules_by_plain_matching(spark):
+    rng = np.random.default_rng(2)
+    names = ["ads", "track", "cdn", "shop", "news", "img", "a", "b2", "com", "net"]
+    pick = lambda n: [names[i] for i in rng.integers(0, len(names), n)]
+    rules = []
+    for i in range(1500):
+        host, path = ".".join(pick(2)), "/".join(pick(2))
+        kinds = (f"||{host}^", f"||{host}/{path}", f"/{path}/*{pick(1)[0]}", f"^{path}^", f"{pick(1)[0]}*{pick(1)[0]}", f"||{host}/é?{i % 7}", f"{pick(1)[0]}.")
+        rules.append((i, i % 3, kinds[int(rng.integers(0, len(kinds)))], "allow" if i % 5 == 0 else "block", f"r{i}"))
+    urls = [f"http://{'.'.join(pick(int(rng.integers(1, 4))))}/{'/'.join(pick(int(rng.integers(0, 4))))}{'é?' if i % 9 == 0 else ''}" for i in range(60)]
+    pages = spark.createDataFrame([(i % 50, u) for i, u in enumerate(urls)] + [(7, None)], "page_id long, url string")
+    table = spark.createDataFrame(rules, "number long, class int, pattern string, verdict string, name string")
+    want = []
+    for i, u in [*((i % 50, u) for i, u in enumerate(urls)), (7, None)]:
+        host, path, _, _ = judged(u)
+        hit = min(((k, -len(p), n, name, v) for n, k, p, v, name in rules if fits(p, host + path)), default=None)
+        want.append((i, host, path, hit and hit[3], hit[4] if hit else "allow"))
+    for most in (50_000, 10):
+        got = url_filters.judge_by(pages, table, max_broadcast=most)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
 # --- 2: sharding
