@@ -8,11 +8,27 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import byte_bpe, decontaminate, language_id, quality, simhash
+from palimpsest.llm import byte_bpe, language_id, quality
+from test_llm import fingerprint_by_force
 
 SF = "/root/testdata/sf0.01"
 
 
+def classes_by_force(text):
+    """Least ids of the groups linked within 3 bits, or within 11 bits by sets of 5-word shingles of similarity 0.8."""
+    ids = sorted(text)
+    fps = [fingerprint_by_force(text[d]) for d in ids]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) or frozenset([tuple(w)]) for d in ids for w in [text[d].lower().split()]]
+    at = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            bits = (fps[i] ^ fps[j]).bit_count()
+            if bits <= 3 or bits <= 11 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = at[i], at[j]
+                at = [min(a, b) if x == max(a, b) else x for x in at]
+    return {ids[i] for i in at}
+
+
 def test_stages_in_order_and_final_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("own"))
     before = docs
@@ -27,8 +43,7 @@ def test_stages_in_order_and_final_rows(spark):
             bad = [k for k in a if labels.get(k) == 0]
             assert sum(k in b for k in bad) <= 0.2 * len(bad) and sum(labels.get(k) == 1 for k in a.keys() - b.keys()) <= 2
         if name.startswith("SimHash"):
-            classes = {r["component_id"] for r in simhash.near_duplicates(before).collect()}
-            assert b.keys() == classes
+            assert b.keys() == classes_by_force({k: r["text"] for k, r in a.items()})
         if name.startswith("benchmark"):
             items = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             holds = lambda t: any(i in " ".join(t.split()) for i in items)
@@ -49,7 +64,20 @@ def test_stages_take_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, given, SF)
             assert out.count() <= given.count(), name
-    assert decontaminate.COSINE < 1
+
+
+def test_stages_take_clashing_columns_and_long_texts(spark):
+    long = "these words make a text that goes on and on for many pages of a book " * 20_000
+    rows = [(1, long, None, "s", 1, 0.5, 3, "x"), (2, long, "en", "s", 1, 0.6, 4, "y"), (3, "another short text of some plain words", "en", "s", 1, 0.7, 5, "z"), (4, "x" * 500_000, "en", "s", 1, 0.8, 6, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, hash int, component_id string")
+    named = corpus_pipeline.language_stage(spark, docs, SF)
+    assert named.columns == docs.columns and {r["doc_id"]: r["lang"] for r in named.collect()} == {1: "en", 2: "en", 3: "en", 4: "en"}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        kept = {r["doc_id"]: r for r in out.collect()}
+        assert out.columns == docs.columns and all(kept[k]["component_id"] == r[7] and kept[k]["hash"] == r[6] for r in rows for k in [r[0]] if k in kept), name
+        if name.startswith("SimHash"):
+            assert set(kept) == {1, 3, 4}
 
 
 def test_what_the_classifier_rejects_goes(spark):
