@@ -1,9 +1,13 @@
 """A corpus pipeline of five stages: quality, language, near-duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's documents. All but the last return the columns of documents. Extra
-columns are carried along, whatever their names; null texts have their defined results in the
-operators.
+again as the next stage's documents. All but the last return the columns of documents.
+
+Results for odd rows: null and empty texts have their defined results in the operators (the
+language stage drops them: they have no letter); rows without an id are judged like others and
+always stay in the near-duplicate stage; of repeated rows and ties one stays there, that of the least
+id; texts of many megabytes are handled whole; an empty table passes through as one; extra columns
+are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no known language (operator 6)."""
+    """Drop documents of no known language (operator 6); what is named fills a language that was missing."""
     profiles = language_id.fit_profiles(docs, ~language_id.held_out("doc_id", 4, 2))
     named = language_id.identify(docs, profiles, keep=docs.columns, prefix="__language_")
     known = (F.col("__language_lang_pred") != language_id.UNKNOWN) & (F.col("__language_score") >= LEAST_LANGUAGE)
-    return named.where(known).select(docs.columns)
+    lang = F.coalesce("lang", "__language_lang_pred").alias("lang")
+    return named.where(known).select(*(lang if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
