@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.errors import INPUT_INVALID, RecordError
@@ -34,9 +34,35 @@ def unmarked(entities: DataFrame) -> DataFrame:
     return entities.where(strip(text_or_empty("duplicate_of")) == "")
 
 
+def _pairs(records: DataFrame, key: list[Column]) -> DataFrame:
+    """(target_id, source_id): each record of a key but the least id, with that id. No row holds a whole group."""
+    keyed = records.select("id", *key)
+    names = [c for c in keyed.columns if c != "id"]
+    groups = keyed.groupBy(*names).agg(F.min("id").alias("target_id"), F.count("*").alias("n")).where("n > 1")
+    same = [keyed[c].eqNullSafe(groups[c]) for c in names]
+    return keyed.join(groups, same).where("id <> target_id").select("target_id", F.col("id").alias("source_id"))
+
+
+def _entity_key() -> list[Column]:
+    return [folded(text_or_empty(c)).alias(f"_{c}") for c in ("space_id", "namespace", "type", "canonical_name")]
+
+
+def _fact_key() -> list[Column]:
+    key = [folded(text_or_empty(c)).alias(f"_{c}") for c in ("space_id", "predicate", "subject_id", "object_id", "value_text")]
+    return [*key, F.array_join(F.array_sort("supporting_episode_ids"), ",").alias("_support"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to")]
+
+
+def entity_duplicate_pairs(memory: Memory) -> DataFrame:
+    return _pairs(unmarked(memory.entities), _entity_key())
+
+
+def fact_duplicate_pairs(memory: Memory) -> DataFrame:
+    return _pairs(memory.facts.where(F.lower("status") != schema.RETRACTED), _fact_key())
+
+
 def entity_duplicates(memory: Memory) -> DataFrame:
     """(target_id, source_ids, namespace, type, canonical_name): entities of one name, in lower case; the least id is the target."""
-    key = [folded(text_or_empty(c)).alias(f"_{c}") for c in ("space_id", "namespace", "type", "canonical_name")]
+    key = _entity_key()
     shown = F.min_by(F.struct("namespace", "type", "canonical_name"), "id")
     groups = unmarked(memory.entities).groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("ids"), shown.alias("shown")).where(F.size("ids") > 1)
     return groups.select(F.col("ids")[0].alias("target_id"), F.slice("ids", 2, F.size("ids") - 1).alias("source_ids"), "shown.*")
@@ -44,8 +70,7 @@ def entity_duplicates(memory: Memory) -> DataFrame:
 
 def fact_duplicates(memory: Memory) -> DataFrame:
     """(target_id, source_ids, predicate, subject_id, object_id, value_text): facts that say the same on the same grounds, unless retracted."""
-    key = [folded(text_or_empty(c)).alias(f"_{c}") for c in ("space_id", "predicate", "subject_id", "object_id", "value_text")]
-    key += [F.array_join(F.array_sort("supporting_episode_ids"), ",").alias("_support"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to")]
+    key = _fact_key()
     shown = F.min_by(F.struct("predicate", "subject_id", "object_id", "value_text"), "id")
     groups = memory.facts.where(F.lower("status") != schema.RETRACTED).groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("ids"), shown.alias("shown")).where(F.size("ids") > 1)
     return groups.select(F.col("ids")[0].alias("target_id"), F.slice("ids", 2, F.size("ids") - 1).alias("source_ids"), "shown.*")
@@ -70,6 +95,6 @@ def compact(memory: Memory, now: datetime, *, apply: bool = False, confirm: bool
         return entities, facts, memory
     if not confirm:
         raise RecordError(INPUT_INVALID, "compaction must be confirmed")
-    after = merge_entities(memory, entities.select("target_id", F.explode("source_ids").alias("source_id")), now, confirm=True)
-    gone = facts.select(F.explode("source_ids").alias("id"), F.concat(F.lit("duplicate_of:"), "target_id").alias("reason"), F.lit(0).alias("pos"))
+    after = merge_entities(memory, entity_duplicate_pairs(memory), now, confirm=True)
+    gone = fact_duplicate_pairs(memory).select(F.col("source_id").alias("id"), F.concat(F.lit("duplicate_of:"), "target_id").alias("reason"), F.lit(0).alias("pos"))
     return entities, facts, retract_facts(after, gone, None, now)

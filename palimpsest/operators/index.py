@@ -25,9 +25,10 @@ def _joined(*parts: Column) -> Column:
 
 
 def _history(revisions: DataFrame, key: str, text: Column) -> DataFrame:
-    """Texts of a record's revisions in the order of their ids."""
-    each = revisions.select(F.col(key).alias("id"), F.struct(F.col("id").alias("rev"), text.alias("text")).alias("r"))
-    return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"]).alias("texts"))
+    """Different texts of a record's revisions, in the order of the ids of the first that have them."""
+    each = revisions.select(F.col(key).alias("id"), F.col("id").alias("rev"), text.alias("text"))
+    once = each.groupBy("id", "text").agg(F.min("rev").alias("rev"))
+    return once.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rev", "text"))), lambda r: r["text"]).alias("texts"))
 
 
 def _with_history(records: DataFrame, history: DataFrame, text: Column) -> DataFrame:

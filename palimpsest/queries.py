@@ -515,6 +515,13 @@ def _(m):
     return admin.fact_duplicates(m.with_tables(facts=twice)).select("target_id", F.array_join("source_ids", ",").alias("source_ids"), "predicate")
 
 
+@query("fact_duplicate_pairs", """SELECT min(id) OVER w AS target_id, id AS source_id FROM (SELECT * REPLACE ('dup:' || id AS id) FROM fact WHERE predicate <> 'SUPPLIES' UNION ALL FROM fact) WHERE status <> 'retracted'
+    WINDOW w AS (PARTITION BY space_id, predicate, subject_id, object_id, value_text, list_sort(eps), valid_from, valid_to) QUALIFY id <> min(id) OVER w""")
+def _(m):
+    twice = m.facts.unionByName(m.facts.where("predicate <> 'SUPPLIES'").withColumn("id", F.concat(F.lit("dup:"), "id")))
+    return admin.fact_duplicate_pairs(m.with_tables(facts=twice))
+
+
 PROJ = """
 ftext AS (SELECT id, trim(concat_ws(' ', predicate, subject_id, object_id, value_text)) AS t, n FROM factrev),
 etext AS (SELECT id, trim(concat_ws(' ', canonical_name, nullif(array_to_string(aliases, ' '), ''))) AS t, n FROM entrev),
