@@ -12,7 +12,9 @@ Copies of a vector are one point: all of them score alike, so only the k + 1 sma
 point can be among k nearest. That also keeps a vector that a third of all rows share from
 filling a list. A list or a list's queries over `block` rows are dealt in blocks. Sizes on the
 driver (sample, centroids, list counts) are bounded by parameters. The index is fitted on the
-sample, but every vector is filed. Recall against brute force is tested (at least 0.9).
+sample, but every vector is filed. There are at most MAX_LISTS lists, a bound of the fitted sample, so
+beyond MAX_LISTS * LIST_SIZE vectors the lists grow with the table, and a query's work with them.
+Recall against brute force is tested (at least 0.9).
 
 Results for odd rows: vectors that are null or zero, hold null or non-finite components, or whose
 length is not the table's most frequent one (the larger of equals) take no part, nor do rows

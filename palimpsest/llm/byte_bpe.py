@@ -8,7 +8,9 @@ A piece over 256 bytes is a matrix of one row and merges all occurrences of its
 that gives the same ids (else the leftmost one), as one merge a round would take too many rounds.
 
 Results for odd rows: a null or empty text has no ids and decodes to nothing; repeated rows stay
-repeated; an empty table gives an empty table; other columns are ignored.
+repeated, ids that repeat too (ties have equal results for equal texts); a text of many megabytes, or
+one piece of that length, is encoded whole; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written in this session, for scratch().
+_MADE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what is written inside, but for the last table, once the block is done. Yields a function that also drops a table of an earlier block."""
+    start, more = len(_MADE), []
+    yield more.append
+    for path in [*_MADE[start:-1], *more]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE[start:-1] = []
+
+
+def last_written() -> str:
+    return _MADE[-1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

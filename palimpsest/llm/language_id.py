@@ -11,8 +11,11 @@ texts is turned into one array of (document, n-gram) keys, sorted, and counted b
 Results for odd rows: a text that is null or has no letter gives `und` with score 0; rows with a
 null language are scored and not learned from; rows without an id are scored, not held out and
 not learned from; ties go to the language first in code-point order and to the smaller n-gram;
-if nothing can be learned, every row is `und`; an empty table gives an empty table; other
-columns are ignored.
+if nothing can be learned, every row is `und`; repeated rows and ids stay repeated; a text of many
+megabytes is counted whole (ranks tell counts apart up to 4,194,303, beyond that ties go by code), and
+a single long word is one word; letters beyond the basic plane share 6,400 codes of the private-use
+area, so some of them are counted as one; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

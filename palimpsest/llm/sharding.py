@@ -15,7 +15,10 @@ The law is `bytes`: sizes of shards near equal (tokens and rows are balanced wit
 
 Results for odd rows: null and empty texts have size 1 and form one group; rows without an id are
 placed by their text alone, and come first within their part; repeated rows each get a slot; an
-empty table gives an empty table; other columns are ignored.
+empty table gives an empty table; other columns are ignored, whatever their names; ties go to the
+lower shard, and within a part by id, size and checksum; a text of many megabytes is one row of that
+size. A group of equal texts is cut by ids where it holds over half a shard in some dimension: left
+whole, it could unbalance the shards.
 """
 
 from __future__ import annotations
