@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import byte_bpe, decontaminate, language_id, quality, simhash
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import last_written, scratch, table, written
 
 #: Fingerprints of at most so many different bits are tested for similar shingles.
 WIDE_BITS = 11
@@ -69,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over the documents; what a stage wrote on the way is deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        with scratch(spark) as drop:
+            docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+            if before:
+                drop(before)
+        before = last_written()
     return docs
