@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,20 +98,27 @@ class Store:
         held = base or self.version()
         before = self.log(held)
         name = f"v{int((held or 'v00000000')[1:]) + 1:08d}"
-        folder, log = f"{name}-{uuid.uuid4().hex[:8]}", {}
-        for table, columns in schema.TABLES.items():
+        folder = f"{name}-{uuid.uuid4().hex[:8]}"
+
+        def one(table: str) -> dict[str, dict]:
+            columns = schema.TABLES[table]
             df = getattr(memory, table).select(columns.names)
-            if before[table] and not whole:
-                own = digests(df)
-            else:  # nothing to compare with: written first, counted where it lies
-                df.withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
-                log[table] = {space: {"version": folder, "rows": n, "digest": h} for space, (n, h) in self._written(table, columns, folder).items()}
-                continue
-            log[table] = {space: before[table][space] for space, (n, h) in own.items() if space in before[table] and [n, h] == [before[table][space]["rows"], before[table][space]["digest"]]}
-            changed = [space for space in own if space not in log[table]]
-            if changed:
-                df.where(F.col("space_id").isin(*changed)).withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
-                log[table] |= {space: {"version": folder, "rows": own[space][0], "digest": own[space][1]} for space in changed}
+
+            def put(rows: DataFrame) -> None:
+                rows.withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
+
+            if not before[table] or whole:  # nothing to compare with: written first, counted where it lies
+                put(df)
+                return {space: {"version": folder, "rows": n, "digest": h} for space, (n, h) in self._written(table, columns, folder).items()}
+            own = digests(df)
+            log = {space: before[table][space] for space, (n, h) in own.items() if space in before[table] and [n, h] == [before[table][space]["rows"], before[table][space]["digest"]]}
+            if changed := [space for space in own if space not in log]:
+                put(df.where(F.col("space_id").isin(*changed)))
+            return log | {space: {"version": folder, "rows": own[space][0], "digest": own[space][1]} for space in changed}
+
+        # The tables are independent: their jobs run side by side.
+        with ThreadPoolExecutor(len(schema.TABLES)) as pool:
+            log = dict(zip(schema.TABLES, pool.map(one, schema.TABLES), strict=True))
         staged, entry = hadoop.Path(f"{self.path}/{_LOG}/.{folder}"), hadoop.Path(f"{self.path}/{_LOG}/{name}.json")
         stream = fs.create(staged, True)
         stream.write(bytearray(json.dumps(log).encode()))
