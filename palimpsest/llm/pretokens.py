@@ -19,6 +19,11 @@ def words(text: str) -> list[str]:
     return _NOT_WHITE.findall(text) if _SEPARATORS.search(text) else text.split()
 
 
+def lower_words(text: str) -> list[str]:
+    """The same for a vocabulary that lower-cases: plain ASCII texts are lower-cased whole, so that fewer words are different."""
+    return words(text.lower() if text.isascii() and "<|" not in text else text)
+
+
 class Splitter:
     """Pieces of a text as a pre-tokenizer pattern finds them.
 
@@ -131,12 +136,14 @@ class WordPieces:
 
     def _values(self, new: list[str]) -> list:
         whole, cut, marks, join, plain = self._WHOLE.search, self._PIECES.findall, self._MARKS, self.join, self.plain
-        made: dict = {}
-        held, old = self.words.new.get, self.words.old.get
+        memo = self.words
+        held, old = memo.new, memo.old.get
+        get = held.get
 
         def piece(p):
-            if (v := made.get(p)) is None and (v := held(p)) is None:
-                made[p] = v = old(p) or plain(p)
+            if (v := get(p)) is None:
+                held[p] = v = old(p) or plain(p)
+                memo.size += memo.ENTRY + len(p)
             return v
 
         out, late = [], []
@@ -152,7 +159,6 @@ class WordPieces:
                 out.append(join(map(piece, cut(w.lower()))))
         for at, v in zip(late, self.value([new[i] for i in late]) if late else (), strict=True):
             out[at] = v
-        self.words.add(list(made), list(made.values()))
         return out
 
 
@@ -167,6 +173,6 @@ def word_pieces(vocabulary: str, kind, join, most: int) -> WordPieces:
     merges = tok.model.tokenize
 
     def plain(p: str):
-        return kind([t.id for t in merges(p if p.isascii() else p.encode().decode("latin-1").translate(SHOWN))])
+        return kind([t.id for t in merges(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(SHOWN))])
 
     return WordPieces(plain, lambda new: [kind(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)], join, most)

@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.common import fresh_path, pieces, table, written
 from palimpsest.llm.elias_fano import EliasFano
-from palimpsest.llm.pretokens import forget, kept, word_pieces, words
+from palimpsest.llm.pretokens import forget, kept, lower_words, word_pieces
 
 MAGIC = b"PTOK2\n"
 #: Ids in one file: it is closed after the document that reaches them.
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, *, end_id: in
             texts = batch.column(1).to_pylist()
             part = ranges(batch.column(0), batch.column(2).to_numpy(), borders, blank)
             for lo, hi in pieces(texts):
-                split = [words(t) if t else [] for t in texts[lo:hi]]
+                split = [lower_words(t) if t else [] for t in texts[lo:hi]]
                 get = memo.hold(set().union(*split)).__getitem__
                 packed = pa.array([b"".join(map(get, x)) + end for x in split], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), packed, pa.array(np.full(hi - lo, int(kind[-1]), np.int32)), pa.array(part[lo:hi])], names=["id", "digest", "packed", "width", "range"])

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from palimpsest.llm import ann, byte_bpe, decontaminate, language_id, quality, queries, sharding, simhash, token_counts, token_files, url_filters
 from palimpsest.llm.common import fresh_path
 from palimpsest.llm.elias_fano import EliasFano
-from palimpsest.llm.pretokens import Splitter, word_pieces, words
+from palimpsest.llm.pretokens import Splitter, lower_words, word_pieces, words
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -313,8 +313,9 @@ LIBRARY = Tokenizer.from_file(VOCABULARY)
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("abcTHE  \n'stré²½٣中😀_0\x1c\x85\u0301%ⅷ<|>.,-!İ"), st.characters(min_codepoint=33, max_codepoint=0x24F)), max_size=60))
 def test_pieces_of_any_text(text):
-    held = PIECES.hold(set(words(text)))
-    assert [i for w in words(text) for i in held[w]] == LIBRARY.encode(text, add_special_tokens=False).ids
+    for split in (words, lower_words):
+        held = PIECES.hold(set(split(text)))
+        assert [i for w in split(text) for i in held[w]] == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, docs, odd_docs):
