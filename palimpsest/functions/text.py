@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 TOKEN_END = r"[ \t\n\-_:,.]+"
 
 
+#: Unicode's white space, as \s under (?U).
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space (any Unicode one) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|(?U)\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def folded(c: Column) -> Column:
@@ -36,7 +40,7 @@ _GAP = r"(?U)\s*[ \t\n\-_:,.]+[\s\-_:,.]*"
 
 def terms(c: Column) -> Column:
     """Lower-cased and stripped tokens in order, repeats included: one split, no work a token."""
-    return F.filter(F.split(folded(c), _GAP), lambda t: t != "")
+    return F.array_remove(F.split(folded(c), _GAP), "")
 
 
 def tokens(c: Column) -> Column:
