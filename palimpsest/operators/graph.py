@@ -10,7 +10,7 @@ from palimpsest.memory import Memory
 from palimpsest.operators.scope import episodes_for, facts_for
 from palimpsest.operators.temporal import entity_versions, visible_sources
 from palimpsest.plans.requests import NeighborhoodRequest, Scope, Temporal, space_of
-from palimpsest.sources.shared import cut, light
+from palimpsest.sources.shared import cut, light, likely
 
 #: Hops that one request may ask for: each is a job of the driver's loop.
 MOST_HOPS = 16
@@ -62,14 +62,15 @@ def graph(memory: Memory, space_id: str = "", scope: Scope | None = None, tempor
 
 def _incident(edges: DataFrame, memory: Memory, frontier: DataFrame, most: int) -> tuple[DataFrame, int]:
     """(edges with an end in a frontier of at most `most` ids, a bound of their number); only of these, episodes are checked to exist."""
-    ends = light(frontier, most)
+    ends, edges = light(frontier, most), likely(edges, ["from_id", "to_id"], frontier, most)
     for end in ("from_id", "to_id"):
         edges = edges.join(ends.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
     met = cut(edges.where("_from_id OR _to_id").select("id", "type", "from_id", "to_id").distinct())
     n = met.count()
     asserts = met.where("type = 'ASSERTS'")
-    claimed = light(asserts.select(F.col("from_id").alias("id")).distinct(), n)
-    held = light(memory.episodes.select("id").join(claimed, "id").select(F.col("id").alias("from_id")).distinct(), n)
+    claimed = cut(asserts.select(F.col("from_id").alias("id")).distinct())
+    held = cut(likely(memory.episodes.select("id"), ["id"], claimed, n).join(light(claimed, n), "id").select(F.col("id").alias("from_id")).distinct())
+    held = light(held, n)
     return met.where("type <> 'ASSERTS'").unionByName(asserts.join(held, "from_id", "left_semi").select(met.columns)), n
 
 
@@ -98,7 +99,7 @@ def neighborhood(memory: Memory, request: NeighborhoodRequest) -> tuple[DataFram
         frontier, most = cut(ends.join(reached, "id", "left_anti")), 2 * n
         reached, total = reached.unionByName(frontier), total + most
     # Ids that are no node (an edge may name a record of another space) end here.
-    kept = nodes.join(light(reached, total), "id", "left_semi")
+    kept = likely(nodes, ["id"], reached, total).join(light(reached, total), "id", "left_semi")
     if request.node_types:
         kept = kept.where(F.col("type").isin(*request.node_types))
     kept = cut(kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_numbers(df: DataFrame, by: list[str], name: str) -> DataFrame:
+def with_numbers(df: DataFrame, by: list[str] | list[Column], name: str) -> DataFrame:
     """The rows with their number from 0 in the order of `by`, in a column of that name.
 
     Rows are dealt in ranges of the order and checkpointed; a range's first number comes from the
@@ -51,12 +51,31 @@ def with_numbers(df: DataFrame, by: list[str], name: str) -> DataFrame:
 LIGHT = 100_000
 
 
+#: Ids that a filter sends to all tasks at most, as hashes of 8 bytes.
+HASHED = 4_000_000
+
+
 def light(df: DataFrame, most: int | None = None) -> DataFrame:
-    """Rows of a checkpoint, marked for broadcast if they are few enough: `most` of them, where that is known, else counted first."""
-    few = df.limit(LIGHT + 1).count() if most is None else most
+    """Rows of a checkpoint, marked for broadcast if they are few enough: `most` of them, where that is known and few, else counted first."""
+    few = df.limit(LIGHT + 1).count() if most is None or most > LIGHT else most
     return F.broadcast(df) if few <= LIGHT else df
 
 
+def likely(df: DataFrame, columns: list[str], ids: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows with one of the columns among the ids (a checkpoint's column `id`), and perhaps some others: hashes may clash.
+
+    For a join that would shuffle all of `df` for ids too many to be sent themselves: it still follows, over what is left.
+    """
+    n = ids.count() if most is None or most > LIGHT else most
+    if not LIGHT < n <= HASHED:
+        return df
+    hashed, marks = ids.select(F.xxhash64("id").alias("_k")).distinct(), []
+    for i, c in enumerate(columns):
+        marks.append(f"_m{i}")
+        df = df.join(F.broadcast(hashed.select(F.col("_k").alias(f"_k{i}"), F.lit(True).alias(f"_m{i}"))), F.xxhash64(c) == F.col(f"_k{i}"), "left")
+    return df.where(F.coalesce(*marks)).drop(*marks, *(f"_k{i}" for i in range(len(columns))))
+
+
 def _fs(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)

@@ -1,11 +1,18 @@
 """What queries move and hold: shuffled bytes and rows of tasks stay small where results do not need them."""
 
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.stats import percentiles
 from palimpsest.memory import Memory
-from palimpsest.operators import index
+from palimpsest.operators import graph, index, lookup, provenance
 from palimpsest.plans import schema
+from palimpsest.plans.requests import NeighborhoodRequest, ProvenanceRequest, Temporal
+from palimpsest.sources import shared
+
+MOMENT = datetime(2026, 2, 1, tzinfo=timezone.utc)
 
 
 def rows(spark, like, n, **columns):
@@ -59,3 +66,22 @@ def test_projection_differences_move_no_texts(spark, wide):
     nulls = docs.where("projection_id = 'fact:f1'").withColumn("search_text", F.lit(None).cast("string"))
     empty = nulls.withColumn("search_text", F.lit(""))
     assert index.projection_differences(nulls, wide, empty).collect() == [("fact:f1", "changed")]
+
+
+def test_neighborhood_of_many_moves_edges_at_the_frontier_only(spark, monkeypatch):
+    own = {"space_id": "'default'", "predicate": "'IN'", "subject_id": "concat('s', k)", "object_id": "if(k < 40, 'hub', concat('o', k))", "status": "'active'", "supporting_episode_ids": "array(concat('e', k))"}
+    facts = rows(spark, schema.FACTS, 20_000, id="concat('f', k)", **own)
+    entities = rows(spark, schema.ENTITIES, 20_000, id="concat('s', k)", space_id="'default'", canonical_name="'n'").unionByName(rows(spark, schema.ENTITIES, 1, id="'hub'", space_id="'default'", canonical_name="'hub'"))
+    m = Memory.empty(spark).with_tables(facts=facts, entities=entities, episodes=rows(spark, schema.EPISODES, 20_000, id="concat('e', k)", space_id="'default'", kind="'order'", source_id="'s'"), sources=rows(spark, schema.SOURCES, 1, id="'s'", space_id="'default'", kind="'orders'")).settled()
+    request, found = NeighborhoodRequest(("hub",), max_hops=2), {}
+
+    def run(key):
+        nodes, edges = graph.neighborhood(m, request)
+        found[key] = (sorted(map(tuple, nodes.collect())), sorted(map(tuple, edges.collect())))
+
+    run("sent")
+    monkeypatch.setattr(shared, "LIGHT", 5)
+    assert shuffled(spark, lambda: run("narrowed")) < 400_000
+    monkeypatch.setattr(shared, "HASHED", 5)
+    run("shuffled")
+    assert found["sent"] == found["narrowed"] == found["shuffled"] and len(found["sent"][0]) == 121
