@@ -9,7 +9,7 @@ from palimpsest.errors import ENTITY_NOT_FOUND, FACT_NOT_FOUND, QUERY_FAILED, SO
 from palimpsest.memory import Memory
 from palimpsest.operators.paging import ordered_page
 from palimpsest.operators.scope import facts_for
-from palimpsest.operators.temporal import entity_versions, fact_versions, visible_episodes, visible_sources
+from palimpsest.operators.temporal import entity_versions, fact_versions, of_ids, visible_episodes, visible_sources
 from palimpsest.plans.requests import LookupRequest, Temporal, space_of
 
 _MISSING = {"entity": ENTITY_NOT_FOUND, "fact": FACT_NOT_FOUND, "source": SOURCE_NOT_FOUND, "episode": QUERY_FAILED}
@@ -18,7 +18,7 @@ _MISSING = {"entity": ENTITY_NOT_FOUND, "fact": FACT_NOT_FOUND, "source": SOURCE
 def record(memory: Memory, kind: str, record_id: str, space_id: str = "", temporal: Temporal | None = None) -> DataFrame:
     """At most one row: the record's version at the time asked for. A fact without any temporal filter has any status."""
     t = temporal or Temporal()
-    own = F.col("space_id") == space_of(space_id)
+    own, memory = F.col("space_id") == space_of(space_id), of_ids(memory, record_id)
     readers = {
         "episode": lambda: visible_episodes(memory, t),
         "source": lambda: visible_sources(memory, t),

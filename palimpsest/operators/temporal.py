@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.memory import Memory
 from palimpsest.plans import schema
 from palimpsest.plans.requests import Temporal
+from palimpsest.sources.shared import light, likely
 
 
 def at(moment: datetime) -> Column:
@@ -61,6 +62,19 @@ def latest_revisions(revisions: DataFrame, key: str, moment: datetime) -> DataFr
     return best.select("r.*")
 
 
+def of_ids(memory: Memory, ids: DataFrame | str) -> Memory:
+    """The memory with the facts and entities of these ids (a checkpoint's column `id`, or one id) only, and their revisions: none else is aggregated."""
+
+    def own(df: DataFrame, key: str) -> DataFrame:
+        if isinstance(ids, str):
+            return df.where(F.col(key) == ids)
+        few = light(ids)
+        return likely(df, [key], ids).join(few.select(F.col("id").alias(key)).distinct(), key, "left_semi").select(df.columns)
+
+    keys = {"facts": "id", "entities": "id", "fact_revisions": "fact_id", "entity_revisions": "entity_id"}
+    return memory.with_tables(**{name: own(getattr(memory, name), key) for name, key in keys.items()})
+
+
 def _versions(current: DataFrame, revised: DataFrame, moment: datetime, fallback: DataFrame | None = None) -> DataFrame:
     """Revisions where there are any; else the current record if it has not changed since."""
     rest = current.join(revised.select("id"), "id", "left_anti")

@@ -68,6 +68,14 @@ def test_projection_differences_move_no_texts(spark, wide):
     assert index.projection_differences(nulls, wide, empty).collect() == [("fact:f1", "changed")]
 
 
+def test_reading_one_record_moves_no_other(spark, wide):
+    past = Temporal(as_of=MOMENT, include_inactive=True)
+    found = []
+    assert shuffled(spark, lambda: found.extend(lookup.record(wide, "fact", "f7", temporal=past).collect())) < 20_000
+    assert [(r["id"], len(r["value_text"])) for r in found] == [("f7", 60 * 65 - 1)]
+    assert lookup.record(wide, "fact", "f7", "elsewhere", past).isEmpty() and lookup.record(wide, "fact", "none", temporal=past).isEmpty()
+
+
 def test_neighborhood_of_many_moves_edges_at_the_frontier_only(spark, monkeypatch):
     own = {"space_id": "'default'", "predicate": "'IN'", "subject_id": "concat('s', k)", "object_id": "if(k < 40, 'hub', concat('o', k))", "status": "'active'", "supporting_episode_ids": "array(concat('e', k))"}
     facts = rows(spark, schema.FACTS, 20_000, id="concat('f', k)", **own)
