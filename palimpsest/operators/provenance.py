@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.errors import QUERY_FAILED, RecordError
 from palimpsest.memory import Memory
-from palimpsest.operators.temporal import entity_versions, fact_versions, visible_episodes, visible_sources
+from palimpsest.operators.temporal import entity_versions, fact_versions, of_ids, visible_episodes, visible_sources
 from palimpsest.plans.requests import ProvenanceRequest, space_of
 from palimpsest.sources.shared import cut, light
 
 NODE = ["id", "type", "label", "meta"]
 EDGE = ["id", "type", "from_id", "to_id"]
+FACT = ["id", "predicate", "subject_id", "object_id", "status", "valid_from", "valid_to", "retracted_at", "retraction_reason", "supporting_episode_ids", "superseded_by", "supersedes", "supersede_reason"]
 
 
 def fact_meta() -> Column:
@@ -46,10 +47,12 @@ def provenance(memory: Memory, request: ProvenanceRequest) -> tuple[DataFrame, D
     """(nodes, edges) around a fact, an entity or an episode; empty where it is not visible in the space."""
     depth = request.max_depth if request.max_depth > 0 else 8
     t, space = request.temporal, F.col("space_id") == space_of(request.space_id)
-    facts = fact_versions(memory, t, space)
-    episodes = visible_episodes(memory, t)
+    # Only the columns that nodes and edges are made of are read; contents never are.
+    versions = lambda m: fact_versions(m, t, space).select(*FACT)
+    episodes = visible_episodes(memory, t).select("id", "space_id", "kind", "source_id")
     if request.kind == "fact":
-        return _of_fact(memory, request, facts, episodes, visible_sources(memory, t).where(space), depth)
+        return _of_fact(memory, request, versions, episodes, visible_sources(memory, t).where(space), depth)
+    facts = versions(memory)
     if request.kind == "entity":
         return _of_entity(request, facts, episodes, entity_versions(memory, t, space), depth)
     if request.kind == "episode":
@@ -62,8 +65,8 @@ def _met(few: DataFrame, records: DataFrame) -> DataFrame:
     return records.join(light(few), "id")
 
 
-def _of_fact(memory, request, facts, episodes, sources, depth):
-    root = cut(facts.where(F.col("id") == request.id))
+def _of_fact(memory, request, versions, episodes, sources, depth):
+    root = cut(versions(of_ids(memory, request.id)))
     fact_id = F.col("id").alias("fact_id")
     support = cut(_met(root.select(fact_id, F.explode(F.array_distinct("supporting_episode_ids")).alias("id")), episodes))
     nodes = [_nodes(root, "Fact", "predicate", fact_meta()), _nodes(support, "Episode", "kind")]
@@ -76,8 +79,12 @@ def _of_fact(memory, request, facts, episodes, sources, depth):
         # What replaced this fact; what it superseded, by its own list and by what other facts say now.
         listed = root.select(F.explode("supersedes").alias("id"))
         named = memory.facts.where(F.col("superseded_by") == request.id).select("id")
-        after = cut(_met(root.select(fact_id, F.col("superseded_by").alias("id")), facts))
-        before = cut(_met(cut(listed.unionByName(named).distinct()), facts).withColumn("fact_id", F.lit(request.id)))
+        after = root.select(fact_id, F.col("superseded_by").alias("id")).where("id IS NOT NULL")
+        before = cut(listed.unionByName(named).distinct())
+        wanted = cut(before.unionByName(after.select("id")).distinct())
+        # Both ways are looked up in one pass over the facts.
+        found = cut(versions(of_ids(memory, wanted)))
+        after, before = _met(after, found), _met(before, found).withColumn("fact_id", F.lit(request.id))
         nodes += [_nodes(after, "Fact", "predicate", fact_meta()), _nodes(before, "Fact", "predicate", fact_meta())]
         edges += [_edges(after, "SUPERSEDES", "id", "fact_id", "id", "fact_id", end="supersedes"), _edges(before, "SUPERSEDES", "fact_id", "id", "fact_id", "id", end="supersedes")]
     return _distinct_nodes(nodes).orderBy("id"), _union(edges).distinct().orderBy("id")

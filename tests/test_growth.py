@@ -76,6 +76,19 @@ def test_reading_one_record_moves_no_other(spark, wide):
     assert lookup.record(wide, "fact", "f7", "elsewhere", past).isEmpty() and lookup.record(wide, "fact", "none", temporal=past).isEmpty()
 
 
+def test_provenance_aggregates_the_records_it_shows_only(spark, wide):
+    linked = F.when(F.col("id") == "f2", F.lit("f3")).otherwise(F.col("superseded_by"))
+    m = wide.with_tables(facts=wide.facts.withColumn("superseded_by", linked), fact_revisions=wide.fact_revisions.withColumn("superseded_by", F.when(F.col("fact_id") == "f2", F.lit("f3")).otherwise(F.col("superseded_by"))))
+    past, seen = Temporal(as_of=MOMENT, include_inactive=True), {}
+
+    def run():
+        for k in ("f2", "f3"):
+            seen[k] = sorted(r["id"] for r in provenance.provenance(m, ProvenanceRequest("fact", k, temporal=past))[0].collect())
+
+    assert shuffled(spark, run) < 60_000
+    assert seen == {"f2": ["f2", "f3"], "f3": ["f2", "f3"]}
+
+
 def test_neighborhood_of_many_moves_edges_at_the_frontier_only(spark, monkeypatch):
     own = {"space_id": "'default'", "predicate": "'IN'", "subject_id": "concat('s', k)", "object_id": "if(k < 40, 'hub', concat('o', k))", "status": "'active'", "supporting_episode_ids": "array(concat('e', k))"}
     facts = rows(spark, schema.FACTS, 20_000, id="concat('f', k)", **own)
