@@ -89,6 +89,13 @@ def test_provenance_aggregates_the_records_it_shows_only(spark, wide):
     assert seen == {"f2": ["f2", "f3"], "f3": ["f2", "f3"]}
 
 
+def test_percentiles_count_equal_values_once(spark):
+    df = spark.range(200_000).select((F.xxhash64("id") % 5).alias("x"))
+    ordered, found = sorted(r["x"] for r in df.collect()), []
+    assert shuffled(spark, lambda: found.extend(percentiles(df, "x").orderBy("percentile").collect())) < 20_000
+    assert [tuple(r) for r in found] == [(p, ordered[int(p * 199_999)]) for p in (0.5, 0.95, 0.99)]
+
+
 def test_neighborhood_of_many_moves_edges_at_the_frontier_only(spark, monkeypatch):
     own = {"space_id": "'default'", "predicate": "'IN'", "subject_id": "concat('s', k)", "object_id": "if(k < 40, 'hub', concat('o', k))", "status": "'active'", "supporting_episode_ids": "array(concat('e', k))"}
     facts = rows(spark, schema.FACTS, 20_000, id="concat('f', k)", **own)
