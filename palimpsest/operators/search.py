@@ -121,7 +121,12 @@ def direct_hits(memory: Memory, request: SearchRequest, within: DataFrame | None
     found = candidates(memory, request)
     if within is not None:
         found = found.join(within, ["hit_type", "record_id"], "left_semi")
-    found = scored(found, query, request.mode)
+    return weighed(found, request)
+
+
+def weighed(found: DataFrame, request: SearchRequest) -> DataFrame:
+    """Hits among candidates at hand."""
+    found = scored(found, request.query_text.strip().lower(), request.mode)
     fact, score = F.col("hit_type") == "fact", F.col("base")
     bonus = F.when(fact, BONUS["fact"]).when(F.col("hit_type") == "episode", BONUS["episode"]).otherwise(BONUS["entity"])
     score, reasons = score + bonus, [F.col("reason")]

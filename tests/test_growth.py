@@ -68,6 +68,14 @@ def test_projection_differences_move_no_texts(spark, wide):
     assert index.projection_differences(nulls, wide, empty).collect() == [("fact:f1", "changed")]
 
 
+def test_matching_documents_make_no_postings(spark, wide):
+    docs = index.projections(wide).where("projection_id <> 'fact:f9'").unionByName(spark.createDataFrame([("fact:f9", "P s9  S8:s9", None, None)], schema.PROJECTION))
+    query = ["s9", "s8", "p", "zzz", "0"]
+    found = []
+    assert shuffled(spark, lambda: found.extend(index.matching_documents(docs, query, 30).collect())) < 100_000
+    assert found == index.index_candidates(index.postings(docs), query, 30).collect() and found[0][0] == "fact:f9" and len(found) == 30
+
+
 def test_reading_one_record_moves_no_other(spark, wide):
     past = Temporal(as_of=MOMENT, include_inactive=True)
     found = []
