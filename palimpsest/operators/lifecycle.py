@@ -30,8 +30,16 @@ _SLOT = ["space_id", "subject_id", "predicate"]
 
 
 def _refuse(*checks: tuple) -> None:
-    """Raise for the first row that fails any (rows, code, message, columns) check: one job for all of them."""
-    parts = [bad.select(F.lit(i).alias("i"), "pos", F.to_json(F.struct(*columns)).alias("d")) for i, (bad, _, _, *columns) in enumerate(checks)]
+    """Raise for the first row that fails any (rows, code, message, columns) check: one job for all of them.
+
+    Instead of rows a check may give (rows, condition): those over the same rows share one pass.
+    """
+    passes: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for i, (bad, _, _, *columns) in enumerate(checks):
+        rows, fails = bad if isinstance(bad, tuple) else (bad, F.lit(True))
+        one = F.struct(F.lit(i).alias("i"), F.col("pos"), F.to_json(F.struct(*columns)).alias("d"))
+        passes.setdefault(id(rows), (rows, []))[1].append(F.when(fails, one))
+    parts = [rows.select(F.explode(F.array_compact(F.array(*found))).alias("r")).select("r.*") for rows, found in passes.values()]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -55,10 +63,10 @@ def _now(now: datetime) -> Column:
 
 def numbered(df: DataFrame, prefix: str, existing: DataFrame) -> DataFrame:
     """Ids `prefix_000001` and so on for rows without one, in the order of `pos`, after the greatest number that exists."""
-    last = existing.agg(F.max(F.try_to_number(F.regexp_extract("id", f"^{prefix}_([0-9]+)$", 1), F.lit("999999999999999999")).cast("long"))).first()[0] or 0
     blank = F.col("id").isNull() | (F.col("id") == "")
     if df.where(blank).isEmpty():
         return df
+    last = existing.agg(F.max(F.try_to_number(F.regexp_extract("id", f"^{prefix}_([0-9]+)$", 1), F.lit("999999999999999999")).cast("long"))).first()[0] or 0
     named = with_numbers(df.where(blank), ["pos"], "_n")
     return df.where(~blank).unionByName(named.withColumn("id", F.format_string(f"{prefix}_%06d", F.col("_n") + F.lit(last + 1))).drop("_n"))
 
@@ -173,18 +181,18 @@ def check_facts(memory: Memory, rows: DataFrame) -> None:
         return rows.where(text_or_empty(column) != "").join(entities.withColumnRenamed("id", column), [column, "space_id"], "left_anti")
 
     _refuse(
-        (rows.where(short), INPUT_INVALID, "predicate and subject_id of a fact are required", "id"),
-        (rows.where(F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) < 1), INPUT_INVALID, "a fact needs a supporting episode", "id"),
+        ((rows, short), INPUT_INVALID, "predicate and subject_id of a fact are required", "id"),
+        ((rows, F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) < 1), INPUT_INVALID, "a fact needs a supporting episode", "id"),
         (unknown("subject_id"), ENTITY_NOT_FOUND, "entity not found in the fact's space (subject)", "subject_id", "space_id"),
         (unknown("object_id"), ENTITY_NOT_FOUND, "entity not found in the fact's space (object)", "object_id", "space_id"),
         (support.join(episodes, ["episode_id", "space_id"], "left_anti"), INPUT_INVALID, "no such supporting episode in the fact's space", "episode_id", "space_id"),
         (rows.join(memory.facts.select("id"), "id", "left_semi"), LIFECYCLE_INVALID, "this fact id already exists", "id"),
         (twice.where("_n > 1"), LIFECYCLE_INVALID, "this fact id already exists", "id"),
-        (rows.where(~status.isin(*schema.STATUSES)), INPUT_INVALID, "not a status of facts", "id", "status"),
-        (rows.where(status != schema.ACTIVE), LIFECYCLE_INVALID, "status is lifecycle-managed: supersede or retract the fact", "id", "status"),
-        (rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED_KEYS)))), LIFECYCLE_INVALID, "the metadata has a lifecycle-managed key", "id"),
-        (rows.where(~F.col("cardinality").isin("one", "many")), INPUT_INVALID, "cardinality is neither one nor many", "id", "cardinality"),
-        (rows.where("valid_from >= valid_to"), INPUT_INVALID, "the validity interval is empty", "id"),
+        ((rows, ~status.isin(*schema.STATUSES)), INPUT_INVALID, "not a status of facts", "id", "status"),
+        ((rows, status != schema.ACTIVE), LIFECYCLE_INVALID, "status is lifecycle-managed: supersede or retract the fact", "id", "status"),
+        ((rows, F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED_KEYS)))), LIFECYCLE_INVALID, "the metadata has a lifecycle-managed key", "id"),
+        ((rows, ~F.col("cardinality").isin("one", "many")), INPUT_INVALID, "cardinality is neither one nor many", "id", "cardinality"),
+        ((rows, F.col("valid_from") >= F.col("valid_to")), INPUT_INVALID, "the validity interval is empty", "id"),
     )
 
 
@@ -238,22 +246,27 @@ def clipped_to(new_from: Column) -> Column:
     return F.when(inside, new_from).otherwise(F.col("valid_to"))
 
 
+def replaced(rows: DataFrame, reason: str) -> DataFrame:
+    """Facts with (new_id, new_from, new_at) of what takes their place, if anything does, as they are then."""
+    life = {"status": F.lit(schema.SUPERSEDED), "valid_to": clipped_to(F.col("new_from")), "updated_at": F.col("new_at"), "superseded_by": F.col("new_id"), "supersede_reason": F.lit(reason)}
+    return rows.withColumns({c: F.when(F.col("new_id").isNotNull(), v).otherwise(F.col(c)) for c, v in life.items()})
+
+
 def assert_facts(memory: Memory, batch: DataFrame, now: datetime) -> Memory:
     """Add facts; those of cardinality one supersede what is active in their slot and overlaps them."""
     rows = cut(numbered(_with(batch, schema.FACTS, cardinality="string"), "fact", memory.facts))
     rows = rows.withColumn("cardinality", F.coalesce(blank_to_null(strip(F.col("cardinality"))), F.lit("many")))
     check_facts(memory, rows)
     rows = rows.withColumns({"created_at": _now(now), "updated_at": _now(now), "status": F.lit(schema.ACTIVE), "object_id": blank_to_null(F.col("object_id")), "supporting_episode_ids": distinct_texts(F.col("supporting_episode_ids"))})
-    active = memory.facts.where(F.col("status") == schema.ACTIVE).withColumn("pos", F.lit(-1)).join(rows.select(_SLOT).distinct(), _SLOT, "left_semi")
-    taken = cut(slot_replacements(active, rows))
     columns = memory.facts.columns
+    if rows.where("cardinality = 'one'").isEmpty():  # nothing takes a slot: no fact is looked at
+        fresh = rows.select(columns)
+        return memory.with_tables(facts=memory.facts.unionByName(fresh), fact_revisions=memory.fact_revisions.unionByName(revisions_of(fresh, "fact_id", F.lit("assert"), schema.FACT_REVISIONS)))
+    taken = cut(slot_replacements(memory.facts.where(F.col("status") == schema.ACTIVE), rows))
     fresh = rows.join(taken.groupBy(F.col("new_id").alias("id")).agg(F.sort_array(F.collect_list("old_id")).alias("_old")), "id", "left")
     fresh = fresh.withColumns({"supersedes": F.col("_old"), "supersede_reason": F.when(F.col("_old").isNotNull(), SLOT_REASON)}).select(columns)
-    both = memory.facts.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
-    gone = both.join(taken.withColumnRenamed("old_id", "id"), "id").withColumns(
-        {"status": F.lit(schema.SUPERSEDED), "valid_to": clipped_to(F.col("new_from")), "updated_at": F.col("new_at"), "superseded_by": F.col("new_id"), "supersede_reason": F.lit(SLOT_REASON)}
-    ).select(columns)
-    facts = both.select(columns).join(gone.select("id"), "id", "left_anti").select(columns).unionByName(gone)
+    marked = replaced(memory.facts.unionByName(fresh).join(taken.withColumnRenamed("old_id", "id"), "id", "left"), SLOT_REASON)
+    facts, gone = marked.select(columns), marked.where("new_id IS NOT NULL").select(columns)
     more = revisions_of(fresh, "fact_id", F.lit("assert"), schema.FACT_REVISIONS).unionByName(revisions_of(gone, "fact_id", F.lit("auto_supersede"), schema.FACT_REVISIONS))
     return memory.with_tables(facts=facts, fact_revisions=memory.fact_revisions.unionByName(more))
 
@@ -265,25 +278,27 @@ def supersede_facts(memory: Memory, batch: DataFrame, reason: str, now: datetime
     """
     rows = _with(batch, schema.FACTS, old_id="string", cardinality="string")
     rows = cut(numbered(rows, "fact", memory.facts))
-    old = memory.facts.select(F.col("id").alias("old_id"), F.col("status").alias("_status"), *(F.col(c).alias(f"_{c}") for c in _SLOT))
-    met = rows.join(old, "old_id")
+    old = memory.facts.select(F.col("id").alias("old_id"), F.col("status").alias("_status"), *(F.col(c).alias(f"_{c}") for c in _SLOT), F.lit(True).alias("_there"))
+    met = cut(rows.select("old_id", "id", "pos", *_SLOT).join(old, "old_id", "left"))
+    there = F.col("_there").isNotNull()
     _refuse(
-        (rows.join(old, "old_id", "left_anti"), FACT_NOT_FOUND, "fact not found", "old_id"),
-        (rows.withColumn("_n", F.row_number().over(Window.partitionBy("old_id").orderBy("pos"))).where("_n > 1"), LIFECYCLE_INVALID, "the batch names this superseded fact already", "old_id"),
-        (met.where(F.col("_status") == schema.RETRACTED), LIFECYCLE_INVALID, "the fact was retracted", "old_id"),
-        (met.where(F.col("_status") == schema.SUPERSEDED), LIFECYCLE_INVALID, "the fact was superseded before", "old_id"),
-        (met.where("space_id <> _space_id"), LIFECYCLE_INVALID, "the replacement lies in another space", "old_id"),
-        (met.where("NOT (subject_id <=> _subject_id AND predicate <=> _predicate)"), LIFECYCLE_INVALID, "subject and predicate of the replacement differ", "old_id"),
+        ((met, ~there), FACT_NOT_FOUND, "fact not found", "old_id"),
+        (met.withColumn("_n", F.row_number().over(Window.partitionBy("old_id").orderBy("pos"))).where("_n > 1"), LIFECYCLE_INVALID, "the batch names this superseded fact already", "old_id"),
+        ((met, F.col("_status") == schema.RETRACTED), LIFECYCLE_INVALID, "the fact was retracted", "old_id"),
+        ((met, F.col("_status") == schema.SUPERSEDED), LIFECYCLE_INVALID, "the fact was superseded before", "old_id"),
+        ((met, F.col("space_id") != F.col("_space_id")), LIFECYCLE_INVALID, "the replacement lies in another space", "old_id"),
+        ((met, there & F.expr("NOT (subject_id <=> _subject_id AND predicate <=> _predicate)")), LIFECYCLE_INVALID, "subject and predicate of the replacement differ", "old_id"),
     )
     after = assert_facts(memory, rows.drop("old_id"), now)
     columns = after.facts.columns
     link = rows.select("old_id", F.col("id").alias("new_id"), F.col("valid_from").alias("new_from"), _now(now).alias("new_at"))
-    gone = after.facts.join(link.withColumnRenamed("old_id", "id"), "id").withColumns(
-        {"status": F.lit(schema.SUPERSEDED), "valid_to": clipped_to(F.col("new_from")), "updated_at": F.col("new_at"), "superseded_by": F.col("new_id"), "supersede_reason": F.lit(reason)}
-    ).select(columns)
-    fresh = after.facts.join(link.select(F.col("new_id").alias("id"), "old_id"), "id").withColumns({"supersedes": F.array("old_id"), "supersede_reason": F.lit(reason)}).select(columns)
-    changed = gone.unionByName(fresh)
-    facts = after.facts.join(changed.select("id"), "id", "left_anti").select(columns).unionByName(changed)
+    # A fact is replaced or new, never both: one join marks either.
+    old_side = link.select(F.col("old_id").alias("id"), "new_id", "new_from", "new_at", F.lit(None).cast("string").alias("_old"))
+    new_side = link.select(F.col("new_id").alias("id"), *(F.lit(None).cast(link.schema[c].dataType).alias(c) for c in ("new_id", "new_from", "new_at")), F.col("old_id").alias("_old"))
+    marked = replaced(after.facts.join(old_side.unionByName(new_side), "id", "left"), reason)
+    is_new = F.col("_old").isNotNull()
+    marked = marked.withColumns({"supersedes": F.when(is_new, F.array("_old")).otherwise(F.col("supersedes")), "supersede_reason": F.when(is_new, reason).otherwise(F.col("supersede_reason"))})
+    facts, gone, fresh = marked.select(columns), marked.where("new_id IS NOT NULL").select(columns), marked.where(is_new).select(columns)
     more = revisions_of(gone, "fact_id", F.lit("supersede"), schema.FACT_REVISIONS).unionByName(revisions_of(fresh, "fact_id", F.lit("supersede_replacement"), schema.FACT_REVISIONS))
     return after.with_tables(facts=facts, fact_revisions=after.fact_revisions.unionByName(more))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.stats import percentiles
 from palimpsest.memory import Memory
-from palimpsest.operators import graph, index, lookup, provenance
+from palimpsest.operators import graph, index, lifecycle, lookup, provenance, search
 from palimpsest.plans import schema
-from palimpsest.plans.requests import NeighborhoodRequest, ProvenanceRequest, Temporal
+from palimpsest.plans.requests import NeighborhoodRequest, ProvenanceRequest, SearchRequest, Temporal
 from palimpsest.sources import shared
 
 MOMENT = datetime(2026, 2, 1, tzinfo=timezone.utc)
@@ -121,3 +121,18 @@ def test_neighborhood_of_many_moves_edges_at_the_frontier_only(spark, monkeypatc
     monkeypatch.setattr(shared, "HASHED", 5)
     run("shuffled")
     assert found["sent"] == found["narrowed"] == found["shuffled"] and len(found["sent"][0]) == 121
+
+
+def noop(df):
+    df.write.format("noop").mode("overwrite").save()
+
+
+def test_superseding_joins_the_facts_once(spark, wide):
+    m = wide.with_tables(entities=rows(spark, schema.ENTITIES, 500, id="concat('s', k)", space_id="'default'"), episodes=rows(spark, schema.EPISODES, 1, id="'e'", space_id="'default'")).settled()
+    batch = spark.range(3).selectExpr("concat('n', id) AS id", "concat('f', id) AS old_id", "'P' AS predicate", "concat('s', id) AS subject_id", "'x' AS value_text", "array('e') AS supporting_episode_ids", "CAST(id AS int) AS pos")
+    out = []
+    once = shuffled(spark, lambda: noop(m.facts.repartition(4, "id")))
+    assert shuffled(spark, lambda: out.append(lifecycle.supersede_facts(m, batch, "better", MOMENT).facts) or noop(out[0])) < 1.5 * once
+    found = {r["id"]: (r["status"], r["superseded_by"], r["supersedes"], r["supersede_reason"]) for r in out[0].where("id RLIKE '^[nf][0-3]$'").collect()}
+    assert out[0].count() == 503 and found["f3"] == ("active", None, None, None)
+    assert all(found[f"f{i}"] == ("superseded", f"n{i}", None, "better") and found[f"n{i}"] == ("active", None, [f"f{i}"], "better") for i in range(3))
