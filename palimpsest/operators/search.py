@@ -14,7 +14,7 @@ from palimpsest.operators.paging import ordered_page
 from palimpsest.operators.scope import anchored, entities_for, episodes_for, fact_anchored, facts_for, scoped_episodes
 from palimpsest.operators.temporal import entity_versions, visible_episodes, visible_sources
 from palimpsest.plans.requests import SearchRequest, space_of
-from palimpsest.sources.shared import cut
+from palimpsest.sources.shared import cut, light
 
 # Fixed values of the ranking: bonuses by kind and match, the decay of a hop, the least trigram cosine.
 BONUS = {"fact": 0.4, "episode": 0.2, "entity": 0.0}
@@ -140,10 +140,13 @@ def weighed(found: DataFrame, request: SearchRequest) -> DataFrame:
     return out if request.min_score is None else out.where(F.col("score") >= request.min_score)
 
 
-def _expanded(facts: DataFrame, seen: DataFrame, seeds: DataFrame, reason: str, min_score: float | None) -> DataFrame:
-    """Facts not seen yet that a seed's id leads to, at the best seed's decayed score."""
+def _unseen(facts: DataFrame, hits: DataFrame) -> DataFrame:
+    return facts.join(light(hits.where("hit_type = 'fact'").select(F.col("record_id").alias("id"))), "id", "left_anti")
+
+
+def _expanded(rest: DataFrame, seeds: DataFrame, reason: str, min_score: float | None) -> DataFrame:
+    """Facts of those not seen yet that a seed's id leads to, at the best seed's decayed score."""
     best = seeds.select(F.explode("keys").alias("key"), "score").where("key <> ''").groupBy("key").agg(F.max("score").alias("score"))
-    rest = facts.join(seen.where("hit_type = 'fact'").select(F.col("record_id").alias("id")), "id", "left_anti")
     ends = F.array_compact(F.concat(F.array("subject_id", "object_id"), F.coalesce("supporting_episode_ids", F.array().cast("array<string>"))))
     reached = rest.select("id", F.explode(F.array_distinct(ends)).alias("key")).join(best, "key").groupBy("id").agg((F.max("score") * DECAY).alias("score")).where("score > 0")
     if min_score is not None:
@@ -160,9 +163,10 @@ def all_hits(memory: Memory, request: SearchRequest) -> DataFrame:
     if request.mode == "keyword" or "fact" not in request.kinds:
         return hits
     hits = cut(hits)  # each hop needs them twice
-    facts = expandable(memory, request)
-    first = cut(_expanded(facts, hits, hits, "graph_expansion", request.min_score))
-    second = _expanded(facts, hits.unionByName(first), first, "graph_expansion_bfs", request.min_score)
+    # What the text found is taken out once; the hops read the rest.
+    rest = cut(_unseen(expandable(memory, request).select("id", "subject_id", "object_id", "value_text", "supporting_episode_ids"), hits))
+    first = cut(_expanded(rest, hits, "graph_expansion", request.min_score))
+    second = _expanded(_unseen(rest, first), first, "graph_expansion_bfs", request.min_score)
     return hits.unionByName(first).unionByName(second)
 
 

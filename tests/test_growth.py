@@ -136,3 +136,11 @@ def test_superseding_joins_the_facts_once(spark, wide):
     found = {r["id"]: (r["status"], r["superseded_by"], r["supersedes"], r["supersede_reason"]) for r in out[0].where("id RLIKE '^[nf][0-3]$'").collect()}
     assert out[0].count() == 503 and found["f3"] == ("active", None, None, None)
     assert all(found[f"f{i}"] == ("superseded", f"n{i}", None, "better") and found[f"n{i}"] == ("active", None, [f"f{i}"], "better") for i in range(3))
+
+
+def test_hops_of_a_search_find_what_no_hit_is(spark, wide):
+    linked = F.when(F.col("id") == "f1", "s2").when(F.col("id") == "f3", "s1")
+    m = wide.with_tables(facts=wide.facts.withColumns({"object_id": linked, "value_text": F.when(F.col("id") == "f2", F.lit("needle in hay")).otherwise(F.col("value_text"))})).settled()
+    out = []
+    out.extend(search.all_hits(m, SearchRequest("needle in hay", types=("fact",))).collect())
+    assert {(r["record_id"], tuple(r["reasons"]), round(r["score"], 6)) for r in out} == {("f2", ("hybrid_keyword_match",), 1.4), ("f1", ("graph_expansion",), 0.63), ("f3", ("graph_expansion_bfs",), 0.2835)}
