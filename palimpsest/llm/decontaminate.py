@@ -26,16 +26,16 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import CHUNK_CHARS, pieces, table, written
 
 WINDOW, RANK, EXTRA = 48, 160, 16
 BLOCK_ITEMS = 20_000
@@ -53,7 +53,7 @@ _NOT_WORD = re.compile(r"(?:[^\w\s]|_)+")
 
 #: Bytes of plain texts: A-Z in lower case; without what is no letter, digit or space.
 _PLAIN = bytes(range(65)) + b"abcdefghijklmnopqrstuvwxyz" + bytes(range(91, 256))
-_DROPPED = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
+_PUNCTUATION = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -61,10 +61,71 @@ def normal_words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
-        return text.encode().translate(_PLAIN, _DROPPED).decode().split()
+        return text.encode().translate(_PLAIN, _PUNCTUATION).decode().split()
     return _NOT_WORD.sub("", text.lower()).split()
 
 
+#: A-Z in lower case, white space as blanks, for bytes.
+_PLAIN_BLANKS = bytes(32 if chr(b).isspace() and b < 128 else _PLAIN[b] for b in range(256))
+#: The ends of a blank and of a text among code points; what is dropped, and what was not met yet.
+_BLANK, _END, _DROP, _NEW = 32, 0x110000, 0x110001, 0x110002
+
+
+class Cutter:
+    """The term numbers of the words of many texts at once, as normal_words() cuts them, without an object a word."""
+
+    def __init__(self, number: dict[str, int]):
+        self.words = pa.array([f"{w} " for w in number], pa.string())  # numbers follow the order of the words
+        self.points = np.full(_END + 1, _NEW, np.uint32)
+        self.points[_END] = _END
+
+    def _mapped(self, points: np.ndarray) -> np.ndarray:
+        """Code points of lower-case texts: blanks for white space, without those of no word."""
+        out = self.points[points]
+        if len(new := np.unique(points[out == _NEW])):
+            for x in new.tolist():
+                c = chr(x)
+                self.points[x] = _BLANK if c.isspace() else x if c.isalnum() else _DROP
+            out = self.points[points]
+        return out[out != _DROP]
+
+    def _wide(self, texts: list[str]) -> list[bytes]:
+        """Texts that are not plain ASCII, cleaned."""
+        lower = [t.lower() for t in texts]
+        out: list[bytes] = []
+        for lo, hi in pieces(lower):
+            if hi == lo + 1:  # a long text by slices
+                parts = [self._mapped(np.frombuffer(lower[lo][i : i + CHUNK_CHARS].encode("utf-32-le"), np.uint32)) for i in range(0, len(lower[lo]), CHUNK_CHARS)]
+                out.append(b"".join(x.tobytes().decode("utf-32-le").encode() for x in parts))
+                continue
+            points = np.frombuffer("\0".join(lower[lo:hi]).encode("utf-32-le"), np.uint32).copy()
+            points[np.cumsum([len(t) + 1 for t in lower[lo : hi - 1]]) - 1] = _END
+            kept = self._mapped(points)
+            kept[kept == _END] = 0  # no cleaned text holds that
+            out += kept.tobytes().decode("utf-32-le").encode().split(b"\0")
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, -1 where a word is none of the items'; number of words of each text)."""
+        if not texts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        cleaned = [b"" if not t else t.encode().translate(_PLAIN_BLANKS, _PUNCTUATION) if t.isascii() else None for t in texts]
+        wide = [i for i, x in enumerate(cleaned) if x is None]
+        for i, x in zip(wide, self._wide([texts[i] for i in wide]), strict=True):
+            cleaned[i] = x
+        # Words with the blank after them lie side by side, as Arrow's strings do; zero bytes end the texts.
+        joined = np.frombuffer(b"".join(x + b" \0 " for x in cleaned), np.uint8)
+        ends = np.flatnonzero(joined == _BLANK).astype(np.int32) + 1
+        starts = np.r_[np.zeros(1, np.int32), ends[:-1]]
+        offsets = pa.py_buffer(np.r_[starts[:1], ends])
+        words = pa.StringArray.from_buffers(len(ends), offsets, pa.py_buffer(joined))
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        mark = joined[starts] == 0
+        real = (ends - starts > 1) & ~mark
+        before = np.cumsum(real)[mark]
+        return found[real], np.diff(before, prepend=0)
+
+
 class Items:
     """The benchmark's items as sequences of term numbers."""
 
@@ -123,11 +184,14 @@ def term_rows(rows: DataFrame, items: Items) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        get, code = shared.value.number.get, shared.value.code
+        cut, code = Cutter(shared.value.number), shared.value.code
         for batch in batches:
-            found = map(normal_words, batch.column(1).to_pylist())
-            packed = [np.fromiter(map(get, w, repeat(-1)), code, len(w)).tobytes() for w in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "terms"])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in pieces(texts):
+                terms, size = cut(texts[lo:hi])
+                ends = np.cumsum(np.r_[0, size]) * int(code[-1])
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(terms.astype(code))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed.cast(pa.binary())], names=["id", "terms"])
 
     return written(rows.select("id", "text").mapInArrow(run, schema), "terms")
 
@@ -164,15 +228,22 @@ class Passages:
 
     def sums(self, terms: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each window the weighted sum of its terms' rows."""
-        out = np.zeros((self.n_blocks + 1, rows.shape[1]), np.float32)
-        used = np.nonzero((terms >= 0) & (weight[np.maximum(terms, 0)] > 0))[0] if len(weight) else np.empty(0, np.int64)
-        for lo in range(0, len(used), 50_000):
-            at = used[lo : lo + 50_000]
-            block = self.block[at]
-            first = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
-            out[block[first]] += np.add.reduceat(rows[terms[at]] * weight[terms[at], None], first, axis=0)
-        out[:-1] += np.where(self.pair[:, None], out[1:], 0)  # in order: each block adds the one after it
-        return out[:-1]
+        return self.some_sums(terms, rows * weight[:, None], weight > 0)[1]
+
+    def some_sums(self, terms: np.ndarray, rows: np.ndarray, weighs: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(windows, the sums of their terms' rows): of every window, or of those with a term that weighs."""
+        used = np.flatnonzero(np.r_[weighs, False][terms])  # -1 is the last
+        held, first, n = np.unique(self.block[used], return_index=True, return_counts=True)
+        own = np.zeros((len(held) + 1, rows.shape[1]), np.float32)
+        for k in range(int(n.max()) if len(n) else 0):  # the blocks' first terms, then the second ones
+            at = np.flatnonzero(n > k)
+            own[at] += rows[terms[used[first[at] + k]]]
+        row = np.full(self.n_blocks + 1, len(held))
+        row[held] = np.arange(len(held))
+        after = np.where(self.pair, row[1:], len(held))
+        row = row[:-1]
+        windows = np.arange(self.n_blocks) if every else np.flatnonzero(np.minimum(row, after) < len(held))
+        return windows, own[row[windows]] + own[after[windows]]
 
 
 def _pairs(p: Passages, terms: np.ndarray, weight: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,13 +279,12 @@ def _applied(code: np.ndarray, times: np.ndarray, weight: np.ndarray, rows: np.n
     value = (times * weight[x] * weight[y]).astype(np.float32)
     out = np.zeros(rows.shape, np.float32)
     other = np.nonzero(x != y)[0]
-    for a, b, v in ((x, y, value), (y[other], x[other], value[other])):
-        order = np.argsort(a, kind="stable")
-        for lo in range(0, len(order), 50_000):
-            at = order[lo : lo + 50_000]
-            own = a[at]
-            first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
-            out[own[first]] += np.add.reduceat(rows[b[at]] * v[at, None], first, axis=0)
+    a, b, v = np.r_[x, y[other]], np.r_[y, x[other]], np.r_[value, value[other]]
+    order = np.argsort(a, kind="stable")
+    a, b, v = a[order], b[order], v[order]
+    cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]).tolist() if len(a) else []
+    for lo, hi in zip(cuts, cuts[1:]):  # a term's pairs: one product
+        out[a[lo]] = v[lo:hi] @ rows[b[lo:hi]]
     return out
 
 
@@ -298,10 +368,13 @@ class Finder:
     def __init__(self, items: Items):
         self.items = items
         self.projected = items.basis * items.idf[:, None]
-        self.ones = (items.idf > 0).astype(np.float32)
         latent = _item_matrix(items, items.basis)
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.keys, self.places = items.masks()
+        # A few bits of each key tell most that are none.
+        self.bits = max(10, (16 * len(self.keys)).bit_length())
+        self.maybe = np.zeros(1 << self.bits, bool)
+        self.maybe[self._hashed(self.keys)] = True
         self.size = np.array([len(t) for t in items.terms])
         # What the common subsequence must reach; items under SHORT must occur word for word.
         self.least = np.where(self.size < SHORT, self.size, np.ceil(LCS * self.size - 1e-9).astype(np.int64))
@@ -315,10 +388,17 @@ class Finder:
         self.words = np.zeros((len(own), len(self.plain)), np.float32)
         for i, k in enumerate(self.plain.tolist()):
             np.add.at(self.words[:, i], self.column[items.terms[k]], 1)
+        # So many of a plain item's different words, the most frequent ones, are the fewest that may be enough.
+        most = np.cumsum(-np.sort(-self.words, axis=0), axis=0)
+        self.fewest = (most < self.least[self.plain] - 0.5).sum(axis=0) + 1
+
+    def _hashed(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, terms: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(text number, item number, cosine, shares) of what is found, best passage of each pair."""
         p = Passages(terms, size)
+        self.known = np.flatnonzero(terms >= 0)
         found: dict[tuple[int, int], tuple] = {}
         for block, item, cosine in self._candidates(terms, p):
             for lo in range(0, len(block), self.CHUNK):
@@ -330,40 +410,44 @@ class Finder:
         """(blocks, items, cosines): windows near an item in the latent space, and windows with enough words of a plain item."""
         if not p.n_blocks:
             return
-        v = p.sums(terms, self.projected, self.ones)
+        block, v = p.some_sums(terms, self.projected, self.items.idf > 0, every=False)
         length = np.linalg.norm(v, axis=1)
-        live = np.nonzero(length > 1e-6)[0]
+        live = np.flatnonzero(length > 1e-6)
         for at in np.array_split(live, -(-len(live) * len(self.latent) // 4_000_000) or 1):
-            cosine = v[at] @ self.latent.T / length[at, None]
-            i, k = np.nonzero(cosine >= COSINE)
-            yield at[i], k, cosine[i, k]
+            cosine = v[at] @ self.latent.T
+            cosine /= length[at, None]
+            i, k = np.divmod(np.flatnonzero(cosine >= COSINE), len(self.latent))
+            yield block[at[i]], k, cosine[i, k]
         if len(self.plain):
             yield from self._plain_candidates(terms, p)
 
     def _plain_candidates(self, terms: np.ndarray, p: Passages):
         """Counts an item's places whose word lies in a window's surroundings, whatever their order, as if each word were there often enough."""
         width, half = len(self.words), WINDOW // 2
-        column = np.where(terms >= 0, self.column[np.maximum(terms, 0)], -1)
-        used = np.nonzero(column >= 0)[0]
+        column = np.r_[self.column, -1][terms]
+        used = np.flatnonzero(column >= 0)
         step = max(1, 8_000_000 // max(1, width))
         reach = -(-self.size[self.plain] // half)
         for lo in range(0, p.n_blocks, step):
             # A step's blocks, with as many beside them as any item reaches.
             first, last = max(0, lo - int(reach.max())), min(p.n_blocks, lo + step + 2 + int(reach.max()))
-            own = used[(p.block[used] >= first) & (p.block[used] < last)]
-            held = np.zeros((last - first, width), bool)
-            held[p.block[own] - first, column[own]] = True
-            held = np.packbits(held, axis=1)
+            own = used[slice(*np.searchsorted(p.block[used], [first, last]))]
+            held = np.zeros((last - first, width + -width % 64), bool)
+            held.reshape(-1)[(p.block[own] - first) * held.shape[1] + column[own]] = True
+            held = np.packbits(held, axis=1).view(np.uint64)
             at = np.arange(lo, min(lo + step, p.n_blocks))
+            before, after = at - p.first_block[p.doc[at]], p.block_ends[p.doc[at]] - at  # blocks of the text there
+            near, done = held[at - first], 0
             for r in np.unique(reach).tolist():
-                near = held[at - first].copy()
-                for shift in (x for x in range(-r, r + 2) if x):
-                    to = np.nonzero((at + shift >= p.first_block[p.doc[at]]) & (at + shift < p.block_ends[p.doc[at]]))[0]
+                for shift in (x for x in range(-r, r + 2) if x and not -done <= x <= done + (done > 0)):
+                    to = np.flatnonzero(before >= -shift if shift < 0 else after > shift)
                     near[to] |= held[at[to] + shift - first]
+                done = r
                 group = np.nonzero(reach == r)[0]
-                n = np.unpackbits(near, axis=1, count=width).astype(np.float32) @ self.words[:, group]
+                likely = np.flatnonzero(np.bitwise_count(near).sum(axis=1) >= self.fewest[group].min())
+                n = np.unpackbits(near[likely].view(np.uint8), axis=1, count=width).astype(np.float32) @ self.words[:, group]
                 i, k = np.nonzero(n >= self.least[self.plain[group]] - 0.5)
-                yield at[i], self.plain[group[k]], np.zeros(len(i))
+                yield at[likely[i]], self.plain[group[k]], np.zeros(len(i))
 
     def _check(self, found, terms, p: Passages, block: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> None:
         """Keep what holds the item: first its words, whatever their order, then the common subsequence, then the answer."""
@@ -376,17 +460,27 @@ class Finder:
         some = np.nonzero(n <= 64)[0]
         if not len(some) or not len(self.keys):
             return
-        at = lo[some, None] + np.arange(int((hi - lo)[some].max()))
-        row, col = np.nonzero(at < hi[some, None])
-        term = terms[at[row, col]]
-        row, col, term = (x[term >= 0] for x in (row, col, term))
-        key = item[some[row]] * len(self.items.number) + term
-        where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = np.nonzero(self.keys[where] == key)[0]
-        places = np.zeros(at.shape, np.uint64)
-        places[row[hit], col[hit]] = self.places[where[hit]]
-        enough = np.nonzero(np.bitwise_count(np.bitwise_or.reduce(places, axis=1)) >= self.least[item[some]])[0]
-        lcs = common_subsequences(places[enough], n[some[enough]])
+        # The surroundings' words that are any item's, side by side.
+        a, b = np.searchsorted(self.known, lo[some]), np.searchsorted(self.known, hi[some])
+        start = np.cumsum(b - a) - (b - a)
+        row = np.repeat(np.arange(len(some)), b - a)
+        key = np.repeat(item[some] * len(self.items.number), b - a) + terms[self.known[np.arange(len(row)) + np.repeat(a - start, b - a)]]
+        at = np.flatnonzero(self.maybe[self._hashed(key)])
+        where = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        hit = self.keys[where] == key[at]
+        row, places = row[at[hit]], self.places[where[hit]]
+        # What is left of each: its words in the item.
+        left = np.bincount(row, minlength=len(some))
+        begin = np.cumsum(left) - left
+        some_left = np.flatnonzero(left)
+        covered = np.zeros(len(some), np.uint64)
+        if len(some_left):
+            covered[some_left] = np.bitwise_or.reduceat(places, begin[some_left])
+        enough = np.flatnonzero(np.bitwise_count(covered) >= self.least[item[some]])
+        line = np.zeros((len(enough), int(left[enough].max(initial=0))), np.uint64)
+        r, c = np.nonzero(np.arange(line.shape[1]) < left[enough, None])
+        line[r, c] = places[begin[enough[r]] + c]
+        lcs = common_subsequences(line, n[some[enough]])
         for i, x in zip(some[enough].tolist(), lcs.tolist(), strict=True):
             if x >= self.least[item[i]]:
                 self._keep(found, terms[lo[i] : hi[i]].tolist(), int(doc[i]), int(item[i]), float(cosine[i]), x)
@@ -417,12 +511,18 @@ def _fit(rows: DataFrame, items: Items) -> Items:
     n_terms, code = len(items.number), items.code
 
     def frequencies(batches):
-        n, df = 0, np.zeros(n_terms, np.int64)
+        n, df, step = 0, np.zeros(n_terms, np.int64), max(1, 2_000_000 // n_terms)
         for batch in batches:
             n += batch.num_rows
             for _, terms, size in unpacked(batch.column(0).to_pylist(), code):
-                doc = np.repeat(np.arange(len(size)), size)[terms >= 0]
-                df += np.bincount(np.unique(doc * n_terms + terms[terms >= 0]) % n_terms, minlength=n_terms)
+                doc = np.repeat(np.arange(len(size)), size)
+                known = np.flatnonzero(terms >= 0)
+                doc, terms = doc[known], terms[known]
+                for d in range(0, len(size), step):
+                    held = np.zeros((min(step, len(size) - d), n_terms), bool)
+                    lo, hi = np.searchsorted(doc, [d, d + step])
+                    held.reshape(-1)[(doc[lo:hi] - d) * n_terms + terms[lo:hi]] = True
+                    df += np.bincount(np.flatnonzero(held) % n_terms, minlength=n_terms)
         has = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, has]), pa.array(np.r_[n, df[has]])], names=["term", "n"])
 
