@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,24 @@ class Memory:
         from palimpsest.sources.shared import cut
 
         return Memory(**{name: cut(df) for name, df in self.tables().items()})
+
+
+class LazyMemory(Memory):
+    """A memory whose tables are made at their first use: a read pays for those only that it needs."""
+
+    def __init__(self, spark: SparkSession, makers: dict[str, Callable[[], DataFrame]]):
+        object.__setattr__(self, "_spark", spark)
+        object.__setattr__(self, "_makers", makers)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._makers:
+            raise AttributeError(name)
+        object.__setattr__(self, name, self._makers[name]())
+        return getattr(self, name)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
+    def with_tables(self, **changed: DataFrame) -> Memory:
+        return LazyMemory(self._spark, {name: (lambda name=name: changed[name]) if name in changed else (lambda name=name: getattr(self, name)) for name in self._makers})

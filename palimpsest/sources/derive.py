@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.memory import Memory
+from palimpsest.memory import LazyMemory, Memory
 from palimpsest.plans import schema
 from palimpsest.sources.shared import shared_dir
 from palimpsest.sources.store import Store
@@ -37,8 +36,29 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default.unionByName(own.where("k % 50 = 0").selectExpr("*", "'other' AS sp", "'o:' AS pre"))
 
 
-def derived_memory(spark: SparkSession, sf_dir: str, settle=lambda df: df) -> Memory:
-    """The six tables; `settle` is applied to those that others are made from."""
+def _sources(episodes: DataFrame) -> DataFrame:
+    kind = "CASE WHEN source_id LIKE '%src:orders:%' THEN 'orders' WHEN source_id LIKE 'src:documents:%' THEN 'documents' WHEN source_id LIKE 'src:conv:%' THEN 'chat' ELSE 'events' END"
+    return _as(episodes.groupBy("source_id", "space_id").agg(F.min("ingested_at").alias("at")), schema.SOURCES, id="source_id", space_id="space_id", kind=kind, created_at="at")
+
+
+def _entity_revisions(entities: DataFrame) -> DataFrame:
+    first = {"entity_id": "id", "revision_kind": "'assert'", "tx_time": "created_at", "updated_at": "created_at", "id": "concat('entityrev_', id, ':1')"}
+    same = {f.name: f.name for f in schema.ENTITIES.fields if f.name not in ("id", "updated_at")}
+    return _as(entities, schema.ENTITY_REVISIONS, **same | first | {"canonical_name": "CASE WHEN updated_at > created_at THEN left(canonical_name, length(canonical_name) - 4) ELSE canonical_name END"}).unionByName(
+        _as(entities.where("updated_at > created_at"), schema.ENTITY_REVISIONS, **same | {"id": "concat('entityrev_', id, ':2')", "entity_id": "id", "revision_kind": "'update'", "tx_time": "updated_at", "updated_at": "updated_at"})
+    )
+
+
+def _fact_revisions(facts: DataFrame) -> DataFrame:
+    whole = {f.name: f.name for f in schema.FACTS.fields if f.name != "id"}
+    fresh = {"status": "'active'", "valid_to": "NULL", "updated_at": "created_at", "retracted_at": "NULL", "retraction_reason": "NULL", "superseded_by": "NULL", "supersede_reason": "CASE WHEN supersedes IS NOT NULL THEN supersede_reason END"}
+    return _as(facts, schema.FACT_REVISIONS, **whole | fresh | {"id": "concat('factrev_', id, ':1')", "fact_id": "id", "revision_kind": "'assert'", "tx_time": "created_at"}).unionByName(
+        _as(facts.where("status <> 'active'"), schema.FACT_REVISIONS, **whole | {"id": "concat('factrev_', id, CASE status WHEN 'superseded' THEN ':2' ELSE ':3' END)", "fact_id": "id", "revision_kind": "CASE status WHEN 'superseded' THEN 'auto_supersede' ELSE 'retract' END", "tx_time": "updated_at"})
+    )
+
+
+def derived_memory(spark: SparkSession, sf_dir: str) -> Memory:
+    """The six tables."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     read = lambda name: _table(spark, sf_dir, name)
     orders = _orders(spark, sf_dir)
@@ -55,9 +75,6 @@ def derived_memory(spark: SparkSession, sf_dir: str, settle=lambda df: df) -> Me
         .unionByName(_as(read("events"), ep, id="concat('ep:event:', event_id)", space_id="'default'", kind="event_type", content="concat('user ', user_id, ' ', event_type)", source_id="'src:events'", group_id="'events'",
             observed_at="CAST(ts AS timestamp)", ingested_at="CAST(ts AS timestamp) + INTERVAL 5 MINUTES"))
     )
-    episodes = settle(episodes)
-    kind = "CASE WHEN source_id LIKE '%src:orders:%' THEN 'orders' WHEN source_id LIKE 'src:documents:%' THEN 'documents' WHEN source_id LIKE 'src:conv:%' THEN 'chat' ELSE 'events' END"
-    sources = _as(episodes.groupBy("source_id", "space_id").agg(F.min("ingested_at").alias("at")), schema.SOURCES, id="source_id", space_id="space_id", kind=kind, created_at="at")
 
     en = schema.ENTITIES
     renamed = "c_custkey % 10 = 0"
@@ -72,12 +89,6 @@ def derived_memory(spark: SparkSession, sf_dir: str, settle=lambda df: df) -> Me
         .unionByName(_as(read("region"), en, **named, id="concat('region:', r_regionkey)", type="'Region'", canonical_name="r_name", aliases="array()"))
         .unionByName(_as(read("part"), en, **named, id="concat('part:', p_partkey)", type="'Part'", canonical_name="p_name", aliases="array()"))
     )
-    entities = settle(entities)
-    first = {"entity_id": "id", "revision_kind": "'assert'", "tx_time": "created_at", "updated_at": "created_at", "id": "concat('entityrev_', id, ':1')"}
-    same = {f.name: f.name for f in en.fields if f.name not in ("id", "updated_at")}
-    entity_revisions = _as(entities, schema.ENTITY_REVISIONS, **same | first | {"canonical_name": "CASE WHEN updated_at > created_at THEN left(canonical_name, length(canonical_name) - 4) ELSE canonical_name END"}).unionByName(
-        _as(entities.where("updated_at > created_at"), schema.ENTITY_REVISIONS, **same | {"id": "concat('entityrev_', id, ':2')", "entity_id": "id", "revision_kind": "'update'", "tx_time": "updated_at", "updated_at": "updated_at"})
-    )
 
     fa = schema.FACTS
     located = {"space_id": "'default'", "predicate": "'LOCATED_IN'", "status": "'active'", "created_at": "timestamp'1995-01-02 00:00:00'", "updated_at": "timestamp'1995-01-02 00:00:00'", "confidence": "1.0"}
@@ -101,34 +112,28 @@ def derived_memory(spark: SparkSession, sf_dir: str, settle=lambda df: df) -> Me
         .unionByName(_as(returned, fa, id="concat('fact:returned:', l_orderkey, ':', n)", space_id="'default'", predicate="'RETURNED'", subject_id="concat('customer:', c)", object_id="concat('part:', l_partkey)", confidence="1.0",
             status="'retracted'", observed_at="d", created_at="d + INTERVAL 1 DAY", updated_at="d + INTERVAL 30 DAYS", retracted_at="d + INTERVAL 30 DAYS", retraction_reason="'returned'", supporting_episode_ids="array(concat('ep:order:', l_orderkey))"))
     )
-    facts = settle(facts)
-    whole = {f.name: f.name for f in fa.fields if f.name != "id"}
-    fresh = {"status": "'active'", "valid_to": "NULL", "updated_at": "created_at", "retracted_at": "NULL", "retraction_reason": "NULL", "superseded_by": "NULL", "supersede_reason": "CASE WHEN supersedes IS NOT NULL THEN supersede_reason END"}
-    fact_revisions = _as(facts, schema.FACT_REVISIONS, **whole | fresh | {"id": "concat('factrev_', id, ':1')", "fact_id": "id", "revision_kind": "'assert'", "tx_time": "created_at"}).unionByName(
-        _as(facts.where("status <> 'active'"), schema.FACT_REVISIONS, **whole | {"id": "concat('factrev_', id, CASE status WHEN 'superseded' THEN ':2' ELSE ':3' END)", "fact_id": "id", "revision_kind": "CASE status WHEN 'superseded' THEN 'auto_supersede' ELSE 'retract' END", "tx_time": "updated_at"})
-    )
-    return Memory(sources, episodes, entities, facts, fact_revisions, entity_revisions)
+    return Memory(_sources(episodes), episodes, entities, facts, _fact_revisions(facts), _entity_revisions(entities))
 
 
-_BUILT: dict[tuple, str] = {}
+#: For each session and folder the store's path and the tables built there.
+_BUILT: dict[tuple, tuple[str, set[str]]] = {}
 
 
 def stored_memory(spark: SparkSession, sf_dir: str) -> Memory:
-    """The derived memory from a store in the shared folder, built once a session for the files as they are now."""
+    """The derived memory from a store in the shared folder; each table is built at its first use, once a session for the files as they are now."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     files = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
     listed = files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)
     key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed)))
-    if key not in _BUILT:
-        path = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}"
-        held: list[DataFrame] = []
-
-        def settle(df: DataFrame) -> DataFrame:
-            held.append(df.persist(StorageLevel.DISK_ONLY))
-            return held[-1]
-
-        Store(spark, path).save(derived_memory(spark, sf_dir, settle))
-        for df in held:
-            df.unpersist()
-        _BUILT[key] = path
-    return Store(spark, _BUILT[key], read_only=True).load()
+    path, built = _BUILT.setdefault(key, (f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}", set()))
+    own = {"sources": lambda: _sources(stored.episodes), "fact_revisions": lambda: _fact_revisions(stored.facts), "entity_revisions": lambda: _entity_revisions(stored.entities)}
+
+    def table(name: str) -> DataFrame:
+        if name not in built:
+            df = own[name]() if name in own else getattr(derived_memory(spark, sf_dir), name)
+            Store(spark, path).save(Memory.empty(spark).with_tables(**{name: df}), only=(name,))
+            built.add(name)
+        return Store(spark, path, read_only=True).table(name)
+
+    stored = LazyMemory(spark, {name: (lambda name=name: table(name)) for name in schema.TABLES})
+    return stored

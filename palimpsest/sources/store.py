@@ -26,6 +26,8 @@ from palimpsest.operators.lifecycle import seed_revisions
 from palimpsest.plans import schema
 
 _LOG = "_log"
+#: Rows of a file at most: short rows pack well, and a file or two of many would be read by a task or two.
+FILE_ROWS = 100_000
 
 
 def digests(df: DataFrame) -> dict[str, tuple]:
@@ -83,16 +85,21 @@ class Store:
         whole = T.StructType([*columns.fields, T.StructField("version", T.StringType())])
         return digests(self.spark.read.schema(whole).parquet(f"{self.path}/{table}").where(F.col("version") == folder).select(columns.names))
 
-    def save(self, memory: Memory, *, base: str | None = None, whole: bool = False) -> str:
+    def table(self, name: str) -> DataFrame:
+        """One table of the current version."""
+        return getattr(self._memory, name) if self._memory is not None else self._read(name, schema.TABLES[name], self.log()[name])
+
+    def save(self, memory: Memory, *, base: str | None = None, whole: bool = False, only: tuple[str, ...] = tuple(schema.TABLES)) -> str:
         """Write the spaces that differ from the current version (or all) and make that the next one. Returns its name.
 
         `base` is the version that the memory was made from, the current one by default; if another
-        one is current when the log is written, nothing changes and the write is refused.
+        one is current when the log is written, nothing changes and the write is refused. Tables
+        that `only` leaves out stay as they are there, and are not asked of the memory.
         """
         if self.read_only:
             raise RecordError(NOT_SUPPORTED, "the store is open for reading only")
         if self._memory is not None:
-            self._memory = memory
+            self._memory = self._memory.with_tables(**{table: getattr(memory, table) for table in only})
             return "memory"
         hadoop, fs = self._fs()
         held = base or self.version()
@@ -105,7 +112,7 @@ class Store:
             df = getattr(memory, table).select(columns.names)
 
             def put(rows: DataFrame) -> None:
-                rows.withColumn("version", F.lit(folder)).write.mode("append").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
+                rows.withColumn("version", F.lit(folder)).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
 
             if not before[table] or whole:  # nothing to compare with: written first, counted where it lies
                 put(df)
@@ -117,8 +124,8 @@ class Store:
             return log | {space: {"version": folder, "rows": own[space][0], "digest": own[space][1]} for space in changed}
 
         # The tables are independent: their jobs run side by side.
-        with ThreadPoolExecutor(len(schema.TABLES)) as pool:
-            log = dict(zip(schema.TABLES, pool.map(one, schema.TABLES), strict=True))
+        with ThreadPoolExecutor(len(only)) as pool:
+            log = before | dict(zip(only, pool.map(one, only), strict=True))
         staged, entry = hadoop.Path(f"{self.path}/{_LOG}/.{folder}"), hadoop.Path(f"{self.path}/{_LOG}/{name}.json")
         stream = fs.create(staged, True)
         stream.write(bytearray(json.dumps(log).encode()))

@@ -1,5 +1,6 @@
 """What queries move and hold: shuffled bytes and rows of tasks stay small where results do not need them."""
 
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -10,8 +11,11 @@ from palimpsest.memory import Memory
 from palimpsest.operators import graph, index, lifecycle, lookup, provenance, search
 from palimpsest.plans import schema
 from palimpsest.plans.requests import NeighborhoodRequest, ProvenanceRequest, SearchRequest, Temporal
-from palimpsest.sources import shared
+from palimpsest.queries import QUERIES
+from palimpsest.sources import derive, shared
+from palimpsest.sources.store import Store, digests
 
+SF = "/root/testdata/sf0.001"
 MOMENT = datetime(2026, 2, 1, tzinfo=timezone.utc)
 
 
@@ -144,3 +148,24 @@ def test_hops_of_a_search_find_what_no_hit_is(spark, wide):
     out = []
     out.extend(search.all_hits(m, SearchRequest("needle in hay", types=("fact",))).collect())
     assert {(r["record_id"], tuple(r["reasons"]), round(r["score"], 6)) for r in out} == {("f2", ("hybrid_keyword_match",), 1.4), ("f1", ("graph_expansion",), 0.63), ("f3", ("graph_expansion_bfs",), 0.2835)}
+
+
+def test_reads_build_the_tables_that_they_need_only(spark, tmp_path):
+    for f in os.listdir(SF):
+        os.symlink(f"{SF}/{f}", tmp_path / f)
+    sf = str(tmp_path)
+    built = lambda: next(made for key, (_, made) in derive._BUILT.items() if key[1] == sf)
+    noop(QUERIES["search_semantic_episode"](spark, sf))
+    assert built() == {"episodes", "sources"}
+    noop(QUERIES["timeline_desc"](spark, sf))
+    assert built() == {"episodes", "sources", "facts"}
+    stored, derived = derive.stored_memory(spark, sf), derive.derived_memory(spark, sf)
+    assert all(digests(df.select(schema.TABLES[name].names)) == digests(getattr(derived, name).select(schema.TABLES[name].names)) for name, df in stored.tables().items())
+    assert built() == set(schema.TABLES)
+
+
+def test_short_stored_rows_are_read_by_many_tasks(spark, tmp_path):
+    episodes = rows(spark, schema.EPISODES, 250_000, id="concat('e', k)", space_id="'default'", content="'user 1 view'", source_id="'s'").coalesce(1)
+    store = Store(spark, str(tmp_path / "store"))
+    store.save(Memory.empty(spark).with_tables(episodes=episodes), only=("episodes",))
+    assert store.table("episodes").rdd.getNumPartitions() >= 3 and store.table("episodes").count() == 250_000 and store.table("facts").isEmpty()
