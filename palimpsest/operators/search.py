@@ -14,7 +14,8 @@ from palimpsest.operators.paging import ordered_page
 from palimpsest.operators.scope import anchored, entities_for, episodes_for, fact_anchored, facts_for, scoped_episodes
 from palimpsest.operators.temporal import entity_versions, visible_episodes, visible_sources
 from palimpsest.plans.requests import SearchRequest, space_of
-from palimpsest.sources.shared import cut, light
+from palimpsest.sources import shared
+from palimpsest.sources.shared import cut, light, sieve
 
 # Fixed values of the ranking: bonuses by kind and match, the decay of a hop, the least trigram cosine.
 BONUS = {"fact": 0.4, "episode": 0.2, "entity": 0.0}
@@ -140,21 +141,54 @@ def weighed(found: DataFrame, request: SearchRequest) -> DataFrame:
     return out if request.min_score is None else out.where(F.col("score") >= request.min_score)
 
 
-def _unseen(facts: DataFrame, hits: DataFrame) -> DataFrame:
-    return facts.join(light(hits.where("hit_type = 'fact'").select(F.col("record_id").alias("id"))), "id", "left_anti")
+#: What a hop reads of a fact, and how many of its supporting episodes are tested where it lies.
+ENDS = ["id", "subject_id", "object_id", "value_text", "supporting_episode_ids"]
+TESTED = 2
 
 
-def _expanded(rest: DataFrame, seeds: DataFrame, reason: str, min_score: float | None) -> DataFrame:
-    """Facts of those not seen yet that a seed's id leads to, at the best seed's decayed score."""
-    best = seeds.select(F.explode("keys").alias("key"), "score").where("key <> ''").groupBy("key").agg(F.max("score").alias("score"))
-    ends = F.array_compact(F.concat(F.array("subject_id", "object_id"), F.coalesce("supporting_episode_ids", F.array().cast("array<string>"))))
-    reached = rest.select("id", F.explode(F.array_distinct(ends)).alias("key")).join(best, "key").groupBy("id").agg((F.max("score") * DECAY).alias("score")).where("score > 0")
-    if min_score is not None:
-        reached = reached.where(F.col("score") >= min_score)
-    keys = F.concat(F.array_compact(F.array("id", "subject_id", F.nullif("object_id", F.lit("")))), F.coalesce("supporting_episode_ids", F.array().cast("array<string>")))
-    return rest.join(reached, "id").select(
-        F.lit("fact").alias("hit_type"), F.col("id").alias("record_id"), "score", text_or_empty("value_text").alias("matched_text"), F.array(F.lit(reason)).alias("reasons"), keys.alias("keys")
-    )
+def _once(ids: Column) -> Column:
+    """Each id once, without nulls: one compiled call, unlike array_compact."""
+    return F.array_except(ids, F.array(F.lit(None).cast("string")))
+
+
+def _ends() -> Column:
+    """A fact's ids that a seed may lead to."""
+    return _once(F.concat(F.array("subject_id", "object_id"), F.coalesce("supporting_episode_ids", F.array().cast("array<string>"))))
+
+
+def _leads() -> Column:
+    """The ids that a fact leads to."""
+    return F.concat(F.array_compact(F.array("id", "subject_id", F.nullif("object_id", F.lit("")))), F.coalesce("supporting_episode_ids", F.array().cast("array<string>")))
+
+
+def _best(seeds: DataFrame) -> DataFrame:
+    """For each id of (key, score) the best score, from a checkpoint."""
+    return cut(seeds.where("key <> ''").groupBy("key").agg(F.max("score").alias("score")))
+
+
+def _hop(rest: DataFrame, best: DataFrame, min_score: float | None) -> tuple[DataFrame, DataFrame]:
+    """Facts that may have an end among the best seeds, with the decayed score (none, if they have not), and those that have none for sure.
+
+    A sieve tells where the facts lie which ends are likely a seed's. A fact without one is not moved,
+    one with a single one goes to its seed once and whole; the scores of several ends come together by its id.
+    """
+    n = best.count()
+    hit = sieve(best, "key", n)
+    seeds = light(best, n) if n <= shared.LIGHT else best.hint("shuffle_hash")
+    tested = [F.col("subject_id"), F.col("object_id"), *(F.get("supporting_episode_ids", F.lit(i)) for i in range(TESTED))]
+    rest = _bound(rest, "_near", _once(F.array(*(F.when(hit(F.xxhash64(c)), c) for c in tested))))
+    many, n = F.coalesce(F.size("supporting_episode_ids"), F.lit(0)) > TESTED, F.size("_near")
+    far, one, several = rest.where(~many & (n == 0)).select(*ENDS), rest.where(~many & (n == 1)), rest.where(many | (n > 1))
+    score = F.col("score") * DECAY
+    kept = score > 0 if min_score is None else (score > 0) & (score >= min_score)
+    decayed = F.when(kept, score).alias("score")
+    single = one.withColumn("key", F.get("_near", F.lit(0))).join(seeds, "key", "left").select(*ENDS, decayed)
+    scores = several.select("id", F.explode(_ends()).alias("key")).where(hit(F.xxhash64("key"))).join(seeds, "key").groupBy("id").agg(F.max("score").alias("score"))
+    return single.unionByName(several.join(scores, "id", "left").select(*ENDS, decayed)), far
+
+
+def _as_hits(facts: DataFrame, reason: str) -> DataFrame:
+    return facts.select(F.lit("fact").alias("hit_type"), F.col("id").alias("record_id"), "score", text_or_empty("value_text").alias("matched_text"), F.array(F.lit(reason)).alias("reasons"), _leads().alias("keys"))
 
 
 def all_hits(memory: Memory, request: SearchRequest) -> DataFrame:
@@ -162,12 +196,26 @@ def all_hits(memory: Memory, request: SearchRequest) -> DataFrame:
     hits = direct_hits(memory, request)
     if request.mode == "keyword" or "fact" not in request.kinds:
         return hits
-    hits = cut(hits)  # each hop needs them twice
-    # What the text found is taken out once; the hops read the rest.
-    rest = cut(_unseen(expandable(memory, request).select("id", "subject_id", "object_id", "value_text", "supporting_episode_ids"), hits))
-    first = cut(_expanded(rest, hits, "graph_expansion", request.min_score))
-    second = _expanded(_unseen(rest, first), first, "graph_expansion_bfs", request.min_score)
-    return hits.unionByName(first).unionByName(second)
+    hits = cut(hits)  # each hop needs them
+    seen = hits.where("hit_type = 'fact'").select(F.col("record_id").alias("id"))
+    n = seen.count()
+    rest = expandable(memory, request).select(*ENDS).join(light(seen, n), "id", "left_anti")
+    if n > shared.LIGHT or request.temporal.as_of or request.scope.entity_types or request.scope.by_episode:
+        rest = cut(rest)  # else no more than a filter of the stored facts, which are read again
+    near, far = _hop(rest, _best(hits.select(F.explode("keys").alias("key"), "score")), request.min_score)
+    near = cut(near)
+    first, left = near.where("score IS NOT NULL"), far.unionByName(near.where("score IS NULL").drop("score"))
+    out = hits.unionByName(_as_hits(first, "graph_expansion"))
+    reached, others = first.count(), left.count()
+    if not reached or not others:
+        return out
+    seeds = first.select(F.explode(_leads()).alias("key"), "score")
+    if others <= reached:  # only seeds at an end of what is left
+        left = cut(left)
+        ends = left.select(F.explode(_ends()).alias("key"))
+        seeds = seeds.where(sieve(ends, "key", ends.count())(F.xxhash64("key")))
+    second, _ = _hop(left, _best(seeds), request.min_score)
+    return out.unionByName(_as_hits(second.where("score IS NOT NULL"), "graph_expansion_bfs"))
 
 
 def hit_order() -> list[Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,27 @@ def likely(df: DataFrame, columns: list[str], ids: DataFrame, most: int | None =
     return df.where(F.coalesce(*marks)).drop(*marks, *(f"_k{i}" for i in range(len(columns))))
 
 
+#: Words of 64 bits that a sieve has at most.
+WORDS = 1 << 20
+
+
+def sieve(df: DataFrame, name: str, n: int) -> Callable[[Column], Column]:
+    """A test of hashes (xxhash64) that holds for all values in a column of `n` rows and for few others: at most 8 MB are sent to a task, whatever `n`.
+
+    One bit a value and little code a test: a filter whose code is too long for the JVM to compile takes ten times as long.
+    The test does not go into lambda functions.
+    """
+    size = 1 << min(max(n // 4, 1).bit_length(), WORDS.bit_length() - 1)
+    at = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(size - 1)).cast("int")
+    place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64(name)
+    held = df.select(at(h).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place(h)).alias("word"))
+    held = held.unionByName(df.sparkSession.range(size).selectExpr("CAST(id AS int) AS at", "0L AS word"))
+    words = held.groupBy("at").agg(F.bit_or("word").alias("word")).agg(F.array_sort(F.collect_list(F.struct("at", "word")))["word"].alias("words"))
+    known = cut(words).scalar()
+    return lambda h: F.getbit(F.get(known, at(h)), place(h)) == 1
+
+
 def _fs(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)

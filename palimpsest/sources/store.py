@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from palimpsest.plans import schema
 _LOG = "_log"
 #: Rows of a file at most: short rows pack well, and a file or two of many would be read by a task or two.
 FILE_ROWS = 100_000
+#: Spaces that a task writes side by side. Rows of more are sorted first, and wide rows spill then.
+WRITERS = 8
 
 
 def digests(df: DataFrame) -> dict[str, tuple]:
@@ -37,6 +40,17 @@ def digests(df: DataFrame) -> dict[str, tuple]:
     return {r["space_id"]: (r["n"], str(r["h"])) for r in df.groupBy("space_id").agg(F.count("*").alias("n"), F.sum(own).alias("h")).collect()}
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class Store:
     """Open a folder, or with `in_memory` keep nothing beyond the session."""
 
@@ -112,7 +126,7 @@ class Store:
             df = getattr(memory, table).select(columns.names)
 
             def put(rows: DataFrame) -> None:
-                rows.withColumn("version", F.lit(folder)).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
+                rows.withColumn("version", F.lit(folder)).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").partitionBy("space_id", "version").parquet(f"{self.path}/{table}")
 
             if not before[table] or whole:  # nothing to compare with: written first, counted where it lies
                 put(df)
@@ -124,7 +138,7 @@ class Store:
             return log | {space: {"version": folder, "rows": own[space][0], "digest": own[space][1]} for space in changed}
 
         # The tables are independent: their jobs run side by side.
-        with ThreadPoolExecutor(len(only)) as pool:
+        with _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)), ThreadPoolExecutor(len(only)) as pool:
             log = before | dict(zip(only, pool.map(one, only), strict=True))
         staged, entry = hadoop.Path(f"{self.path}/{_LOG}/.{folder}"), hadoop.Path(f"{self.path}/{_LOG}/{name}.json")
         stream = fs.create(staged, True)

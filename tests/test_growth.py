@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stats import percentiles
-from palimpsest.memory import Memory
+from palimpsest.memory import LazyMemory, Memory
 from palimpsest.operators import graph, index, lifecycle, lookup, provenance, search
 from palimpsest.plans import schema
 from palimpsest.plans.requests import NeighborhoodRequest, ProvenanceRequest, SearchRequest, Temporal
 from palimpsest.queries import QUERIES
 from palimpsest.sources import derive, shared
-from palimpsest.sources.store import Store, digests
+from palimpsest.sources.store import WRITERS, Store, digests
 
 SF = "/root/testdata/sf0.001"
 MOMENT = datetime(2026, 2, 1, tzinfo=timezone.utc)
@@ -150,6 +150,87 @@ def test_hops_of_a_search_find_what_no_hit_is(spark, wide):
     assert {(r["record_id"], tuple(r["reasons"]), round(r["score"], 6)) for r in out} == {("f2", ("hybrid_keyword_match",), 1.4), ("f1", ("graph_expansion",), 0.63), ("f3", ("graph_expansion_bfs",), 0.2835)}
 
 
+def graph_of_facts(spark, n):
+    """Facts with ends of all sorts: shared, missing, blank, and many episodes; every ninth subject is an entity."""
+    own = {"space_id": "'default'", "predicate": "'P'", "status": "'active'", "created_at": "timestamp'2026-01-01 00:00:00'", "updated_at": "timestamp'2026-01-01 00:00:00'"}
+    ends = {"subject_id": f"concat('s', pmod(hash(k, 1), {n // 3}))", "object_id": f"CASE pmod(hash(k, 2), 4) WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('s', pmod(hash(k, 3), {n // 3})) END"}
+    episodes = f"CASE WHEN k % 5 > 0 THEN transform(sequence(1, CAST(k % 5 AS int)), i -> concat('e', pmod(hash(k, i), {n})))  END"
+    facts = rows(spark, schema.FACTS, n, id="concat('f', k)", value_text="if(k % 50 = 1, 'zebra crossing', 'quux')", supporting_episode_ids=episodes, **own, **ends)
+    entities = rows(spark, schema.ENTITIES, n // 27, id="concat('s', 9 * k)", space_id="'default'", canonical_name="if(k % 2 = 0, 'zebra crossing', 'zebras cross')", created_at="timestamp'2026-01-01 00:00:00'", updated_at="timestamp'2026-01-01 00:00:00'")
+    return Memory.empty(spark).with_tables(facts=facts, entities=entities).settled()
+
+
+@pytest.mark.parametrize("most, words, query, types, min_score", [
+    (100_000, 1 << 20, "zebra crossing", ("fact", "entity"), None), (5, 2, "zebra crossing", ("fact", "entity"), 0.2), (5, 1 << 20, "zebra crossing", ("fact",), None),
+    (20, 1 << 20, "f1 s9 zebra crossing", ("entity",), None), (5, 1 << 20, "zebra crossing", ("fact", "entity"), 0.6), (5, 1 << 20, "absent", ("fact",), None),
+])
+def test_hops_equal_brute_force(spark, monkeypatch, most, words, query, types, min_score):
+    monkeypatch.setattr(shared, "LIGHT", most)
+    monkeypatch.setattr(shared, "WORDS", words, raising=False)
+    m = graph_of_facts(spark, 900)
+    kinds = tuple(dict.fromkeys((*types, "fact")))
+    request = SearchRequest(query, types=kinds, min_score=min_score)
+    direct = [r for r in search.direct_hits(m, request).collect()]
+    facts = {r["id"]: r for r in m.facts.collect()}
+    ends = {i: {x for x in (r["subject_id"], r["object_id"], *(r["supporting_episode_ids"] or ())) if x} for i, r in facts.items()}
+    want = {(r["hit_type"], r["record_id"], tuple(r["reasons"])): r["score"] for r in direct}
+    seeds, seen = [(k, r["score"]) for r in direct for k in r["keys"] if k], {r["record_id"] for r in direct if r["hit_type"] == "fact"}
+    for reason in ("graph_expansion", "graph_expansion_bfs"):
+        best = {}
+        for k, s in seeds:
+            best[k] = max(s, best.get(k, s))
+        found = {i: search.DECAY * max(best[k] for k in own & best.keys()) for i, own in ends.items() if i not in seen and own & best.keys()}
+        found = {i: s for i, s in found.items() if min_score is None or s >= min_score}
+        want |= {("fact", i, (reason,)): s for i, s in found.items()}
+        seen |= found.keys()
+        seeds = [(k, s) for i, s in found.items() for k in (i, *ends[i])]
+    got = search.all_hits(m, request).collect()
+    assert len(got) == len(want) and {(r["hit_type"], r["record_id"], tuple(r["reasons"])): r["score"] for r in got} == want
+    assert all(r["matched_text"] == facts[r["record_id"]]["value_text"] for r in got if r["hit_type"] == "fact")
+
+
+def test_hops_move_facts_with_an_end_at_a_seed_only(spark):
+    own = {"space_id": "'default'", "predicate": "'P'", "subject_id": "concat('s', k)", "object_id": "concat('o', k)", "value_text": "sha2(concat(k), 256)", "status": "'active'", "supporting_episode_ids": "array(concat('e', k))"}
+    entities = rows(spark, schema.ENTITIES, 3, id="concat('s', k)", space_id="'default'", canonical_name="'zebra crossing'")
+    m = Memory.empty(spark).with_tables(facts=rows(spark, schema.FACTS, 20_000, id="concat('f', k)", **own), entities=entities).settled()
+    out = []
+    assert shuffled(spark, lambda: out.extend(search.all_hits(m, SearchRequest("zebra crossing", types=("fact", "entity"))).collect())) < 100_000
+    assert sorted(r["record_id"] for r in out) == ["f0", "f1", "f2", "s0", "s1", "s2"]
+
+
+def test_hops_move_a_fact_once(spark, monkeypatch):
+    monkeypatch.setattr(shared, "LIGHT", 5)
+    own = {"space_id": "'default'", "predicate": "'P'", "subject_id": "concat('s', k % 2000)", "object_id": "concat('o', k)", "value_text": "sha2(concat(k), 256)", "status": "'active'", "supporting_episode_ids": "array(concat('e', k))"}
+    entities = rows(spark, schema.ENTITIES, 2000, id="concat('s', k)", space_id="'default'", canonical_name="'zebra crossing'")
+    m = Memory.empty(spark).with_tables(facts=rows(spark, schema.FACTS, 20_000, id="concat('f', k)", **own), entities=entities).settled()
+    once = shuffled(spark, lambda: noop(m.facts.select(*search.ENDS).repartition(4, "id")))
+    out = []
+    assert shuffled(spark, lambda: out.append(search.all_hits(m, SearchRequest("zebra crossing", types=("fact", "entity"))).count())) < 1.5 * once
+    assert out == [22_000]
+
+
+def test_a_sieve_lets_its_own_pass_and_few_others(spark, monkeypatch):
+    held = shared.cut(spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key")))
+    others = spark.range(100_000).select(F.concat(F.lit("x"), "id").alias("key"))
+    hit = shared.sieve(held, "key", 5000)(F.xxhash64("key"))
+    assert held.where(hit).count() == 5000 and others.where(hit).count() < 10_000
+    monkeypatch.setattr(shared, "WORDS", 4)
+    assert held.where(shared.sieve(held, "key", 5000)(F.xxhash64("key"))).count() == 5000
+    assert others.where(shared.sieve(held.limit(0), "key", 0)(F.xxhash64("key"))).isEmpty()
+
+
+def test_a_save_writes_spaces_side_by_side(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(name, None), []
+    episodes = rows(spark, schema.EPISODES, 1200, id="concat('e', k)", space_id="concat('space', k % 12)", content="'user 1 view'", source_id="'s'")
+    memory = LazyMemory(spark, {"episodes": lambda: seen.append(spark.conf.get(name)) or episodes})
+    store = Store(spark, str(tmp_path / "store"))
+    store.save(memory, only=("episodes",))
+    assert seen == [str(WRITERS)] and spark.conf.get(name, None) == before
+    assert digests(store.table("episodes")) == digests(episodes) and len(store.log()["episodes"]) == 12
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "store").rglob("*.parquet"))
+
+
 def test_reads_build_the_tables_that_they_need_only(spark, tmp_path):
     for f in os.listdir(SF):
         os.symlink(f"{SF}/{f}", tmp_path / f)
